@@ -9,7 +9,13 @@ from lakeclerk.functions.identity import (
     schema_name_of,
     table_name_of,
 )
-from lakeclerk.functions.sizing import broadcast_if_small, new_folder, stored_bytes
+from lakeclerk.functions.sizing import (
+    broadcast_if_small,
+    local_rows,
+    new_folder,
+    stored_bytes,
+    written,
+)
 
 __all__ = [
     "broadcast_if_small",
@@ -17,6 +23,7 @@ __all__ = [
     "column_name_of",
     "convert",
     "entity_guid",
+    "local_rows",
     "named",
     "new_folder",
     "process_name_of",
@@ -26,4 +33,5 @@ __all__ = [
     "stored_bytes",
     "table_name_of",
     "tolerant_cast",
+    "written",
 ]

@@ -5,6 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,6 +39,25 @@ def new_folder(spark: SparkSession, purpose: str) -> str:
     return f"{shared_folder(spark)}/lakeclerk/{purpose}-{uuid.uuid4().hex}"
 
 
+def written(df: DataFrame, purpose: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    For a result that several frames go on from: it is computed once, lost
+    executors do not bring its computation back, and its size is known.
+    """
+    path = new_folder(df.sparkSession, purpose)
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
+def local_rows(spark: SparkSession, columns: dict[str, pa.Array], schema: str) -> DataFrame:
+    """A few rows known to the driver, such as a schema or one log entry.
+
+    An Arrow table becomes a local relation: no Python worker starts.
+    """
+    return spark.createDataFrame(pa.table(columns), schema)
+
+
 def stored_bytes(spark: SparkSession, path: str, glob: str | None = None) -> int:
     """Bytes of all files below ``path``; one number reaches the driver."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")

@@ -5,7 +5,6 @@ from lakeclerk.operators.catalog import (
     delete_entities,
     entity_rows,
     latest_by_key,
-    register_frames,
     register_resource_sets,
     register_tables,
     relationship_rows,
@@ -53,7 +52,6 @@ __all__ = [
     "publish_table",
     "read_table",
     "record_lineage",
-    "register_frames",
     "register_resource_sets",
     "register_tables",
     "relationship_rows",

@@ -9,27 +9,26 @@ from __future__ import annotations
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeclerk.functions import identity as ids
-from lakeclerk.functions.sizing import broadcast_if_small
+from lakeclerk.functions.sizing import broadcast_if_small, local_rows, written
 
 ENTITY_KEY = ("type_name", "qualified_name")
 
-ENTITY_COLUMNS = (
-    "guid",
-    "type_name",
-    "qualified_name",
-    "name",
-    "attributes",
-    "updated_at",
+ENTITIES_DDL = (
+    "guid string, type_name string, qualified_name string, name string, "
+    "attributes map<string,string>, updated_at timestamp"
 )
-
+COLUMNS_DDL = (
+    "guid string, table_guid string, ordinal int, name string, data_type string, "
+    "description string"
+)
+RELATIONSHIPS_DDL = "guid string, type_name string, end1_guid string, end2_guid string"
 SCHEMA_ROWS_DDL = "table_name string, ordinal int, column_name string, data_type string"
-
 RELATIONSHIP_END_DDL = "struct<type:string,name:string,is_container:boolean,cardinality:string>"
-
 TYPE_DEFS_DDL = (
     "name string, category string, super_types array<string>, "
     "attribute_defs array<struct<name:string,is_optional:boolean,default_value:string>>, "
@@ -88,7 +87,14 @@ def schema_rows(spark: SparkSession, frames: Mapping[str, DataFrame]) -> DataFra
         for table, df in frames.items()
         for ordinal, (column, data_type) in enumerate(df.dtypes, start=1)
     ]
-    return spark.createDataFrame(rows, SCHEMA_ROWS_DDL)
+    tables, ordinals, names, types = zip(*rows)
+    columns = {
+        "table_name": pa.array(tables, pa.string()),
+        "ordinal": pa.array(ordinals, pa.int32()),
+        "column_name": pa.array(names, pa.string()),
+        "data_type": pa.array(types, pa.string()),
+    }
+    return local_rows(spark, columns, SCHEMA_ROWS_DDL)
 
 
 def register_tables(
@@ -157,16 +163,6 @@ def register_resource_sets(
     return Registration(sets.unionByName(schema_entities).unionByName(members), columns, links)
 
 
-def register_frames(
-    spark: SparkSession,
-    frames: Mapping[str, DataFrame],
-    scheme: str = ids.TABLE_SCHEME,
-    updated_at: Column | None = None,
-) -> Registration:
-    """Register frames as tables under their names."""
-    return register_tables(schema_rows(spark, frames), scheme, updated_at)
-
-
 def _column_entries(
     schemas: DataFrame, owner: Column, owner_guid: Column, updated_at: Column | None
 ) -> tuple[DataFrame, DataFrame, Column]:
@@ -210,20 +206,21 @@ def latest_by_key(
 
 
 def upsert(
-    current: DataFrame,
+    current: DataFrame | None,
     incoming: DataFrame,
     keys: Sequence[str] = ENTITY_KEY,
     updated_at: str = "updated_at",
 ) -> DataFrame:
     """Create or update: per key the latest of both, the incoming one on a tie.
 
-    Ties within one side go to the greatest content, so that a repeated run
-    gives the same table. Publish the result as a new version, see ``store``.
+    Ties within one side are decided by a hash of the content, so that a
+    repeated run gives the same table. Publish the result as a new version, see
+    ``store``.
     """
-    both = current.withColumn("_incoming", F.lit(0)).unionByName(
-        incoming.withColumn("_incoming", F.lit(1))
-    )
-    content = F.to_json(_sorted_maps(incoming))
+    both = incoming.withColumn("_incoming", F.lit(1))
+    if current is not None:
+        both = current.withColumn("_incoming", F.lit(0)).unionByName(both)
+    content = F.xxhash64(_sorted_maps(incoming))
     return latest_by_key(both, keys, [F.col(updated_at), F.col("_incoming"), content]).drop(
         "_incoming"
     )
@@ -268,7 +265,7 @@ def resolve(
 
 def relationships_by_guid(guids: DataFrame, relationships: DataFrame) -> DataFrame:
     """Read the relationships with the requested identifiers."""
-    wanted = broadcast_if_small(guids.select("guid").distinct())
+    wanted = broadcast_if_small(written(guids.select("guid").distinct(), "guids"))
     return relationships.join(wanted, "guid", "left_semi")
 
 
@@ -279,7 +276,7 @@ def delete_entities(
     edges: DataFrame,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Drop entities with the relationships and lineage edges that touch them."""
-    gone = broadcast_if_small(guids.select("guid").distinct())
+    gone = broadcast_if_small(written(guids.select("guid").distinct(), "guids"))
 
     def without(df: DataFrame, column: str) -> DataFrame:
         return df.join(gone.withColumnRenamed("guid", column), column, "left_anti").select(

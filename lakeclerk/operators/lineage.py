@@ -4,14 +4,15 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeclerk.functions import identity as ids
-from lakeclerk.functions.sizing import new_folder
+from lakeclerk.functions.sizing import broadcast_if_small, new_folder, written
 from lakeclerk.operators.catalog import ENTITY_KEY, entity_rows
 
-EDGE_COLUMNS = ("process_guid", "direction", "entity_guid")
+EDGES_DDL = "process_guid string, direction string, entity_guid string"
+REQUESTS_DDL = "name string, inputs array<string>, outputs array<string>"
 
 
 @dataclass(frozen=True)
@@ -52,43 +53,46 @@ def record_lineage(
     job_type: str = "batch",
     process_type: str = ids.PROCESS_TYPE,
     scheme: str = ids.PROCESS_SCHEME,
+    updated_at: Column | None = None,
 ) -> Lineage:
     """Processes and edges for references to entities that exist.
 
     All references are looked up in one join, however many processes there
-    are. A process with a reference that is not found is left out whole, and
-    the reference is reported. Repeated references collapse before the join;
-    an entity that very many processes use is a hot join key, whose partition
-    adaptive execution splits.
+    are, and the outcome is written once for the three results. A process with
+    a reference that is not found is left out whole, and the reference is
+    reported. Repeated references collapse before the join; an entity that
+    very many processes use is a hot join key, whose partition adaptive
+    execution splits.
     """
     process_name = ids.process_name_of(F.col("process_name"), scheme)
-    process_guid = ids.entity_guid(F.lit(process_type), process_name)
-    wanted = references.select(
-        "process_name", process_guid.alias("process_guid"), "direction", *ENTITY_KEY
-    ).distinct()
-    found = wanted.join(
-        entities.select(*ENTITY_KEY, F.col("guid").alias("entity_guid")),
-        on=list(ENTITY_KEY),
-        how="left",
+    wanted = references.select("process_name", "direction", *ENTITY_KEY).distinct()
+    found = written(
+        wanted.join(
+            entities.select(*ENTITY_KEY, F.col("guid").alias("entity_guid")),
+            on=list(ENTITY_KEY),
+            how="left",
+        ),
+        "references",
     )
-    unresolved = found.filter(F.col("entity_guid").isNull()).select(
-        "process_name", "process_guid", "direction", *ENTITY_KEY
+    unresolved = found.filter(F.col("entity_guid").isNull()).drop("entity_guid")
+    accepted = found
+    if not unresolved.isEmpty():
+        refused = broadcast_if_small(unresolved.select("process_name").distinct())
+        accepted = found.join(refused, "process_name", "left_anti")
+    edges = accepted.select(
+        ids.entity_guid(F.lit(process_type), process_name).alias("process_guid"),
+        "direction",
+        "entity_guid",
     )
-    refused = unresolved.select("process_guid").distinct()
-    edges = (
-        found.filter(F.col("entity_guid").isNotNull())
-        .join(refused, "process_guid", "left_anti")
-        .select(*EDGE_COLUMNS)
-    )
-    names = wanted.select("process_name", "process_guid").distinct()
     processes = entity_rows(
-        names.join(refused, "process_guid", "left_anti"),
+        accepted.select("process_name").distinct(),
         process_type,
         process_name,
         F.col("process_name"),
         F.create_map(F.lit("job_type"), F.lit(job_type)),
+        updated_at,
     )
-    return Lineage(processes, edges, unresolved.drop("process_guid"))
+    return Lineage(processes, edges, unresolved)
 
 
 def lineage_hops(edges: DataFrame) -> DataFrame:

@@ -10,11 +10,13 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
+import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeclerk.sinks.files import overwrite
+from lakeclerk.functions.sizing import local_rows
+from lakeclerk.sinks.files import even_files, overwrite
 
 LOG_DDL = "version bigint, path string"
 
@@ -38,17 +40,25 @@ def read_table(spark: SparkSession, base: str, table: str) -> DataFrame | None:
 
 
 def publish_table(
-    df: DataFrame, base: str, table: str, partition_by: Sequence[str] = ()
+    df: DataFrame,
+    base: str,
+    table: str,
+    partition_by: Sequence[str] = (),
+    even: bool = False,
 ) -> DataFrame:
     """Write ``df`` as the next version, make it current and read it back.
 
     ``df`` may read the current version. A failed run leaves a folder that no
-    log entry names; the next run takes the same number and replaces it.
+    log entry names; the next run takes the same number and replaces it. With
+    ``even`` one more shuffle brings many small pieces, such as a union leaves,
+    into files of about equal size.
     """
     spark = df.sparkSession
     version, _ = current_version(spark, base, table)
     version += 1
-    path = overwrite(df, f"{base}/{table}/version={version}", partition_by=partition_by)
-    entry = spark.createDataFrame([(version, path)], LOG_DDL)
-    entry.coalesce(1).write.mode("append").json(f"{base}/{table}/versions")
+    path = f"{base}/{table}/version={version}"
+    overwrite(even_files(df) if even else df, path, partition_by=partition_by)
+    entry = {"version": pa.array([version], pa.int64()), "path": pa.array([path], pa.string())}
+    log = local_rows(spark, entry, LOG_DDL)
+    log.write.mode("append").json(f"{base}/{table}/versions")
     return spark.read.parquet(path)

@@ -5,22 +5,12 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame, SparkSession
-
-from lakeclerk.operators.catalog import (
-    register_frames,
-    replace_by_key,
-    type_definitions,
-    upsert,
-)
+from pyspark.sql import DataFrame
+
+from lakeclerk.catalog import Catalog
 from lakeclerk.operators.clean import ColumnRule, clean
 from lakeclerk.operators.enrich import enrich
-from lakeclerk.operators.lineage import lineage_references, record_lineage
-from lakeclerk.operators.store import publish_table, read_table
 from lakeclerk.sinks.files import MERGE_BYTES, merge_files, overwrite
-from lakeclerk.streaming.discovery import INCREMENTAL, scan
-
-LINEAGE_DDL = "name string, inputs array<string>, outputs array<string>"
 
 
 @dataclass(frozen=True)
@@ -79,7 +69,18 @@ class Enrichment:
         clean_left = stored(clean(left, self.left_rules), self.left_name)
         clean_right = stored(clean(right, self.right_rules), self.right_name)
         extended = stored(enrich(clean_left, clean_right, self.on), self.extended_name)
-        self._register(spark, base, extended, clean_left, clean_right)
+        catalog = Catalog(spark, f"{base}/catalog")
+        catalog.define_types()
+        catalog.register_tables(
+            {
+                self.extended_name: extended,
+                self.right_name: clean_right,
+                self.left_name: clean_left,
+            }
+        )
+        catalog.record_lineage(
+            self.name, [self.right_name, self.left_name], [self.extended_name]
+        )
 
         master = f"{base}/master/{self.extended_name}_data"
         source = f"{base}/clean/{self.extended_name}_data"
@@ -89,43 +90,5 @@ class Enrichment:
             overwrite(extended, master)
         scanned = None
         if scan_level:
-            scanned = scan(
-                spark, [f"{base}/clean", f"{base}/master"], f"{base}/catalog", scan_level
-            )
+            scanned = catalog.scan([f"{base}/clean", f"{base}/master"], scan_level)
         return EnrichmentResult(extended, clean_left, clean_right, master, scanned)
-
-    def _register(
-        self,
-        spark: SparkSession,
-        base: str,
-        extended: DataFrame,
-        clean_left: DataFrame,
-        clean_right: DataFrame,
-    ) -> None:
-        catalog = f"{base}/catalog"
-        tables = register_frames(
-            spark,
-            {
-                self.extended_name: extended,
-                self.right_name: clean_right,
-                self.left_name: clean_left,
-            },
-        )
-        requests = spark.createDataFrame(
-            [(self.name, [self.right_name, self.left_name], [self.extended_name])], LINEAGE_DDL
-        )
-        lineage = record_lineage(lineage_references(requests), tables.entities)
-
-        def replace(table: str, df: DataFrame, keys: Sequence[str]) -> None:
-            current = read_table(spark, catalog, table)
-            publish_table(replace_by_key(current, df, keys), catalog, table)
-
-        entities = tables.entities.unionByName(lineage.processes)
-        current = read_table(spark, catalog, "entities")
-        publish_table(
-            entities if current is None else upsert(current, entities), catalog, "entities"
-        )
-        replace("columns", tables.columns, ["guid"])
-        replace("relationships", tables.relationships, ["guid"])
-        replace("lineage_edges", lineage.edges, ["process_guid"])
-        replace("type_defs", type_definitions(spark), ["name"])

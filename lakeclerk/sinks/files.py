@@ -13,14 +13,24 @@ from lakeclerk.sources.files import DELIMITER, ESCAPE, QUOTE
 # One writing task handles at most about this many stored bytes of a merge.
 MERGE_BYTES = 256 * 1024 * 1024
 
-# Text with line breaks is read back one file per task, so files stay small.
-TEXT_FILE_ROWS = 200_000
+
+def even_files(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
+    """Bring rows of one partition together in files of about equal size.
+
+    Without this every task writes a file into every partition it has rows
+    for. The hint lets adaptive execution merge small shuffle partitions and
+    split large ones, so a value that holds much of the table is written by
+    many tasks, and a small table by one.
+    """
+    return df.hint("rebalance", *partition_by)
 
 
 def overwrite(
     df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()
 ) -> str:
     """Replace the table at ``path`` together with its schema."""
+    if partition_by:
+        df = even_files(df, partition_by)
     writer = df.write.format(fmt).mode("overwrite")
     # Whole-table replacement, whatever the session's overwrite mode is.
     writer = writer.option("partitionOverwriteMode", "static")
@@ -39,7 +49,8 @@ def overwrite_partitions(
     if not partition_by:
         raise ValueError("name the partition columns")
     (
-        df.write.format(fmt)
+        even_files(df, partition_by)
+        .write.format(fmt)
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")
         .partitionBy(*partition_by)
@@ -71,15 +82,18 @@ def write_csv(
     path: str,
     quote_all: bool = True,
     null_value: str | None = None,
-    file_rows: int = TEXT_FILE_ROWS,
+    file_rows: int | None = None,
 ) -> str:
-    """Write delimited text with a header in every file.
+    """Write delimited text with a header in every file, one file per task.
 
     Null and the empty string read back alike unless a ``null_value`` token
-    tells them apart on both sides.
+    tells them apart on both sides. ``file_rows`` cuts a task's output into
+    more files: text with line breaks is read back one file per task.
     """
     writer = _quoted_text(df.write, quote_all, null_value)
-    writer.option("maxRecordsPerFile", file_rows).csv(path)
+    if file_rows:
+        writer = writer.option("maxRecordsPerFile", file_rows)
+    writer.csv(path)
     return path
 
 

@@ -31,8 +31,8 @@ def read_csv(
 
     With neither ``schema`` nor ``infer`` every column is a string and the
     data is read only once. ``infer`` costs a full extra pass. ``multi_line``
-    admits line breaks inside quotes; a file is then read by one task, so keep
-    such files of bounded size, as ``write_csv`` does.
+    admits line breaks inside quotes; a file is then read by one task, so such
+    a table should come as many files, as ``write_csv`` leaves it.
     """
     if schema is not None and infer:
         raise ValueError("give a schema or ask for inference, not both")

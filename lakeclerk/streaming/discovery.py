@@ -15,6 +15,9 @@ from lakeclerk.operators.store import publish_table, read_table
 FULL = "Full"
 INCREMENTAL = "Incremental"
 
+# A stream takes no schema from the format by itself.
+FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+
 
 def discover_new_files(
     spark: SparkSession,
@@ -29,7 +32,11 @@ def discover_new_files(
     cut short goes on where it stopped and lists nothing twice. A file stream
     knows paths only: changed and removed files come from ``scan``.
     """
-    stream = spark.readStream.format("binaryFile").option("recursiveFileLookup", True)
+    stream = (
+        spark.readStream.format("binaryFile")
+        .schema(FILE_SCHEMA)
+        .option("recursiveFileLookup", True)
+    )
     if glob:
         stream = stream.option("pathGlobFilter", glob)
     if files_per_batch:

@@ -427,20 +427,21 @@ def join_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT side, custkey, n_rows FROM (
-        SELECT 'left' AS side, o_custkey AS custkey, count(*) AS n_rows FROM orders
-        WHERE o_custkey NOT IN (SELECT c_custkey FROM customer) GROUP BY o_custkey
-        UNION ALL
-        SELECT 'right', c_custkey, count(*) FROM customer
-        WHERE c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY c_custkey
-    )
+    SELECT 'left' AS side, user_id, count(*) AS n_rows FROM events
+    WHERE user_id NOT IN (SELECT c_custkey FROM customer WHERE c_custkey IS NOT NULL)
+    GROUP BY user_id
+    UNION ALL
+    SELECT 'right', c_custkey, count(*) FROM customer
+    WHERE c_custkey NOT IN (SELECT user_id FROM events WHERE user_id IS NOT NULL)
+    GROUP BY c_custkey
     """
 )
-def join_unmatched_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+def join_unmatched_users(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Few users own all events; most customers have none."""
     return unmatched_keys(
-        table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("custkey")),
-        table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("custkey")),
-        "custkey",
+        table(spark, sf_dir, "events"),
+        table(spark, sf_dir, "customer").withColumnRenamed("c_custkey", "user_id"),
+        "user_id",
     )
 
 
@@ -676,9 +677,8 @@ def entity_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     is_early = F.col("updated_at.ts") < F.lit("2024-01-10").cast("timestamp_ntz")
     base = new_folder(spark, "catalog")
-    early, late = entities.filter(is_early), entities.filter(~is_early)
-    first = publish_table(upsert(early, early.limit(0)), base, "entities")
-    second = publish_table(upsert(first, late), base, "entities")
+    first = publish_table(upsert(None, entities.filter(is_early)), base, "entities")
+    second = publish_table(upsert(first, entities.filter(~is_early)), base, "entities")
     return second.select(
         "type_name",
         "qualified_name",
@@ -798,8 +798,11 @@ def relationship_read(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     SELECT event_id,
+           CASE WHEN event_type = 'view' THEN 'custom_delta_table'
+                ELSE 'custom_spark_job_process' END AS type_name,
            CASE WHEN event_type = 'error' THEN NULL ELSE event_type END AS job_type,
-           CASE WHEN event_type = 'signup' THEN 'daily' ELSE 'adHoc' END AS schedule,
+           CASE event_type WHEN 'signup' THEN 'daily' WHEN 'view' THEN NULL
+                ELSE 'adHoc' END AS schedule,
            props->>'k' AS k,
            event_type <> 'error' AS accepted,
            CASE WHEN event_type = 'error' THEN 'job_type' ELSE '' END AS missing
@@ -807,27 +810,28 @@ def relationship_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def attribute_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Events as processes: the error events lack the required job type."""
+    """Views as tables, other events as processes; errors lack their job type."""
+    event_type = F.col("event_type")
     given = F.map_concat(
         F.from_json("props", "map<string,string>"),
-        F.create_map(
-            F.lit("job_type"), F.when(F.col("event_type") != "error", F.col("event_type"))
-        ),
+        F.create_map(F.lit("job_type"), F.when(event_type != "error", event_type)),
     )
-    attributes = F.when(
-        F.col("event_type") == "signup",
-        F.map_concat(given, F.create_map(F.lit("schedule"), F.lit("daily"))),
-    ).otherwise(given)
     entities = entity_rows(
         table(spark, sf_dir, "events"),
-        "custom_spark_job_process",
+        F.when(event_type == "view", F.lit("custom_delta_table")).otherwise(
+            F.lit("custom_spark_job_process")
+        ),
         keyed("event", "event_id"),
         F.col("event_id").cast("string"),
-        attributes,
+        F.when(
+            event_type == "signup",
+            F.map_concat(given, F.create_map(F.lit("schedule"), F.lit("daily"))),
+        ).otherwise(given),
     )
     checked = apply_attribute_rules(entities, type_definitions(spark))
     return checked.select(
         F.col("name").cast("bigint").alias("event_id"),
+        "type_name",
         F.col("attributes")["job_type"].alias("job_type"),
         F.col("attributes")["schedule"].alias("schedule"),
         F.col("attributes")["k"].alias("k"),
@@ -841,12 +845,23 @@ def attribute_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT 'custom_delta_table_columns' AS type_name,
            md5('part|part://' || l_partkey) AS end2_guid,
            count(DISTINCT l_suppkey) AS n_containers
-    FROM lineitem GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1
+    FROM lineitem WHERE l_returnflag <> 'N'
+    GROUP BY l_partkey HAVING count(DISTINCT l_suppkey) > 1
     """
 )
 def relationship_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Parts that would be members of more than one supplier."""
-    links = supplies(spark, sf_dir).withColumn("type_name", F.lit("custom_delta_table_columns"))
+    """Parts that would be members of more than one supplier.
+
+    Lines of the flag N form links of a type without a definition, and so
+    without a rule.
+    """
+    links = table(spark, sf_dir, "lineitem").select(
+        F.when(F.col("l_returnflag") == "N", F.lit("unrestricted"))
+        .otherwise(F.lit("custom_delta_table_columns"))
+        .alias("type_name"),
+        entity_guid(F.lit("supplier"), keyed("supplier", "l_suppkey")).alias("end1_guid"),
+        entity_guid(F.lit("part"), keyed("part", "l_partkey")).alias("end2_guid"),
+    )
     return cardinality_violations(links, type_definitions(spark))
 
 
