@@ -80,11 +80,19 @@ class Catalog:
         self._replace("relationships", registration.relationships, ["guid"])
 
     def register_tables(
-        self, frames: Mapping[str, DataFrame], updated_at: Column | None = None
+        self,
+        frames: Mapping[str, DataFrame],
+        updated_at: Column | None = None,
+        with_statistics: bool = False,
     ) -> None:
-        """Register frames as tables: each table and, linked to it, its columns."""
+        """Register frames as tables: each table and, linked to it, its columns.
+
+        ``with_statistics`` reads every frame once and adds what it finds to
+        the attributes of the columns.
+        """
         schemas = ops.schema_rows(self.spark, frames)
-        self.put(ops.register_tables(schemas, self.table_scheme, updated_at))
+        statistics = ops.statistics_rows(frames) if with_statistics else None
+        self.put(ops.register_tables(schemas, self.table_scheme, updated_at, statistics))
 
     def register_resource_sets(
         self,

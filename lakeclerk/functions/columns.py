@@ -14,7 +14,12 @@ def named(name: str) -> Column:
     Headers may hold dots, spaces, commas or percent signs; an unquoted dot
     would be read as a struct access.
     """
-    return F.col("`" + name.replace("`", "``") + "`")
+    return F.col(quoted(name))
+
+
+def quoted(name: str) -> str:
+    """A literal column name as it is written in SQL text."""
+    return "`" + name.replace("`", "``") + "`"
 
 
 def require_columns(df: DataFrame, names: Iterable[str]) -> None:

@@ -66,20 +66,28 @@ def stored_bytes(spark: SparkSession, path: str, glob: str | None = None) -> int
     return reader.load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
 
 
-def broadcast_if_small(
+def is_small(
     df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """Mark ``df`` for broadcast if its real content is within both bounds.
+) -> bool:
+    """Whether the real content of ``df`` is within both bounds.
 
-    The check counts rows and the bytes of their JSON text in one pass that
-    returns a single row. Beyond the bounds the frame comes back without a
-    hint: the join shuffles, and adaptive execution splits skewed partitions.
+    Counts rows and the bytes of their JSON text in one pass that returns a
+    single row.
     """
     text = F.to_json(F.struct("*"))
     measured = df.agg(
         F.count("*").alias("n_rows"),
         F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n_bytes"),
     ).first()
-    if measured["n_rows"] <= max_rows and measured["n_bytes"] <= max_bytes:
-        return F.broadcast(df)
-    return df
+    return measured["n_rows"] <= max_rows and measured["n_bytes"] <= max_bytes
+
+
+def broadcast_if_small(
+    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
+) -> DataFrame:
+    """Mark ``df`` for broadcast if its measured size is within both bounds.
+
+    Beyond the bounds the frame comes back without a hint: the join shuffles,
+    and adaptive execution splits skewed partitions.
+    """
+    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df

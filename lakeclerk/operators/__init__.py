@@ -12,6 +12,7 @@ from lakeclerk.operators.catalog import (
     replace_by_key,
     resolve,
     schema_rows,
+    statistics_rows,
     type_definitions,
     upsert,
 )
@@ -61,6 +62,7 @@ __all__ = [
     "resolve",
     "resource_sets",
     "schema_rows",
+    "statistics_rows",
     "trace_origins",
     "type_definitions",
     "unmatched_keys",

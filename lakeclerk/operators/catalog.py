@@ -8,13 +8,15 @@ from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeclerk.functions import identity as ids
-from lakeclerk.functions.sizing import broadcast_if_small, local_rows, written
+from lakeclerk.functions.sizing import broadcast_if_small, is_small, local_rows, written
+from lakeclerk.operators.profile import column_profile, profile_attributes
 
 ENTITY_KEY = ("type_name", "qualified_name")
 
@@ -97,16 +99,39 @@ def schema_rows(spark: SparkSession, frames: Mapping[str, DataFrame]) -> DataFra
     return local_rows(spark, columns, SCHEMA_ROWS_DDL)
 
 
+def statistics_rows(frames: Mapping[str, DataFrame], distinct_rsd: float | None = None) -> DataFrame:
+    """Statistics of all columns of the named frames, one pass over each.
+
+    Columns ``table_name, column_name, attributes``; the attributes are those
+    of ``profile_attributes``.
+    """
+    profiles = [
+        profile_attributes(column_profile(df, distinct_rsd)).select(
+            F.lit(table).alias("table_name"), "column_name", "attributes"
+        )
+        for table, df in frames.items()
+    ]
+    return reduce(DataFrame.union, profiles)
+
+
 def register_tables(
     schemas: DataFrame,
     scheme: str = ids.TABLE_SCHEME,
     updated_at: Column | None = None,
+    statistics: DataFrame | None = None,
 ) -> Registration:
     """Catalogue entries of tables: the table and, linked to it, its columns.
 
     ``schemas`` holds one row per column as made by ``schema_rows``, for one
-    table or for many.
+    table or for many. ``statistics``, as made by ``statistics_rows``, become
+    attributes of the columns.
     """
+    if statistics is not None:
+        schemas = schemas.join(
+            statistics.withColumnRenamed("attributes", "statistics"),
+            ["table_name", "column_name"],
+            "left",
+        )
     owner = ids.table_name_of(F.col("table_name"), scheme)
     owner_guid = ids.entity_guid(F.lit(ids.TABLE_TYPE), owner)
     tables = entity_rows(
@@ -170,13 +195,12 @@ def _column_entries(
     qualified_name = ids.column_name_of(owner, name)
     guid = ids.entity_guid(F.lit(ids.COLUMN_TYPE), qualified_name)
     description = ids.column_description(name, data_type)
+    attributes = F.create_map(F.lit("type"), data_type, F.lit("description"), description)
+    if "statistics" in schemas.columns:
+        no_statistics = F.create_map().cast("map<string,string>")
+        attributes = F.map_concat(attributes, F.coalesce("statistics", no_statistics))
     entities = entity_rows(
-        schemas,
-        ids.COLUMN_TYPE,
-        qualified_name,
-        name,
-        F.create_map(F.lit("type"), data_type, F.lit("description"), description),
-        updated_at,
+        schemas, ids.COLUMN_TYPE, qualified_name, name, attributes, updated_at
     )
     columns = schemas.select(
         guid.alias("guid"),
@@ -213,17 +237,46 @@ def upsert(
 ) -> DataFrame:
     """Create or update: per key the latest of both, the incoming one on a tie.
 
-    Ties within one side are decided by a hash of the content, so that a
-    repeated run gives the same table. Publish the result as a new version, see
-    ``store``.
+    ``current`` has each key once, as an earlier result of this function has.
+    Ties within ``incoming`` are decided by a hash of the content, so that a
+    repeated run gives the same table. A small batch is broadcast and the
+    current table only scanned; a large one is merged in one shuffle. Publish
+    the result as a new version, see ``store``.
     """
-    both = incoming.withColumn("_incoming", F.lit(1))
-    if current is not None:
-        both = current.withColumn("_incoming", F.lit(0)).unionByName(both)
+    keys = list(keys)
     content = F.xxhash64(_sorted_maps(incoming))
-    return latest_by_key(both, keys, [F.col(updated_at), F.col("_incoming"), content]).drop(
-        "_incoming"
+    latest = latest_by_key(incoming, keys, [F.col(updated_at), content])
+    if current is None:
+        return latest
+    latest = written(latest.select(*current.columns), "incoming")
+    if is_small(latest):
+        return _merge_small(current, latest, keys, updated_at)
+    both = current.withColumn("_incoming", F.lit(0)).unionByName(
+        latest.withColumn("_incoming", F.lit(1))
+    )
+    return latest_by_key(both, keys, [updated_at, "_incoming"]).drop("_incoming")
+
+
+def _merge_small(
+    current: DataFrame, latest: DataFrame, keys: list[str], updated_at: str
+) -> DataFrame:
+    """Merge a broadcast batch without shuffling the current table."""
+    others = [name for name in current.columns if name not in keys]
+    batch = latest.select(*keys, F.struct(*others).alias("_new"))
+    # Compared as structs, since a null time is older than any other.
+    wins = F.col("_new").isNotNull() & (
+        F.struct(F.col(f"_new.{updated_at}")) >= F.struct(F.col(updated_at))
+    )
+    updated = current.join(F.broadcast(batch), keys, "left").select(
+        *[
+            name if name in keys else F.when(wins, F.col(f"_new.{name}")).otherwise(F.col(name)).alias(name)
+            for name in current.columns
+        ]
     )
+    # No more rows than the batch, as current keys are unique.
+    known = current.join(F.broadcast(latest.select(*keys)), keys, "left_semi").select(*keys)
+    created = latest.join(known, keys, "left_anti").select(*current.columns)
+    return updated.unionByName(created)
 
 
 def replace_by_key(

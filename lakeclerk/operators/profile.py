@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeclerk.functions.columns import named
+from lakeclerk.functions.columns import quoted
 
 ORDERED_TEXT = (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
@@ -21,41 +21,41 @@ def column_profile(df: DataFrame, distinct_rsd: float | None = None) -> DataFram
     column. All statistics are partial aggregates, so one row per task is
     shuffled.
     """
-    statistics = []
-    rows = []
+    estimate = f"approx_count_distinct(%s, {distinct_rsd}D)" if distinct_rsd is not None else None
+    statistics, rows = ["count(*) AS n_rows"], []
     for index, field in enumerate(df.schema.fields):
-        column = named(field.name)
-        numeric = isinstance(field.dataType, T.NumericType)
-        texty = isinstance(field.dataType, ORDERED_TEXT)
-        statistics.append(F.count(column).alias(f"n_{index}"))
-        if numeric or texty:
-            statistics.append(F.min(column).alias(f"least_{index}"))
-            statistics.append(F.max(column).alias(f"greatest_{index}"))
-        if distinct_rsd is not None:
-            statistics.append(
-                F.approx_count_distinct(column, distinct_rsd).alias(f"distinct_{index}")
-            )
+        column = quoted(field.name)
+        statistics.append(f"count({column}) AS n_{index}")
+        row = {
+            "ordinal": str(index + 1),
+            "column_name": _text_literal(field.name),
+            "n_rows": "n_rows",
+            "n_nulls": f"n_rows - n_{index}",
+            "least_number": "CAST(NULL AS double)",
+            "greatest_number": "CAST(NULL AS double)",
+            "least_text": "CAST(NULL AS string)",
+            "greatest_text": "CAST(NULL AS string)",
+        }
+        for types, form, data_type in (
+            ((T.NumericType,), "number", "double"),
+            (ORDERED_TEXT, "text", "string"),
+        ):
+            if isinstance(field.dataType, types):
+                statistics.append(f"min({column}) AS least_{index}")
+                statistics.append(f"max({column}) AS greatest_{index}")
+                row[f"least_{form}"] = f"CAST(least_{index} AS {data_type})"
+                row[f"greatest_{form}"] = f"CAST(greatest_{index} AS {data_type})"
+        if estimate:
+            statistics.append(f"{estimate % column} AS distinct_{index}")
+            row["n_distinct"] = f"distinct_{index}"
+        members = ", ".join(f"'{name}', {value}" for name, value in row.items())
+        rows.append(f"named_struct({members})")
+    measured = df.agg(*[F.expr(text) for text in statistics])
+    return measured.selectExpr(f"inline(array({', '.join(rows)}))")
 
-        def stat(name: str, used: bool, data_type: str, index: int = index):
-            value = F.col(f"{name}_{index}") if used else F.lit(None)
-            return value.cast(data_type)
 
-        rows.append(
-            F.struct(
-                F.lit(index + 1).alias("ordinal"),
-                F.lit(field.name).alias("column_name"),
-                F.col("n_rows"),
-                (F.col("n_rows") - F.col(f"n_{index}")).alias("n_nulls"),
-                stat("least", numeric, "double").alias("least_number"),
-                stat("greatest", numeric, "double").alias("greatest_number"),
-                stat("least", texty, "string").alias("least_text"),
-                stat("greatest", texty, "string").alias("greatest_text"),
-                stat("distinct", distinct_rsd is not None, "bigint").alias("n_distinct"),
-            )
-        )
-    measured = df.agg(F.count("*").alias("n_rows"), *statistics)
-    profile = measured.select(F.inline(F.array(*rows)))
-    return profile if distinct_rsd is not None else profile.drop("n_distinct")
+def _text_literal(text: str) -> str:
+    return "'" + text.replace("\\", "\\\\").replace("'", "\\'") + "'"
 
 
 def profile_attributes(profile: DataFrame) -> DataFrame:

@@ -26,10 +26,18 @@ def even_files(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
 
 
 def overwrite(
-    df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()
+    df: DataFrame,
+    path: str,
+    fmt: str = "parquet",
+    partition_by: Sequence[str] = (),
+    even: bool = True,
 ) -> str:
-    """Replace the table at ``path`` together with its schema."""
-    if partition_by:
+    """Replace the table at ``path`` together with its schema.
+
+    A partitioned table is shuffled for files of about equal size; give
+    ``even=False`` when the rows are in order already or the values are few.
+    """
+    if partition_by and even:
         df = even_files(df, partition_by)
     writer = df.write.format(fmt).mode("overwrite")
     # Whole-table replacement, whatever the session's overwrite mode is.
@@ -43,13 +51,17 @@ def overwrite(
 
 
 def overwrite_partitions(
-    df: DataFrame, path: str, partition_by: Sequence[str], fmt: str = "parquet"
+    df: DataFrame,
+    path: str,
+    partition_by: Sequence[str],
+    fmt: str = "parquet",
+    even: bool = True,
 ) -> str:
     """Replace only the partitions that occur in ``df``; the others stay."""
     if not partition_by:
         raise ValueError("name the partition columns")
     (
-        even_files(df, partition_by)
+        (even_files(df, partition_by) if even else df)
         .write.format(fmt)
         .mode("overwrite")
         .option("partitionOverwriteMode", "dynamic")

@@ -36,6 +36,8 @@ def discover_new_files(
         spark.readStream.format("binaryFile")
         .schema(FILE_SCHEMA)
         .option("recursiveFileLookup", True)
+        # By default a file a week older than the newest one is passed over.
+        .option("maxFileAge", "36500d")
     )
     if glob:
         stream = stream.option("pathGlobFilter", glob)

@@ -38,6 +38,7 @@ from lakeclerk.operators import (
     resolve,
     resource_sets,
     schema_rows,
+    statistics_rows,
     trace_origins,
     type_definitions,
     unmatched_keys,
@@ -566,19 +567,15 @@ COLUMN_CATALOG_SQL = " UNION ALL ".join(
 def column_catalog(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Registered columns of all tables, with row and null counts."""
     frames = {name: table(spark, sf_dir, name) for name in TABLES}
-    schemas = schema_rows(spark, frames)
-    statistics = None
-    for name, df in frames.items():
-        one = column_profile(df).select(
-            entity_guid(
-                F.lit("column"),
-                F.concat(F.lit(f"pyapache://{name}_delta_table_column_"), F.col("column_name")),
-            ).alias("guid"),
-            "n_rows",
-            "n_nulls",
-        )
-        statistics = one if statistics is None else statistics.union(one)
-    return register_tables(schemas).columns.join(statistics, "guid")
+    registration = register_tables(
+        schema_rows(spark, frames), statistics=statistics_rows(frames)
+    )
+    statistics = registration.entities.filter(F.col("type_name") == "column").select(
+        "guid",
+        F.col("attributes")["n_rows"].cast("bigint").alias("n_rows"),
+        F.col("attributes")["n_nulls"].cast("bigint").alias("n_nulls"),
+    )
+    return registration.columns.join(statistics, "guid")
 
 
 REGISTERED_DATASETS_SQL = " UNION ALL ".join(

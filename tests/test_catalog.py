@@ -5,6 +5,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeclerk import Catalog
+from lakeclerk.operators import catalog as catalog_operators
 from lakeclerk.operators import (
     apply_attribute_rules,
     cardinality_violations,
@@ -96,7 +97,9 @@ def entity(kind, name, attributes, day):
     return (guid, kind, name, name, attributes, datetime(2024, 1, day))
 
 
-def test_upsert_takes_the_latest(spark):
+@pytest.mark.parametrize("small", [True, False])
+def test_upsert_takes_the_latest(spark, monkeypatch, small):
+    monkeypatch.setattr(catalog_operators, "is_small", lambda df: small)
     current = spark.createDataFrame(
         [entity("t", "a", {"v": "old"}, 1), entity("t", "b", {"v": "kept"}, 5)], ENTITIES_DDL
     )
@@ -119,10 +122,32 @@ def test_upsert_takes_the_latest(spark):
         ("u", "a"): {"v": "other type"},
     }
     again = upsert(merged, incoming)
+    assert again.columns == current.columns
     rows = lambda df: sorted(map(repr, df.collect()))
     assert rows(again) == rows(merged)
 
 
+def test_small_batch_does_not_shuffle_the_current_table(spark, folder):
+    rows = [entity("t", str(i), {"v": "x"}, 1) for i in range(50)]
+    current = publish_table(spark.createDataFrame(rows, ENTITIES_DDL), folder, "entities")
+    incoming = spark.createDataFrame([entity("t", "7", {}, 2), entity("t", "new", {}, 2)], ENTITIES_DDL)
+    merged = upsert(current, incoming)
+    assert merged.count() == 51
+    plan = merged._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
+
+
+@pytest.mark.parametrize("small", [True, False])
+def test_upsert_compares_missing_times(spark, monkeypatch, small):
+    monkeypatch.setattr(catalog_operators, "is_small", lambda df: small)
+    rows = lambda v, t: [("g", "t", "a", "a", {"v": v}, t)]
+    day = datetime(2024, 1, 1)
+    for old, new, winner in ((None, None, "new"), (day, None, "old"), (None, day, "new")):
+        current = spark.createDataFrame(rows("old", old), ENTITIES_DDL)
+        incoming = spark.createDataFrame(rows("new", new), ENTITIES_DDL)
+        assert upsert(current, incoming).first().attributes == {"v": winner}
+
+
 def test_upsert_ties_do_not_depend_on_row_order(spark):
     rows = [entity("t", "a", {"v": str(i), "w": "x"}, 1) for i in range(20)]
     one = upsert(None, spark.createDataFrame(rows, ENTITIES_DDL)).collect()
@@ -311,6 +336,15 @@ def test_stored_catalogue_life_cycle(spark, folder, languages):
     assert catalog.resolve(requests).first().guid is None
 
 
+def test_statistics_become_column_attributes(spark, folder, languages):
+    catalog = Catalog(spark, folder)
+    catalog.define_types()
+    catalog.register_tables({"lang": languages}, with_statistics=True)
+    column = catalog.read("entities").filter("name = 'users_count'").first()
+    assert column.attributes["n_nulls"] == "0" and column.attributes["type"] == "bigint"
+    assert float(column.attributes["greatest_number"]) == 100000
+
+
 def test_rejected_entities_are_returned(spark, folder):
     catalog = Catalog(spark, folder)
     catalog.define_types()

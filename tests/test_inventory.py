@@ -95,3 +95,13 @@ def test_resource_sets_strip_partition_folders(spark, folder):
         for row in resource_sets(file_inventory(spark, folder)).collect()
     }
     assert rows == {"t": (3, 4, 8), "plain": (1, 1, 1), "odd/k=1/inner": (1, 1, 1)}
+
+
+def test_discovery_finds_files_that_look_old(spark, folder):
+    put(folder, "d/a", "1")
+    base = f"{folder}/inv"
+    discover_new_files(spark, f"{folder}/d", base)
+    old = put(folder, "d/old", "1")
+    long_ago = time.time() - 90 * 24 * 3600
+    os.utime(old, (long_ago, long_ago))
+    assert names(discover_new_files(spark, f"{folder}/d", base)) == ["a", "old"]

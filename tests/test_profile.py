@@ -40,3 +40,9 @@ def test_broadcast_needs_both_bounds(spark):
     assert hinted(broadcast_if_small(df))
     assert not hinted(broadcast_if_small(df, max_rows=99))
     assert not hinted(broadcast_if_small(df, max_bytes=10))
+
+
+def test_profile_of_awkward_names(spark):
+    df = spark.createDataFrame([(1, 2)], ["it's a.b\\", "c`d"])
+    names = [row.column_name for row in column_profile(df, 0.05).orderBy("ordinal").collect()]
+    assert names == df.columns
