@@ -6,6 +6,7 @@ once. An entity is identified by its type name and qualified name.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -329,12 +330,12 @@ def delete_entities(
     edges: DataFrame,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Drop entities with the relationships and lineage edges that touch them."""
-    gone = broadcast_if_small(written(guids.select("guid").distinct(), "guids"))
+    gone = broadcast_if_small(
+        written(guids.select(F.col("guid").alias("_gone")).distinct(), "guids")
+    )
 
     def without(df: DataFrame, column: str) -> DataFrame:
-        return df.join(gone.withColumnRenamed("guid", column), column, "left_anti").select(
-            *df.columns
-        )
+        return df.join(gone, F.col(column) == F.col("_gone"), "left_anti")
 
     return (
         without(entities, "guid"),
@@ -346,37 +347,55 @@ def delete_entities(
 def type_definitions(spark: SparkSession) -> DataFrame:
     """The type definitions every catalogue starts with."""
     # Type names, attributes, defaults, supertypes, cardinalities.
-    rows = [
-        (
-            ids.TABLE_TYPE,
-            "ENTITY",
-            ["DataSet"],
-            [("format", True, None)],
-            {"schemaElementsAttribute": "tabular_schema"},
-            None,
-            None,
-        ),
-        (ids.TABLE_COLUMN_TYPE, "ENTITY", ["DataSet"], [("data_type", True, None)], {}, None, None),
-        (
-            ids.PROCESS_TYPE,
-            "ENTITY",
-            ["Process"],
-            [("job_type", False, None), ("schedule", True, "adHoc")],
-            {},
-            None,
-            None,
-        ),
-        (
-            ids.TABLE_COLUMNS_RELATIONSHIP,
-            "COMPOSITION",
-            [],
-            [],
-            {},
-            (ids.TABLE_TYPE, "columns", True, "SET"),
-            (ids.COLUMN_TYPE, "delta_table", False, "SINGLE"),
-        ),
+    definitions = [
+        {
+            "name": ids.TABLE_TYPE,
+            "category": "ENTITY",
+            "super_types": ["DataSet"],
+            "attribute_defs": [{"name": "format", "is_optional": True}],
+            "options": {"schemaElementsAttribute": "tabular_schema"},
+        },
+        {
+            "name": ids.TABLE_COLUMN_TYPE,
+            "category": "ENTITY",
+            "super_types": ["DataSet"],
+            "attribute_defs": [{"name": "data_type", "is_optional": True}],
+            "options": {},
+        },
+        {
+            "name": ids.PROCESS_TYPE,
+            "category": "ENTITY",
+            "super_types": ["Process"],
+            "attribute_defs": [
+                {"name": "job_type", "is_optional": False},
+                {"name": "schedule", "is_optional": True, "default_value": "adHoc"},
+            ],
+            "options": {},
+        },
+        {
+            "name": ids.TABLE_COLUMNS_RELATIONSHIP,
+            "category": "COMPOSITION",
+            "super_types": [],
+            "attribute_defs": [],
+            "options": {},
+            "end1": {
+                "type": ids.TABLE_TYPE,
+                "name": "columns",
+                "is_container": True,
+                "cardinality": "SET",
+            },
+            "end2": {
+                "type": ids.COLUMN_TYPE,
+                "name": "delta_table",
+                "is_container": False,
+                "cardinality": "SINGLE",
+            },
+        },
     ]
-    return spark.createDataFrame(rows, TYPE_DEFS_DDL)
+    lines = {"line": pa.array([json.dumps(row) for row in definitions], pa.string())}
+    return local_rows(spark, lines, "line string").select(
+        F.inline(F.array(F.from_json("line", TYPE_DEFS_DDL)))
+    )
 
 
 def apply_attribute_rules(entities: DataFrame, type_defs: DataFrame) -> DataFrame:
@@ -384,8 +403,9 @@ def apply_attribute_rules(entities: DataFrame, type_defs: DataFrame) -> DataFram
 
     Adds ``missing`` (array of names) to the entities; a row with an empty
     array is accepted. Types without a definition have no rules. Most entities
-    share few types, so the join key is skewed by nature: the definitions are
-    broadcast when their measured size allows it.
+    share few types, so the join key is skewed by nature: definitions below
+    Spark's broadcast threshold are broadcast, and beyond it adaptive execution
+    splits the hot types.
     """
     rules = type_defs.filter(F.col("category") == "ENTITY").select(
         F.col("name").alias("type_name"),
@@ -400,7 +420,7 @@ def apply_attribute_rules(entities: DataFrame, type_defs: DataFrame) -> DataFram
             lambda rule: rule["name"],
         ).alias("_required"),
     )
-    joined = entities.join(broadcast_if_small(rules), "type_name", "left")
+    joined = entities.join(rules, "type_name", "left")
     given = F.map_filter("attributes", lambda _, value: value.isNotNull())
     filled = F.when(F.col("_defaults").isNull(), F.col("attributes")).otherwise(
         F.map_concat(
@@ -432,7 +452,7 @@ def cardinality_violations(relationships: DataFrame, type_defs: DataFrame) -> Da
         F.col("name").alias("type_name")
     )
     return (
-        relationships.join(broadcast_if_small(single), "type_name", "left_semi")
+        relationships.join(single, "type_name", "left_semi")
         .groupBy("type_name", "end2_guid")
         .agg(F.countDistinct("end1_guid").alias("n_containers"))
         .filter(F.col("n_containers") > 1)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from lakeclerk.operators.inventory import (
     compare_snapshots,
@@ -75,5 +76,5 @@ def scan(
     if level == FULL:
         return after
     if before is None:
-        before = after.limit(0)
+        return after.select("path", F.lit("added").alias("change"), "modified_at", "n_bytes")
     return compare_snapshots(before, after)

@@ -35,6 +35,7 @@ from lakeclerk.operators import (
     relationship_rows,
     relationships_by_guid,
     rename_columns,
+    replace_by_key,
     resolve,
     resource_sets,
     schema_rows,
@@ -837,6 +838,44 @@ def attribute_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    WITH brands AS (
+        SELECT p_brand AS name, count(*) AS n_parts, max(p_size) AS largest FROM part GROUP BY p_brand
+    ), kinds AS (SELECT p_type AS name, count(*) AS n_parts FROM part GROUP BY p_type)
+    SELECT name, 'brand' AS category, n_parts FROM brands
+    WHERE name NOT IN (SELECT DISTINCT p_brand FROM part WHERE p_size = 50)
+    UNION ALL SELECT p_brand, 'brand of large parts', count(*)
+    FROM part WHERE p_size = 50 GROUP BY p_brand
+    UNION ALL SELECT name, 'kind', n_parts FROM kinds
+    """
+)
+def type_definition_update(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A type per brand; then types per kind, and a forced update of some brands."""
+    parts = table(spark, sf_dir, "part")
+
+    def definitions(df: DataFrame, name: str, category: str) -> DataFrame:
+        return (
+            df.groupBy(F.col(name).alias("name"))
+            .agg(F.count("*").cast("string").alias("n_parts"))
+            .select(
+                "name",
+                F.lit(category).alias("category"),
+                F.create_map(F.lit("n_parts"), F.col("n_parts")).alias("options"),
+            )
+        )
+
+    base = new_folder(spark, "catalog")
+    first = publish_table(definitions(parts, "p_brand", "brand"), base, "type_defs")
+    update = definitions(parts, "p_type", "kind").union(
+        definitions(parts.filter(F.col("p_size") == 50), "p_brand", "brand of large parts")
+    )
+    publish_table(replace_by_key(first, update, ["name"]), base, "type_defs")
+    return read_table(spark, base, "type_defs").select(
+        "name", "category", F.col("options")["n_parts"].cast("bigint").alias("n_parts")
+    )
+
+
 @query(
     """
     SELECT 'custom_delta_table_columns' AS type_name,
