@@ -115,7 +115,7 @@ def trace_origins(
 
     Every round joins the pairs found last with the hops and keeps pairs not
     seen before, so cycles end and a pair is followed once however many paths
-    lead to it. Each round is written to the shared folder: lost executors
+    lead to it. A hop that lacks an end is none. Each round is written to the shared folder: lost executors
     cost one round at most, and the plan stays short. ``targets`` (column
     ``node``) limits the trace to the nodes asked for. ``max_rounds`` bounds
     the depth when only near origins are wanted.
@@ -128,11 +128,13 @@ def trace_origins(
         df.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
-    steps = kept(hops.select("node", "origin").distinct(), "hops")
-    first = steps
-    if targets is not None:
+    direct = hops.select("node", "origin").dropna().distinct()
+    if targets is None:
+        steps = latest = kept(direct.withColumn("n_hops", F.lit(1)), "pairs/round=1")
+    else:
+        steps = kept(direct, "hops")
         first = steps.join(targets.select("node").distinct(), "node", "left_semi")
-    latest = kept(first.select("node", "origin", F.lit(1).alias("n_hops")), "pairs/round=1")
+        latest = kept(first.withColumn("n_hops", F.lit(1)), "pairs/round=1")
     found, n_rounds = latest, 1
     parents = steps.select(F.col("node").alias("origin"), F.col("origin").alias("next_origin"))
     while not latest.isEmpty() and (max_rounds is None or n_rounds < max_rounds):

@@ -54,6 +54,12 @@ def test_targets_and_depth(spark):
     assert traced(trace_origins(df, max_rounds=2)) == near
 
 
+def test_hops_without_an_end_are_left_out(spark):
+    edges = [("a", "b"), ("b", "a"), ("b", None), (None, "a")]
+    whole = brute_force(edges[:2])
+    assert traced(trace_origins(spark.createDataFrame(edges, DDL))) == whole
+
+
 def test_no_edges(spark):
     assert trace_origins(spark.createDataFrame([], DDL)).isEmpty()
 
