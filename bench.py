@@ -46,7 +46,8 @@ def main() -> None:
     for name in names:
         query = registry.QUERIES[name]
         seconds(query, spark, sf_dir)
-        times[name] = round(statistics.median(seconds(query, spark, sf_dir) for _ in range(runs)), 3)
+        taken = [seconds(query, spark, sf_dir) for _ in range(runs)]
+        times[name] = round(statistics.median(taken), 3)
     spark.stop()
     result = {
         "metric": "total_query_seconds",

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import replace
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -74,10 +75,12 @@ class Catalog:
         publish_table(ops.upsert(current, accepted), self.base, "entities")
         return checked.filter(~is_accepted)
 
-    def put(self, registration: ops.Registration) -> None:
-        self.put_entities(registration.entities)
+    def put(self, registration: ops.Registration) -> DataFrame:
+        """Store what a registration adds; returns the rejected entities."""
+        rejected = self.put_entities(registration.entities)
         self._replace("columns", registration.columns, ["guid"])
         self._replace("relationships", registration.relationships, ["guid"])
+        return rejected
 
     def register_tables(
         self,
@@ -116,15 +119,7 @@ class Catalog:
         Returns the references that were not found; with any, nothing is
         recorded.
         """
-        request = {
-            "name": pa.array([name], pa.string()),
-            "inputs": pa.array([list(inputs)], pa.list_(pa.string())),
-            "outputs": pa.array([list(outputs)], pa.list_(pa.string())),
-        }
-        requests = local_rows(self.spark, request, lineage_ops.REQUESTS_DDL)
-        return self.record_references(
-            lineage_ops.lineage_references(requests, self.table_scheme), job_type
-        )
+        return self.record_references(self._references(name, inputs, outputs), job_type)
 
     def record_references(self, references: DataFrame, job_type: str = "batch") -> DataFrame:
         """Record any number of processes, given as one row per reference."""
@@ -135,6 +130,41 @@ class Catalog:
         self._replace("lineage_edges", lineage.edges, ["process_guid"])
         return lineage.unresolved
 
+    def record_run(
+        self,
+        name: str,
+        inputs: Mapping[str, DataFrame],
+        outputs: Mapping[str, DataFrame],
+        job_type: str = "batch",
+    ) -> None:
+        """Register the tables a job read and wrote together with its lineage.
+
+        The same as registering the tables and recording the lineage, but with
+        one new version of the entities.
+        """
+        schemas = ops.schema_rows(self.spark, {**inputs, **outputs})
+        registration = ops.register_tables(schemas, self.table_scheme)
+        lineage = lineage_ops.record_lineage(
+            self._references(name, list(inputs), list(outputs)),
+            registration.entities,
+            job_type,
+            scheme=self.process_scheme,
+        )
+        entities = registration.entities.unionByName(lineage.processes)
+        self.put(replace(registration, entities=entities))
+        self._replace("lineage_edges", lineage.edges, ["process_guid"])
+
+    def _references(
+        self, name: str, inputs: Sequence[str], outputs: Sequence[str]
+    ) -> DataFrame:
+        request = {
+            "name": pa.array([name], pa.string()),
+            "inputs": pa.array([list(inputs)], pa.list_(pa.string())),
+            "outputs": pa.array([list(outputs)], pa.list_(pa.string())),
+        }
+        requests = local_rows(self.spark, request, lineage_ops.REQUESTS_DDL)
+        return lineage_ops.lineage_references(requests, self.table_scheme)
+
     def resolve(
         self, requests: DataFrame, type_name: str = ids.RESOURCE_SET_TYPE
     ) -> DataFrame:

@@ -100,7 +100,9 @@ def schema_rows(spark: SparkSession, frames: Mapping[str, DataFrame]) -> DataFra
     return local_rows(spark, columns, SCHEMA_ROWS_DDL)
 
 
-def statistics_rows(frames: Mapping[str, DataFrame], distinct_rsd: float | None = None) -> DataFrame:
+def statistics_rows(
+    frames: Mapping[str, DataFrame], distinct_rsd: float | None = None
+) -> DataFrame:
     """Statistics of all columns of the named frames, one pass over each.
 
     Columns ``table_name, column_name, attributes``; the attributes are those
@@ -268,11 +270,13 @@ def _merge_small(
     wins = F.col("_new").isNotNull() & (
         F.struct(F.col(f"_new.{updated_at}")) >= F.struct(F.col(updated_at))
     )
-    updated = current.join(F.broadcast(batch), keys, "left").select(
-        *[
-            name if name in keys else F.when(wins, F.col(f"_new.{name}")).otherwise(F.col(name)).alias(name)
-            for name in current.columns
-        ]
+    newer = {
+        name: F.when(wins, F.col(f"_new.{name}")).otherwise(F.col(name)) for name in others
+    }
+    updated = (
+        current.join(F.broadcast(batch), keys, "left")
+        .withColumns(newer)
+        .select(*current.columns)
     )
     # No more rows than the batch, as current keys are unique.
     known = current.join(F.broadcast(latest.select(*keys)), keys, "left_semi").select(*keys)

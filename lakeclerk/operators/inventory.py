@@ -17,7 +17,9 @@ def inventory_columns(files: DataFrame) -> DataFrame:
     )
 
 
-def file_inventory(spark: SparkSession, path: str | list[str], glob: str | None = None) -> DataFrame:
+def file_inventory(
+    spark: SparkSession, path: str | list[str], glob: str | None = None
+) -> DataFrame:
     """All files below ``path``."""
     reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     if glob:
@@ -25,10 +27,6 @@ def file_inventory(spark: SparkSession, path: str | list[str], glob: str | None
     return inventory_columns(reader.load(path))
 
 
-def directory_of(path: str = "path"):
-    return F.regexp_replace(path, r"/[^/]*$", "")
-
-
 def compare_snapshots(before: DataFrame, after: DataFrame) -> DataFrame:
     """Files ``added``, ``changed`` or ``removed`` between two inventories.
 
@@ -37,13 +35,12 @@ def compare_snapshots(before: DataFrame, after: DataFrame) -> DataFrame:
     old = before.select(
         "path", F.col("modified_at").alias("_old_time"), F.col("n_bytes").alias("_old_bytes")
     )
+    moved = F.col("modified_at") != F.col("_old_time")
+    resized = F.col("n_bytes") != F.col("_old_bytes")
     change = (
         F.when(F.col("_old_bytes").isNull(), F.lit("added"))
         .when(F.col("n_bytes").isNull(), F.lit("removed"))
-        .when(
-            (F.col("modified_at") != F.col("_old_time")) | (F.col("n_bytes") != F.col("_old_bytes")),
-            F.lit("changed"),
-        )
+        .when(moved | resized, F.lit("changed"))
     )
     return (
         old.join(after.select(*INVENTORY_COLUMNS), "path", "full")
@@ -59,7 +56,7 @@ def resource_sets(inventory: DataFrame) -> DataFrame:
     Counts and bytes are summed within each task first, so a set that holds
     most files does not gather them in one task.
     """
-    directory = directory_of()
+    directory = F.regexp_replace("path", r"/[^/]*$", "")
     return (
         inventory.select(
             F.regexp_replace(directory, r"(/[^/=]+=[^/]*)+$", "").alias("resource_set"),

@@ -115,10 +115,10 @@ def trace_origins(
 
     Every round joins the pairs found last with the hops and keeps pairs not
     seen before, so cycles end and a pair is followed once however many paths
-    lead to it. A hop that lacks an end is none. Each round is written to the shared folder: lost executors
-    cost one round at most, and the plan stays short. ``targets`` (column
-    ``node``) limits the trace to the nodes asked for. ``max_rounds`` bounds
-    the depth when only near origins are wanted.
+    lead to it. A hop that lacks an end is none. Each round is written to the
+    shared folder: lost executors cost one round at most, and the plan stays
+    short. ``targets`` (column ``node``) limits the trace to the nodes asked
+    for. ``max_rounds`` bounds the depth when only near origins are wanted.
     """
     spark = hops.sparkSession
     folder = new_folder(spark, "origins")

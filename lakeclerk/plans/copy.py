@@ -5,9 +5,11 @@ from __future__ import annotations
 from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
 
 from lakeclerk.functions.casting import convert
 from lakeclerk.sinks.files import MERGE_BYTES, merge_files
+from lakeclerk.sources.files import check_schema
 
 
 def copy_table(
@@ -17,17 +19,22 @@ def copy_table(
     conversions: Mapping[str, str] | None = None,
     allow_truncation: bool = True,
     boolean_as_number: bool = False,
+    schema: T.StructType | None = None,
     null_value: str | None = None,
     glob: str | None = None,
     max_bytes: int = MERGE_BYTES,
 ) -> int:
     """Copy ``source`` with type conversions, partition columns included.
 
+    With a declared ``schema`` a source of other columns or types is an error.
+
     The output is one text file, or several for a source above ``max_bytes``;
     see ``merge_files``. Returns the number of writing tasks.
     """
 
     def prepare(df: DataFrame) -> DataFrame:
+        if schema is not None:
+            check_schema(df, schema)
         return convert(df, conversions or {}, allow_truncation, boolean_as_number)
 
     return merge_files(

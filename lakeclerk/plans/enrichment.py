@@ -71,15 +71,10 @@ class Enrichment:
         extended = stored(enrich(clean_left, clean_right, self.on), self.extended_name)
         catalog = Catalog(spark, f"{base}/catalog")
         catalog.define_types()
-        catalog.register_tables(
-            {
-                self.extended_name: extended,
-                self.right_name: clean_right,
-                self.left_name: clean_left,
-            }
-        )
-        catalog.record_lineage(
-            self.name, [self.right_name, self.left_name], [self.extended_name]
+        catalog.record_run(
+            self.name,
+            {self.right_name: clean_right, self.left_name: clean_left},
+            {self.extended_name: extended},
         )
 
         master = f"{base}/master/{self.extended_name}_data"

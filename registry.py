@@ -152,7 +152,9 @@ def keyed(kind: str, key: str):
 
 
 def as_entities(df: DataFrame, kind: str, key: str, name: str) -> DataFrame:
-    return entity_rows(df, kind, keyed(kind, key), F.col(name), updated_at=F.lit(None).cast("timestamp"))
+    """Rows of ``df`` as entities of one type, without a time."""
+    no_time = F.lit(None).cast("timestamp")
+    return entity_rows(df, kind, keyed(kind, key), F.col(name), updated_at=no_time)
 
 
 # ---------------------------------------------------------------- sources
@@ -631,11 +633,14 @@ def registered_datasets(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
 )
 def entity_identifiers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def of(name: str, kind: str, key: str, label: str) -> DataFrame:
+        return as_entities(table(spark, sf_dir, name), kind, key, label)
+
     entities = (
-        as_entities(table(spark, sf_dir, "part"), "part", "p_partkey", "p_name")
-        .union(as_entities(table(spark, sf_dir, "supplier"), "supplier", "s_suppkey", "s_name"))
-        .union(as_entities(table(spark, sf_dir, "customer"), "customer", "c_custkey", "c_name"))
-        .union(as_entities(table(spark, sf_dir, "orders"), "order", "o_orderkey", "o_orderpriority"))
+        of("part", "part", "p_partkey", "p_name")
+        .union(of("supplier", "supplier", "s_suppkey", "s_name"))
+        .union(of("customer", "customer", "c_custkey", "c_name"))
+        .union(of("orders", "order", "o_orderkey", "o_orderpriority"))
     )
     return entities.select("type_name", "qualified_name", "name", "guid")
 
@@ -707,11 +712,13 @@ def entity_resolve(spark: SparkSession, sf_dir: str) -> DataFrame:
             "name",
         )
     )
-    requests = (
-        table(spark, sf_dir, "lineitem")
-        .select(F.lit("part").alias("type_name"), keyed("part", "l_partkey").alias("qualified_name"))
-        .union(table(spark, sf_dir, "documents").select(F.lit("label"), keyed("label", "doc_id")))
+    of_lines = table(spark, sf_dir, "lineitem").select(
+        F.lit("part").alias("type_name"), keyed("part", "l_partkey").alias("qualified_name")
+    )
+    of_documents = table(spark, sf_dir, "documents").select(
+        F.lit("label"), keyed("label", "doc_id")
     )
+    requests = of_lines.union(of_documents)
     return resolve(requests, entities)
 
 
@@ -841,7 +848,7 @@ def attribute_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query(
     """
     WITH brands AS (
-        SELECT p_brand AS name, count(*) AS n_parts, max(p_size) AS largest FROM part GROUP BY p_brand
+        SELECT p_brand AS name, count(*) AS n_parts FROM part GROUP BY p_brand
     ), kinds AS (SELECT p_type AS name, count(*) AS n_parts FROM part GROUP BY p_type)
     SELECT name, 'brand' AS category, n_parts FROM brands
     WHERE name NOT IN (SELECT DISTINCT p_brand FROM part WHERE p_size = 50)

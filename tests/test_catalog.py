@@ -2,7 +2,6 @@ import hashlib
 from datetime import datetime
 
 import pytest
-from pyspark.sql import functions as F
 
 from lakeclerk import Catalog
 from lakeclerk.operators import catalog as catalog_operators

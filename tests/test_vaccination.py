@@ -3,7 +3,7 @@ from pyspark.sql import functions as F
 
 from lakeclerk import Catalog
 from lakeclerk.operators import file_inventory
-from lakeclerk.plans import EXTENDED_SCHEMA, vaccination_enrichment
+from lakeclerk.plans import EXTENDED_SCHEMA, copy_table, vaccination_enrichment
 from lakeclerk.sinks import write_csv
 from lakeclerk.sources import check_schema, read_csv
 
@@ -78,6 +78,10 @@ def test_run_writes_zones_and_catalogue(spark, folder, raw):
         result = plan.run(*raw, base, scan_level="Incremental")
     master = spark.read.parquet(result.master_path)
     check_schema(master, EXTENDED_SCHEMA)
+    assert copy_table(spark, result.master_path, f"{folder}/text", schema=EXTENDED_SCHEMA) == 1
+    assert read_csv(spark, f"{folder}/text").columns == EXTENDED_SCHEMA.names
+    with pytest.raises(ValueError):
+        copy_table(spark, f"{base}/clean/clean_country_data", f"{folder}/no", schema=EXTENDED_SCHEMA)
     assert master.count() == 4
     assert file_inventory(spark, result.master_path, "*.parquet").count() == 1
     for name in ("extended_vaccine", "clean_country", "clean_vaccine"):
