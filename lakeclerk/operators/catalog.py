@@ -424,24 +424,23 @@ def apply_attribute_rules(entities: DataFrame, type_defs: DataFrame) -> DataFram
             lambda rule: rule["name"],
         ).alias("_required"),
     )
-    joined = entities.join(rules, "type_name", "left")
+    # One projection per step: each map is built once per row.
     given = F.map_filter("attributes", lambda _, value: value.isNotNull())
-    filled = F.when(F.col("_defaults").isNull(), F.col("attributes")).otherwise(
-        F.map_concat(
-            F.map_filter("_defaults", lambda key, _: ~F.map_contains_key(given, key)),
-            given,
-        )
+    lacking = F.map_filter(
+        "_defaults", lambda name, _: ~F.map_contains_key(F.col("_given"), name)
     )
     missing = F.filter(
         F.coalesce(F.col("_required"), F.array().cast("array<string>")),
-        lambda name: F.element_at(filled, name).isNull(),
+        lambda name: F.element_at(F.col("attributes"), name).isNull(),
     )
-    return joined.select(
-        *[
-            filled.alias("attributes") if name == "attributes" else F.col(name)
-            for name in entities.columns
-        ],
-        missing.alias("missing"),
+    return (
+        entities.join(rules, "type_name", "left")
+        .withColumn("_given", F.when(F.col("_defaults").isNotNull(), given))
+        .withColumn(
+            "attributes", F.coalesce(F.map_concat(lacking, F.col("_given")), F.col("attributes"))
+        )
+        .withColumn("missing", missing)
+        .select(*entities.columns, "missing")
     )
 
 

@@ -22,10 +22,13 @@ def copy_table(
     schema: T.StructType | None = None,
     null_value: str | None = None,
     glob: str | None = None,
+    recursive: bool = False,
     max_bytes: int = MERGE_BYTES,
 ) -> int:
     """Copy ``source`` with type conversions, partition columns included.
 
+    ``recursive`` copies files at any depth instead, without those columns.
+
     With a declared ``schema`` a source of other columns or types is an error.
 
     The output is one text file, or several for a source above ``max_bytes``;
@@ -45,5 +48,6 @@ def copy_table(
         text=True,
         null_value=null_value,
         glob=glob,
+        recursive=recursive,
         max_bytes=max_bytes,
     )

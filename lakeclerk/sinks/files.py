@@ -8,7 +8,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
 from lakeclerk.functions.sizing import stored_bytes
-from lakeclerk.sources.files import DELIMITER, ESCAPE, QUOTE
+from lakeclerk.sources.files import DELIMITER, ESCAPE, QUOTE, read_parquet
 
 # One writing task handles at most about this many stored bytes of a merge.
 MERGE_BYTES = 256 * 1024 * 1024
@@ -117,6 +117,7 @@ def merge_files(
     text: bool = False,
     null_value: str | None = None,
     glob: str | None = None,
+    recursive: bool = False,
     max_bytes: int = MERGE_BYTES,
 ) -> int:
     """Write the stored Parquet table ``source`` to as few files as is safe.
@@ -125,14 +126,14 @@ def merge_files(
     several files of about that size, because a single one would push the
     whole table through one task. The size is the measured size of the stored
     files, and ``prepare`` may only be a narrow projection, so reading for the
-    merge recomputes nothing upstream. Returns the number of writing tasks.
+    merge recomputes nothing upstream. ``recursive`` takes the files of any
+    folder below ``source``, without partition columns. Returns the number of
+    writing tasks.
     """
     size = stored_bytes(spark, source, glob)
     n_files = max(1, math.ceil(size / max_bytes))
-    reader = spark.read
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    df = prepare(reader.parquet(source)).coalesce(n_files)
+    stored = read_parquet(spark, source, glob=glob, recursive=recursive)
+    df = prepare(stored).coalesce(n_files)
     if text:
         _quoted_text(df.write, True, null_value).csv(path)
     else:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -18,6 +19,7 @@ INCREMENTAL = "Incremental"
 
 # A stream takes no schema from the format by itself.
 FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
+INVENTORY_DDL = "path string, modified_at timestamp, n_bytes bigint"
 
 
 def discover_new_files(
@@ -53,7 +55,13 @@ def discover_new_files(
         .start()
     )
     query.awaitTermination()
-    return spark.read.parquet(f"{base}/discovered/files")
+    try:
+        return spark.read.schema(INVENTORY_DDL).parquet(f"{base}/discovered/files")
+    except AnalysisException as error:
+        # Nothing is written before the first file turns up.
+        if error.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return spark.createDataFrame([], INVENTORY_DDL)
 
 
 def scan(

@@ -791,7 +791,7 @@ def relationship_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Read the relationships that a returned line refers to."""
     returned = table(spark, sf_dir, "lineitem").filter(F.col("l_returnflag") == "R")
     wanted = relationship_rows(
-        returned,
+        returned.select("l_suppkey", "l_partkey").distinct(),
         "supplies",
         entity_guid(F.lit("supplier"), keyed("supplier", "l_suppkey")),
         entity_guid(F.lit("part"), keyed("part", "l_partkey")),

@@ -78,6 +78,13 @@ def test_discovery_lists_each_file_once(spark, folder):
     assert names(discover_new_files(spark, f"{folder}/d", base)) == ["a", "b", "c"]
 
 
+def test_discovery_before_the_first_file(spark, folder):
+    Path(folder, "d").mkdir()
+    assert discover_new_files(spark, f"{folder}/d", f"{folder}/inv").isEmpty()
+    put(folder, "d/a", "1")
+    assert names(discover_new_files(spark, f"{folder}/d", f"{folder}/inv")) == ["a"]
+
+
 def test_discovery_in_bounded_batches(spark, folder):
     for i in range(5):
         put(folder, f"d/f{i}", "1")

@@ -78,6 +78,13 @@ def test_schema_must_fit_the_header(spark, folder):
         read_csv(spark, f"{folder}/t", schema="b int, a int").collect()
 
 
+def test_declared_columns_can_be_pruned(spark, folder):
+    write_csv(spark.createDataFrame([(1, 2, "x")], "a int, b int, c string"), f"{folder}/t")
+    df = read_csv(spark, f"{folder}/t", schema="a int, b int, c string").select("c", "a")
+    assert df.collect() == [("x", 1)]
+    assert df.count() == 1
+
+
 def test_null_token_is_off_unless_asked_for(spark, folder):
     write_csv(spark.createDataFrame([("-99",), ("5",)], "gdp string"), f"{folder}/t")
     plain = read_csv(spark, f"{folder}/t", schema="gdp int")
@@ -183,5 +190,20 @@ def test_copy_converts_and_quotes(spark, folder):
     }
 
 
+def test_copy_of_nested_folders(spark, folder):
+    for i, part in enumerate(("2024/01", "2024/02")):
+        overwrite(spark.createDataFrame([(i,)], "i int"), f"{folder}/t/{part}")
+    copy_table(spark, f"{folder}/t", f"{folder}/c", recursive=True, glob="*.parquet")
+    assert sorted(row.i for row in read_csv(spark, f"{folder}/c").collect()) == ["0", "1"]
+
+
+def test_copy_splits_a_large_source(spark, folder):
+    source = overwrite(spark.range(0, 50_000, numPartitions=6).toDF("i"), f"{folder}/t")
+    size = stored_bytes(spark, source)
+    assert copy_table(spark, source, f"{folder}/c", max_bytes=size // 2) > 1
+    back = read_csv(spark, f"{folder}/c", schema="i bigint")
+    assert same(back, read_parquet(spark, source))
+
+
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")
