@@ -128,12 +128,14 @@ def trace_origins(
         df.write.mode("overwrite").parquet(path)
         return spark.read.parquet(path)
 
-    direct = hops.select("node", "origin").dropna().distinct()
+    direct = hops.select("node", "origin").dropna()
     if targets is None:
-        steps = latest = kept(direct.withColumn("n_hops", F.lit(1)), "pairs/round=1")
+        steps = latest = kept(direct.distinct().withColumn("n_hops", F.lit(1)), "pairs/round=1")
     else:
+        # Few nodes are asked for: the hops are only scanned, never shuffled
+        # for their own sake.
         steps = kept(direct, "hops")
-        first = steps.join(targets.select("node").distinct(), "node", "left_semi")
+        first = steps.join(targets.select("node"), "node", "left_semi").distinct()
         latest = kept(first.withColumn("n_hops", F.lit(1)), "pairs/round=1")
     found, n_rounds = latest, 1
     parents = steps.select(F.col("node").alias("origin"), F.col("origin").alias("next_origin"))

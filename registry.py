@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeclerk.functions import (
+    convert,
     entity_guid,
     new_folder,
     select_strict,
@@ -263,6 +264,17 @@ def parquet_declared_schema(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_parquet(spark, f"{sf_dir}/part.parquet", schema=declared)
 
 
+@query("SELECT * FROM orders")
+def parquet_wildcard_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A wildcard below the table; the base path keeps the partition column."""
+    path = overwrite(
+        table(spark, sf_dir, "orders"),
+        new_folder(spark, "partitioned"),
+        partition_by=["o_orderstatus"],
+    )
+    return read_parquet(spark, f"{path}/o_orderstatus=*", base_path=path)
+
+
 # ------------------------------------------------------------------ sinks
 
 
@@ -343,6 +355,21 @@ def copy_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path, schema=schema)
 
 
+@query(
+    """
+    SELECT '"' || o_orderkey || '","' || o_totalprice || '","' || o_orderpriority || '"' AS line
+    FROM orders
+    """
+)
+def quoted_text_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The written text itself: every field is quoted."""
+    orders = table(spark, sf_dir, "orders").select("o_orderkey", "o_totalprice", "o_orderpriority")
+    path = write_csv(orders, new_folder(spark, "csv"))
+    header = '"o_orderkey","o_totalprice","o_orderpriority"'
+    lines = spark.read.text(path).withColumnRenamed("value", "line")
+    return lines.filter(F.col("line") != header)
+
+
 # --------------------------------------------------- projections and joins
 
 
@@ -398,6 +425,62 @@ def tolerant_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    SELECT l_orderkey, l_linenumber, l_quantity::BIGINT AS l_quantity,
+           trunc(l_extendedprice)::INTEGER AS l_extendedprice,
+           l_discount::VARCHAR AS l_discount, (l_linestatus = 'F')::INTEGER AS is_final
+    FROM lineitem
+    """
+)
+def convert_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quantities must be whole; prices may lose cents; a flag becomes 1 or 0."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        "l_quantity",
+        "l_extendedprice",
+        "l_discount",
+        (F.col("l_linestatus") == "F").alias("is_final"),
+    )
+    whole = convert(lines, {"l_quantity": "bigint"}, allow_truncation=False)
+    return convert(
+        whole,
+        {"l_extendedprice": "int", "l_discount": "string", "is_final": "int"},
+        boolean_as_number=True,
+    )
+
+
+@query(
+    """
+    SELECT o_orderkey AS order_key,
+           CASE WHEN o_orderstatus = 'P' THEN 0.0::DOUBLE ELSE o_totalprice END AS price,
+           CASE WHEN o_orderpriority = '4-NOT SPECIFIED' THEN 'none'
+                ELSE o_orderpriority END AS priority
+    FROM orders
+    """
+)
+def clean_defaults(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Prices that do not parse and priorities that are absent get a default."""
+    orders = table(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("string").alias("Order key"),
+        F.when(F.col("o_orderstatus") == "P", F.lit("pending"))
+        .otherwise(F.col("o_totalprice").cast("string"))
+        .alias("Price, total"),
+        F.when(F.col("o_orderpriority") != "4-NOT SPECIFIED", F.col("o_orderpriority")).alias(
+            "Order.priority"
+        ),
+    )
+    return clean(
+        orders,
+        [
+            ColumnRule("Order key", "order_key", "bigint"),
+            ColumnRule("Price, total", "price", "double", default=0.0),
+            ColumnRule("Order.priority", "priority", default="none"),
+        ],
+    )
+
+
 @query(
     """
     SELECT l_partkey AS partkey, l_orderkey, l_linenumber, l_quantity, p_name, p_brand
@@ -992,8 +1075,7 @@ def lineage_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(
-    """
+ORIGIN_HOPS_SQL = """
     WITH RECURSIVE hops AS (
         SELECT 'order://' || o_orderkey AS node, 'customer://' || o_custkey AS origin FROM orders
         UNION SELECT 'customer://' || c_custkey, 'nation://' || c_nationkey FROM customer
@@ -1005,18 +1087,19 @@ def lineage_refused(spark: SparkSession, sf_dir: str) -> DataFrame:
         SELECT reached.node, hops.origin, n_hops + 1
         FROM reached JOIN hops ON reached.origin = hops.node
     )
-    SELECT node, origin, min(n_hops) AS n_hops FROM reached GROUP BY node, origin
-    """
-)
-def lineage_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All origins of orders and suppliers, over customers and nations."""
+    SELECT node, origin, min(n_hops) AS n_hops FROM reached
+"""
+
+
+def origin_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders come from customers, these and suppliers from nations, of regions."""
 
     def hops(name: str, node: str, node_key: str, origin: str, origin_key: str) -> DataFrame:
         return table(spark, sf_dir, name).select(
             keyed(node, node_key).alias("node"), keyed(origin, origin_key).alias("origin")
         )
 
-    return trace_origins(
+    return (
         hops("orders", "order", "o_orderkey", "customer", "o_custkey")
         .union(hops("customer", "customer", "c_custkey", "nation", "c_nationkey"))
         .union(hops("supplier", "supplier", "s_suppkey", "nation", "s_nationkey"))
@@ -1024,6 +1107,19 @@ def lineage_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(ORIGIN_HOPS_SQL + "GROUP BY node, origin")
+def lineage_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All origins of everything, over all hops."""
+    return trace_origins(origin_hops(spark, sf_dir))
+
+
+@query(ORIGIN_HOPS_SQL + "WHERE node LIKE 'supplier://%' GROUP BY node, origin")
+def lineage_of_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The origins of the suppliers only; other nodes are not traced."""
+    targets = table(spark, sf_dir, "supplier").select(keyed("supplier", "s_suppkey").alias("node"))
+    return trace_origins(origin_hops(spark, sf_dir), targets)
+
+
 # -------------------------------------------------------------- inventory
 
 
