@@ -46,11 +46,14 @@ class Catalog:
 
     def read(self, table: str) -> DataFrame:
         """The current version of a table, empty before the first one."""
-        stored = read_table(self.spark, self.base, table)
+        stored = self._current(table)
         return self.spark.createDataFrame([], TABLE_SCHEMAS[table]) if stored is None else stored
 
+    def _current(self, table: str) -> DataFrame | None:
+        return read_table(self.spark, self.base, table, TABLE_SCHEMAS[table])
+
     def _replace(self, table: str, incoming: DataFrame, keys: Sequence[str]) -> None:
-        current = read_table(self.spark, self.base, table)
+        current = self._current(table)
         publish_table(ops.replace_by_key(current, incoming, keys), self.base, table, even=True)
 
     def define_types(self, type_defs: DataFrame | None = None) -> None:
@@ -71,7 +74,7 @@ class Catalog:
         checked = ops.apply_attribute_rules(entities, self.type_defs())
         is_accepted = F.size("missing") == 0
         accepted = checked.filter(is_accepted).drop("missing")
-        current = read_table(self.spark, self.base, "entities")
+        current = self._current("entities")
         publish_table(ops.upsert(current, accepted), self.base, "entities")
         return checked.filter(~is_accepted)
 

@@ -47,7 +47,7 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     """
     path = new_folder(df.sparkSession, purpose)
     df.write.parquet(path)
-    return df.sparkSession.read.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def local_rows(spark: SparkSession, columns: dict[str, pa.Array], schema: str) -> DataFrame:

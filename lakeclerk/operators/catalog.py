@@ -129,12 +129,6 @@ def register_tables(
     table or for many. ``statistics``, as made by ``statistics_rows``, become
     attributes of the columns.
     """
-    if statistics is not None:
-        schemas = schemas.join(
-            statistics.withColumnRenamed("attributes", "statistics"),
-            ["table_name", "column_name"],
-            "left",
-        )
     owner = ids.table_name_of(F.col("table_name"), scheme)
     owner_guid = ids.entity_guid(F.lit(ids.TABLE_TYPE), owner)
     tables = entity_rows(
@@ -144,7 +138,9 @@ def register_tables(
         F.col("table_name"),
         updated_at=updated_at,
     )
-    members, columns, member_guid = _column_entries(schemas, owner, owner_guid, updated_at)
+    members, columns, member_guid = _column_entries(
+        schemas, owner, owner_guid, updated_at, statistics
+    )
     links = relationship_rows(
         schemas, ids.TABLE_COLUMNS_RELATIONSHIP, owner_guid, member_guid
     )
@@ -192,18 +188,29 @@ def register_resource_sets(
 
 
 def _column_entries(
-    schemas: DataFrame, owner: Column, owner_guid: Column, updated_at: Column | None
+    schemas: DataFrame,
+    owner: Column,
+    owner_guid: Column,
+    updated_at: Column | None,
+    statistics: DataFrame | None = None,
 ) -> tuple[DataFrame, DataFrame, Column]:
     name, data_type = F.col("column_name"), F.col("data_type")
     qualified_name = ids.column_name_of(owner, name)
     guid = ids.entity_guid(F.lit(ids.COLUMN_TYPE), qualified_name)
     description = ids.column_description(name, data_type)
     attributes = F.create_map(F.lit("type"), data_type, F.lit("description"), description)
-    if "statistics" in schemas.columns:
+    described = schemas
+    if statistics is not None:
+        # Joined for the entities alone: the other two frames need no scan.
+        described = schemas.join(
+            statistics.withColumnRenamed("attributes", "statistics"),
+            ["table_name", "column_name"],
+            "left",
+        )
         no_statistics = F.create_map().cast("map<string,string>")
         attributes = F.map_concat(attributes, F.coalesce("statistics", no_statistics))
     entities = entity_rows(
-        schemas, ids.COLUMN_TYPE, qualified_name, name, attributes, updated_at
+        described, ids.COLUMN_TYPE, qualified_name, name, attributes, updated_at
     )
     columns = schemas.select(
         guid.alias("guid"),

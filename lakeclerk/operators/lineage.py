@@ -126,7 +126,7 @@ def trace_origins(
     def kept(df: DataFrame, name: str) -> DataFrame:
         path = f"{folder}/{name}"
         df.write.mode("overwrite").parquet(path)
-        return spark.read.parquet(path)
+        return spark.read.schema(df.schema).parquet(path)
 
     direct = hops.select("node", "origin").dropna()
     if targets is None:
@@ -149,5 +149,5 @@ def trace_origins(
             .withColumn("n_hops", F.lit(n_rounds))
         )
         latest = kept(reached, f"pairs/round={n_rounds}")
-        found = spark.read.parquet(f"{folder}/pairs").drop("round")
+        found = spark.read.schema(latest.schema).parquet(f"{folder}/pairs").drop("round")
     return found

@@ -33,10 +33,18 @@ def current_version(spark: SparkSession, base: str, table: str) -> tuple[int, st
     return (0, None) if last is None else (last["version"], last["path"])
 
 
-def read_table(spark: SparkSession, base: str, table: str) -> DataFrame | None:
-    """The current version of a table, or None before the first one."""
+def read_table(
+    spark: SparkSession, base: str, table: str, schema: str | None = None
+) -> DataFrame | None:
+    """The current version of a table, or None before the first one.
+
+    With a ``schema`` no file is opened to find it.
+    """
     _, path = current_version(spark, base, table)
-    return None if path is None else spark.read.parquet(path)
+    if path is None:
+        return None
+    reader = spark.read if schema is None else spark.read.schema(schema)
+    return reader.parquet(path)
 
 
 def publish_table(
@@ -61,4 +69,4 @@ def publish_table(
     entry = {"version": pa.array([version], pa.int64()), "path": pa.array([path], pa.string())}
     log = local_rows(spark, entry, LOG_DDL)
     log.write.mode("append").json(f"{base}/{table}/versions")
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)

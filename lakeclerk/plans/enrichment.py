@@ -62,9 +62,10 @@ class Enrichment:
         spark = left.sparkSession
 
         def stored(df: DataFrame, name: str) -> DataFrame:
-            return spark.read.format(fmt).load(
-                overwrite(df, f"{base}/clean/{name}_data", fmt)
-            )
+            path = overwrite(df, f"{base}/clean/{name}_data", fmt)
+            if fmt == "parquet":
+                return spark.read.schema(df.schema).parquet(path)
+            return spark.read.format(fmt).load(path)
 
         clean_left = stored(clean(left, self.left_rules), self.left_name)
         clean_right = stored(clean(right, self.right_rules), self.right_name)

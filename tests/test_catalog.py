@@ -22,6 +22,7 @@ from lakeclerk.operators import (
     replace_by_key,
     resolve,
     schema_rows,
+    statistics_rows,
     type_definitions,
     upsert,
 )
@@ -344,6 +345,13 @@ def test_statistics_become_column_attributes(spark, folder, languages):
     assert float(column.attributes["greatest_number"]) == 100000
 
 
+def test_statistics_are_not_computed_for_columns_and_links(spark, languages):
+    schemas = schema_rows(spark, {"lang": languages})
+    registration = register_tables(schemas, statistics=statistics_rows({"lang": languages}))
+    for df in (registration.columns, registration.relationships):
+        assert "Join" not in df._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_rejected_entities_are_returned(spark, folder):
     catalog = Catalog(spark, folder)
     catalog.define_types()
