@@ -35,8 +35,13 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def new_folder(spark: SparkSession, purpose: str) -> str:
-    """A path below the shared folder that no other call uses."""
-    return f"{shared_folder(spark)}/lakeclerk/{purpose}-{uuid.uuid4().hex}"
+    """A path below the shared folder that no other call uses.
+
+    All paths of an application are below one folder, to be removed when it
+    has ended.
+    """
+    application = spark.sparkContext.applicationId
+    return f"{shared_folder(spark)}/lakeclerk/{application}/{purpose}-{uuid.uuid4().hex}"
 
 
 def written(df: DataFrame, purpose: str) -> DataFrame:
@@ -71,15 +76,14 @@ def is_small(
 ) -> bool:
     """Whether the real content of ``df`` is within both bounds.
 
-    Counts rows and the bytes of their JSON text in one pass that returns a
-    single row.
+    Rows are counted first, which for a written table reads no column. Only
+    within that bound the bytes of their JSON text are summed.
     """
+    if df.count() > max_rows:
+        return False
     text = F.to_json(F.struct("*"))
-    measured = df.agg(
-        F.count("*").alias("n_rows"),
-        F.coalesce(F.sum(F.octet_length(text)), F.lit(0)).alias("n_bytes"),
-    ).first()
-    return measured["n_rows"] <= max_rows and measured["n_bytes"] <= max_bytes
+    n_bytes = df.agg(F.sum(F.octet_length(text))).first()[0]
+    return n_bytes is None or n_bytes <= max_bytes
 
 
 def broadcast_if_small(

@@ -9,17 +9,22 @@ from pyspark.sql import DataFrame
 
 from lakeclerk.catalog import Catalog
 from lakeclerk.operators.clean import ColumnRule, clean
-from lakeclerk.operators.enrich import enrich
+from lakeclerk.operators.enrich import enrich, unmatched_keys
 from lakeclerk.sinks.files import MERGE_BYTES, merge_files, overwrite
 
 
 @dataclass(frozen=True)
 class EnrichmentResult:
-    """The stored tables of one run; ``scanned`` is None without a scan."""
+    """The stored tables of one run.
+
+    ``unmatched`` counts the rows of both clean tables that the join left out;
+    it is computed when read. ``scanned`` is None without a scan.
+    """
 
     extended: DataFrame
     left: DataFrame
     right: DataFrame
+    unmatched: DataFrame
     master_path: str
     scanned: DataFrame | None
 
@@ -87,4 +92,5 @@ class Enrichment:
         scanned = None
         if scan_level:
             scanned = catalog.scan([f"{base}/clean", f"{base}/master"], scan_level)
-        return EnrichmentResult(extended, clean_left, clean_right, master, scanned)
+        unmatched = unmatched_keys(clean_left, clean_right, self.on)
+        return EnrichmentResult(extended, clean_left, clean_right, unmatched, master, scanned)

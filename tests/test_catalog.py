@@ -1,7 +1,10 @@
 import hashlib
 from datetime import datetime
+from unittest import mock
 
 import pytest
+from hypothesis import HealthCheck, given, settings
+from hypothesis import strategies as st
 
 from lakeclerk import Catalog
 from lakeclerk.operators import catalog as catalog_operators
@@ -127,6 +130,43 @@ def test_upsert_takes_the_latest(spark, monkeypatch, small):
     assert rows(again) == rows(merged)
 
 
+TIMES = st.one_of(st.none(), st.integers(1, 4).map(lambda d: datetime(2024, 1, d)))
+VERSIONS = st.lists(st.tuples(st.sampled_from("abc"), TIMES, st.integers(0, 9)), max_size=8)
+
+
+@settings(
+    max_examples=4,
+    deadline=None,
+    suppress_health_check=[HealthCheck.function_scoped_fixture, HealthCheck.too_slow],
+)
+@given(first=VERSIONS, second=VERSIONS)
+def test_upsert_matches_brute_force(spark, first, second):
+    """Both merge paths, against picking the latest time in a loop."""
+    ddl = "k string, updated_at timestamp, v int"
+    early = datetime(1970, 1, 1)
+    one = {}
+    for k, t, v in first:
+        one[k] = max(one.get(k, (early, -1)), (t or early, v))
+    two = {}
+    for k, t, v in second:
+        two.setdefault(k, []).append((t or early, v))
+    current = spark.createDataFrame(
+        [(k, None if t == early else t, v) for k, (t, v) in one.items()], ddl
+    )
+    incoming = spark.createDataFrame(second, ddl)
+    for small in (True, False):
+        with mock.patch.object(catalog_operators, "is_small", lambda df: small):
+            rows = upsert(current, incoming, ["k"]).collect()
+        assert sorted(row.k for row in rows) == sorted({*one, *two})
+        for row in rows:
+            time = row.updated_at or early
+            newest = max((t for t, _ in two.get(row.k, [])), default=None)
+            if newest is None or (row.k in one and one[row.k][0] > newest):
+                assert (time, row.v) == one[row.k]
+            else:
+                assert time == newest and (time, row.v) in two[row.k]
+
+
 def test_small_batch_does_not_shuffle_the_current_table(spark, folder):
     rows = [entity("t", str(i), {"v": "x"}, 1) for i in range(50)]
     current = publish_table(spark.createDataFrame(rows, ENTITIES_DDL), folder, "entities")

@@ -87,6 +87,13 @@ def test_run_writes_zones_and_catalogue(spark, folder, raw):
     for name in ("extended_vaccine", "clean_country", "clean_vaccine"):
         assert spark.read.parquet(f"{base}/clean/{name}_data").count() > 0
 
+    assert {tuple(row) for row in result.unmatched.collect()} == {
+        ("left", "Nowhere", 1),
+        ("left", None, 1),
+        ("right", "Elsewhere", 1),
+        ("right", None, 1),
+    }
+
     catalog = Catalog(spark, f"{base}/catalog")
     kinds = {
         row.type_name: row["count"]
