@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from lakeclerk.llm import bpe, decontam, html_text, langid, neardup, secret_scan
+from lakeclerk.llm import bpe, decontam, html_text, langid, neardup, passages, secret_scan, topk
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -37,6 +38,15 @@ def op7_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.secret_digests(table(spark, sf_dir, "documents"))
 
 
+def op8_collinear_chaining(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+def op9_sorted_lists_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return topk.top_inner_products(vectors, F.col("vec_id") % 20 == 0)
+
+
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
@@ -49,7 +59,32 @@ QUERIES = {
         op5_tree_bpe,
         op6_order_minhash,
         op7_secret_scan,
+        op8_collinear_chaining,
+        op9_sorted_lists_topk,
         op10_html_extraction,
     )
 }
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL = {
+    "op9_sorted_lists_topk": """
+        WITH v AS (
+            SELECT vec_id,
+                   list_transform(embedding, lambda x: floor(64 * x::DOUBLE)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT q.vec_id AS query_id, c.vec_id,
+                   list_inner_product(q.e, c.e)::BIGINT AS score
+            FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e)
+            WHERE q.vec_id % 20 = 0
+        ), ranked AS (
+            SELECT query_id,
+                   row_number() OVER (
+                       PARTITION BY query_id ORDER BY score DESC, vec_id
+                   )::INTEGER AS rank,
+                   vec_id, score
+            FROM scored
+        )
+        SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
+    """,
+}

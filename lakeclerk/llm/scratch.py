@@ -10,6 +10,7 @@ from pathlib import Path
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import StructType
 
 _shipped: set[str] = set()
 
@@ -32,7 +33,7 @@ def ship(spark: SparkSession) -> None:
 
 
 def map_frames(
-    df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str
+    df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | StructType
 ) -> DataFrame:
     """``mapInPandas`` with the package's modules at hand on the executors."""
     ship(df.sparkSession)
