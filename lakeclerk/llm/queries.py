@@ -6,7 +6,18 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeclerk.llm import bpe, decontam, html_text, langid, neardup, passages, secret_scan, topk
+from lakeclerk.llm import (
+    bpe,
+    decontam,
+    html_text,
+    langid,
+    license_scan,
+    neardup,
+    passages,
+    secret_scan,
+    topk,
+    training_order,
+)
 
 RANKS = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
 
@@ -21,6 +32,15 @@ def op1_latent_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op2_license_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return license_scan.license_notices(table(spark, sf_dir, "documents"))
+
+
+def op3_feistel_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = table(spark, sf_dir, "documents")
+    return training_order.sequence_digests(documents, RANKS, public_tokenizers.PATTERN)
+
+
 def op4_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return langid.identify(table(spark, sf_dir, "documents"))
 
@@ -55,6 +75,8 @@ QUERIES = {
     f.__name__: f
     for f in (
         op1_latent_decontamination,
+        op2_license_classifier,
+        op3_feistel_order,
         op4_language_id,
         op5_tree_bpe,
         op6_order_minhash,
