@@ -30,8 +30,8 @@ def _banded(pairs: list[tuple[np.ndarray, np.ndarray]], band: int) -> np.ndarray
     n = max(len(a) for a, _ in pairs)
     m = max(len(b) for _, b in pairs)
     width = 2 * band + 1
-    code_a = np.zeros((len(pairs), n), np.uint64)
-    code_b = np.zeros((len(pairs), m + n + 2 * width), np.uint64)
+    code_a = np.zeros((len(pairs), n), pairs[0][0].dtype)
+    code_b = np.zeros((len(pairs), m + n + 2 * width), pairs[0][0].dtype)
     len_a = np.array([len(a) for a, _ in pairs])
     len_b = np.array([len(b) for _, b in pairs])
     for i, (a, b) in enumerate(pairs):
