@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
-from dataclasses import replace
+from collections.abc import Collection, Mapping, Sequence
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -13,8 +13,15 @@ from lakeclerk.functions import identity as ids
 from lakeclerk.functions.sizing import local_rows
 from lakeclerk.operators import catalog as ops
 from lakeclerk.operators import lineage as lineage_ops
-from lakeclerk.operators.store import publish_table, read_table
-from lakeclerk.streaming.discovery import INCREMENTAL, scan
+from lakeclerk.operators.inventory import resource_sets
+from lakeclerk.operators.store import (
+    Change,
+    current_folders,
+    publish_tables,
+    read_folders,
+    remove_old_versions,
+)
+from lakeclerk.streaming.discovery import INCREMENTAL, read_inventory, scan
 
 TABLE_SCHEMAS = {
     "entities": ops.ENTITIES_DDL,
@@ -23,13 +30,43 @@ TABLE_SCHEMAS = {
     "lineage_edges": lineage_ops.EDGES_DDL,
     "type_defs": ops.TYPE_DEFS_DDL,
 }
+# What a row's bucket follows from.
+BUCKET_OF = {
+    "entities": "guid",
+    "columns": "guid",
+    "relationships": "guid",
+    "lineage_edges": "process_guid",
+    "type_defs": "name",
+}
+BUCKET = "_bucket"
+
+
+class Recorded(NamedTuple):
+    """References that were not found, and processes that break a rule of their type.
+
+    Neither kind of process was stored, nor any edge of one.
+    """
+
+    unresolved: DataFrame
+    rejected: DataFrame
+
+
+class Job(NamedTuple):
+    """What one process reads and writes, by table name."""
+
+    name: str
+    inputs: Sequence[str]
+    outputs: Sequence[str]
 
 
 class Catalog:
     """Entities, columns, relationships, lineage edges and type definitions.
 
-    Every change writes new versions of the tables it touches; readers keep
-    the version they started with. One writer at a time.
+    Each table is kept in ``buckets`` folders by a hash of its key, a number
+    that stays as it was when the catalogue was made. A change reads and writes
+    the buckets of its keys only, and all tables it touches become current
+    together; readers keep the version they started with. One writer at a time.
+    ``remove_old_versions`` frees what no current table uses.
     """
 
     def __init__(
@@ -38,77 +75,214 @@ class Catalog:
         base: str,
         table_scheme: str = ids.TABLE_SCHEME,
         process_scheme: str = ids.PROCESS_SCHEME,
+        buckets: int = 16,
     ):
         self.spark = spark
         self.base = base
+        self.work = f"{base}/work"
         self.table_scheme = table_scheme
         self.process_scheme = process_scheme
+        self.buckets = buckets
+
+    # ------------------------------------------------------------- tables
+
+    def _bucket(self, table: str) -> Column:
+        return F.pmod(F.crc32(F.col(BUCKET_OF[table])), F.lit(self.buckets)).cast("int")
+
+    def _read(
+        self,
+        folders: Mapping[str, tuple[str, str]],
+        table: str,
+        partitions: Collection[str] | None = None,
+    ) -> DataFrame:
+        ddl = TABLE_SCHEMAS[table]
+        found = read_folders(self.spark, folders, table, ddl, partitions)
+        return self.spark.createDataFrame([], ddl) if found is None else found.drop(BUCKET)
 
     def read(self, table: str) -> DataFrame:
         """The current version of a table, empty before the first one."""
-        stored = self._current(table)
-        return self.spark.createDataFrame([], TABLE_SCHEMAS[table]) if stored is None else stored
+        return self._read(current_folders(self.spark, self.base)[1], table)
+
+    def _touched(self, table: str, rows: DataFrame) -> list[str]:
+        """Partitions of the rows' buckets, at most as many as there are buckets."""
+        found = rows.select(self._bucket(table).alias("b")).distinct().collect()
+        return [f"{BUCKET}={row.b}" for row in found]
 
-    def _current(self, table: str) -> DataFrame | None:
-        return read_table(self.spark, self.base, table, TABLE_SCHEMAS[table])
+    def _change(self, table: str, df: DataFrame, touched: Sequence[str]) -> Change:
+        return Change(df.withColumn(BUCKET, self._bucket(table)), [BUCKET], touched)
 
-    def _replace(self, table: str, incoming: DataFrame, keys: Sequence[str]) -> None:
-        current = self._current(table)
-        publish_table(ops.replace_by_key(current, incoming, keys), self.base, table, even=True)
+    def _replaced(
+        self,
+        known: tuple[int, dict[str, tuple[str, str]]],
+        table: str,
+        incoming: DataFrame,
+        keys: Sequence[str],
+        gone: DataFrame | None = None,
+    ) -> Change:
+        """A forced update of the rows' keys, without the rows in ``gone`` (of the first key)."""
+        touching = incoming.select(BUCKET_OF[table])
+        if gone is not None:
+            touching = touching.unionByName(gone.select(BUCKET_OF[table]))
+        touched = self._touched(table, touching)
+        current = self._read(known[1], table, touched)
+        if gone is not None:
+            current = current.join(gone, BUCKET_OF[table], "left_anti").select(*current.columns)
+        return self._change(table, ops.replace_by_key(current, incoming, keys), touched)
+
+    def _publish(
+        self, changes: Mapping[str, Change], known: tuple[int, dict[str, tuple[str, str]]]
+    ) -> None:
+        some = {name: change for name, change in changes.items() if change.replaced}
+        if some:
+            publish_tables(self.spark, self.base, some, known)
+
+    def remove_old_versions(self) -> int:
+        """Remove what no current table uses; call it when no older reader is left."""
+        return remove_old_versions(self.spark, self.base)
+
+    # ------------------------------------------------------ types, entities
 
     def define_types(self, type_defs: DataFrame | None = None) -> None:
-        """Create or force-update type definitions, the initial ones by default."""
+        """Create or force-update type definitions, the initial ones by default.
+
+        Definitions that are stored as they are cause no write; one name with
+        two different definitions is an error.
+        """
+        known = current_folders(self.spark, self.base)
         if type_defs is None:
             type_defs = ops.type_definitions(self.spark)
-        self._replace("type_defs", type_defs, ["name"])
+        incoming = ops.single_by_key(type_defs, ["name"])
+        changed = ops.changed_rows(self._read(known[1], "type_defs"), incoming)
+        self._publish(
+            {"type_defs": self._replaced(known, "type_defs", changed, ["name"])}, known
+        )
 
     def type_defs(self) -> DataFrame:
         return self.read("type_defs")
 
+    def _entities(
+        self,
+        known: tuple[int, dict[str, tuple[str, str]]],
+        entities: DataFrame,
+        gone: DataFrame | None = None,
+    ) -> tuple[Change, DataFrame, DataFrame]:
+        """The change of the entities, those accepted, and those rejected."""
+        checked = ops.apply_attribute_rules(entities, self._read(known[1], "type_defs"))
+        without_key = F.col("type_name").isNull() | F.col("qualified_name").isNull()
+        is_accepted = (F.size("missing") == 0) & ~without_key
+        accepted = checked.filter(is_accepted).drop("missing")
+        touching = accepted.select("guid")
+        if gone is not None:
+            touching = touching.unionByName(gone.select("guid"))
+        touched = self._touched("entities", touching)
+        current = self._read(known[1], "entities", touched)
+        if gone is not None:
+            current = current.join(gone, "guid", "left_anti")
+        merged = ops.upsert(current, accepted).merged
+        return self._change("entities", merged, touched), accepted, checked.filter(~is_accepted)
+
     def put_entities(self, entities: DataFrame) -> DataFrame:
         """Upsert the entities that satisfy their type; returns the others.
 
         Attribute defaults are filled in. A rejected row comes with the names
-        of the required attributes it lacks.
+        of the required attributes it lacks; one without a type or a qualified
+        name is rejected too.
         """
-        checked = ops.apply_attribute_rules(entities, self.type_defs())
-        is_accepted = F.size("missing") == 0
-        accepted = checked.filter(is_accepted).drop("missing")
-        current = self._current("entities")
-        publish_table(ops.upsert(current, accepted), self.base, "entities")
-        return checked.filter(~is_accepted)
-
-    def put(self, registration: ops.Registration) -> DataFrame:
-        """Store what a registration adds; returns the rejected entities."""
-        rejected = self.put_entities(registration.entities)
-        self._replace("columns", registration.columns, ["guid"])
-        self._replace("relationships", registration.relationships, ["guid"])
+        known = current_folders(self.spark, self.base)
+        change, _, rejected = self._entities(known, entities)
+        self._publish({"entities": change}, known)
         return rejected
 
+    def put(self, registration: ops.Registration, jobs: Sequence[Job] = ()) -> Recorded:
+        """Store what a registration adds, and processes over its tables, at once.
+
+        The columns of a registered table replace those it had: a column that
+        is gone goes with its entity and its links. Returns what was refused.
+        """
+        known = current_folders(self.spark, self.base)
+        owners = registration.columns.select("table_guid").distinct()
+        listed = registration.columns.select("guid")
+        # Columns of a table lie in any bucket, so the owners' rows are looked up.
+        stale = (
+            self._read(known[1], "columns")
+            .join(owners, "table_guid", "left_semi")
+            .join(listed, "guid", "left_anti")
+            .select("guid")
+        )
+        links = self._read(known[1], "relationships")
+        stale_links = links.join(
+            stale, links["end2_guid"] == stale["guid"], "left_semi"
+        ).select("guid")
+        entities, edges = registration.entities, None
+        unresolved = self.spark.createDataFrame(
+            [], "process_name string, direction string, type_name string, qualified_name string"
+        )
+        if jobs:
+            lineage = lineage_ops.record_lineage(
+                self._references(jobs),
+                registration.entities,
+                scheme=self.process_scheme,
+                work=self.work,
+            )
+            entities = entities.unionByName(lineage.processes)
+            edges, unresolved = lineage.edges, lineage.unresolved
+        change, accepted, rejected = self._entities(known, entities, stale)
+        changes = {
+            "entities": change,
+            "columns": self._replaced(known, "columns", registration.columns, ["guid"], stale),
+            "relationships": self._replaced(
+                known, "relationships", registration.relationships, ["guid"], stale_links
+            ),
+        }
+        if edges is not None:
+            changes["lineage_edges"] = self._edges(known, edges, accepted)
+        self._publish(changes, known)
+        return Recorded(unresolved, rejected)
+
+    def _edges(
+        self,
+        known: tuple[int, dict[str, tuple[str, str]]],
+        edges: DataFrame,
+        accepted: DataFrame,
+    ) -> Change:
+        """Edges of accepted processes replace those the processes had."""
+        stored = accepted.select(F.col("guid").alias("process_guid"))
+        edges = edges.join(stored, "process_guid", "left_semi")
+        return self._replaced(known, "lineage_edges", edges, ["process_guid"])
+
     def register_tables(
         self,
         frames: Mapping[str, DataFrame],
         updated_at: Column | None = None,
         with_statistics: bool = False,
-    ) -> None:
+    ) -> DataFrame:
         """Register frames as tables: each table and, linked to it, its columns.
 
         ``with_statistics`` reads every frame once and adds what it finds to
-        the attributes of the columns.
+        the attributes of the columns. Returns the rejected entities.
         """
         schemas = ops.schema_rows(self.spark, frames)
-        statistics = ops.statistics_rows(frames) if with_statistics else None
-        self.put(ops.register_tables(schemas, self.table_scheme, updated_at, statistics))
+        statistics = ops.statistics_rows(frames, ranges=True) if with_statistics else None
+        registration = ops.register_tables(schemas, self.table_scheme, updated_at, statistics)
+        return self.put(registration).rejected
 
     def register_resource_sets(
         self,
         frames: Mapping[str, DataFrame],
         qualified_names: Mapping[str, str],
         updated_at: Column | None = None,
-    ) -> None:
-        """Register frames as resource sets with a schema entity in between."""
+    ) -> DataFrame:
+        """Register frames as resource sets with a schema entity in between.
+
+        Returns the rejected entities.
+        """
+        unnamed = [name for name in frames if name not in qualified_names]
+        if unnamed:
+            raise ValueError(f"no qualified name for tables {unnamed}")
         schemas = ops.schema_rows(self.spark, frames)
-        self.put(ops.register_resource_sets(schemas, qualified_names, updated_at))
+        return self.put(ops.register_resource_sets(schemas, qualified_names, updated_at)).rejected
+
+    # -------------------------------------------------------------- lineage
 
     def record_lineage(
         self,
@@ -116,58 +290,54 @@ class Catalog:
         inputs: Sequence[str],
         outputs: Sequence[str],
         job_type: str = "batch",
-    ) -> DataFrame:
+    ) -> Recorded:
         """Record that job ``name`` read and wrote registered tables.
 
-        Returns the references that were not found; with any, nothing is
-        recorded.
+        Returns the references that were not found and the process, if it broke
+        a rule; with any, nothing is recorded.
         """
-        return self.record_references(self._references(name, inputs, outputs), job_type)
+        return self.record_references(self._references([Job(name, inputs, outputs)]), job_type)
 
-    def record_references(self, references: DataFrame, job_type: str = "batch") -> DataFrame:
+    def record_references(self, references: DataFrame, job_type: str = "batch") -> Recorded:
         """Record any number of processes, given as one row per reference."""
+        known = current_folders(self.spark, self.base)
         lineage = lineage_ops.record_lineage(
-            references, self.read("entities"), job_type, scheme=self.process_scheme
+            references,
+            self._read(known[1], "entities"),
+            job_type,
+            scheme=self.process_scheme,
+            work=self.work,
         )
-        self.put_entities(lineage.processes)
-        self._replace("lineage_edges", lineage.edges, ["process_guid"])
-        return lineage.unresolved
+        change, accepted, rejected = self._entities(known, lineage.processes)
+        edges = self._edges(known, lineage.edges, accepted)
+        self._publish({"entities": change, "lineage_edges": edges}, known)
+        return Recorded(lineage.unresolved, rejected)
 
-    def record_run(
-        self,
-        name: str,
-        inputs: Mapping[str, DataFrame],
-        outputs: Mapping[str, DataFrame],
-        job_type: str = "batch",
-    ) -> None:
-        """Register the tables a job read and wrote together with its lineage.
+    def record_run(self, frames: Mapping[str, DataFrame], jobs: Sequence[Job]) -> Recorded:
+        """Register the tables some jobs read and wrote together with their lineage.
 
         The same as registering the tables and recording the lineage, but with
-        one new version of the entities.
+        one new version of all tables.
         """
-        schemas = ops.schema_rows(self.spark, {**inputs, **outputs})
-        registration = ops.register_tables(schemas, self.table_scheme)
-        lineage = lineage_ops.record_lineage(
-            self._references(name, list(inputs), list(outputs)),
-            registration.entities,
-            job_type,
-            scheme=self.process_scheme,
-        )
-        entities = registration.entities.unionByName(lineage.processes)
-        self.put(replace(registration, entities=entities))
-        self._replace("lineage_edges", lineage.edges, ["process_guid"])
+        schemas = ops.schema_rows(self.spark, frames)
+        return self.put(ops.register_tables(schemas, self.table_scheme), jobs)
 
-    def _references(
-        self, name: str, inputs: Sequence[str], outputs: Sequence[str]
-    ) -> DataFrame:
+    def _references(self, jobs: Sequence[Job]) -> DataFrame:
         request = {
-            "name": pa.array([name], pa.string()),
-            "inputs": pa.array([list(inputs)], pa.list_(pa.string())),
-            "outputs": pa.array([list(outputs)], pa.list_(pa.string())),
+            "name": pa.array([job.name for job in jobs], pa.string()),
+            "inputs": pa.array([list(job.inputs) for job in jobs], pa.list_(pa.string())),
+            "outputs": pa.array([list(job.outputs) for job in jobs], pa.list_(pa.string())),
         }
         requests = local_rows(self.spark, request, lineage_ops.REQUESTS_DDL)
         return lineage_ops.lineage_references(requests, self.table_scheme)
 
+    def origins(self, targets: DataFrame) -> DataFrame:
+        """Direct and indirect origins of ``targets`` (column ``node``)."""
+        hops = lineage_ops.lineage_hops(self.read("lineage_edges"))
+        return lineage_ops.trace_origins(hops, targets, self.work)
+
+    # ------------------------------------------------------ lookup, removal
+
     def resolve(
         self, requests: DataFrame, type_name: str = ids.RESOURCE_SET_TYPE
     ) -> DataFrame:
@@ -177,28 +347,66 @@ class Catalog:
         return ops.relationships_by_guid(guids, self.read("relationships"))
 
     def delete(self, guids: DataFrame) -> None:
-        """Delete entities, and the relationships and edges that touch them."""
-        remaining = ops.delete_entities(
-            guids,
-            self.read("entities"),
-            self.read("relationships"),
-            self.read("lineage_edges"),
-        )
-        for table, df in zip(("entities", "relationships", "lineage_edges"), remaining):
-            publish_table(df, self.base, table)
-        gone = guids.select("guid").distinct()
-        columns = self.read("columns").join(gone, "guid", "left_anti")
-        publish_table(columns.select(*self.read("columns").columns), self.base, "columns")
+        """Delete entities with all they contain, and what touches any of them.
+
+        That is relationships, lineage edges and the columns of a table.
+        """
+        known = current_folders(self.spark, self.base)
+        tables = {name: self._read(known[1], name) for name in TABLE_SCHEMAS}
+        gone = ops.with_members(guids, tables["relationships"], tables["type_defs"])
+
+        def dropped(table: str, *columns: str) -> Change:
+            named = gone.select(F.col("guid").alias("_gone"))
+            touches = None
+            for column in columns:
+                some = tables[table].join(named, F.col(column) == F.col("_gone"), "left_semi")
+                touches = some if touches is None else touches.unionByName(some)
+            touched = self._touched(table, touches)
+            kept = self._read(known[1], table, touched)
+            for column in columns:
+                kept = kept.join(named, F.col(column) == F.col("_gone"), "left_anti")
+            return self._change(table, kept, touched)
+
+        changes = {
+            "entities": dropped("entities", "guid"),
+            "columns": dropped("columns", "guid", "table_guid"),
+            "relationships": dropped("relationships", "end1_guid", "end2_guid"),
+            "lineage_edges": dropped("lineage_edges", "process_guid", "entity_guid"),
+        }
+        self._publish(changes, known)
 
     def cardinality_violations(self) -> DataFrame:
         return ops.cardinality_violations(self.read("relationships"), self.type_defs())
 
-    def origins(self, targets: DataFrame | None = None) -> DataFrame:
-        """Direct and indirect origins of ``targets`` (column ``node``), or of all."""
-        hops = lineage_ops.lineage_hops(self.read("lineage_edges"))
-        return lineage_ops.trace_origins(hops, targets)
+    # ----------------------------------------------------------------- scans
 
     def scan(
-        self, path: str | list[str], level: str = INCREMENTAL, glob: str | None = None
+        self,
+        path: str | list[str],
+        level: str = INCREMENTAL,
+        glob: str | None = None,
+        name: str = "default",
+        register: bool = True,
     ) -> DataFrame:
-        return scan(self.spark, path, self.base, level, glob)
+        """Scan ``path`` under a scan name; see ``scan``.
+
+        With ``register`` the resource sets found become entities of the
+        catalogue, named after their folder and qualified by its path.
+        """
+        found = scan(self.spark, path, f"{self.base}/scans", level, glob, name)
+        if register:
+            sets = resource_sets(read_inventory(self.spark, f"{self.base}/scans", name))
+            attributes = F.create_map(
+                F.lit("n_files"),
+                F.col("n_files").cast("string"),
+                F.lit("n_bytes"),
+                F.col("n_bytes").cast("string"),
+            )
+            folder = F.col("resource_set")
+            label = F.regexp_extract(folder, r"([^/]+)$", 1)
+            self.put_entities(
+                ops.entity_rows(
+                    sets, ids.RESOURCE_SET_TYPE, folder, label, attributes, F.col("modified_at")
+                )
+            )
+        return found

@@ -1,5 +1,5 @@
 from lakeclerk.functions.columns import named, select_strict
-from lakeclerk.functions.casting import convert, tolerant_cast
+from lakeclerk.functions.casting import convert, conversion_losses, tolerant_cast
 from lakeclerk.functions.identity import (
     column_description,
     column_name_of,
@@ -9,28 +9,22 @@ from lakeclerk.functions.identity import (
     schema_name_of,
     table_name_of,
 )
-from lakeclerk.functions.sizing import (
-    broadcast_if_small,
-    local_rows,
-    new_folder,
-    stored_bytes,
-    written,
-)
+from lakeclerk.functions.sizing import local_rows, new_folder, remove_folder, written
 
 __all__ = [
-    "broadcast_if_small",
     "column_description",
     "column_name_of",
+    "conversion_losses",
     "convert",
     "entity_guid",
     "local_rows",
     "named",
     "new_folder",
     "process_name_of",
+    "remove_folder",
     "relationship_guid",
     "schema_name_of",
     "select_strict",
-    "stored_bytes",
     "table_name_of",
     "tolerant_cast",
     "written",

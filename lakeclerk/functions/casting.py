@@ -24,48 +24,106 @@ def convert(
     targets: Mapping[str, str],
     allow_truncation: bool = True,
     boolean_as_number: bool = False,
+    on_misfit: str = "fail",
 ) -> DataFrame:
     """Convert the columns in ``targets`` to the given types, others stay.
 
-    A fraction loses its fractional part on the way to a whole number. With
-    ``allow_truncation=False`` such a value fails the job instead. Booleans
-    turn into ``true``/``false`` text; only with ``boolean_as_number`` may
-    they become 1/0, otherwise a numeric target is refused.
+    Truncation means that a number, or a text that is one, loses its fraction,
+    or a fraction its last digits, and a time its part of the day; with
+    ``allow_truncation=False`` a value that does not come back unchanged from
+    its new type is a misfit too, for every pair of types. Any other value that
+    the new type cannot hold, such as one beyond its range or a text that does
+    not parse, is a misfit always: it fails the job, or with
+    ``on_misfit="null"`` becomes null; ``conversion_losses`` counts those.
+
+    Booleans turn into ``true``/``false`` text; only with ``boolean_as_number``
+    may they become 1/0, otherwise a numeric target is refused.
     """
+    if on_misfit not in ("fail", "null"):
+        raise ValueError("on_misfit should be 'fail' or 'null'")
     require_columns(df, targets)
     converted = []
     for field in df.schema.fields:
         column = named(field.name)
         if field.name in targets:
             target = targets[field.name]
-            column = _converted(column, field, target, allow_truncation, boolean_as_number)
-            column = column.alias(field.name)
+            value, misfit = _converted(column, field, target, allow_truncation, boolean_as_number)
+            instead = F.lit(None)
+            if on_misfit == "fail":
+                instead = F.raise_error(
+                    F.concat(
+                        F.lit(f"column {field.name}: "),
+                        column.cast("string"),
+                        F.lit(f" does not fit {target}"),
+                    )
+                )
+            column = F.when(misfit, instead.cast(target)).otherwise(value).alias(field.name)
         converted.append(column)
     return df.select(converted)
 
 
+def conversion_losses(
+    df: DataFrame,
+    targets: Mapping[str, str],
+    allow_truncation: bool = True,
+    boolean_as_number: bool = False,
+) -> DataFrame:
+    """How many values of each column do not fit: ``column_name, n_misfits``.
+
+    One pass with partial sums; ``convert`` with ``on_misfit="null"`` makes
+    these values null.
+    """
+    require_columns(df, targets)
+    fields = {field.name: field for field in df.schema.fields}
+    counts, rows = [], []
+    for index, (name, target) in enumerate(targets.items()):
+        _, misfit = _converted(
+            named(name), fields[name], target, allow_truncation, boolean_as_number
+        )
+        counts.append(F.count_if(misfit).alias(f"n_{index}"))
+        rows.append(
+            F.struct(F.lit(name).alias("column_name"), F.col(f"n_{index}").alias("n_misfits"))
+        )
+    return df.agg(*counts).select(F.inline(F.array(*rows)))
+
+
 def _converted(
     column: Column,
     field: T.StructField,
     target: str,
     allow_truncation: bool,
     boolean_as_number: bool,
-) -> Column:
-    target_type = T.DataType.fromDDL(target)
-    if isinstance(field.dataType, T.BooleanType):
+) -> tuple[Column, Column]:
+    """The converted value, and whether it does not stand for the old one."""
+    source_type, target_type = field.dataType, T.DataType.fromDDL(target)
+    if isinstance(source_type, T.BooleanType):
         if boolean_as_number:
-            return column.cast("int").cast(target_type)
+            return column.cast("int").cast(target_type), F.lit(False)
         if isinstance(target_type, T.NumericType):
             raise ValueError(f"column {field.name} is boolean, {target} is a number")
-    result = column.try_cast(target_type)
-    if allow_truncation:
-        return result
-    loses = result.isNull()
-    if isinstance(field.dataType, FRACTIONS) and isinstance(target_type, WHOLE_NUMBERS):
-        loses = loses | (result.cast(field.dataType) != column)
-    message = F.concat(
-        F.lit(f"column {field.name}: "), column.cast("string"), F.lit(f" does not fit {target}")
-    )
-    return F.when(column.isNotNull() & loses, F.raise_error(message).cast(target_type)).otherwise(
-        result
-    )
+    value = column
+    if isinstance(target_type, WHOLE_NUMBERS):
+        if isinstance(source_type, T.StringType) and allow_truncation:
+            # A text with a fraction is a number whose fraction is lost.
+            digits = column.try_cast("decimal(38,18)")
+            whole = F.coalesce(
+                column.try_cast(target_type),
+                F.when(digits >= 0, F.floor(digits)).otherwise(F.ceil(digits)).try_cast(target_type),
+            )
+            return whole, column.isNotNull() & whole.isNull()
+        if isinstance(source_type, FRACTIONS):
+            # Cast by itself wraps or saturates some values: compare the whole part.
+            whole = F.when(column >= 0, F.floor(column)).otherwise(F.ceil(column))
+            value = whole if isinstance(source_type, T.DecimalType) else column
+    result = value.try_cast(target_type)
+    misfit = column.isNotNull() & result.isNull()
+    if not allow_truncation:
+        if isinstance(target_type, T.StringType):
+            return result, misfit
+        back = result.try_cast(source_type)
+        # A double holds more digits than a bigint's neighbours tell apart.
+        changed = ~back.eqNullSafe(column)
+        if isinstance(source_type, T.StringType):
+            changed = result.isNull()
+        misfit = misfit | (column.isNotNull() & changed)
+    return result, misfit

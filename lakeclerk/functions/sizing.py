@@ -1,56 +1,44 @@
-"""Measured sizes, and the shared folder for written intermediate tables."""
+"""The shared folder for written intermediate tables, and small local frames."""
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-# A broadcast side stays far below executor memory at these bounds.
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 * 1024 * 1024
-
-_local_folders: dict[str, str] = {}
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """Folder every executor can read, named by ``spark.checkpoint.dir``.
-
-    Only a local session may go without the setting; it gets a folder of its
-    own, once per application.
-    """
+    """Folder every executor can read: ``spark.checkpoint.dir``, else the warehouse."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
-    if configured:
-        return configured.rstrip("/")
-    context = spark.sparkContext
-    if not context.master.startswith("local"):
-        raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-    application = context.applicationId
-    if application not in _local_folders:
-        _local_folders[application] = tempfile.mkdtemp(prefix="lakeclerk-")
-    return _local_folders[application]
+    return (configured or spark.conf.get("spark.sql.warehouse.dir")).rstrip("/")
 
 
-def new_folder(spark: SparkSession, purpose: str) -> str:
-    """A path below the shared folder that no other call uses.
+def new_folder(spark: SparkSession, purpose: str, work: str | None = None) -> str:
+    """A path below ``work`` that no other call uses, by default the shared folder.
 
     All paths of an application are below one folder, to be removed when it
     has ended.
     """
     application = spark.sparkContext.applicationId
-    return f"{shared_folder(spark)}/lakeclerk/{application}/{purpose}-{uuid.uuid4().hex}"
+    base = work or f"{shared_folder(spark)}/lakeclerk"
+    return f"{base}/{application}/{purpose}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back.
+def remove_folder(spark: SparkSession, path: str) -> None:
+    """Remove a folder in whatever store it is; one that is absent is no error."""
+    jvm = spark.sparkContext._jvm
+    folder = jvm.org.apache.hadoop.fs.Path(path)
+    folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
 
-    For a result that several frames go on from: it is computed once, lost
-    executors do not bring its computation back, and its size is known.
+
+def written(df: DataFrame, purpose: str, work: str | None = None) -> DataFrame:
+    """Write ``df`` below the work folder and read it back.
+
+    For a result that several frames go on from: it is computed once, and lost
+    executors do not bring its computation back.
     """
-    path = new_folder(df.sparkSession, purpose)
+    path = new_folder(df.sparkSession, purpose, work)
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
@@ -61,37 +49,3 @@ def local_rows(spark: SparkSession, columns: dict[str, pa.Array], schema: str) -
     An Arrow table becomes a local relation: no Python worker starts.
     """
     return spark.createDataFrame(pa.table(columns), schema)
-
-
-def stored_bytes(spark: SparkSession, path: str, glob: str | None = None) -> int:
-    """Bytes of all files below ``path``; one number reaches the driver."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", "true")
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return reader.load(path).agg(F.coalesce(F.sum("length"), F.lit(0))).first()[0]
-
-
-def is_small(
-    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
-) -> bool:
-    """Whether the real content of ``df`` is within both bounds.
-
-    Rows are counted first, which for a written table reads no column. Only
-    within that bound the bytes of their JSON text are summed.
-    """
-    if df.count() > max_rows:
-        return False
-    text = F.to_json(F.struct("*"))
-    n_bytes = df.agg(F.sum(F.octet_length(text))).first()[0]
-    return n_bytes is None or n_bytes <= max_bytes
-
-
-def broadcast_if_small(
-    df: DataFrame, max_rows: int = BROADCAST_ROWS, max_bytes: int = BROADCAST_BYTES
-) -> DataFrame:
-    """Mark ``df`` for broadcast if its measured size is within both bounds.
-
-    Beyond the bounds the frame comes back without a hint: the join shuffles,
-    and adaptive execution splits skewed partitions.
-    """
-    return F.broadcast(df) if is_small(df, max_rows, max_bytes) else df

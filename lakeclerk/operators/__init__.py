@@ -1,7 +1,9 @@
 from lakeclerk.operators.catalog import (
     Registration,
+    Upserted,
     apply_attribute_rules,
     cardinality_violations,
+    changed_rows,
     delete_entities,
     entity_rows,
     latest_by_key,
@@ -12,9 +14,11 @@ from lakeclerk.operators.catalog import (
     replace_by_key,
     resolve,
     schema_rows,
+    single_by_key,
     statistics_rows,
     type_definitions,
     upsert,
+    with_members,
 )
 from lakeclerk.operators.clean import ColumnRule, clean, rename_columns
 from lakeclerk.operators.enrich import enrich, unmatched_keys
@@ -31,14 +35,23 @@ from lakeclerk.operators.lineage import (
     trace_origins,
 )
 from lakeclerk.operators.profile import column_profile, profile_attributes
-from lakeclerk.operators.store import publish_table, read_table
+from lakeclerk.operators.store import (
+    Change,
+    publish_table,
+    publish_tables,
+    read_table,
+    remove_old_versions,
+)
 
 __all__ = [
+    "Change",
     "ColumnRule",
     "Lineage",
     "Registration",
+    "Upserted",
     "apply_attribute_rules",
     "cardinality_violations",
+    "changed_rows",
     "clean",
     "column_profile",
     "compare_snapshots",
@@ -51,20 +64,24 @@ __all__ = [
     "lineage_references",
     "profile_attributes",
     "publish_table",
+    "publish_tables",
     "read_table",
     "record_lineage",
     "register_resource_sets",
     "register_tables",
     "relationship_rows",
     "relationships_by_guid",
+    "remove_old_versions",
     "rename_columns",
     "replace_by_key",
     "resolve",
     "resource_sets",
     "schema_rows",
+    "single_by_key",
     "statistics_rows",
     "trace_origins",
     "type_definitions",
     "unmatched_keys",
     "upsert",
+    "with_members",
 ]

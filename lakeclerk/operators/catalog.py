@@ -7,16 +7,17 @@ once. An entity is identified by its type name and qualified name.
 from __future__ import annotations
 
 import json
-from collections.abc import Mapping, Sequence
+from collections.abc import Collection, Mapping, Sequence
 from dataclasses import dataclass
 from functools import reduce
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeclerk.functions import identity as ids
-from lakeclerk.functions.sizing import broadcast_if_small, is_small, local_rows, written
+from lakeclerk.functions.sizing import local_rows
 from lakeclerk.operators.profile import column_profile, profile_attributes
 
 ENTITY_KEY = ("type_name", "qualified_name")
@@ -35,6 +36,7 @@ RELATIONSHIP_END_DDL = "struct<type:string,name:string,is_container:boolean,card
 TYPE_DEFS_DDL = (
     "name string, category string, super_types array<string>, "
     "attribute_defs array<struct<name:string,is_optional:boolean,default_value:string>>, "
+    "relationship_attribute_defs array<struct<name:string,relationship_type:string,is_legacy:boolean>>, "
     "options map<string,string>, "
     f"end1 {RELATIONSHIP_END_DDL}, end2 {RELATIONSHIP_END_DDL}"
 )
@@ -90,7 +92,7 @@ def schema_rows(spark: SparkSession, frames: Mapping[str, DataFrame]) -> DataFra
         for table, df in frames.items()
         for ordinal, (column, data_type) in enumerate(df.dtypes, start=1)
     ]
-    tables, ordinals, names, types = zip(*rows)
+    tables, ordinals, names, types = zip(*rows) if rows else ((), (), (), ())
     columns = {
         "table_name": pa.array(tables, pa.string()),
         "ordinal": pa.array(ordinals, pa.int32()),
@@ -101,19 +103,27 @@ def schema_rows(spark: SparkSession, frames: Mapping[str, DataFrame]) -> DataFra
 
 
 def statistics_rows(
-    frames: Mapping[str, DataFrame], distinct_rsd: float | None = None
+    frames: Mapping[str, DataFrame],
+    distinct_rsd: float | None = None,
+    ranges: bool | Mapping[str, Collection[str]] = False,
 ) -> DataFrame:
     """Statistics of all columns of the named frames, one pass over each.
 
     Columns ``table_name, column_name, attributes``; the attributes are those
-    of ``profile_attributes``.
+    of ``profile_attributes``: rows and nulls, and least and greatest of the
+    columns that ``ranges`` names by table, or with ``True`` of all numbers and
+    times.
     """
-    profiles = [
-        profile_attributes(column_profile(df, distinct_rsd)).select(
-            F.lit(table).alias("table_name"), "column_name", "attributes"
+    if not frames:
+        raise ValueError("name the frames")
+    profiles = []
+    for table, df in frames.items():
+        wanted = ranges if isinstance(ranges, bool) else ranges.get(table, False)
+        profiles.append(
+            profile_attributes(column_profile(df, distinct_rsd, wanted)).select(
+                F.lit(table).alias("table_name"), "column_name", "attributes"
+            )
         )
-        for table, df in frames.items()
-    ]
     return reduce(DataFrame.union, profiles)
 
 
@@ -154,13 +164,20 @@ def register_resource_sets(
 ) -> Registration:
     """Catalogue entries on three levels: resource set, its schema, columns.
 
-    ``qualified_names`` maps table names to qualified names; without it
-    ``schemas`` has a ``qualified_name`` column.
+    ``qualified_names`` maps table names to qualified names, and a table it
+    lacks fails the job; without it ``schemas`` has a ``qualified_name`` column.
     """
     if qualified_names is not None:
-        pairs = [F.lit(text) for pair in qualified_names.items() for text in pair]
-        schemas = schemas.withColumn(
-            "qualified_name", F.create_map(*pairs)[F.col("table_name")]
+        names = {
+            "table_name": pa.array(list(qualified_names), pa.string()),
+            "qualified_name": pa.array(list(qualified_names.values()), pa.string()),
+        }
+        known = local_rows(
+            schemas.sparkSession, names, "table_name string, qualified_name string"
+        )
+        unnamed = F.concat(F.lit("no qualified name for table "), F.col("table_name"))
+        schemas = schemas.join(known, "table_name", "left").withColumn(
+            "qualified_name", F.coalesce("qualified_name", F.raise_error(unnamed))
         )
     owner = F.col("qualified_name")
     owner_guid = ids.entity_guid(F.lit(ids.RESOURCE_SET_TYPE), owner)
@@ -239,67 +256,82 @@ def latest_by_key(
     return latest.select(*keys, "latest.*").select(*df.columns)
 
 
+class Upserted(NamedTuple):
+    """The merged table, and the incoming rows that lack a key."""
+
+    merged: DataFrame
+    rejected: DataFrame
+
+
 def upsert(
     current: DataFrame | None,
     incoming: DataFrame,
     keys: Sequence[str] = ENTITY_KEY,
     updated_at: str = "updated_at",
-) -> DataFrame:
+) -> Upserted:
     """Create or update: per key the latest of both, the incoming one on a tie.
 
     ``current`` has each key once, as an earlier result of this function has.
     Ties within ``incoming`` are decided by a hash of the content, so that a
-    repeated run gives the same table. A small batch is broadcast and the
-    current table only scanned; a large one is merged in one shuffle. Publish
+    repeated run gives the same table. A row with a null in its key identifies
+    nothing: it is handed back. Both sides meet in one full join by key. Publish
     the result as a new version, see ``store``.
     """
     keys = list(keys)
+    lacking = reduce(lambda a, b: a | b, [F.col(key).isNull() for key in keys])
     content = F.xxhash64(_sorted_maps(incoming))
-    latest = latest_by_key(incoming, keys, [F.col(updated_at), content])
+    latest = latest_by_key(incoming.filter(~lacking), keys, [F.col(updated_at), content])
+    rejected = incoming.filter(lacking)
     if current is None:
-        return latest
-    latest = written(latest.select(*current.columns), "incoming")
-    if is_small(latest):
-        return _merge_small(current, latest, keys, updated_at)
-    both = current.withColumn("_incoming", F.lit(0)).unionByName(
-        latest.withColumn("_incoming", F.lit(1))
-    )
-    return latest_by_key(both, keys, [updated_at, "_incoming"]).drop("_incoming")
-
-
-def _merge_small(
-    current: DataFrame, latest: DataFrame, keys: list[str], updated_at: str
-) -> DataFrame:
-    """Merge a broadcast batch without shuffling the current table."""
+        return Upserted(latest, rejected)
     others = [name for name in current.columns if name not in keys]
-    batch = latest.select(*keys, F.struct(*others).alias("_new"))
+    new = latest.select(*keys, F.struct(*others).alias("_new"))
+    old = current.select(*keys, *others, F.lit(True).alias("_known"))
     # Compared as structs, since a null time is older than any other.
-    wins = F.col("_new").isNotNull() & (
-        F.struct(F.col(f"_new.{updated_at}")) >= F.struct(F.col(updated_at))
-    )
-    newer = {
-        name: F.when(wins, F.col(f"_new.{name}")).otherwise(F.col(name)) for name in others
-    }
-    updated = (
-        current.join(F.broadcast(batch), keys, "left")
-        .withColumns(newer)
-        .select(*current.columns)
-    )
-    # No more rows than the batch, as current keys are unique.
-    known = current.join(F.broadcast(latest.select(*keys)), keys, "left_semi").select(*keys)
-    created = latest.join(known, keys, "left_anti").select(*current.columns)
-    return updated.unionByName(created)
+    newer = F.struct(F.col(f"_new.{updated_at}")) >= F.struct(F.col(updated_at))
+    wins = F.col("_new").isNotNull() & (F.col("_known").isNull() | newer)
+    values = [
+        F.when(wins, F.col(f"_new.{name}")).otherwise(F.col(name)).alias(name) for name in others
+    ]
+    merged = old.join(new, keys, "full").select(*keys, *values).select(*current.columns)
+    return Upserted(merged, rejected)
 
 
 def replace_by_key(
     current: DataFrame | None, incoming: DataFrame, keys: Sequence[str]
 ) -> DataFrame:
-    """Forced update: incoming rows replace all current rows with their keys."""
+    """Forced update: incoming rows replace all current rows with their keys.
+
+    A key may have several rows; where it may not, ``single_by_key`` comes first.
+    """
     if current is None:
         return incoming
-    replaced = incoming.select(*keys).distinct()
-    kept = current.join(replaced, list(keys), "left_anti").select(*incoming.columns)
-    return kept.unionByName(incoming)
+    kept = current.join(incoming.select(*keys), list(keys), "left_anti")
+    return kept.select(*incoming.columns).unionByName(incoming)
+
+
+def single_by_key(df: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """One row per key; a key with rows that differ fails the job."""
+    others = [name for name in df.columns if name not in keys]
+    ambiguous = F.raise_error(F.concat_ws(" ", F.lit("ambiguous key"), *[F.col(k) for k in keys]))
+    found = df.groupBy(*keys).agg(
+        F.max_by(F.struct(*others), F.xxhash64(_sorted_maps(df))).alias("_one"),
+        F.min(F.xxhash64(_sorted_maps(df))).alias("_least"),
+        F.max(F.xxhash64(_sorted_maps(df))).alias("_greatest"),
+    )
+    one = F.when(F.col("_least") == F.col("_greatest"), F.col("_one")).otherwise(
+        ambiguous.cast(found.schema["_one"].dataType)
+    )
+    return found.select(*keys, one.alias("_one")).select(*keys, "_one.*").select(*df.columns)
+
+
+def changed_rows(current: DataFrame | None, incoming: DataFrame) -> DataFrame:
+    """The incoming rows that ``current`` does not hold as they are."""
+    if current is None:
+        return incoming
+    known = current.select(F.xxhash64(_sorted_maps(current)).alias("_content"))
+    content = incoming.withColumn("_content", F.xxhash64(_sorted_maps(incoming)))
+    return content.join(known, "_content", "left_anti").drop("_content")
 
 
 def _sorted_maps(df: DataFrame) -> Column:
@@ -329,9 +361,30 @@ def resolve(
 
 
 def relationships_by_guid(guids: DataFrame, relationships: DataFrame) -> DataFrame:
-    """Read the relationships with the requested identifiers."""
-    wanted = broadcast_if_small(written(guids.select("guid").distinct(), "guids"))
-    return relationships.join(wanted, "guid", "left_semi")
+    """Read the relationships with the requested identifiers, in one join."""
+    return relationships.join(guids.select("guid"), "guid", "left_semi")
+
+
+def with_members(guids: DataFrame, relationships: DataFrame, type_defs: DataFrame) -> DataFrame:
+    """``guid`` of the entities and of all that they contain, at any depth.
+
+    Members are the second ends of composition links whose first end is the
+    container. Each round joins only the members found last; rounds are as many
+    as containers are nested, and one more.
+    """
+    containing = type_defs.filter(
+        (F.col("category") == "COMPOSITION") & F.col("end1.is_container")
+    ).select(F.col("name").alias("type_name"))
+    links = relationships.join(containing, "type_name", "left_semi").select(
+        F.col("end1_guid").alias("guid"), F.col("end2_guid").alias("member")
+    )
+    found = latest = guids.select("guid").distinct()
+    while True:
+        members = links.join(latest, "guid", "left_semi").select(F.col("member").alias("guid"))
+        latest = members.distinct().join(found, "guid", "left_anti")
+        if latest.isEmpty():
+            return found
+        found = found.unionByName(latest)
 
 
 def delete_entities(
@@ -341,9 +394,7 @@ def delete_entities(
     edges: DataFrame,
 ) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Drop entities with the relationships and lineage edges that touch them."""
-    gone = broadcast_if_small(
-        written(guids.select(F.col("guid").alias("_gone")).distinct(), "guids")
-    )
+    gone = guids.select(F.col("guid").alias("_gone"))
 
     def without(df: DataFrame, column: str) -> DataFrame:
         return df.join(gone, F.col(column) == F.col("_gone"), "left_anti")
@@ -364,6 +415,13 @@ def type_definitions(spark: SparkSession) -> DataFrame:
             "category": "ENTITY",
             "super_types": ["DataSet"],
             "attribute_defs": [{"name": "format", "is_optional": True}],
+            "relationship_attribute_defs": [
+                {
+                    "name": "columns",
+                    "relationship_type": ids.TABLE_COLUMNS_RELATIONSHIP,
+                    "is_legacy": False,
+                }
+            ],
             "options": {"schemaElementsAttribute": "tabular_schema"},
         },
         {

@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from lakeclerk.functions import identity as ids
-from lakeclerk.functions.sizing import broadcast_if_small, new_folder, written
+from lakeclerk.functions.sizing import new_folder, written
 from lakeclerk.operators.catalog import ENTITY_KEY, entity_rows
 
 EDGES_DDL = "process_guid string, direction string, entity_guid string"
@@ -54,11 +54,12 @@ def record_lineage(
     process_type: str = ids.PROCESS_TYPE,
     scheme: str = ids.PROCESS_SCHEME,
     updated_at: Column | None = None,
+    work: str | None = None,
 ) -> Lineage:
     """Processes and edges for references to entities that exist.
 
     All references are looked up in one join, however many processes there
-    are, and the outcome is written once for the three results. A process with
+    are, and the outcome is written once, below ``work``, for the three results. A process with
     a reference that is not found is left out whole, and the reference is
     reported. Repeated references collapse before the join; an entity that
     very many processes use is a hot join key, whose partition adaptive
@@ -73,12 +74,10 @@ def record_lineage(
             how="left",
         ),
         "references",
+        work,
     )
     unresolved = found.filter(F.col("entity_guid").isNull()).drop("entity_guid")
-    accepted = found
-    if not unresolved.isEmpty():
-        refused = broadcast_if_small(unresolved.select("process_name").distinct())
-        accepted = found.join(refused, "process_name", "left_anti")
+    accepted = found.join(unresolved.select("process_name"), "process_name", "left_anti")
     edges = accepted.select(
         ids.entity_guid(F.lit(process_type), process_name).alias("process_guid"),
         "direction",
@@ -108,38 +107,33 @@ def lineage_hops(edges: DataFrame) -> DataFrame:
     )
 
 
-def trace_origins(
-    hops: DataFrame, targets: DataFrame | None = None, max_rounds: int | None = None
-) -> DataFrame:
-    """All direct and indirect origins: ``node, origin, n_hops`` (the least).
+def trace_origins(hops: DataFrame, targets: DataFrame, work: str | None = None) -> DataFrame:
+    """All direct and indirect origins of ``targets``: ``node, origin, n_hops`` (the least).
+
+    ``targets`` has a column ``node``. The result has a row for each of them and
+    each of its origins, so its size is the caller's choice; ask for few.
 
     Every round joins the pairs found last with the hops and keeps pairs not
     seen before, so cycles end and a pair is followed once however many paths
-    lead to it. A hop that lacks an end is none. Each round is written to the
-    shared folder: lost executors cost one round at most, and the plan stays
-    short. ``targets`` (column ``node``) limits the trace to the nodes asked
-    for. ``max_rounds`` bounds the depth when only near origins are wanted.
+    lead to it. A hop that lacks an end is none. Each round is written below
+    ``work``, by default the shared folder: lost executors cost one round at
+    most, and the plan stays short. Rounds end by themselves, however deep the
+    origins are.
     """
     spark = hops.sparkSession
-    folder = new_folder(spark, "origins")
+    folder = new_folder(spark, "origins", work)
 
     def kept(df: DataFrame, name: str) -> DataFrame:
         path = f"{folder}/{name}"
         df.write.mode("overwrite").parquet(path)
         return spark.read.schema(df.schema).parquet(path)
 
-    direct = hops.select("node", "origin").dropna()
-    if targets is None:
-        steps = latest = kept(direct.distinct().withColumn("n_hops", F.lit(1)), "pairs/round=1")
-    else:
-        # Few nodes are asked for: the hops are only scanned, never shuffled
-        # for their own sake.
-        steps = kept(direct, "hops")
-        first = steps.join(targets.select("node"), "node", "left_semi").distinct()
-        latest = kept(first.withColumn("n_hops", F.lit(1)), "pairs/round=1")
-    found, n_rounds = latest, 1
+    steps = kept(hops.select("node", "origin").dropna(), "hops")
+    first = steps.join(targets.select("node"), "node", "left_semi").distinct()
+    found = latest = kept(first.withColumn("n_hops", F.lit(1)), "pairs/round=1")
+    n_rounds = 1
     parents = steps.select(F.col("node").alias("origin"), F.col("origin").alias("next_origin"))
-    while not latest.isEmpty() and (max_rounds is None or n_rounds < max_rounds):
+    while not latest.isEmpty():
         n_rounds += 1
         reached = (
             latest.join(parents, "origin")

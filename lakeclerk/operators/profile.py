@@ -2,25 +2,34 @@
 
 from __future__ import annotations
 
+from collections.abc import Collection
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeclerk.functions.columns import quoted
+from lakeclerk.functions.columns import quoted, require_columns
 
-ORDERED_TEXT = (T.StringType, T.DateType, T.TimestampType, T.TimestampNTZType)
+ORDERED = (T.NumericType, T.DateType, T.TimestampType, T.TimestampNTZType)
 
 
-def column_profile(df: DataFrame, distinct_rsd: float | None = None) -> DataFrame:
+def column_profile(
+    df: DataFrame,
+    distinct_rsd: float | None = None,
+    ranges: bool | Collection[str] = True,
+) -> DataFrame:
     """One row per column, from a single pass over the table.
 
-    ``n_rows, n_nulls`` for every column, ``least_number, greatest_number`` for
-    numbers, ``least_text, greatest_text`` for text and times. With
-    ``distinct_rsd`` also ``n_distinct``, estimated within that relative
-    standard deviation: an exact count would shuffle every value of every
-    column. All statistics are partial aggregates, so one row per task is
-    shuffled.
+    ``n_rows, n_nulls`` for every column. ``least, greatest`` are the text of
+    the column's own type, so no digit is lost: with ``ranges=True`` for numbers
+    and times, with names for those columns only, which may then be free text,
+    with ``False`` for none. With ``distinct_rsd`` also ``n_distinct``, estimated
+    within that relative standard deviation: an exact count would shuffle every
+    value of every column. All statistics are partial aggregates, so one row
+    per task is shuffled.
     """
+    if not isinstance(ranges, bool):
+        require_columns(df, ranges)
     estimate = f"approx_count_distinct(%s, {distinct_rsd}D)" if distinct_rsd is not None else None
     statistics, rows = ["count(*) AS n_rows"], []
     for index, field in enumerate(df.schema.fields):
@@ -31,20 +40,16 @@ def column_profile(df: DataFrame, distinct_rsd: float | None = None) -> DataFram
             "column_name": _text_literal(field.name),
             "n_rows": "n_rows",
             "n_nulls": f"n_rows - n_{index}",
-            "least_number": "CAST(NULL AS double)",
-            "greatest_number": "CAST(NULL AS double)",
-            "least_text": "CAST(NULL AS string)",
-            "greatest_text": "CAST(NULL AS string)",
+            "least": "CAST(NULL AS string)",
+            "greatest": "CAST(NULL AS string)",
         }
-        for types, form, data_type in (
-            ((T.NumericType,), "number", "double"),
-            (ORDERED_TEXT, "text", "string"),
-        ):
-            if isinstance(field.dataType, types):
-                statistics.append(f"min({column}) AS least_{index}")
-                statistics.append(f"max({column}) AS greatest_{index}")
-                row[f"least_{form}"] = f"CAST(least_{index} AS {data_type})"
-                row[f"greatest_{form}"] = f"CAST(greatest_{index} AS {data_type})"
+        wanted = isinstance(field.dataType, ORDERED) if ranges is True else (
+            ranges is not False and field.name in ranges
+        )
+        if wanted:
+            for name, function in (("least", "min"), ("greatest", "max")):
+                statistics.append(f"{function}({column}) AS {name}_{index}")
+                row[name] = f"CAST({name}_{index} AS string)"
         if estimate:
             statistics.append(f"{estimate % column} AS distinct_{index}")
             row["n_distinct"] = f"distinct_{index}"

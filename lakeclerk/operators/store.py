@@ -1,50 +1,139 @@
-"""Versioned tables: a new version is written in full, then made current.
+"""Versioned tables: what is new is written in full, then made current at once.
 
 A Parquet folder cannot be replaced while it is being read, and a job that dies
-halfway must leave the old content readable. So every version has a folder of
-its own and a small log names the versions that were completed. One writer per
-table at a time.
+halfway must leave the old content readable. So what a run writes has a folder
+of its own, and a small log names the folders that make up each table: those of
+its partitions, written by whichever run. One log entry switches all tables of
+a run together. One writer per base at a time.
 """
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Collection, Mapping, Sequence
+from dataclasses import dataclass
+from functools import reduce
 
 import pyarrow as pa
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeclerk.functions.sizing import local_rows
+from lakeclerk.functions.sizing import local_rows, remove_folder
 from lakeclerk.sinks.files import even_files, overwrite
 
-LOG_DDL = "version bigint, path string"
+LOG_DDL = "version bigint, folders map<string,struct<root:string,partition:string>>"
 
 
-def current_version(spark: SparkSession, base: str, table: str) -> tuple[int, str | None]:
-    """Number and path of the last completed version; ``(0, None)`` if none."""
+@dataclass(frozen=True)
+class Change:
+    """New rows of a table, or of some of its partitions.
+
+    ``replaced`` names the partitions (``column=value``, joined by ``/``) that
+    the rows stand for; the table's others stay, and one of them that has no row
+    left goes. Without it the rows are the whole table. ``even`` shuffles once
+    more for files of about equal size.
+    """
+
+    df: DataFrame
+    partition_by: Sequence[str] = ()
+    replaced: Collection[str] | None = None
+    even: bool = False
+
+
+def current_folders(spark: SparkSession, base: str) -> tuple[int, dict[str, tuple[str, str]]]:
+    """The last version and, by ``table:partition``, its folders; ``(0, {})`` if none."""
     try:
-        log = spark.read.schema(LOG_DDL).json(f"{base}/{table}/versions")
+        log = spark.read.schema(LOG_DDL).json(f"{base}/versions")
     except AnalysisException as error:
         if error.getCondition() != "PATH_NOT_FOUND":
             raise
-        return 0, None
-    last = log.agg(F.max(F.struct("version", "path")).alias("last")).first()["last"]
-    return (0, None) if last is None else (last["version"], last["path"])
+        return 0, {}
+    # A version is one entry, so the aggregate keeps one row per task.
+    last = log.agg(F.max_by(F.struct("version", "folders"), "version").alias("last")).first()["last"]
+    if last is None:
+        return 0, {}
+    folders = {key: (at["root"], at["partition"]) for key, at in last["folders"].items()}
+    return last["version"], folders
 
 
-def read_table(
-    spark: SparkSession, base: str, table: str, schema: str | None = None
+def read_folders(
+    spark: SparkSession,
+    folders: Mapping[str, tuple[str, str]],
+    table: str,
+    schema: str | None = None,
+    partitions: Collection[str] | None = None,
 ) -> DataFrame | None:
-    """The current version of a table, or None before the first one.
+    """A table of ``current_folders``, or only some partitions; None if there is none.
 
     With a ``schema`` no file is opened to find it.
     """
-    _, path = current_version(spark, base, table)
-    if path is None:
+    by_root: dict[str, list[str]] = {}
+    for key, (root, partition) in sorted(folders.items()):
+        name, _, _ = key.partition(":")
+        if name == table and (partitions is None or partition in partitions):
+            by_root.setdefault(root, []).append(f"{root}/{partition}" if partition else root)
+    if not by_root:
         return None
     reader = spark.read if schema is None else spark.read.schema(schema)
-    return reader.parquet(path)
+    parts = [reader.option("basePath", root).parquet(*paths) for root, paths in by_root.items()]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def read_table(
+    spark: SparkSession, base: str, table: str, schema: str | None = None
+) -> DataFrame | None:
+    """The current version of a table, or None before the first one."""
+    return read_folders(spark, current_folders(spark, base)[1], table, schema)
+
+
+def _written_partitions(spark: SparkSession, root: str, depth: int) -> list[str]:
+    """Partition folders below ``root``, from the store's listing."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root + "/*=*" * depth)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    found = [str(status.getPath().toString()) for status in store.globStatus(path)]
+    return ["/".join(name.split("/")[-depth:]) for name in found]
+
+
+def publish_tables(
+    spark: SparkSession,
+    base: str,
+    changes: Mapping[str, Change],
+    known: tuple[int, dict[str, tuple[str, str]]] | None = None,
+) -> dict[str, tuple[str, str]]:
+    """Write all changes, then make them current with one log entry.
+
+    The rows may read current tables. A failed run leaves a folder that no log
+    entry names; the next run takes the same number and replaces it. ``known``
+    is an earlier result of ``current_folders``, which saves reading the log.
+    Returns the folders of the new version.
+    """
+    version, folders = known if known is not None else current_folders(spark, base)
+    version += 1
+    folders = dict(folders)
+    for table, change in changes.items():
+        root = f"{base}/{table}/version={version}"
+        df = even_files(change.df) if change.even and not change.partition_by else change.df
+        overwrite(df, root, partition_by=change.partition_by)
+        for key in [key for key in folders if key.partition(":")[0] == table]:
+            if change.replaced is None or key.partition(":")[2] in change.replaced:
+                del folders[key]
+        if change.partition_by:
+            depth = len(change.partition_by)
+            for partition in _written_partitions(spark, root, depth):
+                folders[f"{table}:{partition}"] = (root, partition)
+        else:
+            folders[f"{table}:"] = (root, "")
+    entry = {
+        "version": pa.array([version], pa.int64()),
+        "folders": pa.array(
+            [[(key, {"root": r, "partition": p}) for key, (r, p) in folders.items()]],
+            pa.map_(
+                pa.string(), pa.struct([("root", pa.string()), ("partition", pa.string())])
+            ),
+        ),
+    }
+    local_rows(spark, entry, LOG_DDL).write.mode("append").json(f"{base}/versions")
+    return folders
 
 
 def publish_table(
@@ -54,19 +143,32 @@ def publish_table(
     partition_by: Sequence[str] = (),
     even: bool = False,
 ) -> DataFrame:
-    """Write ``df`` as the next version, make it current and read it back.
+    """Replace one table as a whole and read it back."""
+    spark = df.sparkSession
+    folders = publish_tables(spark, base, {table: Change(df, partition_by, even=even)})
+    stored = read_folders(spark, folders, table, None if partition_by else _ddl(df))
+    # A partitioned table without rows has no folder.
+    return df.limit(0) if stored is None else stored.select(*df.columns)
+
+
+def _ddl(df: DataFrame) -> str:
+    return ", ".join(f"`{name}` {data_type}" for name, data_type in df.dtypes)
+
 
-    ``df`` may read the current version. A failed run leaves a folder that no
-    log entry names; the next run takes the same number and replaces it. With
-    ``even`` one more shuffle brings many small pieces, such as a union leaves,
-    into files of about equal size.
+def remove_old_versions(spark: SparkSession, base: str) -> int:
+    """Remove the folders that the current version does not use; returns their number.
+
+    To be called when no reader of an older version is left.
     """
-    spark = df.sparkSession
-    version, _ = current_version(spark, base, table)
-    version += 1
-    path = f"{base}/{table}/version={version}"
-    overwrite(even_files(df) if even else df, path, partition_by=partition_by)
-    entry = {"version": pa.array([version], pa.int64()), "path": pa.array([path], pa.string())}
-    log = local_rows(spark, entry, LOG_DDL)
-    log.write.mode("append").json(f"{base}/{table}/versions")
-    return spark.read.schema(df.schema).parquet(path)
+    version, folders = current_folders(spark, base)
+    used = {root for root, _ in folders.values()}
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/*/version=*")
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    gone = 0
+    for status in store.globStatus(path):
+        found = str(status.getPath().toString())
+        table, number = found.split("/")[-2:]
+        if f"{base}/{table}/{number}" not in used and int(number.split("=")[1]) <= version:
+            remove_folder(spark, found)
+            gone += 1
+    return gone

@@ -1,8 +1,9 @@
-from lakeclerk.plans.copy import copy_table
+from lakeclerk.plans.copy import CopyLineage, copy_table
 from lakeclerk.plans.enrichment import Enrichment, EnrichmentResult
 from lakeclerk.plans.vaccination import EXTENDED_SCHEMA, vaccination_enrichment
 
 __all__ = [
+    "CopyLineage",
     "EXTENDED_SCHEMA",
     "Enrichment",
     "EnrichmentResult",

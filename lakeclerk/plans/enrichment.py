@@ -7,10 +7,11 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from lakeclerk.catalog import Catalog
+from lakeclerk.catalog import Catalog, Job
 from lakeclerk.operators.clean import ColumnRule, clean
 from lakeclerk.operators.enrich import enrich, unmatched_keys
-from lakeclerk.sinks.files import MERGE_BYTES, merge_files, overwrite
+from lakeclerk.operators.store import Change, current_folders, publish_tables, read_folders
+from lakeclerk.sinks.files import overwrite
 
 
 @dataclass(frozen=True)
@@ -24,8 +25,8 @@ class EnrichmentResult:
     extended: DataFrame
     left: DataFrame
     right: DataFrame
+    master: DataFrame
     unmatched: DataFrame
-    master_path: str
     scanned: DataFrame | None
 
 
@@ -49,6 +50,20 @@ class Enrichment:
         clean_right = clean(right, self.right_rules)
         return enrich(clean_left, clean_right, self.on), clean_left, clean_right
 
+    def jobs(self) -> list[Job]:
+        """The processes of a run: raw to clean twice, the join, the master copy."""
+        raw_left, raw_right = f"raw_{self.left_name}", f"raw_{self.right_name}"
+        return [
+            Job(f"{self.name}_{self.left_name}", [raw_left], [self.left_name]),
+            Job(f"{self.name}_{self.right_name}", [raw_right], [self.right_name]),
+            Job(self.name, [self.right_name, self.left_name], [self.extended_name]),
+            Job(f"{self.name}_master", [self.extended_name], [self.master_name]),
+        ]
+
+    @property
+    def master_name(self) -> str:
+        return f"master_{self.extended_name}"
+
     def run(
         self,
         left: DataFrame,
@@ -56,41 +71,71 @@ class Enrichment:
         base: str,
         fmt: str = "parquet",
         scan_level: str | None = None,
-        max_bytes: int = MERGE_BYTES,
+        partition_by: Sequence[str] = (),
+        partitions: Sequence[str] | None = None,
+        n_files: int | None = None,
     ) -> EnrichmentResult:
         """Write the clean and master zones, register them and their lineage.
 
         Each raw table is read once: the join reads the stored clean tables,
-        and the master copy reads the stored join. ``scan_level`` adds a scan
-        of both zones at the end.
+        and the master copy reads the stored join. Every zone switches to its
+        new tables at once, so a run that fails leaves the old ones.
+
+        ``partition_by`` are columns of the join that the extended and master
+        tables are partitioned by. A rerun of some ``partitions``, written
+        ``column=value``, replaces these and leaves the others and their files
+        as they are; the raw tables then hold what belongs to them. ``n_files``
+        is the number of files of an unpartitioned master table. ``scan_level``
+        adds a scan of both zones at the end, under the name of the plan.
+
+        Another ``fmt`` than Parquet overwrites its tables in place and has no
+        partitions; the format keeps the old versions itself.
         """
         spark = left.sparkSession
-
-        def stored(df: DataFrame, name: str) -> DataFrame:
-            path = overwrite(df, f"{base}/clean/{name}_data", fmt)
-            if fmt == "parquet":
-                return spark.read.schema(df.schema).parquet(path)
-            return spark.read.format(fmt).load(path)
-
-        clean_left = stored(clean(left, self.left_rules), self.left_name)
-        clean_right = stored(clean(right, self.right_rules), self.right_name)
-        extended = stored(enrich(clean_left, clean_right, self.on), self.extended_name)
+        cleaned = {
+            f"{self.left_name}_data": clean(left, self.left_rules),
+            f"{self.right_name}_data": clean(right, self.right_rules),
+        }
+        extended_data = f"{self.extended_name}_data"
+
+        def stored(zone: str, frames: dict[str, DataFrame], **options) -> list[DataFrame]:
+            if fmt != "parquet":
+                paths = [overwrite(df, f"{zone}/{name}", fmt) for name, df in frames.items()]
+                return [spark.read.format(fmt).load(path) for path in paths]
+            known = current_folders(spark, zone)
+            changes = {name: Change(df, **options) for name, df in frames.items()}
+            folders = publish_tables(spark, zone, changes, known)
+            found = [read_folders(spark, folders, name) for name in frames]
+            return [
+                df.limit(0) if back is None else back.select(*df.columns)
+                for back, df in zip(found, frames.values())
+            ]
+
+        clean_left, clean_right = stored(f"{base}/clean", cleaned)
+        options = {"partition_by": partition_by, "replaced": partitions}
+        joined = enrich(clean_left, clean_right, self.on)
+        (extended,) = stored(f"{base}/clean", {extended_data: joined}, **options)
+        copied = extended if n_files is None or partition_by else extended.repartition(n_files)
+        if partitions is not None:
+            # Only what this run made: the others are in the master table.
+            copied = joined
+        (master,) = stored(f"{base}/master", {extended_data: copied}, **options)
         catalog = Catalog(spark, f"{base}/catalog")
         catalog.define_types()
         catalog.record_run(
-            self.name,
-            {self.right_name: clean_right, self.left_name: clean_left},
-            {self.extended_name: extended},
+            {
+                f"raw_{self.left_name}": left,
+                f"raw_{self.right_name}": right,
+                self.left_name: clean_left,
+                self.right_name: clean_right,
+                self.extended_name: extended,
+                self.master_name: master,
+            },
+            self.jobs(),
         )
-
-        master = f"{base}/master/{self.extended_name}_data"
-        source = f"{base}/clean/{self.extended_name}_data"
-        if fmt == "parquet":
-            merge_files(spark, source, master, max_bytes=max_bytes)
-        else:
-            overwrite(extended, master)
         scanned = None
         if scan_level:
-            scanned = catalog.scan([f"{base}/clean", f"{base}/master"], scan_level)
+            zones = [f"{base}/clean", f"{base}/master"]
+            scanned = catalog.scan(zones, scan_level, "*.parquet", self.name)
         unmatched = unmatched_keys(clean_left, clean_right, self.on)
-        return EnrichmentResult(extended, clean_left, clean_right, unmatched, master, scanned)
+        return EnrichmentResult(extended, clean_left, clean_right, master, unmatched, scanned)

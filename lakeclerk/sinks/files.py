@@ -2,18 +2,12 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
 
-from lakeclerk.functions.sizing import stored_bytes
 from lakeclerk.sources.files import DELIMITER, ESCAPE, QUOTE, read_parquet
 
-# One writing task handles at most about this many stored bytes of a merge.
-MERGE_BYTES = 256 * 1024 * 1024
-
-
 def even_files(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Bring rows of one partition together in files of about equal size.
 
@@ -118,24 +112,25 @@ def merge_files(
     null_value: str | None = None,
     glob: str | None = None,
     recursive: bool = False,
-    max_bytes: int = MERGE_BYTES,
-) -> int:
-    """Write the stored Parquet table ``source`` to as few files as is safe.
-
-    A table of up to ``max_bytes`` becomes a single file. A larger one becomes
-    several files of about that size, because a single one would push the
-    whole table through one task. The size is the measured size of the stored
-    files, and ``prepare`` may only be a narrow projection, so reading for the
-    merge recomputes nothing upstream. ``recursive`` takes the files of any
-    folder below ``source``, without partition columns. Returns the number of
-    writing tasks.
+    n_files: int | None = None,
+    extension: str | None = None,
+) -> str:
+    """Write the stored Parquet table ``source`` anew, to ``n_files`` files if given.
+
+    Rows are dealt evenly over that number of files, whatever the size of the
+    table; one file means that one task writes the whole table, which is the
+    caller's decision. Without a number every reading task writes its file.
+    ``recursive`` takes the files of any folder below ``source``, without
+    partition columns. ``extension`` is that of text files.
     """
-    size = stored_bytes(spark, source, glob)
-    n_files = max(1, math.ceil(size / max_bytes))
-    stored = read_parquet(spark, source, glob=glob, recursive=recursive)
-    df = prepare(stored).coalesce(n_files)
+    df = prepare(read_parquet(spark, source, glob=glob, recursive=recursive))
+    if n_files is not None:
+        df = df.repartition(n_files)
     if text:
-        _quoted_text(df.write, True, null_value).csv(path)
+        writer = _quoted_text(df.write, True, null_value)
+        if extension:
+            writer = writer.option("extension", extension)
+        writer.csv(path)
     else:
         df.write.mode("overwrite").parquet(path)
-    return n_files
+    return path

@@ -1,3 +1,3 @@
-from lakeclerk.streaming.discovery import FULL, INCREMENTAL, discover_new_files, scan
+from lakeclerk.streaming.discovery import FULL, INCREMENTAL, read_inventory, scan
 
-__all__ = ["FULL", "INCREMENTAL", "discover_new_files", "scan"]
+__all__ = ["FULL", "INCREMENTAL", "read_inventory", "scan"]

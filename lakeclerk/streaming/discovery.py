@@ -1,86 +1,68 @@
-"""Incremental discovery of stored files."""
+"""Scans of stored files, each under its own name."""
 
 from __future__ import annotations
 
-from pyspark.errors import AnalysisException
+from collections.abc import Sequence
+
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from lakeclerk.operators.inventory import (
-    compare_snapshots,
-    file_inventory,
-    inventory_columns,
-)
-from lakeclerk.operators.store import publish_table, read_table
+from lakeclerk.functions.sizing import local_rows
+from lakeclerk.operators.inventory import compare_snapshots, file_inventory
+from lakeclerk.operators.store import Change, current_folders, publish_tables, read_folders
 
 # The two scan levels.
 FULL = "Full"
 INCREMENTAL = "Incremental"
 
-# A stream takes no schema from the format by itself.
-FILE_SCHEMA = "path string, modificationTime timestamp, length bigint, content binary"
 INVENTORY_DDL = "path string, modified_at timestamp, n_bytes bigint"
+SCANS_DDL = "paths array<string>, glob string"
 
 
-def discover_new_files(
-    spark: SparkSession,
-    path: str,
-    base: str,
-    glob: str | None = None,
-    files_per_batch: int | None = None,
-) -> DataFrame:
-    """Append files not seen by an earlier run, and read all seen so far.
-
-    The checkpoint below ``base`` remembers what was seen, so a run that was
-    cut short goes on where it stopped and lists nothing twice. A file stream
-    knows paths only: changed and removed files come from ``scan``.
-    """
-    stream = (
-        spark.readStream.format("binaryFile")
-        .schema(FILE_SCHEMA)
-        .option("recursiveFileLookup", True)
-        # By default a file a week older than the newest one is passed over.
-        .option("maxFileAge", "36500d")
-    )
-    if glob:
-        stream = stream.option("pathGlobFilter", glob)
-    if files_per_batch:
-        stream = stream.option("maxFilesPerTrigger", files_per_batch)
-    query = (
-        inventory_columns(stream.load(path))
-        .writeStream.format("parquet")
-        .option("path", f"{base}/discovered/files")
-        .option("checkpointLocation", f"{base}/discovered/checkpoint")
-        .trigger(availableNow=True)
-        .start()
-    )
-    query.awaitTermination()
-    try:
-        return spark.read.schema(INVENTORY_DDL).parquet(f"{base}/discovered/files")
-    except AnalysisException as error:
-        # Nothing is written before the first file turns up.
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return spark.createDataFrame([], INVENTORY_DDL)
+def read_inventory(spark: SparkSession, base: str, name: str) -> DataFrame:
+    """The files that the last scan of this name found; empty before the first."""
+    found = read_folders(spark, current_folders(spark, base)[1], f"inventory_{name}", INVENTORY_DDL)
+    return spark.createDataFrame([], INVENTORY_DDL) if found is None else found
 
 
 def scan(
     spark: SparkSession,
-    path: str,
+    path: str | Sequence[str],
     base: str,
     level: str = INCREMENTAL,
     glob: str | None = None,
+    name: str = "default",
 ) -> DataFrame:
-    """Scan ``path`` and keep the inventory below ``base``.
+    """Scan ``path`` and keep the inventory of the scan ``name`` below ``base``.
 
     A full scan returns every file. An incremental one returns what was added,
-    changed or removed since the last scan of either level; the first one has
-    nothing to compare with and reports every file as added.
+    changed or removed since the last scan of the same name, of either level;
+    the first one has nothing to compare with and reports every file as added.
+    Scans of other names do not disturb it. A name stays with its paths and its
+    glob: scanning others under it is an error, as all files would seem new.
+    The comparison is one join on executors; no path is remembered elsewhere.
     """
     if level not in (FULL, INCREMENTAL):
         raise ValueError(f"level should be {FULL!r} or {INCREMENTAL!r}")
-    before = read_table(spark, base, "inventory")
-    after = publish_table(file_inventory(spark, path, glob), base, "inventory")
+    paths = [path] if isinstance(path, str) else list(path)
+    known = current_folders(spark, base)
+    declared = read_folders(spark, known[1], f"scan_{name}", SCANS_DDL)
+    changes = {}
+    if declared is None:
+        declaration = {
+            "paths": pa.array([paths], pa.list_(pa.string())),
+            "glob": pa.array([glob], pa.string()),
+        }
+        changes[f"scan_{name}"] = Change(local_rows(spark, declaration, SCANS_DDL))
+    else:
+        row = declared.first()
+        if (list(row.paths), row.glob) != (paths, glob):
+            raise ValueError(f"scan {name!r} is of {row.paths} with glob {row.glob!r}")
+    before = read_folders(spark, known[1], f"inventory_{name}", INVENTORY_DDL)
+    changes[f"inventory_{name}"] = Change(file_inventory(spark, paths, glob))
+    folders = publish_tables(spark, base, changes, known)
+    after = read_folders(spark, folders, f"inventory_{name}", INVENTORY_DDL)
     if level == FULL:
         return after
     if before is None:

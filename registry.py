@@ -3,17 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from lakeclerk import Catalog
 from lakeclerk.functions import (
+    conversion_losses,
     convert,
     entity_guid,
     new_folder,
     select_strict,
-    stored_bytes,
     tolerant_cast,
 )
 from lakeclerk.operators import (
@@ -22,6 +24,7 @@ from lakeclerk.operators import (
     cardinality_violations,
     clean,
     column_profile,
+    compare_snapshots,
     delete_entities,
     enrich,
     entity_rows,
@@ -45,12 +48,12 @@ from lakeclerk.operators import (
     type_definitions,
     unmatched_keys,
     upsert,
+    with_members,
 )
 from lakeclerk.plans import Enrichment, copy_table
 from lakeclerk.sinks import merge_files, overwrite, overwrite_partitions, write_csv
-from lakeclerk.sinks.files import MERGE_BYTES
 from lakeclerk.sources import check_schema, read_csv, read_parquet, text_schema
-from lakeclerk.streaming import FULL, INCREMENTAL, discover_new_files, scan
+from lakeclerk.streaming import FULL, INCREMENTAL, scan
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -211,20 +214,36 @@ def csv_null_token(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path, schema=schema, null_value="-99")
 
 
-@query("SELECT doc_id, text, lang, source, n_chars FROM documents")
+# Text with line breaks is read one file per task, so files are cut by rows.
+FILE_ROWS = 100
+
+
+def in_bounded_files(back: DataFrame) -> DataFrame:
+    """``back`` with whether no file has more than FILE_ROWS rows, and enough files are there."""
+    sizes = back.groupBy(F.input_file_name().alias("file")).agg(F.count("*").alias("n"))
+    found = sizes.agg(F.max("n"), F.count("*"), F.sum("n")).first()
+    bounded = found[0] <= FILE_ROWS and found[1] >= -(-found[2] // FILE_ROWS)
+    return back.withColumn("files_are_bounded", F.lit(bounded))
+
+
+@query("SELECT doc_id, text, lang, source, n_chars, true AS files_are_bounded FROM documents")
 def csv_quoted_multiline(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Whole texts with line breaks and quotes survive quoted text files."""
     documents = table(spark, sf_dir, "documents")
-    path = write_csv(documents, new_folder(spark, "csv"), null_value="\\N")
-    return read_csv(spark, path, schema=documents.schema, null_value="\\N", multi_line=True)
+    path = write_csv(
+        documents, new_folder(spark, "csv"), null_value="\\N", file_rows=FILE_ROWS
+    )
+    back = read_csv(spark, path, schema=documents.schema, null_value="\\N", multi_line=True)
+    return in_bounded_files(back)
 
 
-@query("SELECT page_id, url, html FROM pages")
+@query("SELECT page_id, url, html, true AS files_are_bounded FROM pages")
 def csv_quoted_markup(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Markup is dense in quotes, backslashes and delimiters."""
     pages = table(spark, sf_dir, "pages")
-    path = write_csv(pages, new_folder(spark, "csv"), null_value="\\N")
-    return read_csv(spark, path, schema=pages.schema, null_value="\\N", multi_line=True)
+    path = write_csv(pages, new_folder(spark, "csv"), null_value="\\N", file_rows=FILE_ROWS)
+    back = read_csv(spark, path, schema=pages.schema, null_value="\\N", multi_line=True)
+    return in_bounded_files(back)
 
 
 @query("SELECT * FROM lineitem")
@@ -309,24 +328,22 @@ def dynamic_partition_overwrite(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_parquet(spark, path)
 
 
-@query("SELECT *, true AS files_are_fewest FROM orders")
+@query("SELECT *, 3::BIGINT AS n_files FROM orders")
 def merged_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """A stored table of many files, merged to the fewest the bound allows."""
+    """A stored table of eight files, merged to the three asked for."""
     source = overwrite(
         table(spark, sf_dir, "orders").repartition(8, "o_orderkey"), new_folder(spark, "parts")
     )
-    path = new_folder(spark, "merged")
-    merge_files(spark, source, path)
-    bound = -(-stored_bytes(spark, source) // MERGE_BYTES)
+    path = merge_files(spark, source, new_folder(spark, "merged"), n_files=3)
     n_files = file_inventory(spark, path, "*.parquet").count()
-    return read_parquet(spark, path).withColumn("files_are_fewest", F.lit(n_files <= bound))
+    return read_parquet(spark, path).withColumn("n_files", F.lit(n_files).cast("bigint"))
 
 
 @query(
     """
     SELECT o_orderkey, trunc(o_totalprice)::BIGINT AS o_totalprice, o_orderpriority,
            CASE WHEN o_orderpriority = '1-URGENT' THEN 'true' ELSE 'false' END AS is_urgent,
-           o_orderstatus
+           o_orderstatus, 2::BIGINT AS n_files
     FROM orders
     """
 )
@@ -347,12 +364,16 @@ def copy_typed(spark: SparkSession, sf_dir: str) -> DataFrame:
         path,
         {"o_totalprice": "bigint", "is_urgent": "string"},
         glob="*.parquet",
+        n_files=2,
+        extension="txt",
     )
+    n_files = file_inventory(spark, path, "*.txt").count()
     schema = (
         "o_orderkey bigint, o_totalprice bigint, o_orderpriority string, "
         "is_urgent string, o_orderstatus string"
     )
-    return read_csv(spark, path, schema=schema)
+    back = read_csv(spark, path, schema=schema)
+    return back.withColumn("n_files", F.lit(n_files).cast("bigint"))
 
 
 @query(
@@ -451,6 +472,51 @@ def convert_types(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    SELECT 'key' AS column_name, count(*) FILTER (l_orderkey > 32767) AS n_misfits FROM lineitem
+    UNION ALL SELECT 'price', count(*) FILTER (trunc(l_extendedprice * 100000) > 2147483647)
+    FROM lineitem
+    UNION ALL SELECT 'text', count(*) FILTER (l_returnflag = 'R') FROM lineitem
+    UNION ALL SELECT 'tax', count(*) FILTER (round(l_tax, 1) <> l_tax) FROM lineitem
+    """
+)
+def conversion_misfits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Values that overflow, lose digits or do not parse; a text fraction is cut."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        F.col("l_orderkey").alias("key"),
+        (F.col("l_extendedprice") * 100000).alias("price"),
+        F.when(F.col("l_returnflag") == "R", F.lit("..."))
+        .otherwise(F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(".7")))
+        .alias("text"),
+        F.col("l_tax").cast("decimal(6,2)").alias("tax"),
+    )
+    cut = conversion_losses(lines, {"key": "smallint", "price": "int", "text": "int"})
+    exact = conversion_losses(lines, {"tax": "decimal(6,1)"}, allow_truncation=False)
+    return cut.unionByName(exact)
+
+
+@query(
+    """
+    SELECT l_orderkey, l_linenumber,
+           CASE WHEN l_returnflag <> 'R' THEN l_quantity::INTEGER END AS quantity,
+           CASE WHEN l_partkey <= 127 THEN l_partkey::TINYINT END AS part
+    FROM lineitem
+    """
+)
+def conversion_to_null(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values that do not fit become null where that is asked for."""
+    lines = table(spark, sf_dir, "lineitem").select(
+        "l_orderkey",
+        "l_linenumber",
+        F.when(F.col("l_returnflag") == "R", F.lit("..."))
+        .otherwise(F.concat(F.col("l_quantity").cast("int").cast("string"), F.lit(".7")))
+        .alias("quantity"),
+        F.col("l_partkey").alias("part"),
+    )
+    return convert(lines, {"quantity": "int", "part": "tinyint"}, on_misfit="null")
+
+
 @query(
     """
     SELECT o_orderkey AS order_key,
@@ -594,39 +660,84 @@ def extended_orders_stored(spark: SparkSession, sf_dir: str) -> DataFrame:
         base,
         scan_level=INCREMENTAL,
     )
-    return read_parquet(spark, result.master_path)
+    return result.master
 
 
 @query(
     """
-    SELECT 'clean_orders' AS origin, count(*) AS n_rows FROM orders
+    SELECT 'left' AS side, o_custkey AS custkey, count(*) AS n_rows FROM orders
+    WHERE o_custkey NOT IN (SELECT c_custkey FROM customer WHERE c_acctbal > 0)
+    GROUP BY o_custkey
+    UNION ALL
+    SELECT 'right', c_custkey, count(*) FROM customer
+    WHERE c_acctbal > 0 AND c_custkey NOT IN (SELECT o_custkey FROM orders) GROUP BY c_custkey
+    """
+)
+def extended_orders_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the stored run's join left out: customers in debt are not delivered."""
+    base = new_folder(spark, "zones")
+    customers = table(spark, sf_dir, "customer").filter(F.col("c_acctbal") > 0)
+    result = EXTENDED_ORDERS.run(raw_orders(spark, sf_dir), customers, base)
+    return result.unmatched
+
+
+@query(
+    """
+    SELECT c_custkey AS custkey, o_orderkey AS order_key, o_orderstatus AS order_status,
+           CASE WHEN o_orderstatus = 'P' THEN -1.0::DOUBLE WHEN o_orderpriority = '5-LOW' THEN NULL
+                ELSE o_totalprice END AS total_price,
+           c_mktsegment AS market_segment, c_acctbal AS account_balance
+    FROM orders JOIN customer ON o_custkey = c_custkey
+    """
+)
+def extended_orders_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One partition is run again with other prices; the others stay."""
+    base = new_folder(spark, "zones")
+    orders, customers = raw_orders(spark, sf_dir), table(spark, sf_dir, "customer")
+    keys = ["order_status"]
+    EXTENDED_ORDERS.run(orders, customers, base, partition_by=keys)
+    pending = orders.filter(F.col("Order status") == "P").withColumn(
+        "Total price (USD)", F.lit("-1")
+    )
+    again = EXTENDED_ORDERS.run(
+        pending, customers, base, partition_by=keys, partitions=["order_status=P"]
+    )
+    return again.master
+
+
+@query(
+    """
+    SELECT 'raw_clean_orders' AS origin, count(*) AS n_rows FROM orders
+    UNION ALL SELECT 'raw_clean_customers', count(*) FROM customer
+    UNION ALL SELECT 'clean_orders', count(*) FROM orders
     UNION ALL SELECT 'clean_customers', count(*) FROM customer
-    UNION ALL SELECT 'extended_orders_job', count(*)
+    UNION ALL SELECT 'extended_orders', count(*)
     FROM orders JOIN customer ON o_custkey = c_custkey
     """
 )
 def extended_orders_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Origins of the stored result, read back from the catalogue of the run."""
+    """Origins of the master table back to the raw ones, from the catalogue of the run."""
     base = new_folder(spark, "zones")
     result = EXTENDED_ORDERS.run(
         raw_orders(spark, sf_dir), table(spark, sf_dir, "customer"), base
     )
-    entities = read_table(spark, f"{base}/catalog", "entities")
-    names = entities.select(F.col("guid").alias("origin"), "type_name", "name")
-    target = entities.filter(F.col("name") == "extended_orders").select(
-        F.col("guid").alias("node"), F.col("type_name")
-    )
-    hops = lineage_hops(read_table(spark, f"{base}/catalog", "lineage_edges"))
-    origins = trace_origins(hops, target.filter(F.col("type_name") != "custom_spark_job_process"))
-    counts = counted(result.left, "clean_orders").union(
-        counted(result.right, "clean_customers")
-    ).union(counted(result.extended, "extended_orders_job"))
-    label = F.when(
-        F.col("type_name") == "custom_spark_job_process", F.concat("name", F.lit("_job"))
-    ).otherwise(F.col("name"))
-    return (
-        origins.join(names, "origin").select(label.alias("origin")).join(counts, "origin")
+    catalog = Catalog(spark, f"{base}/catalog")
+    names = catalog.read("entities").select(F.col("guid").alias("origin"), "type_name", "name")
+    is_table = F.col("type_name") == "custom_delta_table"
+    target = names.filter(is_table & (F.col("name") == EXTENDED_ORDERS.master_name))
+    origins = catalog.origins(target.select(F.col("origin").alias("node")))
+    counts = reduce(
+        DataFrame.union,
+        [
+            counted(raw_orders(spark, sf_dir), "raw_clean_orders"),
+            counted(table(spark, sf_dir, "customer"), "raw_clean_customers"),
+            counted(result.left, "clean_orders"),
+            counted(result.right, "clean_customers"),
+            counted(result.extended, "extended_orders"),
+        ],
     )
+    found = origins.join(names.filter(is_table), "origin").select(F.col("name").alias("origin"))
+    return found.join(counts, "origin")
 
 
 def counted(df: DataFrame, name: str) -> DataFrame:
@@ -745,7 +856,7 @@ def latest_version(spark: SparkSession, sf_dir: str) -> DataFrame:
     """
     SELECT event_type AS type_name, 'user://' || user_id AS qualified_name,
            md5(event_type || '|user://' || user_id) AS guid,
-           ts AS seen_at, value AS seen_value
+           ts AS seen_at, value AS seen_value, props->>'k' AS k
     FROM events
     QUALIFY row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts DESC, value DESC) = 1
     """
@@ -763,15 +874,36 @@ def entity_upsert(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
     is_early = F.col("updated_at.ts") < F.lit("2024-01-10").cast("timestamp_ntz")
     base = new_folder(spark, "catalog")
-    first = publish_table(upsert(None, entities.filter(is_early)), base, "entities")
-    second = publish_table(upsert(first, entities.filter(~is_early)), base, "entities")
+    first = publish_table(upsert(None, entities.filter(is_early)).merged, base, "entities")
+    second = publish_table(upsert(first, entities.filter(~is_early)).merged, base, "entities")
     return second.select(
         "type_name",
         "qualified_name",
         "guid",
         F.col("updated_at.ts").alias("seen_at"),
         F.col("updated_at.value").alias("seen_value"),
+        F.col("attributes")["k"].alias("k"),
+    )
+
+
+@query(
+    """
+    SELECT event_id, props->>'k' AS k FROM events
+    WHERE event_type IN ('view', 'error') OR user_id IS NULL
+    """
+)
+def entity_upsert_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that lack a part of the key are handed back with what they hold."""
+    events = table(spark, sf_dir, "events")
+    entities = events.select(
+        F.when(F.col("event_type") != "error", F.col("event_type")).alias("type_name"),
+        F.when(F.col("event_type") != "view", keyed("user", "user_id")).alias("qualified_name"),
+        "event_id",
+        F.from_json("props", "map<string,string>").alias("attributes"),
+        F.col("ts").alias("updated_at"),
     )
+    rejected = upsert(None, entities).rejected
+    return rejected.select("event_id", F.col("attributes")["k"].alias("k"))
 
 
 @query(
@@ -859,6 +991,36 @@ def entity_delete(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    """
+    SELECT md5('part|part://' || p_partkey) AS guid FROM part
+    WHERE p_size % 2 = 1 OR p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 50)
+    UNION ALL SELECT DISTINCT md5('brand|brand://' || p_brand) FROM part
+    WHERE p_brand NOT IN (SELECT p_brand FROM part WHERE p_size = 50)
+    """
+)
+def entity_delete_members(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A brand contains its parts of even size, which go with it; others it only names."""
+    parts = table(spark, sf_dir, "part")
+    brands = parts.select("p_brand").distinct()
+    entities = as_entities(parts, "part", "p_partkey", "p_name").unionByName(
+        as_entities(brands, "brand", "p_brand", "p_brand")
+    )
+    links = parts.select(
+        F.when(F.col("p_size") % 2 == 0, F.lit("custom_delta_table_columns"))
+        .otherwise(F.lit("names"))
+        .alias("type_name"),
+        entity_guid(F.lit("brand"), keyed("brand", "p_brand")).alias("end1_guid"),
+        entity_guid(F.lit("part"), keyed("part", "p_partkey")).alias("end2_guid"),
+    )
+    large = parts.filter(F.col("p_size") == 50).select("p_brand").distinct()
+    named = as_entities(large, "brand", "p_brand", "p_brand").select("guid")
+    gone = with_members(named, links, type_definitions(spark))
+    no_edges = spark.createDataFrame([], "process_guid string, direction string, entity_guid string")
+    kept, _, _ = delete_entities(gone, entities, links, no_edges)
+    return kept.select("guid")
+
+
 @query(
     """
     SELECT DISTINCT md5('supplies|' || md5('supplier|supplier://' || l_suppkey) || '|'
@@ -1107,10 +1269,70 @@ def origin_hops(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-@query(ORIGIN_HOPS_SQL + "GROUP BY node, origin")
+@query(ORIGIN_HOPS_SQL + "WHERE node LIKE 'order://%' GROUP BY node, origin")
 def lineage_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All origins of everything, over all hops."""
-    return trace_origins(origin_hops(spark, sf_dir))
+    """All origins of the orders, over all hops."""
+    targets = table(spark, sf_dir, "orders").select(keyed("order", "o_orderkey").alias("node"))
+    return trace_origins(origin_hops(spark, sf_dir), targets)
+
+
+@query(
+    """
+    SELECT 'rejected' AS kind, doc_id::VARCHAR AS name FROM documents
+    WHERE doc_id IN (SELECT doc_id FROM labels)
+    UNION ALL SELECT 'unresolved', doc_id::VARCHAR FROM documents
+    WHERE doc_id NOT IN (SELECT doc_id FROM labels)
+    """
+)
+def lineage_rejected(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Processes that lack a required attribute are handed back, and no edge is stored."""
+    documents = table(spark, sf_dir, "documents").select("doc_id", "lang")
+    labels = table(spark, sf_dir, "labels").withColumn("name", F.col("quality").cast("string"))
+    catalog = Catalog(spark, new_folder(spark, "catalog"))
+    required = type_definitions(spark).withColumn(
+        "attribute_defs",
+        F.when(
+            F.col("name") == "custom_spark_job_process",
+            F.transform(
+                "attribute_defs",
+                lambda rule: F.struct(
+                    F.lit("owner").alias("name"),
+                    F.lit(False).alias("is_optional"),
+                    F.lit(None).cast("string").alias("default_value"),
+                ),
+            ),
+        ).otherwise(F.col("attribute_defs")),
+    )
+    catalog.define_types(required)
+    catalog.put_entities(
+        as_entities(documents, "document", "doc_id", "lang").unionByName(
+            as_entities(labels, "label", "doc_id", "name")
+        )
+    )
+    references = documents.select(
+        F.col("doc_id").cast("string").alias("process_name"),
+        F.inline(
+            F.array(
+                F.struct(
+                    F.lit("input").alias("direction"),
+                    F.lit("document").alias("type_name"),
+                    keyed("document", "doc_id").alias("qualified_name"),
+                ),
+                F.struct(
+                    F.lit("output").alias("direction"),
+                    F.lit("label").alias("type_name"),
+                    keyed("label", "doc_id").alias("qualified_name"),
+                ),
+            )
+        ),
+    )
+    recorded = catalog.record_references(references)
+    stored = catalog.read("lineage_edges").select(F.lit("edge"), "process_guid")
+    return (
+        recorded.rejected.select(F.lit("rejected").alias("kind"), "name")
+        .union(recorded.unresolved.select(F.lit("unresolved"), "process_name"))
+        .union(stored)
+    )
 
 
 @query(ORIGIN_HOPS_SQL + "WHERE node LIKE 'supplier://%' GROUP BY node, origin")
@@ -1124,87 +1346,144 @@ def lineage_of_targets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    " UNION ALL ".join(
-        f"SELECT '{name}.parquet' AS file_name, count(*) >= 0 AS has_bytes FROM {name}"
-        for name in TABLES
+    """
+    SELECT name, n_files, n_bytes FROM (
+        SELECT 'parts' AS name, 4::BIGINT AS n_files, sum(strlen(p_name) + 1)::BIGINT AS n_bytes
+        FROM part
+        UNION ALL SELECT 'customers', 2, sum(strlen(c_name) + 1)::BIGINT FROM customer
     )
+    """
 )
 def inventory_full(spark: SparkSession, sf_dir: str) -> DataFrame:
-    files = scan(spark, sf_dir, new_folder(spark, "inventory"), FULL, "*.parquet")
-    return files.select(
-        F.regexp_extract("path", r"([^/]+)$", 1).alias("file_name"),
-        (F.col("n_bytes") > 0).alias("has_bytes"),
+    """Files and bytes of two text tables; a line has its bytes and a line feed."""
+    path, base = new_folder(spark, "lines"), new_folder(spark, "inventory")
+    table(spark, sf_dir, "part").select("p_name").repartition(4).write.text(f"{path}/parts")
+    table(spark, sf_dir, "customer").select("c_name").repartition(2).write.text(f"{path}/customers")
+    files = scan(spark, path, base, FULL, "*.txt", "lines")
+    return files.groupBy(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("name")).agg(
+        F.count("*").alias("n_files"), F.sum("n_bytes").alias("n_bytes")
     )
 
 
 @query(
     """
-    SELECT 'lineitem' AS resource_set, count(*) AS n_directories FROM (
+    SELECT 'lineitem' AS name, count(*) AS n_directories FROM (
         SELECT DISTINCT l_returnflag, l_linestatus FROM lineitem)
     UNION ALL SELECT 'orders', count(DISTINCT o_orderstatus) FROM orders
-    UNION ALL SELECT 'documents', count(DISTINCT lang) FROM documents
     UNION ALL SELECT 'events', 1 FROM events HAVING count(*) > 0
     """
 )
-def resource_set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Partitioned tables, each many part files, shown as one asset each."""
-    base = new_folder(spark, "sets")
+def scanned_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Scanned resource sets are entities that a lookup by the default type finds."""
+    path, catalog = new_folder(spark, "sets"), Catalog(spark, new_folder(spark, "catalog"))
     for name, keys in (
         ("lineitem", ["l_returnflag", "l_linestatus"]),
         ("orders", ["o_orderstatus"]),
-        ("documents", ["lang"]),
         ("events", []),
     ):
-        overwrite(table(spark, sf_dir, name), f"{base}/{name}", partition_by=keys)
-    sets = resource_sets(file_inventory(spark, base, "*.parquet"))
-    return sets.select(
-        F.regexp_extract("resource_set", r"([^/]+)$", 1).alias("resource_set"), "n_directories"
+        overwrite(table(spark, sf_dir, name), f"{path}/{name}", partition_by=keys)
+    files = catalog.scan(path, FULL, "*.parquet", "sets")
+    sets = resource_sets(files)
+    found = catalog.resolve(sets.select(F.col("resource_set").alias("qualified_name")))
+    return found.filter(F.col("guid").isNotNull()).join(
+        sets, F.col("qualified_name") == F.col("resource_set")
+    ).select("name", "n_directories")
+
+
+# Files of a table that does not exist, made up from the rows of one that does.
+EVENT_FILES_SQL = """
+    SELECT 'lake/events/event_type=' || event_type || '/day=' || strftime(ts, '%Y-%m-%d')
+               || '/part-' || event_id AS path,
+           'lake/events' AS resource_set,
+           event_type || '/' || strftime(ts, '%Y-%m-%d') AS directory,
+           ts AS modified_at, user_id AS n_bytes
+    FROM events
+"""
+
+
+def event_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return table(spark, sf_dir, "events").select(
+        F.concat_ws(
+            "/",
+            F.lit("lake/events"),
+            F.concat(F.lit("event_type="), "event_type"),
+            F.concat(F.lit("day="), F.date_format("ts", "yyyy-MM-dd")),
+            F.concat(F.lit("part-"), F.col("event_id").cast("string")),
+        ).alias("path"),
+        F.col("ts").alias("modified_at"),
+        F.col("user_id").alias("n_bytes"),
     )
 
 
 @query(
+    f"""
+    SELECT resource_set, count(DISTINCT directory) AS n_directories, count(*) AS n_files,
+           sum(n_bytes)::BIGINT AS n_bytes, max(modified_at) AS modified_at
+    FROM ({EVENT_FILES_SQL}) GROUP BY resource_set
     """
-    SELECT DISTINCT 'o_orderstatus=' || o_orderstatus AS directory, change
-    FROM orders, (VALUES ('P', 'added'), ('P', 'removed'), ('F', 'added')) AS v(status, change)
-    WHERE o_orderstatus = status
+)
+def resource_set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A partitioned table of very many part files, shown as one asset."""
+    return resource_sets(event_files(spark, sf_dir))
+
+
+@query(
+    """
+    SELECT 'order-' || o_orderkey AS path,
+           CASE WHEN o_orderpriority = '1-URGENT' THEN 'added'
+                WHEN o_orderpriority = '5-LOW' THEN 'removed' ELSE 'changed' END AS change,
+           CASE WHEN o_orderpriority <> '5-LOW' THEN o_orderdate END AS modified_at,
+           CASE WHEN o_orderpriority <> '5-LOW'
+                THEN o_custkey + (o_orderstatus = 'P')::INTEGER END AS n_bytes
+    FROM orders
+    WHERE o_orderpriority IN ('1-URGENT', '5-LOW') OR o_orderstatus = 'P'
     """
 )
 def inventory_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Scan, rewrite one partition and extend another, scan for the changes."""
+    """Snapshots made of orders: urgent files are new, low ones gone, pending ones grew."""
     orders = table(spark, sf_dir, "orders")
-    path = overwrite(orders, new_folder(spark, "partitioned"), partition_by=["o_orderstatus"])
-    base = new_folder(spark, "inventory")
-    scan(spark, path, base, FULL, "*.parquet")
-    pending = orders.filter(F.col("o_orderstatus") == "P")
-    overwrite_partitions(pending, path, ["o_orderstatus"])
-    finished = orders.filter(F.col("o_orderstatus") == "F")
-    finished.write.mode("append").partitionBy("o_orderstatus").parquet(path)
-    changes = scan(spark, path, base, INCREMENTAL, "*.parquet")
-    return changes.select(
-        F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("directory"), "change"
-    ).distinct()
+    files = orders.select(
+        F.concat(F.lit("order-"), F.col("o_orderkey").cast("string")).alias("path"),
+        F.col("o_orderdate").alias("modified_at"),
+        F.col("o_custkey").alias("n_bytes"),
+        "o_orderpriority",
+        (F.col("o_orderstatus") == "P").cast("int").alias("grown"),
+    )
+    before = files.filter(F.col("o_orderpriority") != "1-URGENT")
+    after = files.filter(F.col("o_orderpriority") != "5-LOW").withColumn(
+        "n_bytes", F.col("n_bytes") + F.col("grown")
+    )
+    return compare_snapshots(before, after)
 
 
 @query(
     """
-    SELECT DISTINCT 'event_type=' || event_type AS directory, true AS seen_once FROM events
+    SELECT scan, 'event_type=' || event_type AS directory, min(change) AS change FROM (
+        SELECT 'late' AS scan, event_type, 'added' AS change FROM events
+        WHERE event_type = 'purchase'
+        UNION ALL SELECT 'other', event_type, 'added' FROM events WHERE event_type = 'purchase'
+    ) GROUP BY scan, event_type
     """
 )
 def inventory_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Two incremental runs over a growing folder; no file is listed twice."""
+    """Incremental scans of two paths under two names do not disturb each other."""
     events = table(spark, sf_dir, "events")
     path, base = new_folder(spark, "partitioned"), new_folder(spark, "inventory")
     purchases = F.col("event_type") == "purchase"
-    overwrite(events.filter(~purchases), path, partition_by=["event_type"])
-    discover_new_files(spark, path, base, "*.parquet")
-    events.filter(purchases).write.mode("append").partitionBy("event_type").parquet(path)
-    files = discover_new_files(spark, path, base, "*.parquet")
-    return (
-        files.groupBy("path")
-        .agg(F.count("*").alias("n_seen"))
-        .groupBy(F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("directory"))
-        .agg((F.max("n_seen") == 1).alias("seen_once"))
-    )
+    found = None
+    for name in ("late", "other"):
+        overwrite(events.filter(~purchases), f"{path}/{name}", partition_by=["event_type"])
+        scan(spark, f"{path}/{name}", base, INCREMENTAL, "*.parquet", name)
+        overwrite_partitions(events.filter(purchases), f"{path}/{name}", ["event_type"])
+    for name in ("late", "other"):
+        files = scan(spark, f"{path}/{name}", base, INCREMENTAL, "*.parquet", name)
+        files = files.select(
+            F.lit(name).alias("scan"),
+            F.regexp_extract("path", r"([^/]+)/[^/]+$", 1).alias("directory"),
+            "change",
+        ).distinct()
+        found = files if found is None else found.unionByName(files)
+    return found
 
 
 # ---------------------------------------------------------------- profile
@@ -1213,16 +1492,15 @@ def inventory_new_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 def profile_sql(name: str) -> str:
     parts = []
     for ordinal, (column, data_type) in enumerate(TABLES[name].items(), start=1):
-        numeric = data_type in ("int", "bigint", "double")
-        least, greatest = f"min({column})", f"max({column})"
+        ordered = data_type != "string"
+        # Only the digits of a double are written in different ways.
+        text = "::DECIMAL(18,2)::VARCHAR" if data_type == "double" else "::VARCHAR"
         parts.append(
             f"""
             SELECT {ordinal} AS ordinal, '{column}' AS column_name, count(*) AS n_rows,
                    count(*) - count({column}) AS n_nulls,
-                   {least + '::DOUBLE' if numeric else 'NULL::DOUBLE'} AS least_number,
-                   {greatest + '::DOUBLE' if numeric else 'NULL::DOUBLE'} AS greatest_number,
-                   {'NULL::VARCHAR' if numeric else least + '::VARCHAR'} AS least_text,
-                   {'NULL::VARCHAR' if numeric else greatest + '::VARCHAR'} AS greatest_text
+                   {f'min({column}){text}' if ordered else 'NULL::VARCHAR'} AS least,
+                   {f'max({column}){text}' if ordered else 'NULL::VARCHAR'} AS greatest
             FROM {name}
             """
         )
@@ -1231,12 +1509,37 @@ def profile_sql(name: str) -> str:
 
 @query(profile_sql("lineitem"))
 def column_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return column_profile(table(spark, sf_dir, "lineitem"))
+    """Exact whole numbers, decimals and times; free text has no range."""
+    lines = table(spark, sf_dir, "lineitem")
+    doubles = [name for name, data_type in lines.dtypes if data_type == "double"]
+    exact = lines.withColumns({name: F.col(name).cast("decimal(18,2)") for name in doubles})
+    return column_profile(exact)
 
 
-@query()
+@query(
+    " UNION ALL ".join(
+        f"SELECT {i} AS ordinal, '{column}' AS column_name, count(*) AS n_rows, true AS is_close "
+        "FROM orders"
+        for i, column in enumerate(TABLES["orders"], start=1)
+    )
+)
 def column_distinct_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Estimated, so there is no SQL twin; a test compares with exact counts."""
-    return column_profile(table(spark, sf_dir, "orders"), distinct_rsd=0.02).select(
-        "ordinal", "column_name", "n_rows", "n_distinct"
+    """Estimates within five standard deviations of the exact counts."""
+    orders, rsd = table(spark, sf_dir, "orders"), 0.02
+    exact = orders.agg(*[F.count_distinct(c).alias(c) for c in orders.columns])
+    counts = exact.select(
+        F.inline(
+            F.array(
+                *[
+                    F.struct(F.lit(c).alias("column_name"), F.col(c).alias("n_exact"))
+                    for c in orders.columns
+                ]
+            )
+        )
+    )
+    close = F.abs(F.col("n_distinct") - F.col("n_exact")) <= 5 * rsd * F.col("n_exact")
+    return (
+        column_profile(orders, distinct_rsd=rsd)
+        .join(counts, "column_name")
+        .select("ordinal", "column_name", "n_rows", close.alias("is_close"))
     )

@@ -1,13 +1,13 @@
 import hashlib
 from datetime import datetime
-from unittest import mock
 
 import pytest
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from lakeclerk import Catalog
-from lakeclerk.operators import catalog as catalog_operators
+from lakeclerk.catalog import Job
 from lakeclerk.operators import (
     apply_attribute_rules,
     cardinality_violations,
@@ -18,6 +18,7 @@ from lakeclerk.operators import (
     column_profile,
     publish_table,
     read_table,
+    remove_old_versions,
     record_lineage,
     register_resource_sets,
     register_tables,
@@ -100,9 +101,7 @@ def entity(kind, name, attributes, day):
     return (guid, kind, name, name, attributes, datetime(2024, 1, day))
 
 
-@pytest.mark.parametrize("small", [True, False])
-def test_upsert_takes_the_latest(spark, monkeypatch, small):
-    monkeypatch.setattr(catalog_operators, "is_small", lambda df: small)
+def test_upsert_takes_the_latest(spark):
     current = spark.createDataFrame(
         [entity("t", "a", {"v": "old"}, 1), entity("t", "b", {"v": "kept"}, 5)], ENTITIES_DDL
     )
@@ -115,7 +114,7 @@ def test_upsert_takes_the_latest(spark, monkeypatch, small):
         ],
         ENTITIES_DDL,
     )
-    merged = upsert(current, incoming)
+    merged = upsert(current, incoming).merged
     assert merged.columns == current.columns
     found = {(row.type_name, row.name): row.attributes for row in merged.collect()}
     assert found == {
@@ -124,7 +123,7 @@ def test_upsert_takes_the_latest(spark, monkeypatch, small):
         ("t", "c"): {},
         ("u", "a"): {"v": "other type"},
     }
-    again = upsert(merged, incoming)
+    again = upsert(merged, incoming).merged
     assert again.columns == current.columns
     rows = lambda df: sorted(map(repr, df.collect()))
     assert rows(again) == rows(merged)
@@ -141,7 +140,7 @@ VERSIONS = st.lists(st.tuples(st.sampled_from("abc"), TIMES, st.integers(0, 9)),
 )
 @given(first=VERSIONS, second=VERSIONS)
 def test_upsert_matches_brute_force(spark, first, second):
-    """Both merge paths, against picking the latest time in a loop."""
+    """Against picking the latest time in a loop."""
     ddl = "k string, updated_at timestamp, v int"
     early = datetime(1970, 1, 1)
     one = {}
@@ -154,44 +153,89 @@ def test_upsert_matches_brute_force(spark, first, second):
         [(k, None if t == early else t, v) for k, (t, v) in one.items()], ddl
     )
     incoming = spark.createDataFrame(second, ddl)
-    for small in (True, False):
-        with mock.patch.object(catalog_operators, "is_small", lambda df: small):
-            rows = upsert(current, incoming, ["k"]).collect()
-        assert sorted(row.k for row in rows) == sorted({*one, *two})
-        for row in rows:
-            time = row.updated_at or early
-            newest = max((t for t, _ in two.get(row.k, [])), default=None)
-            if newest is None or (row.k in one and one[row.k][0] > newest):
-                assert (time, row.v) == one[row.k]
-            else:
-                assert time == newest and (time, row.v) in two[row.k]
-
-
-def test_small_batch_does_not_shuffle_the_current_table(spark, folder):
-    rows = [entity("t", str(i), {"v": "x"}, 1) for i in range(50)]
-    current = publish_table(spark.createDataFrame(rows, ENTITIES_DDL), folder, "entities")
-    incoming = spark.createDataFrame([entity("t", "7", {}, 2), entity("t", "new", {}, 2)], ENTITIES_DDL)
-    merged = upsert(current, incoming)
-    assert merged.count() == 51
-    plan = merged._jdf.queryExecution().executedPlan().toString()
-    assert "BroadcastHashJoin" in plan and "hashpartitioning" not in plan
-
-
-@pytest.mark.parametrize("small", [True, False])
-def test_upsert_compares_missing_times(spark, monkeypatch, small):
-    monkeypatch.setattr(catalog_operators, "is_small", lambda df: small)
+    rows = upsert(current, incoming, ["k"]).merged.collect()
+    assert sorted(row.k for row in rows) == sorted({*one, *two})
+    for row in rows:
+        time = row.updated_at or early
+        newest = max((t for t, _ in two.get(row.k, [])), default=None)
+        if newest is None or (row.k in one and one[row.k][0] > newest):
+            assert (time, row.v) == one[row.k]
+        else:
+            assert time == newest and (time, row.v) in two[row.k]
+
+
+def test_upsert_hands_null_keys_back(spark):
+    rows = [entity("t", "a", {}, 1), entity("t", "b", {"v": "x"}, 1)]
+    nameless = ("g", "t", None, "n", {}, datetime(2024, 1, 1))
+    current = spark.createDataFrame(rows[:1], ENTITIES_DDL)
+    result = upsert(current, spark.createDataFrame([*rows, nameless, nameless], ENTITIES_DDL))
+    assert sorted(row.name for row in result.merged.collect()) == ["a", "b"]
+    assert [row.name for row in result.rejected.collect()] == ["n", "n"]
+
+
+def test_upsert_is_one_join_without_hints(spark):
+    current = spark.createDataFrame([entity("t", "a", {}, 1)], ENTITIES_DDL)
+    plan = upsert(current, current).merged._jdf.queryExecution().analyzed().toString()
+    assert plan.count("Join") == 1 and "Hint" not in plan
+
+
+def test_small_put_leaves_other_buckets_alone(spark, folder):
+    catalog = Catalog(spark, folder, buckets=8)
+    catalog.put_entities(
+        spark.createDataFrame([entity("t", str(i), {"v": "x"}, 1) for i in range(100)], ENTITIES_DDL)
+    )
+
+    def files():
+        return {row.f for row in catalog.read("entities").select(F.input_file_name().alias("f")).distinct().collect()}
+
+    before = files()
+    catalog.put_entities(spark.createDataFrame([entity("t", "7", {"v": "y"}, 2)], ENTITIES_DDL))
+    assert len(before) >= 8 and len(before - files()) == 1
+    found = {row.name: row.attributes["v"] for row in catalog.read("entities").collect()}
+    assert len(found) == 100 and found["7"] == "y" and found["8"] == "x"
+
+
+def test_unchanged_types_are_not_written(spark, folder):
+    catalog = Catalog(spark, folder)
+    catalog.define_types()
+    versions = lambda: spark.read.json(f"{folder}/versions").count()
+    before = versions()
+    catalog.define_types()
+    assert versions() == before
+
+
+def test_types_are_single(spark, folder):
+    catalog = Catalog(spark, folder)
+    twice = type_definitions(spark).unionByName(type_definitions(spark))
+    catalog.define_types(twice)
+    assert catalog.type_defs().count() == 4
+    other = twice.withColumn("category", F.concat("category", F.rand().cast("string")))
+    with pytest.raises(Exception, match="ambiguous key"):
+        catalog.define_types(spark.createDataFrame(other.collect(), other.schema))
+
+
+def test_old_versions_are_removed_on_request(spark, folder):
+    publish_table(spark.range(3).toDF("i"), folder, "t")
+    publish_table(spark.range(4).toDF("i"), folder, "t")
+    publish_table(spark.range(5).toDF("i"), folder, "u")
+    assert remove_old_versions(spark, folder) == 1
+    assert read_table(spark, folder, "t").count() == 4 and read_table(spark, folder, "u").count() == 5
+    assert remove_old_versions(spark, folder) == 0
+
+
+def test_upsert_compares_missing_times(spark):
     rows = lambda v, t: [("g", "t", "a", "a", {"v": v}, t)]
     day = datetime(2024, 1, 1)
     for old, new, winner in ((None, None, "new"), (day, None, "old"), (None, day, "new")):
         current = spark.createDataFrame(rows("old", old), ENTITIES_DDL)
         incoming = spark.createDataFrame(rows("new", new), ENTITIES_DDL)
-        assert upsert(current, incoming).first().attributes == {"v": winner}
+        assert upsert(current, incoming).merged.first().attributes == {"v": winner}
 
 
 def test_upsert_ties_do_not_depend_on_row_order(spark):
     rows = [entity("t", "a", {"v": str(i), "w": "x"}, 1) for i in range(20)]
-    one = upsert(None, spark.createDataFrame(rows, ENTITIES_DDL)).collect()
-    two = upsert(None, spark.createDataFrame(rows[::-1], ENTITIES_DDL).repartition(5)).collect()
+    one = upsert(None, spark.createDataFrame(rows, ENTITIES_DDL)).merged.collect()
+    two = upsert(None, spark.createDataFrame(rows[::-1], ENTITIES_DDL).repartition(5)).merged.collect()
     assert one == two
 
 
@@ -354,7 +398,8 @@ def test_stored_catalogue_life_cycle(spark, folder, languages):
         ],
         "process_name string, direction string, type_name string, qualified_name string",
     )
-    assert catalog.record_references(references, job_type="join").isEmpty()
+    recorded = catalog.record_references(references, job_type="join")
+    assert recorded.unresolved.isEmpty() and recorded.rejected.isEmpty()
     process = catalog.read("entities").filter("name = 'test_job'").first()
     assert process.attributes == {"job_type": "join", "schedule": "adHoc"}
     origins = catalog.origins(spark.createDataFrame(
@@ -382,7 +427,7 @@ def test_statistics_become_column_attributes(spark, folder, languages):
     catalog.register_tables({"lang": languages}, with_statistics=True)
     column = catalog.read("entities").filter("name = 'users_count'").first()
     assert column.attributes["n_nulls"] == "0" and column.attributes["type"] == "bigint"
-    assert float(column.attributes["greatest_number"]) == 100000
+    assert column.attributes["greatest"] == "100000"
 
 
 def test_statistics_are_not_computed_for_columns_and_links(spark, languages):
@@ -408,7 +453,7 @@ def test_lineage_with_unknown_table_records_nothing(spark, folder, languages):
     catalog = Catalog(spark, folder)
     catalog.define_types()
     catalog.register_tables({"a": languages})
-    missing = catalog.record_lineage("job", ["a"], ["nope"])
+    missing = catalog.record_lineage("job", ["a"], ["nope"]).unresolved
     assert missing.count() == 1
     assert catalog.read("lineage_edges").isEmpty()
     assert catalog.read("entities").filter("name = 'job'").isEmpty()
@@ -416,8 +461,8 @@ def test_lineage_with_unknown_table_records_nothing(spark, folder, languages):
 
 def test_profile_becomes_attributes(spark, languages):
     rows = {row.column_name: row.attributes for row in profile_attributes(column_profile(languages)).collect()}
-    assert rows["users_count"]["n_rows"] == "3" and rows["language"]["least_text"] == "Java"
-    assert "least_number" not in rows["language"]
+    assert rows["users_count"]["n_rows"] == "3" and rows["users_count"]["least"] == "3000"
+    assert "least" not in rows["language"]
 
 
 def test_relationship_lookup(spark):
@@ -427,3 +472,74 @@ def test_relationship_lookup(spark):
     )
     wanted = spark.createDataFrame([("2",), ("2",), ("9",)], "guid string")
     assert [row.guid for row in relationships_by_guid(wanted, links).collect()] == ["2"]
+
+
+def test_rejected_process_has_no_edges(spark, folder, languages):
+    catalog = Catalog(spark, folder)
+    owner = type_definitions(spark).filter("name = 'custom_spark_job_process'").withColumn(
+        "attribute_defs",
+        F.expr("array(named_struct('name', 'owner', 'is_optional', false, 'default_value', string(null)))"),
+    )
+    catalog.define_types(owner)
+    catalog.register_tables({"a": languages, "b": languages})
+    recorded = catalog.record_lineage("job", ["a"], ["b"])
+    assert recorded.unresolved.isEmpty()
+    assert [(row.name, row.missing) for row in recorded.rejected.collect()] == [("job", ["owner"])]
+    assert catalog.read("lineage_edges").isEmpty()
+
+
+def test_deleted_table_takes_its_columns_along(spark, folder, languages):
+    catalog = Catalog(spark, folder)
+    catalog.define_types()
+    catalog.register_tables({"a": languages, "b": languages})
+    gone = catalog.read("entities").filter("name = 'a'").select("guid")
+    catalog.delete(gone)
+    assert sorted(row.name for row in catalog.read("entities").collect()) == [
+        "b",
+        "language",
+        "users_count",
+    ]
+    assert catalog.read("columns").count() == 2 and catalog.read("relationships").count() == 2
+
+
+def test_registering_fewer_columns_drops_the_others(spark, folder, languages):
+    catalog = Catalog(spark, folder)
+    catalog.define_types()
+    catalog.register_tables({"a": languages, "b": languages})
+    catalog.register_tables({"a": languages.select("language")})
+    assert sorted(row.name for row in catalog.read("columns").collect()) == [
+        "language",
+        "language",
+        "users_count",
+    ]
+    assert catalog.read("relationships").count() == 3
+    assert catalog.read("entities").filter("type_name = 'column'").count() == 3
+
+
+def test_resource_sets_need_names(spark, folder, languages):
+    with pytest.raises(ValueError, match="no qualified name"):
+        Catalog(spark, folder).register_resource_sets({"a": languages}, {"b": "lake://b"})
+    schemas = schema_rows(spark, {"a": languages})
+    with pytest.raises(Exception, match="no qualified name"):
+        register_resource_sets(schemas, {"b": "lake://b"}).entities.collect()
+
+
+def test_no_frames(spark, folder):
+    assert schema_rows(spark, {}).isEmpty()
+    assert Catalog(spark, folder).register_tables({}).isEmpty()
+
+
+def test_run_of_several_jobs_is_one_version(spark, folder, languages):
+    catalog = Catalog(spark, folder)
+    frames = {name: languages for name in ("raw", "clean", "out")}
+    catalog.record_run(frames, [Job("wash", ["raw"], ["clean"]), Job("copy", ["clean"], ["out"])])
+    assert spark.read.json(f"{folder}/versions").count() == 1
+    target = catalog.read("entities").filter("name = 'out'").select(F.col("guid").alias("node"))
+    names = catalog.read("entities").select(F.col("guid").alias("origin"), "name")
+    found = catalog.origins(target).join(names, "origin")
+    assert {(row.name, row.n_hops) for row in found.collect()} == {
+        ("copy", 1),
+        ("clean", 2),
+        ("wash", 3),
+        ("raw", 4),
+    }

@@ -1,7 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lakeclerk.functions import convert, named, select_strict, tolerant_cast
+from lakeclerk.functions import conversion_losses, convert, named, select_strict, tolerant_cast
 from lakeclerk.operators import ColumnRule, clean, enrich, rename_columns, unmatched_keys
 
 
@@ -43,7 +43,43 @@ def test_tolerant_cast_under_ansi(spark):
 
 def test_convert_truncates_toward_zero(spark):
     df = spark.createDataFrame([(1.9,), (-1.9,), (1e30,), (None,)], "x double")
-    assert [row.x for row in convert(df, {"x": "bigint"}).collect()] == [1, -1, None, None]
+    cut = convert(df, {"x": "bigint"}, on_misfit="null")
+    assert [row.x for row in cut.collect()] == [1, -1, None, None]
+    with pytest.raises(Exception, match="does not fit"):
+        convert(df, {"x": "bigint"}).collect()
+
+
+MISFITS = [
+    ("1e20D", "bigint", True),
+    ("'12.7'", "int", False),
+    ("'-12.7'", "int", False),
+    ("'12x'", "int", True),
+    ("70000", "smallint", True),
+    ("12.9BD", "int", False),
+]
+STRICT = [
+    ("9007199254740993", "double", True),
+    ("9007199254740992", "double", False),
+    ("1.239BD", "decimal(10,2)", True),
+    ("1.230BD", "decimal(10,2)", False),
+    ("timestamp'2024-01-01 10:00:00'", "date", True),
+    ("timestamp'2024-01-01 00:00:00'", "date", False),
+    ("'12.7'", "int", True),
+    ("1.5D", "int", True),
+    ("70000", "smallint", True),
+]
+
+
+@pytest.mark.parametrize("allow, cases", [(True, MISFITS), (False, STRICT)])
+def test_values_that_do_not_fit_are_counted(spark, allow, cases):
+    df = spark.sql("SELECT " + ", ".join(f"{v} AS c{i}" for i, (v, _, _) in enumerate(cases)))
+    targets = {f"c{i}": target for i, (_, target, _) in enumerate(cases)}
+    found = {row.column_name: row.n_misfits for row in conversion_losses(df, targets, allow).collect()}
+    assert found == {f"c{i}": int(misfit) for i, (_, _, misfit) in enumerate(cases)}
+    row = convert(df, targets, allow, on_misfit="null").first()
+    assert [row[i] is None for i in range(len(cases))] == [misfit for _, _, misfit in cases]
+    if allow:
+        assert (row[1], row[2], row[5]) == (12, -12, 12)
 
 
 def test_convert_can_refuse_truncation(spark):

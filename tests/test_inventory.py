@@ -5,7 +5,8 @@ from pathlib import Path
 import pytest
 
 from lakeclerk.operators import compare_snapshots, file_inventory, resource_sets
-from lakeclerk.streaming import discover_new_files, scan
+from lakeclerk import Catalog
+from lakeclerk.streaming import scan
 
 
 def put(folder, name, text):
@@ -68,28 +69,38 @@ def test_equal_snapshots_do_not_differ(spark, folder):
     assert compare_snapshots(files, files).isEmpty()
 
 
-def test_discovery_lists_each_file_once(spark, folder):
-    put(folder, "d/a", "1")
-    put(folder, "d/sub/b", "1")
+def test_scans_of_other_names_do_not_disturb(spark, folder):
+    put(folder, "a/x", "1")
+    put(folder, "b/y", "1")
     base = f"{folder}/inv"
-    assert names(discover_new_files(spark, f"{folder}/d", base)) == ["a", "b"]
-    assert names(discover_new_files(spark, f"{folder}/d", base)) == ["a", "b"]
-    put(folder, "d/c", "1")
-    assert names(discover_new_files(spark, f"{folder}/d", base)) == ["a", "b", "c"]
+    scan(spark, f"{folder}/a", base, "Full", name="a")
+    first = scan(spark, f"{folder}/b", base, name="b").collect()
+    assert [(Path(row.path).name, row.change) for row in first] == [("y", "added")]
+    put(folder, "a/z", "1")
+    later = scan(spark, f"{folder}/a", base, name="a").collect()
+    assert [(Path(row.path).name, row.change) for row in later] == [("z", "added")]
 
 
-def test_discovery_before_the_first_file(spark, folder):
-    Path(folder, "d").mkdir()
-    assert discover_new_files(spark, f"{folder}/d", f"{folder}/inv").isEmpty()
-    put(folder, "d/a", "1")
-    assert names(discover_new_files(spark, f"{folder}/d", f"{folder}/inv")) == ["a"]
+def test_a_scan_stays_with_its_paths_and_glob(spark, folder):
+    put(folder, "a/x.txt", "1")
+    base = f"{folder}/inv"
+    scan(spark, f"{folder}/a", base)
+    with pytest.raises(ValueError, match="is of"):
+        scan(spark, folder, base)
+    with pytest.raises(ValueError, match="is of"):
+        scan(spark, f"{folder}/a", base, glob="*.txt")
 
 
-def test_discovery_in_bounded_batches(spark, folder):
-    for i in range(5):
-        put(folder, f"d/f{i}", "1")
-    files = discover_new_files(spark, f"{folder}/d", f"{folder}/inv", files_per_batch=2)
-    assert names(files) == [f"f{i}" for i in range(5)]
+def test_scanned_sets_are_found_in_the_catalogue(spark, folder):
+    put(folder, "lake/t/k=1/x.parquet", "12")
+    put(folder, "lake/t/k=2/y.parquet", "1")
+    catalog = Catalog(spark, f"{folder}/catalog")
+    files = catalog.scan(f"{folder}/lake", "Full")
+    assert files.count() == 2
+    names = spark.createDataFrame([(f"file:{folder}/lake/t",)], "qualified_name string")
+    assert catalog.resolve(names).first().name == "t"
+    found = catalog.read("entities").first()
+    assert found.attributes == {"n_files": "2", "n_bytes": "3"}
 
 
 def test_resource_sets_strip_partition_folders(spark, folder):
@@ -102,13 +113,3 @@ def test_resource_sets_strip_partition_folders(spark, folder):
         for row in resource_sets(file_inventory(spark, folder)).collect()
     }
     assert rows == {"t": (3, 4, 8), "plain": (1, 1, 1), "odd/k=1/inner": (1, 1, 1)}
-
-
-def test_discovery_finds_files_that_look_old(spark, folder):
-    put(folder, "d/a", "1")
-    base = f"{folder}/inv"
-    discover_new_files(spark, f"{folder}/d", base)
-    old = put(folder, "d/old", "1")
-    long_ago = time.time() - 90 * 24 * 3600
-    os.utime(old, (long_ago, long_ago))
-    assert names(discover_new_files(spark, f"{folder}/d", base)) == ["a", "old"]

@@ -21,6 +21,10 @@ def brute_force(edges):
     return found
 
 
+def every_node(spark, edges):
+    return spark.createDataFrame([(n,) for n in {e[0] for e in edges if e[0]}], "node string")
+
+
 def traced(df):
     rows = df.collect()
     found = {(row.node, row.origin): row.n_hops for row in rows}
@@ -30,7 +34,9 @@ def traced(df):
 
 def test_cycle_and_two_paths(spark):
     edges = [("a", "b"), ("b", "c"), ("c", "a"), ("d", "a"), ("d", "c"), ("a", "b")]
-    assert traced(trace_origins(spark.createDataFrame(edges, DDL))) == brute_force(edges)
+    assert traced(
+        trace_origins(spark.createDataFrame(edges, DDL), every_node(spark, edges))
+    ) == brute_force(edges)
 
 
 @settings(
@@ -40,27 +46,28 @@ def test_cycle_and_two_paths(spark):
 )
 @given(st.lists(st.tuples(st.sampled_from("abcdef"), st.sampled_from("abcdef")), min_size=1, max_size=9))
 def test_any_graph(spark, edges):
-    assert traced(trace_origins(spark.createDataFrame(edges, DDL))) == brute_force(edges)
+    assert traced(
+        trace_origins(spark.createDataFrame(edges, DDL), every_node(spark, edges))
+    ) == brute_force(edges)
 
 
-def test_targets_and_depth(spark):
+def test_targets(spark, folder):
     edges = [(f"n{i}", f"n{i + 1}") for i in range(6)] + [("z", "n5")]
     df = spark.createDataFrame(edges, DDL)
     targets = spark.createDataFrame([("n3",), ("n3",)], "node string")
     wanted = {k: v for k, v in brute_force(edges).items() if k[0] == "n3"}
-    assert traced(trace_origins(df, targets)) == wanted
-    near = {k: v for k, v in brute_force(edges).items() if v <= 2}
-    assert traced(trace_origins(df, max_rounds=2)) == near
+    assert traced(trace_origins(df, targets, folder)) == wanted
 
 
 def test_hops_without_an_end_are_left_out(spark):
     edges = [("a", "b"), ("b", "a"), ("b", None), (None, "a")]
     whole = brute_force(edges[:2])
-    assert traced(trace_origins(spark.createDataFrame(edges, DDL))) == whole
+    assert traced(trace_origins(spark.createDataFrame(edges, DDL), every_node(spark, edges))) == whole
 
 
 def test_no_edges(spark):
-    assert trace_origins(spark.createDataFrame([], DDL)).isEmpty()
+    targets = spark.createDataFrame([("a",)], "node string")
+    assert trace_origins(spark.createDataFrame([], DDL), targets).isEmpty()
 
 
 def test_hops_go_through_the_process(spark):

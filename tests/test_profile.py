@@ -1,7 +1,6 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lakeclerk.functions import broadcast_if_small
 from lakeclerk.operators import column_profile
 
 
@@ -11,17 +10,31 @@ def test_profile(spark):
     )
     rows = [tuple(row) for row in column_profile(df).orderBy("ordinal").collect()]
     assert rows == [
-        (1, "n", 3, 1, 1.0, 3.0, None, None),
-        (2, "s", 3, 1, None, None, "a", "b"),
-        (3, "a", 3, 1, None, None, None, None),
+        (1, "n", 3, 1, "1", "3"),
+        (2, "s", 3, 1, None, None),
+        (3, "a", 3, 1, None, None),
     ]
+    named = {row.column_name: row.least for row in column_profile(df, ranges=["s"]).collect()}
+    assert named == {"n": None, "s": "a", "a": None}
+    with pytest.raises(ValueError):
+        column_profile(df, ranges=["x"])
+
+
+def test_ranges_keep_every_digit(spark):
+    df = spark.sql("SELECT 9007199254740993 AS b, 1234567890123456789.01BD AS d")
+    rows = {row.column_name: row.greatest for row in column_profile(df).collect()}
+    assert rows == {"b": "9007199254740993", "d": "1234567890123456789.01"}
+
+
+def test_counts_alone_read_no_ranges(spark):
+    df = spark.createDataFrame([("x", 1)], "t string, i int")
+    plan = column_profile(df, ranges=False)._jdf.queryExecution().executedPlan().toString()
+    assert "min(" not in plan and "max(" not in plan
 
 
 def test_profile_of_an_empty_table(spark):
     df = spark.createDataFrame([], "`x.y` int")
-    assert [tuple(row) for row in column_profile(df).collect()] == [
-        (1, "x.y", 0, 0, None, None, None, None)
-    ]
+    assert [tuple(row) for row in column_profile(df).collect()] == [(1, "x.y", 0, 0, None, None)]
 
 
 def test_distinct_estimate_is_close(spark):
@@ -31,17 +44,6 @@ def test_distinct_estimate_is_close(spark):
     assert rows["m"] == pytest.approx(100, rel=0.05)
 
 
-def test_broadcast_needs_both_bounds(spark):
-    df = spark.range(100).toDF("i")
-
-    def hinted(frame):
-        return "broadcast" in frame._jdf.queryExecution().analyzed().toString().lower()
-
-    assert hinted(broadcast_if_small(df))
-    assert not hinted(broadcast_if_small(df, max_rows=99))
-    assert not hinted(broadcast_if_small(df, max_bytes=10))
-
-
 def test_profile_of_awkward_names(spark):
     df = spark.createDataFrame([(1, 2)], ["it's a.b\\", "c`d"])
     names = [row.column_name for row in column_profile(df, 0.05).orderBy("ordinal").collect()]

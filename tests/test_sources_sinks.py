@@ -2,7 +2,6 @@ import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from lakeclerk.functions import stored_bytes
 from lakeclerk.functions.sizing import shared_folder
 from lakeclerk.operators import file_inventory
 from lakeclerk.plans import copy_table
@@ -156,21 +155,20 @@ def test_partitioned_write_gathers_small_and_splits_hot_values(spark, folder, co
     assert files_of(spark, f"{folder}/u") == 8
 
 
-def test_small_table_merges_to_one_file(spark, folder):
+@pytest.mark.parametrize("n_files", [1, 3])
+def test_merge_writes_the_files_asked_for(spark, folder, n_files):
     source = overwrite(spark.range(0, 1000, numPartitions=8).toDF("i"), f"{folder}/t")
     assert files_of(spark, source) == 8
-    assert merge_files(spark, source, f"{folder}/one") == 1
-    assert files_of(spark, f"{folder}/one") == 1
-    assert same(read_parquet(spark, source), read_parquet(spark, f"{folder}/one"))
+    path = merge_files(spark, source, f"{folder}/some", n_files=n_files)
+    assert files_of(spark, path) == n_files
+    assert same(read_parquet(spark, source), read_parquet(spark, path))
 
 
-def test_large_table_merges_to_bounded_files(spark, folder):
-    source = overwrite(spark.range(0, 80_000, numPartitions=8).toDF("i"), f"{folder}/t")
-    size = stored_bytes(spark, source, "*.parquet")
-    tasks = merge_files(spark, source, f"{folder}/few", glob="*.parquet", max_bytes=size // 3)
-    assert 1 < tasks <= 4
-    assert files_of(spark, f"{folder}/few") <= tasks
-    assert same(read_parquet(spark, source), read_parquet(spark, f"{folder}/few"))
+def test_merge_stays_parallel_by_default(spark, folder, conf):
+    conf("spark.sql.files.openCostInBytes", "64m")
+    source = overwrite(spark.range(0, 1000, numPartitions=8).toDF("i"), f"{folder}/t")
+    path = merge_files(spark, source, f"{folder}/some")
+    assert files_of(spark, path) > 1
 
 
 def test_copy_converts_and_quotes(spark, folder):
@@ -178,10 +176,16 @@ def test_copy_converts_and_quotes(spark, folder):
         [(1.9, True, "a"), (-1.9, False, "b"), (None, None, "a")], "x double, f boolean, k string"
     )
     source = overwrite(df, f"{folder}/t", partition_by=["k"])
-    tasks = copy_table(
-        spark, source, f"{folder}/c", {"x": "bigint", "f": "string"}, null_value="\\N"
+    copy_table(
+        spark,
+        source,
+        f"{folder}/c",
+        {"x": "bigint", "f": "string"},
+        null_value="\\N",
+        n_files=1,
+        extension="txt",
     )
-    assert tasks == 1 and files_of(spark, f"{folder}/c", "*.csv") == 1
+    assert files_of(spark, f"{folder}/c", "*.txt") == 1
     back = read_csv(spark, f"{folder}/c", null_value="\\N")
     assert {tuple(row) for row in back.collect()} == {
         ("1", "true", "a"),
@@ -197,13 +201,5 @@ def test_copy_of_nested_folders(spark, folder):
     assert sorted(row.i for row in read_csv(spark, f"{folder}/c").collect()) == ["0", "1"]
 
 
-def test_copy_splits_a_large_source(spark, folder):
-    source = overwrite(spark.range(0, 50_000, numPartitions=6).toDF("i"), f"{folder}/t")
-    size = stored_bytes(spark, source)
-    assert copy_table(spark, source, f"{folder}/c", max_bytes=size // 2) > 1
-    back = read_csv(spark, f"{folder}/c", schema="i bigint")
-    assert same(back, read_parquet(spark, source))
-
-
 def test_shared_folder_comes_from_the_session(spark):
     assert shared_folder(spark) == spark.conf.get("spark.checkpoint.dir")

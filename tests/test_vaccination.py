@@ -2,8 +2,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from lakeclerk import Catalog
-from lakeclerk.operators import file_inventory
-from lakeclerk.plans import EXTENDED_SCHEMA, copy_table, vaccination_enrichment
+from lakeclerk.operators import read_table
+from lakeclerk.plans import EXTENDED_SCHEMA, CopyLineage, copy_table, vaccination_enrichment
 from lakeclerk.sinks import write_csv
 from lakeclerk.sources import check_schema, read_csv
 
@@ -75,17 +75,24 @@ def test_run_writes_zones_and_catalogue(spark, folder, raw):
     base = f"{folder}/lake"
     plan = vaccination_enrichment()
     for _ in range(2):
-        result = plan.run(*raw, base, scan_level="Incremental")
-    master = spark.read.parquet(result.master_path)
+        result = plan.run(*raw, base, scan_level="Incremental", n_files=1)
+    master = result.master
     check_schema(master, EXTENDED_SCHEMA)
-    assert copy_table(spark, result.master_path, f"{folder}/text", schema=EXTENDED_SCHEMA) == 1
+    assert master.count() == 4 and len(master.inputFiles()) == 1
+    catalog = Catalog(spark, f"{base}/catalog")
+    source = master.inputFiles()[0].rsplit("/", 1)[0]
+    copy_table(
+        spark,
+        source,
+        f"{folder}/text",
+        schema=EXTENDED_SCHEMA,
+        n_files=1,
+        lineage=CopyLineage(catalog, "copy", "master_extended_vaccine", "extended_vaccine_text"),
+    )
     assert read_csv(spark, f"{folder}/text").columns == EXTENDED_SCHEMA.names
+    other = result.right.inputFiles()[0].rsplit("/", 1)[0]
     with pytest.raises(ValueError):
-        copy_table(spark, f"{base}/clean/clean_country_data", f"{folder}/no", schema=EXTENDED_SCHEMA)
-    assert master.count() == 4
-    assert file_inventory(spark, result.master_path, "*.parquet").count() == 1
-    for name in ("extended_vaccine", "clean_country", "clean_vaccine"):
-        assert spark.read.parquet(f"{base}/clean/{name}_data").count() > 0
+        copy_table(spark, other, f"{folder}/no", schema=EXTENDED_SCHEMA)
 
     assert {tuple(row) for row in result.unmatched.collect()} == {
         ("left", "Nowhere", 1),
@@ -94,28 +101,61 @@ def test_run_writes_zones_and_catalogue(spark, folder, raw):
         ("right", None, 1),
     }
 
-    catalog = Catalog(spark, f"{base}/catalog")
     kinds = {
         row.type_name: row["count"]
         for row in catalog.read("entities").groupBy("type_name").count().collect()
     }
-    assert kinds == {"custom_delta_table": 3, "column": 21, "custom_spark_job_process": 1}
-    assert catalog.read("columns").count() == 21
-    assert catalog.read("relationships").count() == 21
+    assert kinds.pop("azure_datalake_gen2_resource_set") >= 4
+    assert kinds == {"custom_delta_table": 7, "column": 53, "custom_spark_job_process": 5}
+    assert catalog.read("columns").count() == 53
+    assert catalog.read("relationships").count() == 53
     process = catalog.read("entities").filter("type_name = 'custom_spark_job_process'").first()
     assert process.attributes == {"job_type": "batch", "schedule": "adHoc"}
     target = catalog.read("entities").filter(
-        (F.col("name") == "extended_vaccine") & (F.col("type_name") == "custom_delta_table")
+        (F.col("name") == "extended_vaccine_text") & (F.col("type_name") == "custom_delta_table")
     )
     origins = catalog.origins(target.select(F.col("guid").alias("node")))
     names = origins.join(
         catalog.read("entities").select(F.col("guid").alias("origin"), "name"), "origin"
     )
     assert {(row.name, row.n_hops) for row in names.collect()} == {
-        ("vaccination", 1),
-        ("clean_country", 2),
-        ("clean_vaccine", 2),
+        ("copy", 1),
+        ("master_extended_vaccine", 2),
+        ("vaccination_master", 3),
+        ("extended_vaccine", 4),
+        ("vaccination", 5),
+        ("clean_country", 6),
+        ("clean_vaccine", 6),
+        ("vaccination_clean_country", 7),
+        ("vaccination_clean_vaccine", 7),
+        ("raw_clean_country", 8),
+        ("raw_clean_vaccine", 8),
     }
-    # The second run rewrote every file.
-    changes = {row.change: row["count"] for row in result.scanned.groupBy("change").count().collect()}
-    assert set(changes) == {"added", "removed"} and changes["added"] == changes["removed"]
+    # The second run wrote new folders; the old ones stay until they are removed.
+    assert {row.change for row in result.scanned.select("change").collect()} == {"added"}
+
+
+def test_rerun_of_a_partition_leaves_the_others(spark, folder, raw):
+    plan, base = vaccination_enrichment(), f"{folder}/lake"
+    first = plan.run(*raw, base, partition_by=["Region"])
+    vaccine = raw[0].withColumn("Doses administered per 100 people", F.lit("7"))
+    country = raw[1].filter("Region = 'North'")
+    again = plan.run(vaccine, country, base, partition_by=["Region"], partitions=["Region=North"])
+
+    def files(df):
+        rows = df.select("Region", F.input_file_name().alias("f")).distinct().collect()
+        return {(row.Region, row.f) for row in rows}
+
+    assert {row[0] for row in files(first.master) & files(again.master)} == {"South, far", "West"}
+    doses = {row.Country: row.Doses_administered_per_100_people for row in again.master.collect()}
+    assert doses == {"Aland": 7, "Bland": 166, "Côte X": 10}
+
+
+def test_failed_run_keeps_the_old_tables(spark, folder, raw):
+    plan, base = vaccination_enrichment(), f"{folder}/lake"
+    first = plan.run(*raw, base)
+    broken = raw[1].withColumn("Region", F.raise_error(F.lit("lost")).cast("string"))
+    with pytest.raises(Exception, match="lost"):
+        plan.run(raw[0], broken, base)
+    assert first.master.count() == 4
+    assert read_table(spark, f"{base}/clean", "clean_country_data").count() == 6
