@@ -40,6 +40,13 @@ BUCKET_OF = {
 }
 BUCKET = "_bucket"
 
+# The last version, and the folders of its tables.
+Known = tuple[int, dict[str, tuple[str, str]]]
+
+
+def _has(known: Known, table: str) -> bool:
+    return any(key.partition(":")[0] == table for key in known[1])
+
 
 class Recorded(NamedTuple):
     """References that were not found, and processes that break a rule of their type.
@@ -103,17 +110,22 @@ class Catalog:
         """The current version of a table, empty before the first one."""
         return self._read(current_folders(self.spark, self.base)[1], table)
 
-    def _touched(self, table: str, rows: DataFrame) -> list[str]:
-        """Partitions of the rows' buckets, at most as many as there are buckets."""
+    def _touched(self, known: Known, table: str, rows: DataFrame) -> list[str] | None:
+        """Partitions of the rows' buckets, at most as many as there are buckets.
+
+        None stands for all of a table that has no version yet.
+        """
+        if not _has(known, table):
+            return None
         found = rows.select(self._bucket(table).alias("b")).distinct().collect()
         return [f"{BUCKET}={row.b}" for row in found]
 
-    def _change(self, table: str, df: DataFrame, touched: Sequence[str]) -> Change:
+    def _change(self, table: str, df: DataFrame, touched: Sequence[str] | None) -> Change:
         return Change(df.withColumn(BUCKET, self._bucket(table)), [BUCKET], touched)
 
     def _replaced(
         self,
-        known: tuple[int, dict[str, tuple[str, str]]],
+        known: Known,
         table: str,
         incoming: DataFrame,
         keys: Sequence[str],
@@ -123,16 +135,22 @@ class Catalog:
         touching = incoming.select(BUCKET_OF[table])
         if gone is not None:
             touching = touching.unionByName(gone.select(BUCKET_OF[table]))
-        touched = self._touched(table, touching)
+        touched = self._touched(known, table, touching)
+        if touched is None:
+            return self._change(table, incoming, None)
         current = self._read(known[1], table, touched)
         if gone is not None:
             current = current.join(gone, BUCKET_OF[table], "left_anti").select(*current.columns)
         return self._change(table, ops.replace_by_key(current, incoming, keys), touched)
 
     def _publish(
-        self, changes: Mapping[str, Change], known: tuple[int, dict[str, tuple[str, str]]]
+        self, changes: Mapping[str, Change], known: Known
     ) -> None:
-        some = {name: change for name, change in changes.items() if change.replaced}
+        some = {
+            name: change
+            for name, change in changes.items()
+            if change.replaced is None or len(change.replaced)
+        }
         if some:
             publish_tables(self.spark, self.base, some, known)
 
@@ -152,7 +170,9 @@ class Catalog:
         if type_defs is None:
             type_defs = ops.type_definitions(self.spark)
         incoming = ops.single_by_key(type_defs, ["name"])
-        changed = ops.changed_rows(self._read(known[1], "type_defs"), incoming)
+        changed = incoming
+        if _has(known, "type_defs"):
+            changed = ops.changed_rows(self._read(known[1], "type_defs"), incoming)
         self._publish(
             {"type_defs": self._replaced(known, "type_defs", changed, ["name"])}, known
         )
@@ -162,7 +182,7 @@ class Catalog:
 
     def _entities(
         self,
-        known: tuple[int, dict[str, tuple[str, str]]],
+        known: Known,
         entities: DataFrame,
         gone: DataFrame | None = None,
     ) -> tuple[Change, DataFrame, DataFrame]:
@@ -174,9 +194,9 @@ class Catalog:
         touching = accepted.select("guid")
         if gone is not None:
             touching = touching.unionByName(gone.select("guid"))
-        touched = self._touched("entities", touching)
-        current = self._read(known[1], "entities", touched)
-        if gone is not None:
+        touched = self._touched(known, "entities", touching)
+        current = None if touched is None else self._read(known[1], "entities", touched)
+        if gone is not None and current is not None:
             current = current.join(gone, "guid", "left_anti")
         merged = ops.upsert(current, accepted).merged
         return self._change("entities", merged, touched), accepted, checked.filter(~is_accepted)
@@ -200,19 +220,23 @@ class Catalog:
         is gone goes with its entity and its links. Returns what was refused.
         """
         known = current_folders(self.spark, self.base)
-        owners = registration.columns.select("table_guid").distinct()
-        listed = registration.columns.select("guid")
-        # Columns of a table lie in any bucket, so the owners' rows are looked up.
-        stale = (
-            self._read(known[1], "columns")
-            .join(owners, "table_guid", "left_semi")
-            .join(listed, "guid", "left_anti")
-            .select("guid")
-        )
-        links = self._read(known[1], "relationships")
-        stale_links = links.join(
-            stale, links["end2_guid"] == stale["guid"], "left_semi"
-        ).select("guid")
+        stale = stale_links = None
+        if _has(known, "columns"):
+            owners = registration.columns.select("table_guid")
+            listed = registration.columns.select("guid")
+            # Columns of a table lie in any bucket, so the owners' rows are looked up.
+            stale = (
+                self._read(known[1], "columns")
+                .join(owners, "table_guid", "left_semi")
+                .join(listed, "guid", "left_anti")
+                .select("guid")
+            )
+            links = self._read(known[1], "relationships")
+            stale_links = links.join(
+                stale, links["end2_guid"] == stale["guid"], "left_semi"
+            ).select("guid")
+            if stale.isEmpty():
+                stale = stale_links = None
         entities, edges = registration.entities, None
         unresolved = self.spark.createDataFrame(
             [], "process_name string, direction string, type_name string, qualified_name string"
@@ -241,7 +265,7 @@ class Catalog:
 
     def _edges(
         self,
-        known: tuple[int, dict[str, tuple[str, str]]],
+        known: Known,
         edges: DataFrame,
         accepted: DataFrame,
     ) -> Change:
@@ -361,7 +385,7 @@ class Catalog:
             for column in columns:
                 some = tables[table].join(named, F.col(column) == F.col("_gone"), "left_semi")
                 touches = some if touches is None else touches.unionByName(some)
-            touched = self._touched(table, touches)
+            touched = self._touched(known, table, touches)
             kept = self._read(known[1], table, touched)
             for column in columns:
                 kept = kept.join(named, F.col(column) == F.col("_gone"), "left_anti")

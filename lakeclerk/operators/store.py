@@ -14,9 +14,7 @@ from dataclasses import dataclass
 from functools import reduce
 
 import pyarrow as pa
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from lakeclerk.functions.sizing import local_rows, remove_folder
 from lakeclerk.sinks.files import even_files, overwrite
@@ -40,20 +38,24 @@ class Change:
     even: bool = False
 
 
+def _listed(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths in the store that fit a pattern, from its listing alone."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [str(status.getPath().toString()) for status in store.globStatus(path) or []]
+
+
 def current_folders(spark: SparkSession, base: str) -> tuple[int, dict[str, tuple[str, str]]]:
-    """The last version and, by ``table:partition``, its folders; ``(0, {})`` if none."""
-    try:
-        log = spark.read.schema(LOG_DDL).json(f"{base}/versions")
-    except AnalysisException as error:
-        if error.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return 0, {}
-    # A version is one entry, so the aggregate keeps one row per task.
-    last = log.agg(F.max_by(F.struct("version", "folders"), "version").alias("last")).first()["last"]
-    if last is None:
+    """The last version and, by ``table:partition``, its folders; ``(0, {})`` if none.
+
+    A log entry counts once its writer has committed it. Only the last is read.
+    """
+    done = [path.split("/")[-2] for path in _listed(spark, f"{base}/versions/entry=*/_SUCCESS")]
+    if not done:
         return 0, {}
-    folders = {key: (at["root"], at["partition"]) for key, at in last["folders"].items()}
-    return last["version"], folders
+    version = max(int(name.split("=")[1]) for name in done)
+    entry = spark.read.schema(LOG_DDL).json(f"{base}/versions/entry={version}").first()
+    return version, {key: (at["root"], at["partition"]) for key, at in entry["folders"].items()}
 
 
 def read_folders(
@@ -88,9 +90,7 @@ def read_table(
 
 def _written_partitions(spark: SparkSession, root: str, depth: int) -> list[str]:
     """Partition folders below ``root``, from the store's listing."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(root + "/*=*" * depth)
-    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    found = [str(status.getPath().toString()) for status in store.globStatus(path)]
+    found = _listed(spark, root + "/*=*" * depth)
     return ["/".join(name.split("/")[-depth:]) for name in found]
 
 
@@ -132,7 +132,8 @@ def publish_tables(
             ),
         ),
     }
-    local_rows(spark, entry, LOG_DDL).write.mode("append").json(f"{base}/versions")
+    log = local_rows(spark, entry, LOG_DDL)
+    log.write.mode("overwrite").json(f"{base}/versions/entry={version}")
     return folders
 
 
@@ -162,11 +163,8 @@ def remove_old_versions(spark: SparkSession, base: str) -> int:
     """
     version, folders = current_folders(spark, base)
     used = {root for root, _ in folders.values()}
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{base}/*/version=*")
-    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
     gone = 0
-    for status in store.globStatus(path):
-        found = str(status.getPath().toString())
+    for found in _listed(spark, f"{base}/*/version=*"):
         table, number = found.split("/")[-2:]
         if f"{base}/{table}/{number}" not in used and int(number.split("=")[1]) <= version:
             remove_folder(spark, found)
