@@ -148,43 +148,44 @@ def find_secrets(
     rules: tuple[Rule, ...] = RULES,
     key: str = "doc_id",
     text: str = "text",
+    into: str = "secrets",
 ) -> DataFrame:
-    """All columns of ``documents`` and ``secrets``, sorted spans of all rules.
+    """All columns of ``documents`` and ``into``, sorted spans of all rules.
 
     A span is ``begin``, ``kind`` (the place of its rule) and ``end``, in code
     points, end exclusive. Matches of one rule do not overlap; those of several
     may. A null or empty text has none. A key may repeat; rows without a key
-    are in no posting, so all rules run on them. No column of the name
-    ``secrets`` may be there already.
+    are in no posting, so all rules run on them. A column that has the name of
+    ``into`` already is replaced.
     """
     queries = {rule.kind: trigram_query(rule.pattern) for rule in rules}
     indexed = tuple(rule for rule in rules if queries[rule.kind] != ALWAYS)
     rows = documents
     if indexed:
         found = candidates(documents, indexed, key, text).withColumnsRenamed(
-            {"key": "_key", "rules": "_rules"}
+            {"key": "__secret_key", "rules": "__secret_rules"}
         )
-        rows = rows.join(found, rows[key] == found["_key"], "left").drop("_key")
+        rows = rows.join(found, rows[key] == found["__secret_key"], "left").drop("__secret_key")
     else:
-        rows = rows.withColumn("_rules", F.lit(None).cast("array<string>"))
-    rows = rows.withColumn("_text", F.coalesce(F.col(text), F.lit("")))
+        rows = rows.withColumn("__secret_rules", F.lit(None).cast("array<string>"))
+    rows = rows.withColumn("__secret_text", F.coalesce(F.col(text), F.lit("")))
     none = F.array().cast("array<string>")
     matches, spans = {}, []
     for place, rule in enumerate(rules):
-        may = F.col(key).isNull() | F.array_contains("_rules", rule.kind)
+        may = F.col(key).isNull() | F.array_contains("__secret_rules", rule.kind)
         for group in {0, rule.group}:
-            every = F.regexp_extract_all("_text", F.lit(rule.pattern), F.lit(group))
-            matches[f"_{place}_{group}"] = (
+            every = F.regexp_extract_all("__secret_text", F.lit(rule.pattern), F.lit(group))
+            matches[f"__secret_{place}_{group}"] = (
                 F.when(may, every).otherwise(none) if rule in indexed else every
             )
         spans.append(
             _spans(
-                place, F.col("_text"), F.col(f"_{place}_0"), F.col(f"_{place}_{rule.group}"), rule
+                place, F.col("__secret_text"), F.col(f"__secret_{place}_0"), F.col(f"__secret_{place}_{rule.group}"), rule
             )
         )
     rows = rows.withColumns(matches)
-    return rows.withColumn("secrets", F.array_sort(F.concat(*spans))).drop(
-        "_text", "_rules", *matches
+    return rows.withColumn(into, F.array_sort(F.concat(*spans))).drop(
+        "__secret_text", "__secret_rules", *matches
     )
 
 
@@ -217,7 +218,8 @@ def secret_digests(documents: DataFrame) -> DataFrame:
 
 def redact(documents: DataFrame, mark: str = "[SECRET]", text: str = "text") -> DataFrame:
     """``documents`` with every secret replaced by ``mark``; spans that overlap by one."""
-    found = find_secrets(documents, text=text)
+    spans = "__secret_spans"
+    found = find_secrets(documents, text=text, into=spans)
     start = F.struct(F.lit(0).alias("at"), F.lit("").alias("kept"))
 
     def step(state: Column, span: Column) -> Column:
@@ -236,7 +238,7 @@ def redact(documents: DataFrame, mark: str = "[SECRET]", text: str = "text") ->
 
     return found.withColumn(
         text,
-        F.when(F.size("secrets") > 0, F.aggregate("secrets", start, step, rest)).otherwise(
+        F.when(F.size(spans) > 0, F.aggregate(spans, start, step, rest)).otherwise(
             F.col(text)
         ),
-    ).drop("secrets")
+    ).drop(spans)

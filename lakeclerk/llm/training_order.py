@@ -139,7 +139,7 @@ def write_training_order(
     (
         placed.select("slot", key, "part", "n_ids", "ids", "shard")
         .repartitionByRange(shards, "shard")
-        .sortWithinPartitions("slot")
+        .sortWithinPartitions("shard", "slot")
         .write.option("compression", "zstd")
         .partitionBy("shard")
         .parquet(path)
