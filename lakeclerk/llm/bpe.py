@@ -17,6 +17,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lakeclerk.llm.pieces import split
 from lakeclerk.llm.scratch import in_chunks, map_frames
@@ -225,7 +226,7 @@ def encode_documents(
                 ids = bpe.encode([value or "" for value in part["bpe_text"]])
                 yield pd.DataFrame(
                     {
-                        key: part["bpe_key"].to_numpy(),
+                        key: part["bpe_key"],
                         "ids": ids,
                         "n_tokens": [len(x) // 4 for x in ids],
                         "ids_sha256": [hashlib.sha256(x).hexdigest() for x in ids],
@@ -235,8 +236,11 @@ def encode_documents(
                     }
                 )
 
-    return map_frames(
-        documents.select(documents[key].alias("bpe_key"), documents[text].alias("bpe_text")),
+    found = map_frames(
+        documents.select(
+            documents[key].cast("string").alias("bpe_key"), documents[text].alias("bpe_text")
+        ),
         run,
-        f"`{key}` {kind}, ids binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
+        f"`{key}` string, ids binary, n_tokens bigint, ids_sha256 string, decoded_sha256 string",
     )
+    return found.withColumn(key, F.col(key).cast(kind))

@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from lakeclerk.llm.scratch import map_frames
 
@@ -254,8 +255,13 @@ def extract(pages: DataFrame) -> DataFrame:
             )
 
     id_kind = pages.schema["page_id"].dataType.simpleString()
-    return map_frames(
-        pages.select("page_id", "url", pages["html"].alias("page_html")),
+    found = map_frames(
+        pages.select(
+            pages["page_id"].cast("string").alias("page_id"),
+            "url",
+            pages["html"].alias("page_html"),
+        ),
         run,
-        f"page_id {id_kind}, url string, text string, n_chars bigint",
+        "page_id string, url string, text string, n_chars bigint",
     )
+    return found.withColumn("page_id", F.col("page_id").cast(id_kind))

@@ -13,10 +13,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from lakeclerk.llm.scratch import in_chunks, map_frames, written
+from lakeclerk.llm.scratch import in_chunks, map_batches, map_frames, written
 from lakeclerk.llm.words import scan_words
 
 UNDETERMINED = "und"
@@ -81,6 +82,21 @@ class LanguageModel:
         total[some] = np.add.reduceat(value[which], found.first[some], axis=0)
         return total
 
+    def predict(
+        self, texts: list[str | None], memory: dict[int, np.ndarray]
+    ) -> tuple[np.ndarray, np.ndarray]:
+        """Language and posterior of every text."""
+        texts = [value or "" for value in texts]
+        total = self.scores(texts, memory)
+        lost = np.isnan(total).any(axis=1) if total.size else np.ones(len(texts), bool)
+        best, score = np.full(len(texts), len(self.languages)), np.zeros(len(texts))
+        if not lost.all():
+            some = total[~lost]
+            best[~lost] = some.argmax(axis=1)
+            gap = some - some.max(axis=1, keepdims=True)
+            score[~lost] = 1 / np.exp(gap).sum(axis=1)
+        return np.array([*self.languages, UNDETERMINED], object)[best], score
+
 
 def log_frequencies(counts: DataFrame) -> DataFrame:
     """Counts by (lang, kind, key) to log frequencies, as a list over the languages.
@@ -197,28 +213,42 @@ def predict(
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         model, memory = shared.value, {}
-        names = np.array([*model.languages, UNDETERMINED], object)
         for frame in frames:
             for part in in_chunks(frame, "lang_text", TOGETHER):
-                texts = [value or "" for value in part["lang_text"]]
-                total = model.scores(texts, memory)
-                lost = np.isnan(total).any(axis=1) if total.size else np.ones(len(texts), bool)
-                best = np.full(len(texts), len(names) - 1)
-                score = np.zeros(len(texts))
-                if not lost.all():
-                    some = total[~lost]
-                    best[~lost] = some.argmax(axis=1)
-                    gap = some - some.max(axis=1, keepdims=True)
-                    score[~lost] = 1 / np.exp(gap).sum(axis=1)
-                yield pd.DataFrame(
-                    {key: part["lang_key"].to_numpy(), "lang_pred": names[best], "score": score}
-                )
+                names, score = model.predict(list(part["lang_text"]), memory)
+                yield pd.DataFrame({key: part["lang_key"], "lang_pred": names, "score": score})
 
-    return map_frames(
-        documents.select(documents[key].alias("lang_key"), documents[text].alias("lang_text")),
+    found = map_frames(
+        documents.select(
+            documents[key].cast("string").alias("lang_key"), documents[text].alias("lang_text")
+        ),
         run,
-        f"`{key}` {kind}, lang_pred string, score double",
+        f"`{key}` string, lang_pred string, score double",
     )
+    return found.withColumn(key, F.col(key).cast(kind))
+
+
+def relabel(
+    documents: DataFrame, model: LanguageModel, text: str = "text", lang: str = "lang"
+) -> DataFrame:
+    """``documents`` with ``lang`` predicted, without those of no language.
+
+    Rows go through as they are but for that column, so there is no join.
+    """
+    shared = documents.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model, memory = shared.value, {}
+        for batch in batches:
+            names = []
+            frame = pd.DataFrame({"t": batch.column(text).to_pylist()}, dtype=object)
+            for part in in_chunks(frame, "t", TOGETHER):
+                names += list(model.predict(list(part["t"]), memory)[0])
+            place = batch.schema.get_field_index(lang)
+            batch = batch.set_column(place, lang, pa.array(names, pa.string()))
+            yield batch.filter(pa.array([name != UNDETERMINED for name in names], pa.bool_()))
+
+    return map_batches(documents, run, documents.schema)
 
 
 def held_out(doc_id: Column) -> Column:

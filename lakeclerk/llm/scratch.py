@@ -9,6 +9,7 @@ from collections.abc import Callable, Iterator
 from pathlib import Path
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.types import StructType
 
@@ -35,7 +36,11 @@ def ship(spark: SparkSession) -> None:
 def map_frames(
     df: DataFrame, run: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]], schema: str | StructType
 ) -> DataFrame:
-    """``mapInPandas`` with the package's modules at hand on the executors."""
+    """``mapInPandas`` with the package's modules at hand on the executors.
+
+    A pandas column of whole numbers with a null among them is one of floats:
+    keys that may be null go through as text.
+    """
     ship(df.sparkSession)
     return df.mapInPandas(run, schema)
 
@@ -60,6 +65,16 @@ def written(df: DataFrame, purpose: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def map_batches(
+    df: DataFrame,
+    run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],
+    schema: str | StructType,
+) -> DataFrame:
+    """``mapInArrow`` likewise: columns that pass through keep every value as it is."""
+    ship(df.sparkSession)
+    return df.mapInArrow(run, schema)
+
+
 def in_chunks(frame: pd.DataFrame, text: str, size: int) -> Iterator[pd.DataFrame]:
     """Consecutive rows of a batch with about ``size`` characters together.
 

@@ -94,13 +94,14 @@ def sequences(
                 yield pd.DataFrame(rows, columns=[key, "part", "n_ids", "ids", "task", "local"])
 
     rows = documents.select(
-        documents[key].alias("seq_key"),
+        documents[key].cast("string").alias("seq_key"),
         documents[text].alias("seq_text"),
         F.spark_partition_id().alias("task"),
     ).where(F.length("seq_text") > 0)
-    return map_frames(
-        rows, run, f"`{key}` {kind}, part int, n_ids int, ids binary, task int, local bigint"
+    found = map_frames(
+        rows, run, f"`{key}` string, part int, n_ids int, ids binary, task int, local bigint"
     )
+    return found.withColumn(key, F.col(key).cast(kind))
 
 
 def write_training_order(

@@ -68,6 +68,14 @@ def test_back_off_takes_the_longest_known():
     assert model.back_off("z")[0] == 0.0
 
 
+def test_keys_beyond_the_digits_of_a_float(spark):
+    big = 2**62 + 1
+    docs = spark.createDataFrame([(big, "the of"), (None, "and")], "doc_id bigint, text string")
+    model = langid.fit(docs.withColumn("lang", F.lit("en")))
+    for found in (langid.predict(docs, model), bpe.encode_documents(docs, RANKS)):
+        assert {row.doc_id for row in found.collect()} == {big, None}
+
+
 def test_bpe_of_odd_rows(odd):
     found = bpe.encode_documents(odd, RANKS)
     rows = found.collect()
