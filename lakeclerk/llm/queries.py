@@ -86,7 +86,53 @@ QUERIES = {
         op10_html_extraction,
     )
 }
+
+
+def secrets_sql() -> str:
+    """Spans from the lengths of matches and of what stands between them."""
+    rules = " UNION ALL ".join(
+        f"""
+        SELECT row, '{rule.kind}' AS kind, {place} AS place, {rule.least} AS least,
+               regexp_extract_all(t, '{pattern}', 0) AS m,
+               regexp_extract_all(t, '{pattern}', {rule.group}) AS g,
+               string_split_regex(t, '{pattern}') AS gaps
+        FROM docs
+        """
+        for place, rule in enumerate(secret_scan.RULES)
+        for pattern in [rule.pattern.replace("'", "''")]
+    )
+    counts = ", ".join(
+        f"count(*) FILTER (kind = '{rule.kind}') AS n_{rule.kind}"
+        for rule in secret_scan.BASE_RULES
+    )
+    base = len(secret_scan.BASE_RULES)
+    span = "kind || ':' || b || ':' || e, ',' ORDER BY b, place"
+    return f"""
+        WITH docs AS (
+            SELECT row_number() OVER () AS row, doc_id, coalesce(text, '') AS t FROM documents
+        ), every AS ({rules}), numbered AS (
+            SELECT *, unnest(range(1, len(m) + 1)) AS i FROM every
+        ), placed AS (
+            SELECT row, kind, place, length(m[i]) AS size, length(g[i]) >= least AS fits,
+                   list_sum(list_transform(gaps[1:i], lambda x: length(x)))::BIGINT
+                   + coalesce(list_sum(list_transform(m[1:i - 1], lambda x: length(x))), 0)::BIGINT
+                   AS b
+            FROM numbered
+        ), spans AS (SELECT *, b + size AS e FROM placed WHERE fits), found AS (
+            SELECT row, {counts},
+                   string_agg({span}) FILTER (place < {base}) AS base,
+                   string_agg({span}) AS spans
+            FROM spans GROUP BY row
+        )
+        SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access,
+               coalesce(n_hex, 0) AS n_hex, sha256(coalesce(base, '')) AS base_sha256,
+               coalesce(spans, '') AS spans
+        FROM docs LEFT JOIN found USING (row)
+    """
+
+
 ORACLE_SQL = {
+    "op7_secret_scan": secrets_sql(),
     "op9_sorted_lists_topk": """
         WITH v AS (
             SELECT vec_id,
