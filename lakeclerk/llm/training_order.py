@@ -29,6 +29,7 @@ END = 50_256  # id after the last of a text, and of the padding
 ROUNDS = 6
 KEY = 20_240_601
 TOGETHER = 1 << 20
+BROADCAST_TASKS = 1_000_000  # offsets of more tasks are joined by shuffle
 
 _encodings: dict[str, tiktoken.Encoding] = {}
 
@@ -128,7 +129,11 @@ def write_training_order(
     # One row for each task that wrote sequences.
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
     offsets = sizes.select("task", F.coalesce(F.sum("size").over(before), F.lit(0)).alias("offset"))
+    offsets = written(offsets, "offsets")
     count = stored.count()
+    # A row of 16 bytes for each task: the sequences need not be shuffled for it.
+    if offsets.count() <= BROADCAST_TASKS:
+        offsets = F.broadcast(offsets)
 
     @F.pandas_udf("bigint")
     def slot(places: pd.Series) -> pd.Series:
