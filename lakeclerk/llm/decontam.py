@@ -19,7 +19,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeclerk.llm.scratch import in_chunks, map_frames, written
-from lakeclerk.llm.words import scan_words
+from lakeclerk.llm.words import Words, scan_words
 
 BUCKETS = 1 << 14  # hashed words
 LATENT = 64  # directions that are kept
@@ -38,6 +38,7 @@ FIT_ROWS = 4_000  # documents that the directions are fitted on, about
 FIT_PARTS = 8
 ITEMS = 2_000  # items that are searched for in one pass
 TOGETHER = 1 << 20
+SEARCHED = 1 << 16  # characters that are searched together, few enough for the cache
 
 
 def buckets(hashes: np.ndarray) -> np.ndarray:
@@ -65,7 +66,7 @@ def word_weights(documents: DataFrame, text: str = "text") -> np.ndarray:
     return np.where(counts > FREQUENT * total, 0.0, np.log1p(total / (1 + counts)))
 
 
-def _passages(found, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def _passages(found: Words, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Bucket, passage and normed weight of every word."""
     ids = buckets(found.hashes)
     sizes = np.diff(found.first)
@@ -190,6 +191,8 @@ def common_subsequence(a: list[int], b: list[int]) -> int:
 
 def judge(item: np.ndarray, region: np.ndarray) -> tuple[float, float]:
     """Shares of the item's words, and of its answer's, in order in the region."""
+    if np.isin(item, region).sum() < PARAPHRASED * len(item):
+        return 0.0, 0.0
     words, around = item.tolist(), region.tolist()
     share = common_subsequence(words, around) / len(words)
     answer = words[-max(3, round(ANSWER * len(words))) :]
@@ -210,14 +213,23 @@ def search(
     shared = documents.sparkSession.sparkContext.broadcast((items, directions))
     kind = documents.schema[key].dataType.simpleString()
 
-    def candidates(found, items: Items, directions: np.ndarray) -> Iterator[tuple]:
-        """(text, item, begin, end, cosine) of regions that may hold an item."""
+    def candidates(
+        found: Words, items: Items, directions: np.ndarray, weighs: np.ndarray
+    ) -> Iterator[tuple]:
+        """(text, item, words, cosine): the words of regions that may hold an item."""
         ids = buckets(found.hashes)
         sizes = np.diff(found.first)
         in_text = np.arange(len(ids)) - np.repeat(found.first[:-1], sizes)
         begin = np.flatnonzero(in_text % BLOCK == 0)
-        total = np.zeros((len(begin) + 1, directions.shape[1]))
-        np.cumsum(np.add.reduceat(directions[ids], begin, axis=0), axis=0, out=total[1:])
+        # Frequent words weigh nothing: only the others are added up.
+        heavy = np.flatnonzero(weighs[ids])
+        if not len(heavy):
+            return
+        block = np.searchsorted(begin, heavy, "right") - 1
+        new = np.flatnonzero(np.diff(block, prepend=-1))
+        total = np.zeros((len(begin) + 1, directions.shape[1]), np.float32)
+        total[block[new] + 1] = np.add.reduceat(directions[ids[heavy]], new, axis=0)
+        np.cumsum(total, axis=0, out=total)
         text = np.searchsorted(found.first, begin, "right") - 1
         last = np.searchsorted(begin, found.first[1:])  # blocks up to a text's end
         in_text = in_text[begin] // BLOCK
@@ -227,43 +239,54 @@ def search(
                 continue
             start = np.flatnonzero(in_text % step == 0)
             end = np.minimum(start + size, last[text[start]])
-            window = _unit(total[end] - total[start]).astype(np.float32)
-            cosine = window @ items.vectors[which].T
-            near, item = np.nonzero(cosine >= LEAST_COSINE)
+            window = total[end] - total[start]
+            length = np.sqrt(np.einsum("ij,ij->i", window, window))
+            # Sums that cancel leave a rest of rounding; it is no direction.
+            length[length < 1e-2] = np.inf
+            product = window @ items.vectors[which].T
+            near, item = np.nonzero(product >= LEAST_COSINE * length[:, None])
             if not len(near):
                 continue
-            # The region is the window and half of it to either side. Words in
-            # order are at most as many as the region has of the item's words.
-            half = BLOCK * size // 2
-            place = begin[start[near]]
-            low = np.maximum(found.first[text[start[near]]], place - half)
-            high = np.minimum(found.first[text[start[near]] + 1], place + 3 * half)
+            cosine = product[near, item] / length[near]
+            # The region is the window and what the next ones begin with. Only
+            # words that the item has too can be in a common subsequence.
+            margin = BLOCK * (step + 1)
+            first = begin[start[near]]
+            low = np.maximum(found.first[text[start[near]]], first - margin)
+            high = np.minimum(
+                found.first[text[start[near]] + 1], first + BLOCK * size + margin
+            )
+            lengths = np.array([len(items.words[i]) for i in which])
             for at in range(0, len(near), 4096):
                 part = slice(at, at + 4096)
-                column = low[part, None] + np.arange(4 * half)
-                held = items.holds[which[item[part]][:, None], ids[np.minimum(column, len(ids) - 1)]]
-                shared = (held & (column < high[part, None])).sum(axis=1)
-                least = np.array([len(items.words[i]) for i in which])[item[part]] * PARAPHRASED
-                for i in (at + np.flatnonzero(shared >= least)).tolist():
+                column = low[part, None] + np.arange(BLOCK * size + 2 * margin)
+                inside = column < high[part, None]
+                np.minimum(column, len(ids) - 1, out=column)
+                place = ids.take(column)
+                place += (which[item[part]] * BUCKETS)[:, None]
+                held = items.holds.ravel().take(place)
+                held &= inside
+                enough = held.sum(axis=1) >= lengths[item[part]] * PARAPHRASED
+                for i in np.flatnonzero(enough).tolist():
                     yield (
-                        int(text[start[near[i]]]),
-                        int(which[item[i]]),
-                        int(low[i]),
-                        int(high[i]),
-                        float(cosine[near[i], item[i]]),
+                        int(text[start[near[at + i]]]),
+                        int(which[item[at + i]]),
+                        found.hashes[column[i, held[i]]],
+                        float(cosine[at + i]),
                     )
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items, directions = shared.value
+        weighs = directions.any(axis=1)
         for frame in frames:
             rows = []
-            for part in in_chunks(frame, "leak_text", TOGETHER // 4):
+            for part in in_chunks(frame, "leak_text", SEARCHED):
                 found = scan_words(part["leak_text"].tolist())
                 if not len(found.hashes) or not items.ids:
                     continue
                 keys, best = part["leak_key"].tolist(), {}
-                for text, item, low, high, cosine in candidates(found, items, directions):
-                    share, answer = judge(items.words[item], found.hashes[low:high])
+                for text, item, region, cosine in candidates(found, items, directions, weighs):
+                    share, answer = judge(items.words[item], region)
                     if is_leak(share, answer):
                         name = (text, items.ids[item])
                         best[name] = max(best.get(name, (0, 0, 0)), (share, answer, cosine))
