@@ -58,10 +58,10 @@ def new_path(spark: SparkSession, purpose: str) -> str:
     return f"{shared.rstrip('/')}/lakeclerk-llm/{application}/{purpose}-{uuid.uuid4().hex}"
 
 
-def written(df: DataFrame, purpose: str) -> DataFrame:
+def written(df: DataFrame, purpose: str, compression: str = "snappy") -> DataFrame:
     """Write ``df`` once and go on from the files, which cuts its lineage."""
     path = new_path(df.sparkSession, purpose)
-    df.write.parquet(path)
+    df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 

@@ -124,7 +124,8 @@ def write_training_order(
     """
     spark: SparkSession = documents.sparkSession
     ship(spark)
-    stored = written(sequences(documents, ranks_path, pattern, key, text), "sequences")
+    made = sequences(documents, ranks_path, pattern, key, text)
+    stored = written(made, "sequences", "zstd")
     sizes = stored.groupBy("task").agg(F.count("*").alias("size"))
     # One row for each task that wrote sequences.
     before = Window.orderBy("task").rowsBetween(Window.unboundedPreceding, -1)
