@@ -1,8 +1,10 @@
 """Benchmark passages in documents, found in a latent space (operator 1).
 
 Passages of the corpus are TF-IDF vectors over hashed words. A distributed
-randomised SVD gives the leading directions they share. Benchmark items and
-windows of all documents are projected and compared by cosine. A candidate is
+randomised SVD gives the leading directions they share; the cosine of an item
+and the window it was found in is told with every leak. No cosine decides: a
+window is a candidate if it holds enough of the item's words for a leak, which
+nothing that is accepted lacks, however common its words are. A candidate is
 confirmed on the words themselves: the longest common subsequence covers most
 of the item, or, for a paraphrase, a good part of it and the item's answer.
 """
@@ -24,13 +26,11 @@ from lakeclerk.llm.words import Words, scan_words
 BUCKETS = 1 << 14  # hashed words
 LATENT = 64  # directions that are kept
 COMMON = 4  # leading directions that are left out: what whole languages share
-FREQUENT = 1 / 4_000  # words of a greater share of all words weigh nothing
 BLOCK = 6  # words that are summed first
 WINDOWS = (2, 3, 4, 5, 7, 9, 12)  # blocks of a window
 STEPS = (1, 1, 1, 1, 2, 2, 3)  # blocks from one window to the next
 PASSAGE = 48  # words of a passage that the directions are fitted on
 LEAST_WORDS = 8  # items with fewer words are too common to be looked for
-LEAST_COSINE = 0.55
 COPIED = 0.8  # share of an item's words that a copy has in order
 PARAPHRASED = 0.6  # the same where the answer is there too
 ANSWER = 0.25  # share of an item, at its end, that is its answer
@@ -39,6 +39,7 @@ FIT_PARTS = 8
 ITEMS = 2_000  # items that are searched for in one pass
 TOGETHER = 1 << 20
 SEARCHED = 1 << 16  # characters that are searched together, few enough for the cache
+STARTS = 2_048  # windows that are searched together
 
 
 def buckets(hashes: np.ndarray) -> np.ndarray:
@@ -46,7 +47,7 @@ def buckets(hashes: np.ndarray) -> np.ndarray:
 
 
 def word_weights(documents: DataFrame, text: str = "text") -> np.ndarray:
-    """Inverse frequency of every bucket over all words of all texts; 0 if frequent."""
+    """Inverse frequency of every bucket over all words of all texts, always above 0."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         counts = np.zeros(BUCKETS, np.int64)
@@ -63,7 +64,7 @@ def word_weights(documents: DataFrame, text: str = "text") -> np.ndarray:
     for row in found.collect():  # at most BUCKETS
         counts[row.bucket] = row.n
     total = max(1.0, counts.sum())
-    return np.where(counts > FREQUENT * total, 0.0, np.log1p(total / (1 + counts)))
+    return np.log1p(total / (1 + counts))
 
 
 def _passages(found: Words, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -148,7 +149,7 @@ class Items:
     words: list[np.ndarray]
     scale: np.ndarray  # place in WINDOWS
     vectors: np.ndarray
-    holds: np.ndarray  # by part and bucket
+    many: np.ndarray  # words by part and bucket; the last bucket is none's
 
 
 def _unit(vectors: np.ndarray) -> np.ndarray:
@@ -169,11 +170,11 @@ def describe_items(rows: list[tuple[int, str | None]], directions: np.ndarray) -
     most = BLOCK * np.array(WINDOWS)
     scale = np.array([int(np.searchsorted(most, len(x))) for x in words], np.int64)
     vectors = np.zeros((len(words), directions.shape[1]))
-    holds = np.zeros((len(words), BUCKETS), bool)
+    many = np.zeros((len(words), BUCKETS + 1), np.uint8)
     for i, part in enumerate(words):
         vectors[i] = directions[buckets(part)].sum(axis=0)
-        holds[i, buckets(part)] = True
-    return Items(ids, words, scale, _unit(vectors).astype(np.float32), holds)
+        np.add.at(many[i], buckets(part), 1)
+    return Items(ids, words, scale, _unit(vectors).astype(np.float32), many)
 
 
 def common_subsequence(a: list[int], b: list[int]) -> int:
@@ -213,71 +214,75 @@ def search(
     shared = documents.sparkSession.sparkContext.broadcast((items, directions))
     kind = documents.schema[key].dataType.simpleString()
 
-    def candidates(
-        found: Words, items: Items, directions: np.ndarray, weighs: np.ndarray
-    ) -> Iterator[tuple]:
-        """(text, item, words, cosine): the words of regions that may hold an item."""
+    def candidates(found: Words, items: Items, holds: list[np.ndarray]) -> Iterator[tuple]:
+        """(text, part, words, ids): the words of regions that may hold a part of an item.
+
+        A region is a window and what the next ones begin with. The number of
+        its words that the part has too bounds their common subsequence.
+        """
         ids = buckets(found.hashes)
         sizes = np.diff(found.first)
         in_text = np.arange(len(ids)) - np.repeat(found.first[:-1], sizes)
         begin = np.flatnonzero(in_text % BLOCK == 0)
-        # Frequent words weigh nothing: only the others are added up.
-        heavy = np.flatnonzero(weighs[ids])
-        if not len(heavy):
-            return
-        block = np.searchsorted(begin, heavy, "right") - 1
-        new = np.flatnonzero(np.diff(block, prepend=-1))
-        total = np.zeros((len(begin) + 1, directions.shape[1]), np.float32)
-        total[block[new] + 1] = np.add.reduceat(directions[ids[heavy]], new, axis=0)
-        np.cumsum(total, axis=0, out=total)
         text = np.searchsorted(found.first, begin, "right") - 1
-        last = np.searchsorted(begin, found.first[1:])  # blocks up to a text's end
+        first = np.searchsorted(begin, found.first)  # blocks before a text
         in_text = in_text[begin] // BLOCK
+        # Ids by block, filled up with the bucket that no part holds.
+        column = begin[:, None] + np.arange(BLOCK)
+        blocks = np.where(
+            column < found.first[text + 1][:, None],
+            ids.take(column, mode="clip"),
+            BUCKETS,
+        )
         for scale, (size, step) in enumerate(zip(WINDOWS, STEPS)):
             which = np.flatnonzero(items.scale == scale)
             if not len(which):
                 continue
-            start = np.flatnonzero(in_text % step == 0)
-            end = np.minimum(start + size, last[text[start]])
-            window = total[end] - total[start]
-            length = np.sqrt(np.einsum("ij,ij->i", window, window))
-            # Sums that cancel leave a rest of rounding; it is no direction.
-            length[length < 1e-2] = np.inf
-            product = window @ items.vectors[which].T
-            near, item = np.nonzero(product >= LEAST_COSINE * length[:, None])
-            if not len(near):
-                continue
-            cosine = product[near, item] / length[near]
-            # The region is the window and what the next ones begin with. Only
-            # words that the item has too can be in a common subsequence.
-            margin = BLOCK * (step + 1)
-            first = begin[start[near]]
-            low = np.maximum(found.first[text[start[near]]], first - margin)
-            high = np.minimum(
-                found.first[text[start[near]] + 1], first + BLOCK * size + margin
-            )
             lengths = np.array([len(items.words[i]) for i in which])
-            for at in range(0, len(near), 4096):
-                part = slice(at, at + 4096)
-                column = low[part, None] + np.arange(BLOCK * size + 2 * margin)
-                inside = column < high[part, None]
-                np.minimum(column, len(ids) - 1, out=column)
-                place = ids.take(column)
-                place += (which[item[part]] * BUCKETS)[:, None]
-                held = items.holds.ravel().take(place)
-                held &= inside
-                enough = held.sum(axis=1) >= lengths[item[part]] * PARAPHRASED
-                for i in np.flatnonzero(enough).tolist():
-                    yield (
-                        int(text[start[near[at + i]]]),
-                        int(which[item[at + i]]),
-                        found.hashes[column[i, held[i]]],
-                        float(cosine[at + i]),
-                    )
+            least = np.ceil(lengths * PARAPHRASED - 1e-9).astype(np.int32)
+            every = np.flatnonzero(in_text % step == 0)
+            margin = step + 1
+            for at in range(0, len(every), STARTS):
+                start = every[at : at + STARTS]
+                low = np.maximum(first[text[start]], start - margin)
+                high = np.minimum(first[text[start] + 1], start + size + margin)
+                # Words of every block that each part has, added up from the first on.
+                rows = blocks[low[0] : high.max()]
+                count = holds[scale][rows[:, 0]]
+                for place in range(1, BLOCK):
+                    count += holds[scale][rows[:, place]]
+                total = np.zeros((len(rows) + 1, len(which)), np.int32)
+                np.cumsum(count, axis=0, out=total[1:], dtype=np.int32)
+                enough = total[high - low[0]] - total[low - low[0]] >= least
+                near, part = np.nonzero(enough)
+                for some in range(0, len(near), 4096):
+                    region, item = near[some : some + 4096], part[some : some + 4096]
+                    place = low[region, None] + np.arange(size + 2 * margin)
+                    held = blocks.take(place, axis=0, mode="clip")
+                    held[place >= high[region, None]] = BUCKETS
+                    held = held.reshape(len(region), -1)
+                    # A word that is there more often than in the part counts as often as there.
+                    order = np.sort(held, axis=1)
+                    across = np.arange(order.shape[1])
+                    new = np.diff(order, axis=1, prepend=-1) != 0
+                    nth = across - np.maximum.accumulate(np.where(new, across, 0), axis=1)
+                    shared_ = nth < items.many[which[item, None], order]
+                    for i in np.flatnonzero(shared_.sum(axis=1) >= least[item]).tolist():
+                        r, p = region[i], int(which[item[i]])
+                        a = begin[low[r]]
+                        b = a + int((held[i] < BUCKETS).sum())
+                        c = begin[start[r]]
+                        d = min(c + BLOCK * size, int(found.first[text[start[r]] + 1]))
+                        words = found.hashes[a:b][items.many[p, ids[a:b]] > 0]
+                        yield int(text[start[r]]), p, words, ids[c:d]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         items, directions = shared.value
-        weighs = directions.any(axis=1)
+        # By scale, a row for each bucket.
+        holds = [
+            np.ascontiguousarray((items.many[items.scale == scale] > 0).T.astype(np.uint8))
+            for scale in range(len(WINDOWS))
+        ]
         for frame in frames:
             rows = []
             for part in in_chunks(frame, "leak_text", SEARCHED):
@@ -285,10 +290,14 @@ def search(
                 if not len(found.hashes) or not items.ids:
                     continue
                 keys, best = part["leak_key"].tolist(), {}
-                for text, item, region, cosine in candidates(found, items, directions, weighs):
+                for text, item, region, window in candidates(found, items, holds):
                     share, answer = judge(items.words[item], region)
                     if is_leak(share, answer):
                         name = (text, items.ids[item])
+                        vector = directions[window].sum(axis=0)
+                        cosine = float(
+                            vector @ items.vectors[item] / max(np.linalg.norm(vector), 1e-9)
+                        )
                         best[name] = max(best.get(name, (0, 0, 0)), (share, answer, cosine))
                 rows += [(keys[text], item, c, s, a) for (text, item), (s, a, c) in best.items()]
             yield pd.DataFrame(
