@@ -17,10 +17,11 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeclerk.llm.scratch import in_chunks, map_frames, written
+from lakeclerk.llm.scratch import in_chunks, map_frames
 from lakeclerk.llm.words import Words, scan_words
 
 BUCKETS = 1 << 14  # hashed words
@@ -34,8 +35,7 @@ LEAST_WORDS = 8  # items with fewer words are too common to be looked for
 COPIED = 0.8  # share of an item's words that a copy has in order
 PARAPHRASED = 0.6  # the same where the answer is there too
 ANSWER = 0.25  # share of an item, at its end, that is its answer
-FIT_ROWS = 4_000  # documents that the directions are fitted on, about
-FIT_PARTS = 8
+LEVEL = 64  # matrices of tasks that are added up by one task
 ITEMS = 2_000  # items that are searched for in one pass
 TOGETHER = 1 << 20
 SEARCHED = 1 << 16  # characters that are searched together, few enough for the cache
@@ -82,7 +82,8 @@ def _passages(found: Words, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray
 def _gram_times(texts: DataFrame, weights: np.ndarray, right: np.ndarray) -> np.ndarray:
     """The passages' Gram matrix over buckets times ``right``, summed by tasks.
 
-    A task holds one matrix of BUCKETS rows; parts of it are added up by group.
+    A task holds one matrix of BUCKETS rows; parts of it are added up by group,
+    at most LEVEL together, in as many levels as the number of tasks asks for.
     """
     context = texts.sparkSession.sparkContext
     shared = context.broadcast((weights, right.astype(np.float32)))
@@ -105,16 +106,25 @@ def _gram_times(texts: DataFrame, weights: np.ndarray, right: np.ndarray) -> np.
                 total[ids[order][begin]] += np.add.reduceat(
                     left[passage[order]] * value[order], begin, axis=0
                 )
+        task = TaskContext.get().partitionId()
         for at in range(0, BUCKETS, rows):
-            yield pd.DataFrame({"at": [at], "part": [total[at : at + rows].tobytes()]})
+            yield pd.DataFrame(
+                {"at": [at], "task": [task], "part": [total[at : at + rows].tobytes()]}
+            )
 
     def add(frame: pd.DataFrame) -> pd.DataFrame:
         total = sum(np.frombuffer(x, np.float32).astype(np.float64) for x in frame["part"])
-        return pd.DataFrame({"at": frame["at"][:1], "part": [total.astype(np.float32).tobytes()]})
-
-    parts = map_frames(texts, run, "at int, part binary")
+        return frame[:1].assign(part=[total.astype(np.float32).tobytes()])
+
+    schema = "at int, task int, part binary"
+    parts = map_frames(texts, run, schema)
+    tasks = max(1, texts.rdd.getNumPartitions())
+    while tasks > 1:
+        tasks = -(-tasks // LEVEL)
+        parts = parts.withColumn("task", F.col("task") % tasks)
+        parts = parts.groupBy("at", "task").applyInPandas(add, schema)
     result = np.zeros((BUCKETS, width))
-    for row in parts.groupBy("at").applyInPandas(add, "at int, part binary").collect():
+    for row in parts.collect():  # one row for each part of the matrix
         result[row["at"] : row["at"] + rows] = np.frombuffer(row.part, np.float32).reshape(-1, width)
     return result
 
@@ -122,17 +132,12 @@ def _gram_times(texts: DataFrame, weights: np.ndarray, right: np.ndarray) -> np.
 def latent_directions(documents: DataFrame, weights: np.ndarray, text: str = "text") -> np.ndarray:
     """Projection of buckets to the latent space, word weights included.
 
-    Fitted on about FIT_ROWS documents, taken by a hash of their text, in two
-    rounds of a randomised subspace iteration. A word's direction has length 1
-    before its weight is applied, so that rare words, of which the leading
-    directions hold little, count as their weight says.
+    Fitted on all documents in two rounds of a randomised subspace iteration. A
+    word's direction has length 1 before its weight is applied, so that rare
+    words, of which the leading directions hold little, count as their weight
+    says.
     """
-    total = documents.count()
     texts = documents.select(documents[text].alias("text")).where(F.length("text") > 0)
-    if total > FIT_ROWS:
-        share = int(FIT_ROWS / total * (1 << 40))
-        texts = texts.where(F.pmod(F.xxhash64("text"), F.lit(1 << 40)) < share)
-    texts = written(texts.repartition(FIT_PARTS), "fit")
     basis = np.random.default_rng(7).standard_normal((BUCKETS, LATENT + COMMON))
     basis = np.linalg.qr(_gram_times(texts, weights, basis))[0]
     image = _gram_times(texts, weights, basis)

@@ -2,7 +2,11 @@
 
 import random
 
-from lakeclerk.llm import decontam
+import numpy as np
+import pytest
+from pyspark.sql import functions as F
+
+from lakeclerk.llm import decontam, license_scan
 
 DOCS = "doc_id bigint, text string"
 ITEMS = "item_id bigint, text string"
@@ -40,3 +44,58 @@ def test_an_item_is_found_in_a_table_of_three_documents(spark):
     bench = spark.createDataFrame([(7, " ".join(item))], ITEMS)
     rows_found = decontam.benchmark_leaks(frame(spark, rows), bench).collect()
     assert {(r.doc_id, r.lcs_share) for r in rows_found} == {(1, 1.0), (3, 1.0)}
+
+
+def test_directions_are_fitted_on_every_document(spark, monkeypatch):
+    docs = spark.range(4_500).select(
+        F.when(F.col("id") % 3 == 0, "one and the same text")
+        .otherwise(F.concat(F.lit("text number "), "id"))
+        .alias("text")
+    )
+    fitted = []
+
+    def times(texts, weights, right):
+        fitted.append(texts.count())
+        return right
+
+    monkeypatch.setattr(decontam, "_gram_times", times)
+    decontam.latent_directions(docs, np.ones(decontam.BUCKETS))
+    assert fitted == [4_500, 4_500]
+
+
+def test_matrices_of_tasks_add_up_in_levels(spark, monkeypatch):
+    docs = frame(spark, [(k, prose(50, k)) for k in range(24)]).select("text")
+    weights = np.ones(decontam.BUCKETS)
+    right = np.random.default_rng(1).standard_normal((decontam.BUCKETS, 3))
+    once = decontam._gram_times(docs.coalesce(1), weights, right)
+    monkeypatch.setattr(decontam, "LEVEL", 2)
+    many = decontam._gram_times(docs.repartition(7), weights, right)
+    assert np.abs(once).max() > 0 and np.allclose(once, many, atol=1e-4)
+
+
+# ------------------------------------------------------------- licences
+
+
+def test_the_sample_is_bounded_with_copies(spark, monkeypatch):
+    total = 5 * license_scan.SAMPLE
+    docs = spark.range(total).select(
+        F.col("id").alias("doc_id"),
+        F.when(F.col("id") % 3 == 0, "one and the same text")
+        .otherwise(F.concat(F.lit("text number "), "id"))
+        .alias("text"),
+    )
+    counts = {}
+
+    class Taken(Exception):
+        pass
+
+    def taken(df, purpose):
+        counts["all"] = df.count()
+        counts["copies"] = df.where("text = 'one and the same text'").count()
+        raise Taken
+
+    monkeypatch.setattr(license_scan, "written", taken)
+    with pytest.raises(Taken):
+        license_scan.fit(docs)
+    assert abs(counts["all"] - license_scan.SAMPLE) < 0.1 * license_scan.SAMPLE
+    assert abs(counts["copies"] - license_scan.SAMPLE / 3) < 0.1 * license_scan.SAMPLE
