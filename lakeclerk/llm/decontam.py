@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeclerk.llm.scratch import in_chunks, map_frames
+from lakeclerk.llm.scratch import ROW, in_chunks, map_frames, numbered
 from lakeclerk.llm.words import Words, scan_words
 
 BUCKETS = 1 << 14  # hashed words
@@ -353,3 +353,14 @@ def drop_leaks(documents: DataFrame, benchmark: DataFrame, key: str = "doc_id")
     """``documents`` without those that hold a benchmark item."""
     gone = benchmark_leaks(documents, benchmark, key).select(F.col(key).alias("_gone")).distinct()
     return documents.join(gone, documents[key] == gone["_gone"], "left_anti")
+
+
+def drop_leaking_rows(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``documents`` without the rows that hold an item, each judged by its own text.
+
+    A row without a key is searched too, and rows that share a key do not share
+    their fate.
+    """
+    rows = numbered(documents, "leak-rows")
+    gone = benchmark_leaks(rows, benchmark, ROW).select(F.col(ROW).alias("_gone")).distinct()
+    return rows.join(gone, rows[ROW] == gone["_gone"], "left_anti").drop(ROW)

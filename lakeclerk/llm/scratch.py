@@ -11,6 +11,7 @@ from pathlib import Path
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 _shipped: set[str] = set()
@@ -65,6 +66,14 @@ def written(df: DataFrame, purpose: str, compression: str = "snappy") -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+ROW = "_row"  # the number of a row
+
+
+def numbered(df: DataFrame, purpose: str) -> DataFrame:
+    """``df`` written once, with a number of its own for every row as ``_row``."""
+    return written(df.withColumn(ROW, F.monotonically_increasing_id()), purpose)
+
+
 def map_batches(
     df: DataFrame,
     run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]],

@@ -6,8 +6,11 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+import corpus_pipeline
 from lakeclerk.llm import decontam, license_scan
 
+SMALL = "/root/testdata/sf0.001"
+
 DOCS = "doc_id bigint, text string"
 ITEMS = "item_id bigint, text string"
 
@@ -99,3 +102,31 @@ def test_the_sample_is_bounded_with_copies(spark, monkeypatch):
         license_scan.fit(docs)
     assert abs(counts["all"] - license_scan.SAMPLE) < 0.1 * license_scan.SAMPLE
     assert abs(counts["copies"] - license_scan.SAMPLE / 3) < 0.1 * license_scan.SAMPLE
+
+
+# ------------------------------------------------------------- pipeline
+
+
+def staged(spark, rows):
+    docs = [(k, t, "en", "s", len(t)) for k, t in rows]
+    return spark.createDataFrame(docs, spark.read.parquet(f"{SMALL}/documents.parquet").schema)
+
+
+def test_near_copies_go_by_row(spark):
+    a, b, c, d = (" ".join(prose(60, seed)) for seed in (11, 12, 13, 14))
+    rows = [(None, a), (1, a), (None, b), (None, b), (None, b), (2, c), (2, d), (3, c)]
+    left = corpus_pipeline.near_duplicates(spark, staged(spark, rows), SMALL)
+    assert left.columns == corpus_pipeline.COLUMNS
+    kept = sorted(((r.doc_id, r.text) for r in left.collect()), key=repr)
+    assert kept == sorted([(1, a), (None, b), (2, c), (2, d)], key=repr)
+
+
+def test_leaks_go_by_row(spark):
+    bench = spark.read.parquet(f"{SMALL}/benchmark.parquet").collect()
+    leak = " ".join(prose(40, 15)) + " " + bench[0].text
+    clean, other = (" ".join(prose(60, seed)) for seed in (16, 17))
+    rows = [(None, leak), (None, clean), (4, leak), (4, other), (5, leak)]
+    left = corpus_pipeline.decontamination(spark, staged(spark, rows), SMALL)
+    assert left.columns == corpus_pipeline.COLUMNS
+    kept = {(r.doc_id, r.text) for r in left.collect()}
+    assert kept == {(None, clean), (4, other)}
