@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lakeclerk.llm import decontam, license_scan
+from lakeclerk.llm import decontam, license_scan, neardup
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -130,3 +130,40 @@ def test_leaks_go_by_row(spark):
     assert left.columns == corpus_pipeline.COLUMNS
     kept = {(r.doc_id, r.text) for r in left.collect()}
     assert kept == {(None, clean), (4, other)}
+
+
+# --------------------------------------------------------- near copies
+
+
+@pytest.mark.parametrize(
+    "size, edits", [(400, 80), (400, 64), (100, 20), (51, 10), (30, 6), (20, 4), (10, 2), (10, 1), (5, 1)]
+)
+@pytest.mark.parametrize("change", ["replaced", "deleted"])
+def test_scattered_edits_share_an_entry(size, edits, change):
+    if size == 5 and change == "deleted":
+        pytest.skip("a text of four words has no entries")
+    draw = np.random.default_rng(size + edits)
+    trials = shared = 0
+    for _ in range(100):
+        a = draw.integers(1, 2**63, size).astype(np.uint64)
+        place = draw.choice(size, edits, replace=False)
+        b = np.delete(a, place)
+        if change == "replaced":
+            b = a.copy()
+            b[place] = draw.integers(1, 2**63, edits)
+        trials += 1
+        shared += bool((neardup.sketch(a) == neardup.sketch(b)).any())
+    assert shared >= 0.97 * trials
+
+
+def test_copies_with_scattered_edits_are_one_class(spark):
+    draw = random.Random(30)
+    rows = []
+    for k in range(20):
+        words = prose(100, 300 + k)
+        other = list(words)
+        for i in draw.sample(range(100), 20):
+            other[i] = "zz" + str(i)
+        rows += [(2 * k, words), (2 * k + 1, other)]
+    found = neardup.near_duplicates(frame(spark, rows)).collect()
+    assert {r.doc_id: r.class_id for r in found} == {k: k - k % 2 for k in range(40)}
