@@ -1,17 +1,17 @@
-"""Exact top-k by inner product from sorted lists alone (operator 9).
-
-A block of vectors keeps one list for each dimension, sorted by value. For a
-query each list is read from the end that promises most: from the top where the
-query's component is positive, from the bottom where it is negative. Reading
-goes in rounds of equal depth over all lists, and never jumps to a vector. What
-has been read of a vector, and the values at which the lists stand, bound its
-score from below and above; a vector whose upper bound is under the k-th best
-lower bound is out. Rounds end when only the k best could qualify or the lists
-are read to the end, which gives the scores of those that are left.
-
-Many queries and vectors are worked on at a time: a round's entries of all
-lists are a matrix with zeros for what is not yet read, and adding them up is
-one product of matrices. Queries and vectors meet as a grid of bounded parts.
+"""Exact top-k by inner product with the bounds of sorted lists (operator 9).
+
+For a block of vectors the values of each dimension are sorted, as a list that
+a query would read from the end that promises most: from the top where its
+component is positive, from the bottom where it is negative. The lists serve as
+thresholds only: the values at which they stand at fixed shares of their length.
+No list is read entry by entry, and bounds and scores are products of matrices
+over the whole rows of the block. A value beyond the threshold counts as read;
+what has been read of a vector and the thresholds bound its score from below
+and above, and a vector whose upper bound is under the k-th best lower bound is
+out. Those that are left are scored by their whole rows.
+
+Many queries and vectors are worked on at a time. They meet as a grid of
+bounded parts.
 """
 
 from __future__ import annotations
@@ -102,7 +102,8 @@ def search_block(
     scores = queries @ lists.rows[left].T
     masked = np.where(alive[:, left], scores, -np.inf)
     bar = floor if np.isfinite(floor).all() else np.maximum(floor, _best(masked, k))
-    query, vector = np.nonzero(masked >= bar[:, None])
+    # A bar of -inf, where fewer than k are known, takes in no vector that is out.
+    query, vector = np.nonzero((masked >= bar[:, None]) & alive[:, left])
     vector = left[vector]
     return query, vector, scores[query, np.searchsorted(left, vector)].astype(np.int64)
 

@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
-from lakeclerk.llm import decontam, license_scan, neardup
+from lakeclerk.llm import decontam, license_scan, neardup, topk
 
 SMALL = "/root/testdata/sf0.001"
 
@@ -167,3 +167,27 @@ def test_copies_with_scattered_edits_are_one_class(spark):
         rows += [(2 * k, words), (2 * k + 1, other)]
     found = neardup.near_duplicates(frame(spark, rows)).collect()
     assert {r.doc_id: r.class_id for r in found} == {k: k - k % 2 for k in range(40)}
+
+
+# ---------------------------------------------------------------- top-k
+
+
+@pytest.mark.parametrize("count", [1, 2, 10, 20, 21])
+def test_no_query_is_its_own_hit_in_a_small_block(count):
+    draw = np.random.default_rng(count)
+    values = draw.integers(-4, 5, (count, 6)).astype(float)
+    ids = np.arange(count)
+    query, vector, score = topk.search_part(ids, values, ids, values, 20)
+    for i in range(count):
+        best = sorted((-int(values[i] @ values[k]), k) for k in ids if k != i)[:20]
+        mine = query == i
+        assert list(zip((-score[mine]).tolist(), vector[mine].tolist())) == best
+
+
+def test_small_tables_and_rare_lengths_have_no_own_hits(spark):
+    rows = [(20 * k, [1.0, float(k)]) for k in range(4)] + [(20 * k, [9.0]) for k in range(5, 8)]
+    table = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = topk.top_inner_products(table, F.col("vec_id") % 20 == 0).collect()
+    assert sorted((r.query_id, r.vec_id) for r in found) == sorted(
+        (a, b) for a, x in rows for b, y in rows if a != b and len(x) == len(y)
+    )
