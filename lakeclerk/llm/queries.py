@@ -15,6 +15,7 @@ from lakeclerk.llm import (
     neardup,
     passages,
     secret_scan,
+    shingle_join,
     topk,
     training_order,
 )
@@ -71,6 +72,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return shingle_join.shingle_components(table(spark, sf_dir, "documents"))
+
+
 QUERIES = {
     f.__name__: f
     for f in (
@@ -84,6 +89,7 @@ QUERIES = {
         op8_collinear_chaining,
         op9_sorted_lists_topk,
         op10_html_extraction,
+        op13_ngram_jaccard_join,
     )
 }
 
