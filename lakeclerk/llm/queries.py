@@ -14,6 +14,7 @@ from lakeclerk.llm import (
     license_scan,
     neardup,
     passages,
+    periodic_runs,
     secret_scan,
     shingle_join,
     topk,
@@ -72,6 +73,10 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
+
+
 def op13_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return shingle_join.shingle_components(table(spark, sf_dir, "documents"))
 
@@ -89,6 +94,7 @@ QUERIES = {
         op8_collinear_chaining,
         op9_sorted_lists_topk,
         op10_html_extraction,
+        op12_periodic_runs,
         op13_ngram_jaccard_join,
     )
 }
