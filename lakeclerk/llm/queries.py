@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from lakeclerk.llm import (
     bpe,
     decontam,
+    hard_negatives,
     html_text,
     langid,
     license_scan,
@@ -73,6 +74,13 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_text.extract(table(spark, sf_dir, "pages"))
 
 
+def op11_hard_negatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    key, label = F.col("vec_id"), F.col("label")
+    label = F.when(key % 7 == 0, (label + 1) % 10).otherwise(label)
+    return hard_negatives.hard_negatives(vectors, key % 100 == 0, label)
+
+
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return periodic_runs.run_digests(table(spark, sf_dir, "documents"))
 
@@ -94,6 +102,7 @@ QUERIES = {
         op8_collinear_chaining,
         op9_sorted_lists_topk,
         op10_html_extraction,
+        op11_hard_negatives,
         op12_periodic_runs,
         op13_ngram_jaccard_join,
     )
@@ -167,4 +176,32 @@ ORACLE_SQL = {
         )
         SELECT query_id, rank, vec_id, score FROM ranked WHERE rank <= 20
     """,
+    "op11_hard_negatives": """
+        WITH v AS (
+            SELECT vec_id, CASE WHEN vec_id % 7 = 0 THEN (label + 1) % 10 ELSE label END AS label,
+                   list_transform(embedding, lambda x: floor(256 * x::DOUBLE)) AS e
+            FROM embeddings
+            WHERE vec_id IS NOT NULL AND label IS NOT NULL AND len(embedding) > 0
+              AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0
+        ), scored AS (
+            SELECT a.vec_id AS anchor_id, r.vec_id, a.label = r.label AS same,
+                   list_inner_product(a.e, r.e)::BIGINT AS score
+            FROM v a JOIN v r ON a.vec_id <> r.vec_id AND len(a.e) = len(r.e)
+            WHERE a.vec_id % 100 = 0
+        ), positives AS (
+            SELECT anchor_id, vec_id AS positive_id, score AS positive_score
+            FROM scored WHERE same
+            QUALIFY row_number() OVER (PARTITION BY anchor_id ORDER BY score DESC, vec_id) <= 5
+        ), ranked AS (
+            SELECT anchor_id, positive_id,
+                   row_number() OVER (
+                       PARTITION BY anchor_id, positive_id ORDER BY score DESC, vec_id
+                   )::INTEGER AS rank,
+                   vec_id AS negative_id, positive_score, score AS negative_score
+            FROM positives JOIN scored USING (anchor_id)
+            WHERE NOT same AND 80 * positive_score <= 100 * score
+              AND 100 * score <= 100 * positive_score
+        )
+        SELECT * FROM ranked WHERE rank <= 5
+    """,
 }
