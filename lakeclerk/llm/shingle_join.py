@@ -24,42 +24,53 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeclerk.llm.graph import components
 from lakeclerk.llm.scratch import map_batches, written
 from lakeclerk.llm.words import BASE, mixed, shingles
+from lakeclerk.llm.words import _powers as powers
 
 SHINGLE = 5  # words
 PERCENT = 80  # least Jaccard similarity
-PARTS, COUNTED = 1000, 300  # so many of a thousand shingles, by hash, come first and are counted
+PARTS, COUNTED = 1024, 308  # so many of 1,024 shingles, by hash, come first and are counted
+BITS = 1 << 26  # bits of the table by which a second reading leaves most texts out
 RARE = 8  # documents of a shingle that is a key by itself
 GROUP = 10  # a set of n shingles has about n / GROUP groups of frequent ones
 SMALL = 64  # documents of a key that are paired as rows; beyond it blocks are compared
 BLOCK = 128  # documents that are compared at a time
 TOGETHER = 1 << 21  # bytes of text worked on together
-KNOWN_WORDS = 1 << 20  # word hashes remembered by a task
 
 
-class _Hashes(dict):
-    """64-bit hashes of words, each computed once."""
+def shingle_sets_of(texts: list[bytes | None]) -> list[np.ndarray]:
+    """The distinct shingles of every text, in order; under five words the sequence is one.
 
-    def __missing__(self, word: bytes) -> int:
-        if len(self) >= KNOWN_WORDS:
-            self.clear()
-        self[word] = value = xxhash.xxh3_64_intdigest(word)
-        return value
-
-
-def shingle_set(text: bytes | None, hashes: dict) -> np.ndarray:
-    """The distinct shingles of a text in order; under five words the sequence is one."""
-    words = text.lower().split() if text else []
-    if not words:
-        return np.zeros(0, np.uint64)
-    values = np.fromiter(map(hashes.__getitem__, words), np.uint64, len(words))
-    return np.unique(shingles(values, min(SHINGLE, len(words))))
+    Words and shingles are 64-bit hashes, found for all texts together.
+    """
+    code = np.frombuffer(b"\n".join(text or b"" for text in texts).lower() + b"\n", np.uint8)
+    inside = ~((code == 32) | ((code >= 9) & (code <= 13)))
+    edges = np.flatnonzero(np.diff(inside, prepend=False, append=False))
+    begin = edges[::2]
+    starts = np.cumsum([0] + [len(text or b"") + 1 for text in texts])
+    first = np.searchsorted(begin, starts)
+    if not len(begin):
+        return [np.zeros(0, np.uint64)] * len(texts)
+    up, down = powers(1 << (len(code) - 1).bit_length())
+    value = np.where(inside, code.astype(np.uint64) + np.uint64(1), np.uint64(0))
+    value *= up[: len(code)]
+    words = mixed(np.add.reduceat(value, begin) * down[begin])
+    runs = shingles(words, SHINGLE)
+    sets = []
+    for i, j in zip(first[:-1].tolist(), first[1:].tolist()):
+        if j - i >= SHINGLE:
+            found = np.sort(runs[i : j - SHINGLE + 1])
+            new = np.ones(len(found), bool)
+            np.not_equal(found[1:], found[:-1], out=new[1:])
+            sets.append(found[new])
+        else:
+            sets.append(shingles(words[i:j], j - i) if j > i else np.zeros(0, np.uint64))
+    return sets
 
 
 def missing(n: int, percent: int) -> int:
@@ -79,7 +90,7 @@ def groups(level: int) -> int:
 
 def counted(values: np.ndarray) -> np.ndarray:
     """Whether shingles belong to those that come first and whose documents are counted."""
-    return values % np.uint64(PARTS) < COUNTED
+    return (values & np.uint64(PARTS - 1)) < COUNTED
 
 
 def leading(values: np.ndarray, percent: int) -> tuple[np.ndarray, np.ndarray]:
@@ -101,24 +112,26 @@ def index_keys(values: np.ndarray, count: np.ndarray, n: int, percent: int) -> n
     """The index keys of a set from its leading shingles and their numbers of documents."""
     kind = np.where(count == 1, 0, np.where(count <= RARE, 1, 2))
     kind[~counted(values)] = 3
+    frequent = kind == 2
+    scales = levels(n, percent)
+    if not frequent.any():
+        scales = scales[:1]  # no group, so one order for all
     keys = []
-    for level in levels(n, percent):
-        group = np.where(kind == 2, mixed(values ^ BASE) % np.uint64(groups(level)), np.uint64(0))
+    for level in scales:
+        group = np.where(frequent, mixed(values ^ BASE) % np.uint64(groups(level)), np.uint64(0))
         order = np.lexsort((values, group, kind))
         k, g, v, c = kind[order], group[order], values[order], count[order]
         opens = k == 2  # the first shingle of its group gives no unit
         opens[1:] &= (k[1:] != k[:-1]) | (g[1:] != g[:-1])
-        units = np.cumsum(~opens)
-        end = int(np.searchsorted(units, missing(n, percent) + 1)) + 1
+        end = int(np.searchsorted(np.cumsum(~opens), missing(n, percent) + 1)) + 1
         k, g, v, c = k[:end], g[:end], v[:end], c[:end]
         keys.append(v[(k != 2) & (c > 1)])
         g, v = g[k == 2], v[k == 2]
-        cuts = np.flatnonzero(g[1:] != g[:-1]) + 1
         salt = mixed(np.array([level + 1], np.uint64))
-        for part in np.split(v, cuts):
+        for part in np.split(v, np.flatnonzero(g[1:] != g[:-1]) + 1):
             a, b = np.triu_indices(len(part), 1)
             keys.append(mixed((part[a] * BASE + part[b]) ^ salt))
-    return np.unique(np.concatenate(keys)) if keys else np.zeros(0, np.uint64)
+    return np.unique(np.concatenate(keys))
 
 
 def _lists(parts: list[np.ndarray]) -> pa.Array:
@@ -140,42 +153,102 @@ def _chunks(batch: pa.RecordBatch, size: pa.Array) -> Iterator[pa.RecordBatch]:
         yield batch.slice(begin)
 
 
-def shingle_sets(documents: DataFrame, key: str, text: str, percent: int) -> DataFrame:
-    """(``row``, ``doc``, ``n``, ``same``, ``first``, ``rest``) of every row.
+def _digest(values: np.ndarray) -> bytes:
+    return hashlib.blake2b(values.tobytes(), digest_size=16).digest()
+
+
+def _texts(documents: DataFrame, key: str, text: str) -> DataFrame:
+    return documents.select(
+        F.monotonically_increasing_id().alias("row"),
+        documents[key].cast("long").alias("doc"),
+        documents[text].cast("binary").alias("text"),
+    )
+
+
+def shingle_sets(texts: DataFrame, percent: int) -> DataFrame:
+    """(``row``, ``doc``, ``n``, ``same``, ``first``) of every row.
 
-    ``same`` is a digest of the set; ``first`` and ``rest`` are its two parts.
+    ``same`` is a digest of the set; ``first`` are the shingles a prefix may have.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        hashes = _Hashes()
         for batch in batches:
-            column = batch.column(2)
-            for part in _chunks(batch, pa.compute.binary_length(column)):
-                sets = [shingle_set(t, hashes) for t in part.column(2).to_pylist()]
-                both = [leading(s, percent) for s in sets]
-                same = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() for s in sets]
+            for part in _chunks(batch, pa.compute.binary_length(batch.column(2))):
+                sets = shingle_sets_of(part.column(2).to_pylist())
                 yield pa.RecordBatch.from_arrays(
                     [
                         part.column(0),
                         part.column(1),
                         pa.array([len(s) for s in sets], pa.int64()),
-                        pa.array(same, pa.binary()),
+                        pa.array([_digest(s) for s in sets], pa.binary()),
+                        _lists([leading(s, percent)[0] for s in sets]),
+                    ],
+                    ["row", "doc", "n", "same", "first"],
+                )
+
+    return map_batches(
+        texts, run, "row bigint, doc bigint, n bigint, same binary, first array<bigint>"
+    )
+
+
+def _places(digests: list[bytes]) -> np.ndarray:
+    """Places of digests in the table of bits: their first four bytes."""
+    whole = np.frombuffer(b"".join(digests), np.uint8).reshape(-1, 16)
+    return whole[:, :4].copy().view(">u4").ravel().astype(np.int64) % BITS
+
+
+def _bit_table(digests: DataFrame) -> bytes:
+    """A table of BITS bits in which those of all digests (``same``) are set.
+
+    Its size is fixed: however many digests there are, it lets all of them
+    through, and of others the fewer the fewer they are.
+    """
+    place = F.conv(F.substring(F.hex("same"), 1, 8), 16, 10).cast("bigint") % BITS
+    words = (
+        digests.select(place.alias("place"))
+        .groupBy(F.floor(F.col("place") / 32).cast("int").alias("word"))
+        .agg(F.expr("bit_or(shiftleft(1L, CAST(place % 32 AS int)))").alias("bits"))
+    )
+    found = words.toPandas()
+    table = np.zeros(BITS // 32, np.uint32)
+    table[found["word"].to_numpy(np.int64)] = found["bits"].to_numpy(np.uint64).astype(np.uint32)
+    return table.tobytes()
+
+
+def _whole_sets(texts: DataFrame, open_rows: DataFrame, percent: int) -> DataFrame:
+    """(``row``, ``n``, ``first``, ``rest``) of some rows, from a second reading of the texts.
+
+    Kept whole sets of all texts would be several times as large as the texts;
+    those of the few that may have partners are small. A set is known by its
+    digest ``same``, and each task gives it once.
+    """
+    bits = texts.sparkSession.sparkContext.broadcast(_bit_table(open_rows))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table, seen = np.frombuffer(bits.value, np.uint32), set()
+        for batch in batches:
+            for part in _chunks(batch, pa.compute.binary_length(batch.column(0))):
+                sets = shingle_sets_of(part.column(0).to_pylist())
+                named = {_digest(s): s for s in sets if len(s)}
+                place = _places(list(named))
+                set_ = (table[place // 32] >> (place % 32).astype(np.uint32)) & 1
+                some = [d for d, bit in zip(named, set_.tolist()) if bit and d not in seen]
+                seen.update(some)
+                both = [leading(named[digest], percent) for digest in some]
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        pa.array(some, pa.binary()),
                         _lists([a for a, _ in both]),
                         _lists([b for _, b in both]),
                     ],
-                    ["row", "doc", "n", "same", "first", "rest"],
+                    ["same", "first", "rest"],
                 )
 
-    rows = documents.select(
-        F.monotonically_increasing_id().alias("row"),
-        documents[key].cast("long").alias("doc"),
-        documents[text].cast("binary").alias("text"),
-    )
-    return map_batches(
-        rows,
-        run,
-        "row bigint, doc bigint, n bigint, same binary, first array<bigint>, rest array<bigint>",
+    found = map_batches(
+        texts.select("text"), run, "same binary, first array<bigint>, rest array<bigint>"
     )
+    found = found.groupBy("same").agg(F.first("first").alias("first"), F.first("rest").alias("rest"))
+    return open_rows.join(found.hint("merge"), "same").select("row", "n", "first", "rest")
 
 
 def _shared_shingles(sets: DataFrame) -> DataFrame:
@@ -199,37 +272,42 @@ def _shared_shingles(sets: DataFrame) -> DataFrame:
     )
 
 
-def _with_keys(leading_rows: DataFrame, percent: int) -> DataFrame:
-    """(``key``, ``row``, ``n``) of every index key of rows with their shared shingles.
+def _arrays(column: pa.ListArray) -> list[np.ndarray]:
+    """The lists of a column of 64-bit numbers, without copying them."""
+    flat = column.values.to_numpy()
+    ends = column.offsets.to_numpy()
+    return [flat[i:j] for i, j in zip(ends[:-1].tolist(), ends[1:].tolist())]
+
+
+def _with_keys(open_rows: DataFrame, percent: int) -> DataFrame:
+    """(``key``, ``row``, ``n``) of every index key of some rows.
 
-    The rows come with ``first``, and ``known``: structs of a shared shingle and
-    its holders, in any order.
+    The rows come with ``first``, and with ``values`` and ``holders``: those of
+    them that are shared, in any order, and their numbers of documents.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys, rows, sizes = [], [], []
-            for row, n, first, known in zip(*(batch.column(i).to_pylist() for i in range(4))):
-                values = np.sort(np.array(first, np.int64).view(np.uint64))
+            keys = []
+            sizes = batch.column(1).to_pylist()
+            lists = (_arrays(batch.column(i)) for i in (2, 3, 4))
+            for n, first, shared, holders in zip(sizes, *lists):
+                values = np.sort(first.view(np.uint64))
                 count = np.ones(len(values), np.int64)
-                if known:
-                    shared = np.array([k["value"] for k in known], np.int64).view(np.uint64)
-                    count[np.searchsorted(values, shared)] = [k["holders"] for k in known]
-                found = index_keys(values, count, n, percent)
-                keys.append(found)
-                rows.append(np.full(len(found), row, np.int64))
-                sizes.append(np.full(len(found), n, np.int64))
+                count[np.searchsorted(values, shared.view(np.uint64))] = holders
+                keys.append(index_keys(values, count, n, percent))
             if keys:
+                repeats = [len(found) for found in keys]
                 yield pa.RecordBatch.from_arrays(
                     [
                         pa.array(np.concatenate(keys).view(np.int64)),
-                        pa.array(np.concatenate(rows)),
-                        pa.array(np.concatenate(sizes)),
+                        pa.array(np.repeat(batch.column(0).to_numpy(), repeats)),
+                        pa.array(np.repeat(batch.column(1).to_numpy(), repeats)),
                     ],
                     ["key", "row", "n"],
                 )
 
-    columns = leading_rows.select("row", "n", "first", "known")
+    columns = open_rows.select("row", "n", "first", "values", "holders")
     return map_batches(columns, run, "key bigint, row bigint, n bigint")
 
 
@@ -331,10 +409,8 @@ def _frequent_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
 
     def unpacked(column: pa.Array) -> tuple[np.ndarray, list[np.ndarray]]:
         structs = column.values.slice(column.offsets[0].as_py(), len(column.flatten()))
-        lists = structs.field("values")
-        flat = lists.values.to_numpy().view(np.uint64)
-        ends = lists.offsets.to_numpy()
-        return structs.field("row").to_numpy(), [flat[i:j] for i, j in zip(ends[:-1], ends[1:])]
+        sets = [values.view(np.uint64) for values in _arrays(structs.field("values"))]
+        return structs.field("row").to_numpy(), sets
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -357,11 +433,11 @@ def _frequent_links(members: DataFrame, sets: DataFrame, percent: int) -> DataFr
     return map_batches(rows.select("a", "b", "left", "right"), run, "a bigint, b bigint")
 
 
-def similar_sets(sets: DataFrame, percent: int) -> DataFrame:
+def similar_sets(texts: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Links (``a``, ``b``) that connect all rows of similar sets that differ.
 
-    ``sets`` is a written result of ``shingle_sets``. Of equal sets the least
-    row stands for all.
+    ``sets`` is a written result of ``shingle_sets`` on ``texts``. Of equal
+    sets the least row stands for all.
     """
     chosen = sets.groupBy("same").agg(F.min("row").alias("row"), F.first("n").alias("n"))
     facts = written(_shared_shingles(sets), "shingle-counts")
@@ -371,32 +447,27 @@ def similar_sets(sets: DataFrame, percent: int) -> DataFrame:
     open_rows = (
         chosen.join(alone.hint("merge"), "row", "left")
         .where((F.col("n") > 0) & (F.coalesce("alone", F.lit(0)) <= lacking))
-        .select("row")
-    )
-    left = written(
-        sets.select("row", "n", "first").join(open_rows.hint("merge"), "row", "left_semi"),
-        "shingle-open",
+        .select("row", "n", "same")
     )
+    open_rows = written(open_rows, "shingle-open")
+    left = written(_whole_sets(texts, open_rows, percent), "shingle-whole")
     shared = facts.where(F.col("value").isNotNull()).select("value", "holders")
     known = (
         left.select("row", F.explode("first").alias("value"))
         .join(shared.hint("merge"), "value")
         .groupBy("row")
         .agg(F.collect_list(F.struct("value", "holders")).alias("known"))
+        .select("row", F.col("known.value").alias("values"), F.col("known.holders").alias("holders"))
     )
-    keys = written(_with_keys(left.join(known.hint("merge"), "row"), percent), "shingle-keys")
+    with_known = left.select("row", "n", "first").join(known.hint("merge"), "row")
+    keys = written(_with_keys(with_known, percent), "shingle-keys")
     held = keys.groupBy("key").agg(F.count("*").alias("holders"), F.min("row").alias("leader"))
     members = written(
         keys.join(held.where(F.col("holders") > 1).hint("merge"), "key"), "shingle-keys"
     )
     few = members.where(F.col("holders") <= SMALL)
     many = members.where(F.col("holders") > SMALL)
-    whole = written(
-        sets.select("row", F.concat("first", "rest").alias("values")).join(
-            members.select("row").distinct().hint("merge"), "row", "left_semi"
-        ),
-        "shingle-whole",
-    )
+    whole = left.select("row", F.concat("first", "rest").alias("values"))
     # First every document with the first one of each of its keys.
     sizes = left.select(F.col("row").alias("leader"), F.col("n").alias("m"))
     stars = (
@@ -455,8 +526,9 @@ def shingle_components(
     any. Keys are whole numbers; other columns are ignored. Shingles are 64-bit
     hashes. An empty table gives an empty result.
     """
-    sets = written(shingle_sets(documents, key, text, percent), "shingle-sets")
-    found = written(components(similar_sets(sets, percent)), "shingle-components")
+    texts = _texts(documents, key, text)
+    sets = written(shingle_sets(texts, percent), "shingle-sets")
+    found = written(components(similar_sets(texts, sets, percent)), "shingle-components")
     alike = sets.groupBy("same").agg(F.min("row").alias("row"), F.min("doc").alias("doc"))
     placed = alike.join(found, alike["row"] == found["node"], "left").select(
         "same", "doc", F.coalesce("component", "row").alias("component")
