@@ -79,9 +79,11 @@ def missing(n: int, percent: int) -> int:
 
 
 def levels(n: int, percent: int) -> range:
-    """Scales (powers of two) of all sets that may be similar to one of ``n`` shingles."""
-    least, most = -(-percent * n // 100), 100 * n // percent
-    return range(least.bit_length() - 1, most.bit_length())
+    """Scales (powers of two) of a set of ``n`` shingles and of similar ones that are larger.
+
+    Two sets meet on the scale of the larger one.
+    """
+    return range(n.bit_length() - 1, (100 * n // percent).bit_length())
 
 
 def groups(level: int) -> int:
