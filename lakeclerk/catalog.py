@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping, Sequence
+from collections.abc import Mapping, Sequence
 from typing import NamedTuple
 
 import pyarrow as pa
@@ -14,13 +14,7 @@ from lakeclerk.functions.sizing import local_rows
 from lakeclerk.operators import catalog as ops
 from lakeclerk.operators import lineage as lineage_ops
 from lakeclerk.operators.inventory import resource_sets
-from lakeclerk.operators.store import (
-    Change,
-    current_folders,
-    publish_tables,
-    read_folders,
-    remove_old_versions,
-)
+from lakeclerk.operators.store import Change, current_folders, publish_tables
 from lakeclerk.streaming.discovery import INCREMENTAL, read_inventory, scan
 
 TABLE_SCHEMAS = {
@@ -30,22 +24,8 @@ TABLE_SCHEMAS = {
     "lineage_edges": lineage_ops.EDGES_DDL,
     "type_defs": ops.TYPE_DEFS_DDL,
 }
-# What a row's bucket follows from.
-BUCKET_OF = {
-    "entities": "guid",
-    "columns": "guid",
-    "relationships": "guid",
-    "lineage_edges": "process_guid",
-    "type_defs": "name",
-}
-BUCKET = "_bucket"
-
 # The last version, and the folders of its tables.
-Known = tuple[int, dict[str, tuple[str, str]]]
-
-
-def _has(known: Known, table: str) -> bool:
-    return any(key.partition(":")[0] == table for key in known[1])
+Known = tuple[int, dict[str, str]]
 
 
 class Recorded(NamedTuple):
@@ -69,11 +49,9 @@ class Job(NamedTuple):
 class Catalog:
     """Entities, columns, relationships, lineage edges and type definitions.
 
-    Each table is kept in ``buckets`` folders by a hash of its key, a number
-    that stays as it was when the catalogue was made. A change reads and writes
-    the buckets of its keys only, and all tables it touches become current
-    together; readers keep the version they started with. One writer at a time.
-    ``remove_old_versions`` frees what no current table uses.
+    A change writes the tables it touches anew, and all of them become current
+    together; readers keep the version they started with, until two changes
+    later. One writer at a time.
     """
 
     def __init__(
@@ -82,46 +60,24 @@ class Catalog:
         base: str,
         table_scheme: str = ids.TABLE_SCHEME,
         process_scheme: str = ids.PROCESS_SCHEME,
-        buckets: int = 16,
     ):
         self.spark = spark
         self.base = base
         self.work = f"{base}/work"
         self.table_scheme = table_scheme
         self.process_scheme = process_scheme
-        self.buckets = buckets
 
     # ------------------------------------------------------------- tables
 
-    def _bucket(self, table: str) -> Column:
-        return F.pmod(F.crc32(F.col(BUCKET_OF[table])), F.lit(self.buckets)).cast("int")
-
-    def _read(
-        self,
-        folders: Mapping[str, tuple[str, str]],
-        table: str,
-        partitions: Collection[str] | None = None,
-    ) -> DataFrame:
-        ddl = TABLE_SCHEMAS[table]
-        found = read_folders(self.spark, folders, table, ddl, partitions)
-        return self.spark.createDataFrame([], ddl) if found is None else found.drop(BUCKET)
+    def _read(self, known: Known, table: str) -> DataFrame:
+        ddl, folder = TABLE_SCHEMAS[table], known[1].get(table)
+        if folder is None:
+            return self.spark.createDataFrame([], ddl)
+        return self.spark.read.schema(ddl).parquet(folder)
 
     def read(self, table: str) -> DataFrame:
         """The current version of a table, empty before the first one."""
-        return self._read(current_folders(self.spark, self.base)[1], table)
-
-    def _touched(self, known: Known, table: str, rows: DataFrame) -> list[str] | None:
-        """Partitions of the rows' buckets, at most as many as there are buckets.
-
-        None stands for all of a table that has no version yet.
-        """
-        if not _has(known, table):
-            return None
-        found = rows.select(self._bucket(table).alias("b")).distinct().collect()
-        return [f"{BUCKET}={row.b}" for row in found]
-
-    def _change(self, table: str, df: DataFrame, touched: Sequence[str] | None) -> Change:
-        return Change(df.withColumn(BUCKET, self._bucket(table)), [BUCKET], touched)
+        return self._read(current_folders(self.spark, self.base), table)
 
     def _replaced(
         self,
@@ -130,33 +86,18 @@ class Catalog:
         incoming: DataFrame,
         keys: Sequence[str],
         gone: DataFrame | None = None,
-    ) -> Change:
-        """A forced update of the rows' keys, without the rows in ``gone`` (of the first key)."""
-        touching = incoming.select(BUCKET_OF[table])
-        if gone is not None:
-            touching = touching.unionByName(gone.select(BUCKET_OF[table]))
-        touched = self._touched(known, table, touching)
-        if touched is None:
-            return self._change(table, incoming, None)
-        current = self._read(known[1], table, touched)
+    ) -> DataFrame:
+        """A forced update of the rows' keys, without the rows in ``gone`` (by ``guid``)."""
+        if table not in known[1]:
+            return incoming
+        current = self._read(known, table)
         if gone is not None:
-            current = current.join(gone, BUCKET_OF[table], "left_anti").select(*current.columns)
-        return self._change(table, ops.replace_by_key(current, incoming, keys), touched)
-
-    def _publish(
-        self, changes: Mapping[str, Change], known: Known
-    ) -> None:
-        some = {
-            name: change
-            for name, change in changes.items()
-            if change.replaced is None or len(change.replaced)
-        }
-        if some:
-            publish_tables(self.spark, self.base, some, known)
+            current = current.join(gone, "guid", "left_anti").select(*current.columns)
+        return ops.replace_by_key(current, incoming, keys)
 
-    def remove_old_versions(self) -> int:
-        """Remove what no current table uses; call it when no older reader is left."""
-        return remove_old_versions(self.spark, self.base)
+    def _publish(self, tables: Mapping[str, DataFrame], known: Known) -> None:
+        changes = {name: Change(df) for name, df in tables.items()}
+        publish_tables(self.spark, self.base, changes, known)
 
     # ------------------------------------------------------ types, entities
 
@@ -170,11 +111,12 @@ class Catalog:
         if type_defs is None:
             type_defs = ops.type_definitions(self.spark)
         incoming = ops.single_by_key(type_defs, ["name"])
-        changed = incoming
-        if _has(known, "type_defs"):
-            changed = ops.changed_rows(self._read(known[1], "type_defs"), incoming)
+        if "type_defs" in known[1]:
+            incoming = ops.changed_rows(self._read(known, "type_defs"), incoming)
+            if incoming.isEmpty():
+                return
         self._publish(
-            {"type_defs": self._replaced(known, "type_defs", changed, ["name"])}, known
+            {"type_defs": self._replaced(known, "type_defs", incoming, ["name"])}, known
         )
 
     def type_defs(self) -> DataFrame:
@@ -185,21 +127,16 @@ class Catalog:
         known: Known,
         entities: DataFrame,
         gone: DataFrame | None = None,
-    ) -> tuple[Change, DataFrame, DataFrame]:
-        """The change of the entities, those accepted, and those rejected."""
-        checked = ops.apply_attribute_rules(entities, self._read(known[1], "type_defs"))
+    ) -> tuple[DataFrame, DataFrame, DataFrame]:
+        """The entities afterwards, those accepted, and those rejected."""
+        checked = ops.apply_attribute_rules(entities, self._read(known, "type_defs"))
         without_key = F.col("type_name").isNull() | F.col("qualified_name").isNull()
         is_accepted = (F.size("missing") == 0) & ~without_key
         accepted = checked.filter(is_accepted).drop("missing")
-        touching = accepted.select("guid")
-        if gone is not None:
-            touching = touching.unionByName(gone.select("guid"))
-        touched = self._touched(known, "entities", touching)
-        current = None if touched is None else self._read(known[1], "entities", touched)
+        current = self._read(known, "entities") if "entities" in known[1] else None
         if gone is not None and current is not None:
             current = current.join(gone, "guid", "left_anti")
-        merged = ops.upsert(current, accepted).merged
-        return self._change("entities", merged, touched), accepted, checked.filter(~is_accepted)
+        return ops.upsert(current, accepted).merged, accepted, checked.filter(~is_accepted)
 
     def put_entities(self, entities: DataFrame) -> DataFrame:
         """Upsert the entities that satisfy their type; returns the others.
@@ -221,17 +158,16 @@ class Catalog:
         """
         known = current_folders(self.spark, self.base)
         stale = stale_links = None
-        if _has(known, "columns"):
+        if "columns" in known[1]:
             owners = registration.columns.select("table_guid")
             listed = registration.columns.select("guid")
-            # Columns of a table lie in any bucket, so the owners' rows are looked up.
             stale = (
-                self._read(known[1], "columns")
+                self._read(known, "columns")
                 .join(owners, "table_guid", "left_semi")
                 .join(listed, "guid", "left_anti")
                 .select("guid")
             )
-            links = self._read(known[1], "relationships")
+            links = self._read(known, "relationships")
             stale_links = links.join(
                 stale, links["end2_guid"] == stale["guid"], "left_semi"
             ).select("guid")
@@ -268,7 +204,7 @@ class Catalog:
         known: Known,
         edges: DataFrame,
         accepted: DataFrame,
-    ) -> Change:
+    ) -> DataFrame:
         """Edges of accepted processes replace those the processes had."""
         stored = accepted.select(F.col("guid").alias("process_guid"))
         edges = edges.join(stored, "process_guid", "left_semi")
@@ -327,7 +263,7 @@ class Catalog:
         known = current_folders(self.spark, self.base)
         lineage = lineage_ops.record_lineage(
             references,
-            self._read(known[1], "entities"),
+            self._read(known, "entities"),
             job_type,
             scheme=self.process_scheme,
             work=self.work,
@@ -376,28 +312,24 @@ class Catalog:
         That is relationships, lineage edges and the columns of a table.
         """
         known = current_folders(self.spark, self.base)
-        tables = {name: self._read(known[1], name) for name in TABLE_SCHEMAS}
+        tables = {name: self._read(known, name) for name in TABLE_SCHEMAS}
         gone = ops.with_members(guids, tables["relationships"], tables["type_defs"])
 
-        def dropped(table: str, *columns: str) -> Change:
-            named = gone.select(F.col("guid").alias("_gone"))
-            touches = None
-            for column in columns:
-                some = tables[table].join(named, F.col(column) == F.col("_gone"), "left_semi")
-                touches = some if touches is None else touches.unionByName(some)
-            touched = self._touched(known, table, touches)
-            kept = self._read(known[1], table, touched)
+        def without(table: str, *columns: str) -> DataFrame:
+            named, kept = gone.select(F.col("guid").alias("_gone")), tables[table]
             for column in columns:
                 kept = kept.join(named, F.col(column) == F.col("_gone"), "left_anti")
-            return self._change(table, kept, touched)
+            return kept
 
-        changes = {
-            "entities": dropped("entities", "guid"),
-            "columns": dropped("columns", "guid", "table_guid"),
-            "relationships": dropped("relationships", "end1_guid", "end2_guid"),
-            "lineage_edges": dropped("lineage_edges", "process_guid", "entity_guid"),
-        }
-        self._publish(changes, known)
+        self._publish(
+            {
+                "entities": without("entities", "guid"),
+                "columns": without("columns", "guid", "table_guid"),
+                "relationships": without("relationships", "end1_guid", "end2_guid"),
+                "lineage_edges": without("lineage_edges", "process_guid", "entity_guid"),
+            },
+            known,
+        )
 
     def cardinality_violations(self) -> DataFrame:
         return ops.cardinality_violations(self.read("relationships"), self.type_defs())
@@ -415,11 +347,14 @@ class Catalog:
         """Scan ``path`` under a scan name; see ``scan``.
 
         With ``register`` the resource sets found become entities of the
-        catalogue, named after their folder and qualified by its path.
+        catalogue, named after their folder and qualified by its path, and the
+        entities of sets that the scan had found before and that are gone go.
         """
-        found = scan(self.spark, path, f"{self.base}/scans", level, glob, name)
+        scans = f"{self.base}/scans"
+        before = read_inventory(self.spark, scans, name) if register else None
+        found = scan(self.spark, path, scans, level, glob, name)
         if register:
-            sets = resource_sets(read_inventory(self.spark, f"{self.base}/scans", name))
+            sets = resource_sets(read_inventory(self.spark, scans, name))
             attributes = F.create_map(
                 F.lit("n_files"),
                 F.col("n_files").cast("string"),
@@ -433,4 +368,9 @@ class Catalog:
                     sets, ids.RESOURCE_SET_TYPE, folder, label, attributes, F.col("modified_at")
                 )
             )
+            vanished = resource_sets(before).join(sets, "resource_set", "left_anti")
+            guid = ids.entity_guid(F.lit(ids.RESOURCE_SET_TYPE), folder)
+            vanished = vanished.select(guid.alias("guid"))
+            if not vanished.isEmpty():
+                self.delete(vanished)
         return found

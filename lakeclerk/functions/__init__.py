@@ -9,7 +9,7 @@ from lakeclerk.functions.identity import (
     schema_name_of,
     table_name_of,
 )
-from lakeclerk.functions.sizing import local_rows, new_folder, remove_folder, written
+from lakeclerk.functions.sizing import local_rows, new_folder, paths_like, remove_folder, written
 
 __all__ = [
     "column_description",
@@ -20,6 +20,7 @@ __all__ = [
     "local_rows",
     "named",
     "new_folder",
+    "paths_like",
     "process_name_of",
     "remove_folder",
     "relationship_guid",

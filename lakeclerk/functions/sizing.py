@@ -25,6 +25,13 @@ def new_folder(spark: SparkSession, purpose: str, work: str | None = None) -> st
     return f"{base}/{application}/{purpose}-{uuid.uuid4().hex}"
 
 
+def paths_like(spark: SparkSession, pattern: str) -> list[str]:
+    """Paths that fit a pattern of few, from the listing of whatever store it is."""
+    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
+    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return [status.getPath().toString() for status in store.globStatus(path) or []]
+
+
 def remove_folder(spark: SparkSession, path: str) -> None:
     """Remove a folder in whatever store it is; one that is absent is no error."""
     jvm = spark.sparkContext._jvm

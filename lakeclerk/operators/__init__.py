@@ -40,7 +40,6 @@ from lakeclerk.operators.store import (
     publish_table,
     publish_tables,
     read_table,
-    remove_old_versions,
 )
 
 __all__ = [
@@ -71,7 +70,6 @@ __all__ = [
     "register_tables",
     "relationship_rows",
     "relationships_by_guid",
-    "remove_old_versions",
     "rename_columns",
     "replace_by_key",
     "resolve",

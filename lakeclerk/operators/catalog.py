@@ -302,11 +302,16 @@ def replace_by_key(
 ) -> DataFrame:
     """Forced update: incoming rows replace all current rows with their keys.
 
-    A key may have several rows; where it may not, ``single_by_key`` comes first.
+    A key may have several rows; where it may not, ``single_by_key`` comes
+    first. Null is a key like any other here.
     """
     if current is None:
         return incoming
-    kept = current.join(incoming.select(*keys), list(keys), "left_anti")
+    new = incoming.select(*[F.col(key).alias(f"_new_{key}") for key in keys]).distinct()
+    same = reduce(
+        lambda a, b: a & b, [current[key].eqNullSafe(F.col(f"_new_{key}")) for key in keys]
+    )
+    kept = current.join(new, same, "left_anti")
     return kept.select(*incoming.columns).unionByName(incoming)
 
 

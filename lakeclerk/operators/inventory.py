@@ -5,26 +5,23 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-INVENTORY_COLUMNS = ("path", "modified_at", "n_bytes")
-
+from lakeclerk.sources.listing import listing_options, register_listing
 
-def inventory_columns(files: DataFrame) -> DataFrame:
-    """Path, time and size of listed files; their content is never read."""
-    return files.select(
-        "path",
-        F.col("modificationTime").alias("modified_at"),
-        F.col("length").alias("n_bytes"),
-    )
+INVENTORY_COLUMNS = ("path", "modified_at", "n_bytes")
 
 
 def file_inventory(
-    spark: SparkSession, path: str | list[str], glob: str | None = None
+    spark: SparkSession, path: str | list[str], glob: str | None = None, tasks: int | None = None
 ) -> DataFrame:
-    """All files below ``path``."""
-    reader = spark.read.format("binaryFile").option("recursiveFileLookup", True)
-    if glob:
-        reader = reader.option("pathGlobFilter", glob)
-    return inventory_columns(reader.load(path))
+    """All files below ``path``; their content is never read.
+
+    Executors list the folders, see ``sources.listing``: the driver holds the
+    names of the first levels of folders and the status of no file. ``tasks``
+    is the number of listing tasks, about.
+    """
+    paths = [path] if isinstance(path, str) else list(path)
+    reader = spark.read.format(register_listing(spark))
+    return reader.options(**listing_options(paths, glob, tasks)).load()
 
 
 def compare_snapshots(before: DataFrame, after: DataFrame) -> DataFrame:

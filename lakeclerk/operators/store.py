@@ -1,172 +1,100 @@
-"""Versioned tables: what is new is written in full, then made current at once.
+"""Tables that are replaced as a whole: written in full, then switched by one row.
 
 A Parquet folder cannot be replaced while it is being read, and a job that dies
-halfway must leave the old content readable. So what a run writes has a folder
-of its own, and a small log names the folders that make up each table: those of
-its partitions, written by whichever run. One log entry switches all tables of
-a run together. One writer per base at a time.
+halfway must leave the old content readable. So new content has a folder of its
+own, and one row names the folder of every table. The last KEPT rows and their
+folders stay, for readers that began before a switch. One writer per base
+at a time. Single partitions are replaced by Spark's own dynamic overwrite.
 """
 
 from __future__ import annotations
 
-from collections.abc import Collection, Mapping, Sequence
-from dataclasses import dataclass
-from functools import reduce
+from collections.abc import Mapping, Sequence
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeclerk.functions.sizing import local_rows, remove_folder
+from lakeclerk.functions.sizing import local_rows, paths_like, remove_folder
 from lakeclerk.sinks.files import even_files, overwrite
 
-LOG_DDL = "version bigint, folders map<string,struct<root:string,partition:string>>"
+KEPT = 10  # versions
+SNAPSHOT_DDL = "version bigint, folders map<string,string>"
 
 
-@dataclass(frozen=True)
-class Change:
-    """New rows of a table, or of some of its partitions.
-
-    ``replaced`` names the partitions (``column=value``, joined by ``/``) that
-    the rows stand for; the table's others stay, and one of them that has no row
-    left goes. Without it the rows are the whole table. ``even`` shuffles once
-    more for files of about equal size.
-    """
+class Change(NamedTuple):
+    """All rows of a table; ``even`` shuffles once more for files of about equal size."""
 
     df: DataFrame
     partition_by: Sequence[str] = ()
-    replaced: Collection[str] | None = None
     even: bool = False
 
 
-def _listed(spark: SparkSession, pattern: str) -> list[str]:
-    """Paths in the store that fit a pattern, from its listing alone."""
-    path = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(pattern)
-    store = path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
-    return [str(status.getPath().toString()) for status in store.globStatus(path) or []]
-
-
-def current_folders(spark: SparkSession, base: str) -> tuple[int, dict[str, tuple[str, str]]]:
-    """The last version and, by ``table:partition``, its folders; ``(0, {})`` if none.
-
-    A log entry counts once its writer has committed it. Only the last is read.
-    """
-    done = [path.split("/")[-2] for path in _listed(spark, f"{base}/versions/entry=*/_SUCCESS")]
+def current_folders(spark: SparkSession, base: str) -> tuple[int, dict[str, str]]:
+    """The last version and the folder of every table; ``(0, {})`` if there is none."""
+    done = paths_like(spark, f"{base}/versions/entry=*/_SUCCESS")
     if not done:
         return 0, {}
-    version = max(int(name.split("=")[1]) for name in done)
-    entry = spark.read.schema(LOG_DDL).json(f"{base}/versions/entry={version}").first()
-    return version, {key: (at["root"], at["partition"]) for key, at in entry["folders"].items()}
-
-
-def read_folders(
-    spark: SparkSession,
-    folders: Mapping[str, tuple[str, str]],
-    table: str,
-    schema: str | None = None,
-    partitions: Collection[str] | None = None,
-) -> DataFrame | None:
-    """A table of ``current_folders``, or only some partitions; None if there is none.
-
-    With a ``schema`` no file is opened to find it.
-    """
-    by_root: dict[str, list[str]] = {}
-    for key, (root, partition) in sorted(folders.items()):
-        name, _, _ = key.partition(":")
-        if name == table and (partitions is None or partition in partitions):
-            by_root.setdefault(root, []).append(f"{root}/{partition}" if partition else root)
-    if not by_root:
-        return None
-    reader = spark.read if schema is None else spark.read.schema(schema)
-    parts = [reader.option("basePath", root).parquet(*paths) for root, paths in by_root.items()]
-    return reduce(DataFrame.unionByName, parts)
+    last = max(int(path.split("entry=")[1].split("/")[0]) for path in done)
+    row = spark.read.schema(SNAPSHOT_DDL).json(f"{base}/versions/entry={last}").first()
+    return last, dict(row["folders"])
 
 
 def read_table(
     spark: SparkSession, base: str, table: str, schema: str | None = None
 ) -> DataFrame | None:
-    """The current version of a table, or None before the first one."""
-    return read_folders(spark, current_folders(spark, base)[1], table, schema)
-
-
-def _written_partitions(spark: SparkSession, root: str, depth: int) -> list[str]:
-    """Partition folders below ``root``, from the store's listing."""
-    found = _listed(spark, root + "/*=*" * depth)
-    return ["/".join(name.split("/")[-depth:]) for name in found]
+    """The current rows of a table, or None before the first version."""
+    folder = current_folders(spark, base)[1].get(table)
+    if folder is None:
+        return None
+    return (spark.read if schema is None else spark.read.schema(schema)).parquet(folder)
 
 
 def publish_tables(
     spark: SparkSession,
     base: str,
     changes: Mapping[str, Change],
-    known: tuple[int, dict[str, tuple[str, str]]] | None = None,
-) -> dict[str, tuple[str, str]]:
-    """Write all changes, then make them current with one log entry.
-
-    The rows may read current tables. A failed run leaves a folder that no log
-    entry names; the next run takes the same number and replaces it. ``known``
-    is an earlier result of ``current_folders``, which saves reading the log.
-    Returns the folders of the new version.
+    known: tuple[int, dict[str, str]] | None = None,
+) -> dict[str, str]:
+    """Write all changes, then make them current together; returns all folders.
+
+    The rows may read current tables. A failed run leaves folders no row names;
+    the next run takes the same number and replaces them. ``known`` is an
+    earlier result of ``current_folders``.
     """
-    version, folders = known if known is not None else current_folders(spark, base)
-    version += 1
-    folders = dict(folders)
+    version, before = known if known is not None else current_folders(spark, base)
+    version, folders = version + 1, dict(before)
     for table, change in changes.items():
-        root = f"{base}/{table}/version={version}"
+        folders[table] = f"{base}/{table}/version={version}"
         df = even_files(change.df) if change.even and not change.partition_by else change.df
-        overwrite(df, root, partition_by=change.partition_by)
-        for key in [key for key in folders if key.partition(":")[0] == table]:
-            if change.replaced is None or key.partition(":")[2] in change.replaced:
-                del folders[key]
-        if change.partition_by:
-            depth = len(change.partition_by)
-            for partition in _written_partitions(spark, root, depth):
-                folders[f"{table}:{partition}"] = (root, partition)
-        else:
-            folders[f"{table}:"] = (root, "")
-    entry = {
+        overwrite(df, folders[table], partition_by=change.partition_by)
+    row = {
         "version": pa.array([version], pa.int64()),
-        "folders": pa.array(
-            [[(key, {"root": r, "partition": p}) for key, (r, p) in folders.items()]],
-            pa.map_(
-                pa.string(), pa.struct([("root", pa.string()), ("partition", pa.string())])
-            ),
-        ),
+        "folders": pa.array([list(folders.items())], pa.map_(pa.string(), pa.string())),
     }
-    log = local_rows(spark, entry, LOG_DDL)
+    log = local_rows(spark, row, SNAPSHOT_DDL)
     log.write.mode("overwrite").json(f"{base}/versions/entry={version}")
+    older = [f"{base}/versions/entry={version - KEPT + n}" for n in (0, 1)]
+    if paths_like(spark, older[0]):
+        # What the next row names no more, no later one does.
+        named, still = (
+            set(spark.read.schema(SNAPSHOT_DDL).json(entry).first()["folders"].values())
+            for entry in older
+        )
+        for folder in named - still:
+            remove_folder(spark, folder)
+        remove_folder(spark, older[0])
     return folders
 
 
 def publish_table(
-    df: DataFrame,
-    base: str,
-    table: str,
-    partition_by: Sequence[str] = (),
-    even: bool = False,
+    df: DataFrame, base: str, table: str, partition_by: Sequence[str] = (), even: bool = False
 ) -> DataFrame:
-    """Replace one table as a whole and read it back."""
-    spark = df.sparkSession
-    folders = publish_tables(spark, base, {table: Change(df, partition_by, even=even)})
-    stored = read_folders(spark, folders, table, None if partition_by else _ddl(df))
-    # A partitioned table without rows has no folder.
-    return df.limit(0) if stored is None else stored.select(*df.columns)
-
-
-def _ddl(df: DataFrame) -> str:
-    return ", ".join(f"`{name}` {data_type}" for name, data_type in df.dtypes)
+    """Replace one table and read it back."""
+    publish_tables(df.sparkSession, base, {table: Change(df, partition_by, even)})
+    return stored_frame(df, current_folders(df.sparkSession, base)[1][table])
 
 
-def remove_old_versions(spark: SparkSession, base: str) -> int:
-    """Remove the folders that the current version does not use; returns their number.
-
-    To be called when no reader of an older version is left.
-    """
-    version, folders = current_folders(spark, base)
-    used = {root for root, _ in folders.values()}
-    gone = 0
-    for found in _listed(spark, f"{base}/*/version=*"):
-        table, number = found.split("/")[-2:]
-        if f"{base}/{table}/{number}" not in used and int(number.split("=")[1]) <= version:
-            remove_folder(spark, found)
-            gone += 1
-    return gone
+def stored_frame(df: DataFrame, folder: str) -> DataFrame:
+    """What was written of ``df``, with its columns in their order."""
+    return df.sparkSession.read.schema(df.schema).parquet(folder).select(*df.columns)

@@ -10,8 +10,9 @@ from pyspark.sql import DataFrame
 from lakeclerk.catalog import Catalog, Job
 from lakeclerk.operators.clean import ColumnRule, clean
 from lakeclerk.operators.enrich import enrich, unmatched_keys
-from lakeclerk.operators.store import Change, current_folders, publish_tables, read_folders
-from lakeclerk.sinks.files import overwrite
+from lakeclerk.operators.catalog import replace_by_key
+from lakeclerk.operators.store import Change, current_folders, publish_tables, stored_frame
+from lakeclerk.sinks.files import overwrite, replace_partitions, within
 
 
 @dataclass(frozen=True)
@@ -82,44 +83,61 @@ class Enrichment:
         new tables at once, so a run that fails leaves the old ones.
 
         ``partition_by`` are columns of the join that the extended and master
-        tables are partitioned by. A rerun of some ``partitions``, written
-        ``column=value``, replaces these and leaves the others and their files
-        as they are; the raw tables then hold what belongs to them. ``n_files``
-        is the number of files of an unpartitioned master table. ``scan_level``
+        tables are partitioned by, and a clean table too that has them all. A
+        rerun of some ``partitions``, written ``column=value``, replaces these
+        in the tables that are partitioned and leaves the others and their
+        files as they are; the raw tables then hold what belongs to them. A
+        clean table that lacks the columns keeps its rows but for those whose
+        key comes again. So after a rerun the clean zone stands for all
+        partitions, and so do the keys that the join leaves out. ``n_files`` is
+        the number of files of an unpartitioned master table. ``scan_level``
         adds a scan of both zones at the end, under the name of the plan.
 
         Another ``fmt`` than Parquet overwrites its tables in place and has no
         partitions; the format keeps the old versions itself.
         """
-        spark = left.sparkSession
-        cleaned = {
-            f"{self.left_name}_data": clean(left, self.left_rules),
-            f"{self.right_name}_data": clean(right, self.right_rules),
-        }
+        spark, key = left.sparkSession, self.on
+        clean_zone, master_zone = f"{base}/clean", f"{base}/master"
         extended_data = f"{self.extended_name}_data"
 
-        def stored(zone: str, frames: dict[str, DataFrame], **options) -> list[DataFrame]:
+        def stored(zone: str, frames: dict[str, DataFrame]) -> list[DataFrame]:
             if fmt != "parquet":
                 paths = [overwrite(df, f"{zone}/{name}", fmt) for name, df in frames.items()]
                 return [spark.read.format(fmt).load(path) for path in paths]
             known = current_folders(spark, zone)
-            changes = {name: Change(df, **options) for name, df in frames.items()}
-            folders = publish_tables(spark, zone, changes, known)
-            found = [read_folders(spark, folders, name) for name in frames]
-            return [
-                df.limit(0) if back is None else back.select(*df.columns)
-                for back, df in zip(found, frames.values())
-            ]
-
-        clean_left, clean_right = stored(f"{base}/clean", cleaned)
-        options = {"partition_by": partition_by, "replaced": partitions}
-        joined = enrich(clean_left, clean_right, self.on)
-        (extended,) = stored(f"{base}/clean", {extended_data: joined}, **options)
+            keys = {
+                name: partition_by if set(partition_by) <= set(df.columns) else ()
+                for name, df in frames.items()
+            }
+            whole, parts = dict(frames), {}
+            if partitions is not None:
+                parts = {name: df for name, df in frames.items() if keys[name] and name in known[1]}
+                whole = {name: df for name, df in frames.items() if name not in parts}
+            for name, df in parts.items():
+                replace_partitions(df, known[1][name], partition_by, partitions)
+            folders = known[1]
+            if whole:
+                changes = {}
+                for name, df in whole.items():
+                    if partitions is not None and name in folders:
+                        df = replace_by_key(stored_frame(df, folders[name]), df, [key])
+                    changes[name] = Change(df, keys[name])
+                folders = publish_tables(spark, zone, changes, known)
+            return [stored_frame(df, folders[name]) for name, df in frames.items()]
+
+        new_left, new_right = clean(left, self.left_rules), clean(right, self.right_rules)
+        clean_left, clean_right = stored(
+            clean_zone, {f"{self.left_name}_data": new_left, f"{self.right_name}_data": new_right}
+        )
+        # A rerun joins what it was given; otherwise the stored tables are that.
+        joined = enrich(
+            *((clean_left, clean_right) if partitions is None else (new_left, new_right)), key
+        )
+        (extended,) = stored(clean_zone, {extended_data: joined})
         copied = extended if n_files is None or partition_by else extended.repartition(n_files)
         if partitions is not None:
-            # Only what this run made: the others are in the master table.
-            copied = joined
-        (master,) = stored(f"{base}/master", {extended_data: copied}, **options)
+            copied = within(extended, partitions)
+        (master,) = stored(master_zone, {extended_data: copied})
         catalog = Catalog(spark, f"{base}/catalog")
         catalog.define_types()
         catalog.record_run(
@@ -135,7 +153,6 @@ class Enrichment:
         )
         scanned = None
         if scan_level:
-            zones = [f"{base}/clean", f"{base}/master"]
-            scanned = catalog.scan(zones, scan_level, "*.parquet", self.name)
-        unmatched = unmatched_keys(clean_left, clean_right, self.on)
+            scanned = catalog.scan([clean_zone, master_zone], scan_level, "*.parquet", self.name)
+        unmatched = unmatched_keys(clean_left, clean_right, key)
         return EnrichmentResult(extended, clean_left, clean_right, master, unmatched, scanned)

@@ -3,11 +3,19 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from urllib.parse import unquote
 
-from pyspark.sql import DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import Column, DataFrame, DataFrameWriter, SparkSession
+from pyspark.sql import functions as F
 
+from lakeclerk.functions.columns import named
+from lakeclerk.functions.sizing import paths_like, remove_folder
 from lakeclerk.sources.files import DELIMITER, ESCAPE, QUOTE, read_parquet
 
+# Fixed value: the folder name of a null in a partition column.
+NO_VALUE = "__HIVE_DEFAULT_PARTITION__"
+
+
 def even_files(df: DataFrame, partition_by: Sequence[str] = ()) -> DataFrame:
     """Bring rows of one partition together in files of about equal size.
 
@@ -65,6 +73,57 @@ def overwrite_partitions(
     return path
 
 
+def _is_within(partitions: Sequence[str]) -> Column:
+    kept = F.lit(False)
+    for partition in partitions:
+        same = F.lit(True)
+        for part in partition.split("/"):
+            name, _, value = part.partition("=")
+            if value == NO_VALUE:
+                same = same & named(name).isNull()
+            else:
+                same = same & named(name).cast("string").eqNullSafe(F.lit(unquote(value)))
+        kept = kept | same
+    return kept
+
+
+def within(df: DataFrame, partitions: Sequence[str]) -> DataFrame:
+    """The rows of some partitions, written ``column=value`` and joined by ``/``."""
+    return df.filter(_is_within(partitions))
+
+
+def replace_partitions(
+    df: DataFrame, path: str, partition_by: Sequence[str], partitions: Sequence[str]
+) -> str:
+    """Replace the named partitions of a stored table by the rows of ``df``.
+
+    A row of another partition fails the job. Spark's dynamic overwrite
+    replaces what has rows, when all of them are written; a named partition
+    that has no row left goes after that.
+    """
+    spark = df.sparkSession
+    stray = F.raise_error(F.lit(f"rows outside of the partitions {list(partitions)}"))
+    kept = {
+        name: F.when(_is_within(partitions), named(name)).otherwise(
+            stray.cast(df.schema[name].dataType)
+        )
+        for name in partition_by
+    }
+
+    def files(partition: str) -> list[str]:
+        folder = f"{path}/{partition}"
+        if not paths_like(spark, folder):
+            return []
+        return sorted(spark.read.schema(df.schema).parquet(folder).inputFiles())
+
+    before = {partition: files(partition) for partition in partitions}
+    overwrite_partitions(df.withColumns(kept), path, partition_by)
+    for partition, old in before.items():
+        if old and files(partition) == old:
+            remove_folder(spark, f"{path}/{partition}")
+    return path
+
+
 def _quoted_text(
     writer: DataFrameWriter, quote_all: bool, null_value: str | None
 ) -> DataFrameWriter:

@@ -15,6 +15,7 @@ from lakeclerk.functions import (
     convert,
     entity_guid,
     new_folder,
+    remove_folder,
     select_strict,
     tolerant_cast,
 )
@@ -683,26 +684,67 @@ def extended_orders_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    SELECT c_custkey AS custkey, o_orderkey AS order_key, o_orderstatus AS order_status,
-           CASE WHEN o_orderstatus = 'P' THEN -1.0::DOUBLE WHEN o_orderpriority = '5-LOW' THEN NULL
-                ELSE o_totalprice END AS total_price,
-           c_mktsegment AS market_segment, c_acctbal AS account_balance
-    FROM orders JOIN customer ON o_custkey = c_custkey
+    WITH clean AS (
+        SELECT o_custkey AS custkey, o_orderkey AS order_key, o_orderstatus AS order_status,
+               CASE WHEN o_orderstatus = 'P' THEN -1.0::DOUBLE
+                    WHEN o_orderpriority = '5-LOW' THEN NULL ELSE o_totalprice END AS total_price
+        FROM orders WHERE NOT (o_orderstatus = 'P' AND o_orderkey % 2 = 0)
+    ), customers AS (
+        SELECT c_custkey AS custkey, c_mktsegment AS market_segment,
+               CASE WHEN c_custkey IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'P')
+                    THEN 0.0::DOUBLE ELSE c_acctbal END AS account_balance
+        FROM customer
+    ), joined AS (
+        -- What is not run again keeps the customers as they were.
+        SELECT custkey, order_key, order_status, total_price, c_mktsegment AS market_segment,
+               CASE WHEN order_status = 'P' THEN 0.0::DOUBLE ELSE c_acctbal END AS account_balance
+        FROM clean JOIN customer ON custkey = c_custkey
+    )
+    SELECT 'clean_left' AS zone, *, NULL::VARCHAR AS market_segment,
+           NULL::DOUBLE AS account_balance, NULL::BIGINT AS n_rows FROM clean
+    UNION ALL
+    SELECT 'clean_right', custkey, NULL, NULL, NULL, market_segment, account_balance, NULL
+    FROM customers
+    UNION ALL SELECT 'extended', *, NULL FROM joined
+    UNION ALL SELECT 'master', *, NULL FROM joined
+    UNION ALL
+    SELECT 'unmatched left', custkey, NULL, NULL, NULL, NULL, NULL, count(*) FROM clean
+    WHERE custkey NOT IN (SELECT custkey FROM customers) GROUP BY custkey
+    UNION ALL
+    SELECT 'unmatched right', custkey, NULL, NULL, NULL, NULL, NULL, count(*) FROM customers
+    WHERE custkey NOT IN (SELECT custkey FROM clean) GROUP BY custkey
     """
 )
 def extended_orders_rerun(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One partition is run again with other prices; the others stay."""
+    """One partition is run again with half of its orders, other prices and other balances.
+
+    The clean, extended and master tables keep the other partitions, and the
+    keys left out are those of the whole clean zone.
+    """
     base = new_folder(spark, "zones")
     orders, customers = raw_orders(spark, sf_dir), table(spark, sf_dir, "customer")
     keys = ["order_status"]
     EXTENDED_ORDERS.run(orders, customers, base, partition_by=keys)
-    pending = orders.filter(F.col("Order status") == "P").withColumn(
+    pending = orders.filter(F.col("Order status") == "P")
+    theirs = customers.join(
+        pending.select(F.col("Customer key").alias("c_custkey")), "c_custkey", "left_semi"
+    ).withColumn("c_acctbal", F.lit(0.0))
+    pending = pending.filter(F.col("Order key") % 2 == 1).withColumn(
         "Total price (USD)", F.lit("-1")
     )
     again = EXTENDED_ORDERS.run(
-        pending, customers, base, partition_by=keys, partitions=["order_status=P"]
+        pending, theirs, base, partition_by=keys, partitions=["order_status=P"]
     )
-    return again.master
+    zones = {
+        "clean_left": again.left,
+        "clean_right": again.right,
+        "extended": again.extended,
+        "master": again.master,
+    }
+    found = [df.withColumn("zone", F.lit(name)) for name, df in zones.items()]
+    side = F.concat(F.lit("unmatched "), F.col("side")).alias("zone")
+    found.append(again.unmatched.select(side, "custkey", "n_rows"))
+    return reduce(lambda a, b: a.unionByName(b, allowMissingColumns=True), found)
 
 
 @query(
@@ -1365,6 +1407,99 @@ def inventory_full(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# As many folders as the listing is dealt over several times.
+FOLDERS = 1200
+
+
+@query(
+    f"""
+    SELECT k AS folder, 1::BIGINT AS n_files, n AS n_events, true AS is_stored FROM (
+        SELECT event_id % {FOLDERS} AS k, count(*) AS n FROM events GROUP BY k
+    )
+    """
+)
+def inventory_of_many_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Over a thousand folders listed by many tasks; every file is one that holds its events."""
+    path = new_folder(spark, "folders")
+    events = table(spark, sf_dir, "events").select(
+        "event_id", (F.col("event_id") % FOLDERS).alias("k")
+    )
+    overwrite(events.repartition(8, "k"), path, partition_by=["k"], even=False)
+    files = file_inventory(spark, path, "*.parquet", tasks=32)
+    rows = (
+        read_parquet(spark, path)
+        .groupBy(F.col("_metadata.file_path").alias("stored"), F.col("_metadata.file_size").alias("size"))
+        .agg(F.count("*").alias("n_events"))
+    )
+    # Both sides name a local file with one or three slashes.
+    bare = lambda name: F.regexp_replace(name, "^file:/+", "/")
+    found = files.join(rows, bare("path") == bare("stored"), "full")
+    return found.groupBy(
+        F.regexp_extract("path", r"/k=(\d+)/[^/]*$", 1).cast("bigint").alias("folder")
+    ).agg(
+        F.count("path").alias("n_files"),
+        F.sum("n_events").alias("n_events"),
+        F.min(F.col("n_bytes").eqNullSafe(F.col("size"))).alias("is_stored"),
+    )
+
+
+@query(
+    """
+    WITH days AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY day),
+    numbered AS (SELECT day, row_number() OVER (ORDER BY day) % 4 AS place FROM days)
+    SELECT 0::BIGINT AS batch, day, 'added' AS change FROM numbered WHERE place <> 0
+    UNION ALL SELECT 1, day, 'added' FROM numbered WHERE place = 0
+    UNION ALL SELECT 1, day, 'changed' FROM numbered WHERE place = 1
+    UNION ALL SELECT 2, day, 'removed' FROM numbered WHERE place = 2
+    """
+)
+def inventory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three triggers of a scan as a stream, begun anew each time: added, changed, removed.
+
+    The folders are the days of the events, one file each. A quarter of them
+    comes late, one grows, and one is removed.
+    """
+    path, base = new_folder(spark, "days"), new_folder(spark, "inventory")
+    days = table(spark, sf_dir, "events").select(
+        F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_id").cast("string").alias("line")
+    )
+    named = days.select("day").distinct()
+    # A number per day without a window over all: days before it.
+    place = (
+        named.alias("a")
+        .join(named.select(F.col("day").alias("other")), F.col("other") <= F.col("day"))
+        .groupBy("day")
+        .agg((F.count("*") % 4).alias("place"))
+    )
+    lines = days.join(place, "day")
+
+    def put(rows: DataFrame) -> None:
+        text = rows.select("day", "line").repartition(4, "day")
+        text.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
+            "day"
+        ).text(path)
+
+    put(lines.filter("place <> 0"))
+    scan(spark, path, base, name="days")
+    put(lines.filter("place = 0"))
+    put(lines.filter("place = 1").withColumn("line", F.concat("line", F.lit(" and more"))))
+    scan(spark, path, base, name="days")
+    for row in place.filter("place = 2").select("day").collect():
+        remove_folder(spark, f"{path}/day={row.day}")
+    scan(spark, path, base, name="days")
+    changes = spark.read.parquet(f"{base}/days/changes")
+    # A file written anew has another name: in its folder one goes and one comes.
+    return (
+        changes.groupBy("batch", F.regexp_extract("path", r"day=([^/]+)", 1).alias("day"))
+        .agg(F.collect_set("change").alias("kinds"), F.max("change").alias("change"))
+        .select(
+            F.col("batch").cast("bigint").alias("batch"),
+            "day",
+            F.when(F.size("kinds") == 2, "changed").otherwise(F.col("change")).alias("change"),
+        )
+    )
+
+
 @query(
     """
     SELECT 'lineitem' AS name, count(*) AS n_directories FROM (

@@ -1,3 +1,5 @@
+from pathlib import Path
+
 import hashlib
 from datetime import datetime
 
@@ -8,6 +10,7 @@ from pyspark.sql import functions as F
 
 from lakeclerk import Catalog
 from lakeclerk.catalog import Job
+from lakeclerk.operators import store
 from lakeclerk.operators import (
     apply_attribute_rules,
     cardinality_violations,
@@ -18,7 +21,6 @@ from lakeclerk.operators import (
     column_profile,
     publish_table,
     read_table,
-    remove_old_versions,
     record_lineage,
     register_resource_sets,
     register_tables,
@@ -179,18 +181,12 @@ def test_upsert_is_one_join_without_hints(spark):
     assert plan.count("Join") == 1 and "Hint" not in plan
 
 
-def test_small_put_leaves_other_buckets_alone(spark, folder):
-    catalog = Catalog(spark, folder, buckets=8)
+def test_small_put_keeps_the_others(spark, folder):
+    catalog = Catalog(spark, folder)
     catalog.put_entities(
         spark.createDataFrame([entity("t", str(i), {"v": "x"}, 1) for i in range(100)], ENTITIES_DDL)
     )
-
-    def files():
-        return {row.f for row in catalog.read("entities").select(F.input_file_name().alias("f")).distinct().collect()}
-
-    before = files()
     catalog.put_entities(spark.createDataFrame([entity("t", "7", {"v": "y"}, 2)], ENTITIES_DDL))
-    assert len(before) >= 8 and len(before - files()) == 1
     found = {row.name: row.attributes["v"] for row in catalog.read("entities").collect()}
     assert len(found) == 100 and found["7"] == "y" and found["8"] == "x"
 
@@ -214,13 +210,15 @@ def test_types_are_single(spark, folder):
         catalog.define_types(spark.createDataFrame(other.collect(), other.schema))
 
 
-def test_old_versions_are_removed_on_request(spark, folder):
-    publish_table(spark.range(3).toDF("i"), folder, "t")
-    publish_table(spark.range(4).toDF("i"), folder, "t")
-    publish_table(spark.range(5).toDF("i"), folder, "u")
-    assert remove_old_versions(spark, folder) == 1
-    assert read_table(spark, folder, "t").count() == 4 and read_table(spark, folder, "u").count() == 5
-    assert remove_old_versions(spark, folder) == 0
+def test_the_last_versions_are_kept(spark, folder, monkeypatch):
+    monkeypatch.setattr(store, "KEPT", 3)
+    publish_table(spark.range(9).toDF("i"), folder, "u")
+    frames = [publish_table(spark.range(n).toDF("i"), folder, "t") for n in range(1, 7)]
+    assert [df.count() for df in frames[-3:]] == [4, 5, 6]
+    assert read_table(spark, folder, "t").count() == 6
+    assert read_table(spark, folder, "u").count() == 9
+    assert len(list(Path(folder, "versions").glob("entry=*"))) == 3
+    assert len(list(Path(folder, "t").glob("version=*"))) == 3
 
 
 def test_upsert_compares_missing_times(spark):

@@ -137,18 +137,29 @@ def test_run_writes_zones_and_catalogue(spark, folder, raw):
 
 def test_rerun_of_a_partition_leaves_the_others(spark, folder, raw):
     plan, base = vaccination_enrichment(), f"{folder}/lake"
-    first = plan.run(*raw, base, partition_by=["Region"])
-    vaccine = raw[0].withColumn("Doses administered per 100 people", F.lit("7"))
-    country = raw[1].filter("Region = 'North'")
-    again = plan.run(vaccine, country, base, partition_by=["Region"], partitions=["Region=North"])
-
     def files(df):
         rows = df.select("Region", F.input_file_name().alias("f")).distinct().collect()
         return {(row.Region, row.f) for row in rows}
 
-    assert {row[0] for row in files(first.master) & files(again.master)} == {"South, far", "West"}
+    first = plan.run(*raw, base, partition_by=["Region"])
+    before = files(first.master)
+    vaccine = raw[0].withColumn("Doses administered per 100 people", F.lit("7"))
+    country = raw[1].filter("Region = 'North'")
+    options = {"partition_by": ["Region"], "partitions": ["Region=North"]}
+    again = plan.run(vaccine.filter("Country = 'Aland'"), country, base, **options)
+    assert {row[0] for row in before & files(again.master)} == {"South, far", "West"}
     doses = {row.Country: row.Doses_administered_per_100_people for row in again.master.collect()}
     assert doses == {"Aland": 7, "Bland": 166, "Côte X": 10}
+    # The clean zone keeps what was not run again, and so do the keys left out.
+    assert again.left.count() == 5 and again.right.count() == 6
+    assert {tuple(row) for row in again.unmatched.collect()} == {
+        ("left", "Nowhere", 1), ("left", None, 1), ("right", "Elsewhere", 1), ("right", None, 1),
+    }
+    # A partition that has no row left goes; a row of another one fails the run.
+    gone = plan.run(vaccine.filter("false"), country.filter("false"), base, **options)
+    assert {row.Region for row in gone.master.collect()} == {"South, far", "West"}
+    with pytest.raises(Exception, match="rows outside"):
+        plan.run(*raw, base, **options)
 
 
 def test_failed_run_keeps_the_old_tables(spark, folder, raw):
