@@ -31,11 +31,12 @@ def clean(df: DataFrame, rules: Sequence[ColumnRule]) -> DataFrame:
     lacks is an error.
     """
     require_columns(df, [rule.source for rule in rules])
+    types = {field.name: field.dataType for field in df.schema.fields}
     kept = []
     for rule in rules:
         column = named(rule.source)
         if rule.cast:
-            column = tolerant_cast(column, rule.cast)
+            column = tolerant_cast(column, rule.cast, types[rule.source])
         if rule.default is not None:
             column = F.coalesce(column, F.lit(rule.default))
         kept.append(column.alias(rule.name or rule.source))

@@ -443,7 +443,7 @@ def tolerant_casts(spark: SparkSession, sf_dir: str) -> DataFrame:
         .otherwise(F.col("o_totalprice").cast("string"))
     )
     return table(spark, sf_dir, "orders").select(
-        "o_orderkey", tolerant_cast(text, "double").alias("o_totalprice")
+        "o_orderkey", tolerant_cast(text, "double", T.StringType()).alias("o_totalprice")
     )
 
 

@@ -1,6 +1,8 @@
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from lakeclerk.functions.casting import guarded_cast
 from lakeclerk.functions import conversion_losses, convert, named, select_strict, tolerant_cast
 from lakeclerk.operators import ColumnRule, clean, enrich, rename_columns, unmatched_keys
 
@@ -152,3 +154,43 @@ def test_hot_join_key_is_split(spark, conf):
     rows = joined.collect()
     assert len(rows) == 300_000
     assert "skew=true" in joined._jdf.queryExecution().executedPlan().toString()
+
+
+TEXTS = [
+    None, "", " ", "7", " 7 ", "+7", "-7", "--7", "7.", ".7", ".", "7.9", "-7.9", "1e3", "1e-3", "1e400",
+    "1e", "0x1F", "0x1p3", "1d", "1.5f", "NaN", "nan", "Infinity", "-inf", "inf", "information", "~0", "...",
+    "127", "128", "-128", "-129", "32767", "32768", "2147483647", "2147483648", "-2147483648",
+    "9223372036854775807", "9223372036854775808", "-9223372036854775808", "99999999999999999999999",
+    "000000000000000000000000000000000012", "12 34", "1_000", "1,5", "\t5\n", "\u0661", "five", "true",
+]
+
+
+@pytest.mark.parametrize("target", ["tinyint", "smallint", "int", "bigint", "double", "float", "decimal(10,2)"])
+def test_guarded_casts_of_text_equal_plain_ones(spark, target):
+    df = spark.createDataFrame([(t,) for t in TEXTS], "x string")
+    guarded = guarded_cast(F.col("x"), T.StringType(), T.DataType.fromDDL(target))
+    rows = df.select("x", F.col("x").try_cast(target).alias("a"), guarded.alias("b")).collect()
+    assert [(r.x, str(r.b)) for r in rows] == [(r.x, str(r.a)) for r in rows]
+
+
+SATURATING = {("double", "bigint"), ("float", "bigint")}
+
+
+@pytest.mark.parametrize("source", ["tinyint", "smallint", "int", "bigint", "double", "float", "decimal(22,3)"])
+@pytest.mark.parametrize("target", ["tinyint", "smallint", "int", "bigint"])
+def test_guarded_casts_of_numbers_equal_plain_ones(spark, source, target):
+    numbers = [0, 0.999, -0.999, float("nan"), float("inf"), -float("inf"), None]
+    for bits in (7, 15, 31, 63):
+        numbers += [sign * 2.0**bits + more for sign in (1, -1) for more in (-1.0, -0.5, 0.0, 0.5, 1.0)]
+    kind = T.DataType.fromDDL(source)
+    values = spark.createDataFrame([(None if n is None else float(n),) for n in numbers], "v double")
+    df = values.select(F.col("v").try_cast(kind).alias("x")).filter("x IS NOT NULL")
+    target_type = T.DataType.fromDDL(target)
+    # Plain casts saturate in places: at 2**63, and decimals, whose whole part is compared.
+    df = df.filter(F.col("x") < 2.0**63) if (source, target) in SATURATING else df
+    plain = F.col("x").try_cast(target_type)
+    if source.startswith("decimal"):
+        plain = F.when(F.col("x") >= 0, F.floor("x")).otherwise(F.ceil("x")).try_cast(target_type)
+    rows = df.select("x", plain.alias("a"), guarded_cast(F.col("x"), kind, target_type).alias("b")).collect()
+    assert rows and [(r.x, r.b) for r in rows if r.x == r.x] == [(r.x, r.a) for r in rows if r.x == r.x]
+    assert all(r.b is None for r in rows if r.x != r.x)
