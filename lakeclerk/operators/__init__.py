@@ -32,6 +32,7 @@ from lakeclerk.operators.lineage import (
     lineage_references,
     lineage_hops,
     record_lineage,
+    shallow_origins,
     trace_origins,
 )
 from lakeclerk.operators.profile import column_profile, profile_attributes
@@ -75,6 +76,7 @@ __all__ = [
     "resolve",
     "resource_sets",
     "schema_rows",
+    "shallow_origins",
     "single_by_key",
     "statistics_rows",
     "trace_origins",

@@ -115,33 +115,88 @@ def trace_origins(hops: DataFrame, targets: DataFrame, work: str | None = None)
 
     Every round joins the pairs found last with the hops and keeps pairs not
     seen before, so cycles end and a pair is followed once however many paths
-    lead to it. A hop that lacks an end is none. Each round is written below
-    ``work``, by default the shared folder: lost executors cost one round at
-    most, and the plan stays short. Rounds end by themselves, however deep the
-    origins are.
+    lead to it. A hop that lacks an end is none. Hops lie in buckets of their
+    node and found pairs in buckets of both ends, so a round shuffles what it
+    has found and nothing else: earlier pairs and the hops are read where they
+    are. Each round is written below ``work``, by default the shared folder:
+    lost executors cost one round at most, and the plan stays short. Rounds end
+    by themselves, however deep the origins are.
     """
     spark = hops.sparkSession
     folder = new_folder(spark, "origins", work)
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    name = f"lakeclerk_origins_{folder.rsplit('-', 1)[1]}"
+    steps, pairs = f"{name}_hops", f"{name}_pairs"
+    schema = "node string, origin string, n_hops int"
+
+    def add(df: DataFrame, n_hops: int) -> DataFrame:
+        """Append a round's pairs; returns them."""
+        (
+            df.select("node", "origin", F.lit(n_hops).alias("n_hops"))
+            .write.mode("append")
+            .partitionBy("n_hops")
+            .bucketBy(buckets, "node", "origin")
+            .option("path", f"{folder}/pairs")
+            .saveAsTable(pairs)
+        )
+        return spark.table(pairs).where(F.col("n_hops") == n_hops)
+
+    try:
+        (
+            hops.select("node", "origin")
+            .dropna()
+            .write.bucketBy(buckets, "node")
+            .option("path", f"{folder}/hops")
+            .saveAsTable(steps)
+        )
+        wanted = targets.select("node").distinct()
+        latest = add(spark.table(steps).join(wanted, "node", "left_semi").distinct(), 1)
+        n_rounds = 1
+        while not latest.isEmpty():
+            n_rounds += 1
+            latest = add(next_origins(latest, spark.table(steps), spark.table(pairs)), n_rounds)
+    finally:
+        # The tables are names of the folders' buckets; the files stay.
+        for table in (steps, pairs):
+            spark.sql(f"DROP TABLE IF EXISTS {table}")
+    return spark.read.schema(schema).parquet(f"{folder}/pairs").select("node", "origin", "n_hops")
+
+
+def next_origins(latest: DataFrame, steps: DataFrame, found: DataFrame) -> DataFrame:
+    """Pairs one hop beyond ``latest`` that are not among those found.
+
+    The hints keep the joins in the buckets of ``steps`` and ``found``, which
+    are not shuffled.
+    """
+    parents = steps.select(F.col("node").alias("origin"), F.col("origin").alias("next_origin"))
+    reached = latest.select("node", "origin").join(parents.hint("merge"), "origin")
+    reached = reached.select("node", F.col("next_origin").alias("origin"))
+    known = found.select("node", "origin").hint("merge")
+    return reached.join(known, ["node", "origin"], "left_anti").distinct()
 
-    def kept(df: DataFrame, name: str) -> DataFrame:
-        path = f"{folder}/{name}"
-        df.write.mode("overwrite").parquet(path)
-        return spark.read.schema(df.schema).parquet(path)
 
-    steps = kept(hops.select("node", "origin").dropna(), "hops")
-    first = steps.join(targets.select("node"), "node", "left_semi").distinct()
-    found = latest = kept(first.withColumn("n_hops", F.lit(1)), "pairs/round=1")
-    n_rounds = 1
-    parents = steps.select(F.col("node").alias("origin"), F.col("origin").alias("next_origin"))
-    while not latest.isEmpty():
-        n_rounds += 1
-        reached = (
-            latest.join(parents, "origin")
-            .select("node", F.col("next_origin").alias("origin"))
-            .distinct()
-            .join(found.select("node", "origin"), ["node", "origin"], "left_anti")
-            .withColumn("n_hops", F.lit(n_rounds))
+def shallow_origins(hops: DataFrame, targets: DataFrame, max_hops: int) -> DataFrame:
+    """Origins of ``targets`` at most ``max_hops`` away: ``node, origin, n_hops`` (the least).
+
+    One recursive query that writes nothing. It follows every path, so it is
+    for shallow lineage: paths multiply, and a cycle is followed to the bound.
+    Spark stops a recursion of very many rows (``spark.sql.cteRecursionRowLimit``).
+    """
+    if max_hops < 1:
+        raise ValueError("max_hops should be at least 1")
+    return hops.sparkSession.sql(
+        f"""
+        WITH RECURSIVE steps AS (
+            SELECT DISTINCT node, origin FROM {{hops}}
+            WHERE node IS NOT NULL AND origin IS NOT NULL
+        ), reached(node, origin, n_hops) MAX RECURSION LEVEL {max_hops + 1} AS (
+            SELECT s.node, s.origin, 1 FROM steps s LEFT SEMI JOIN {{targets}} t ON s.node = t.node
+            UNION ALL
+            SELECT r.node, s.origin, r.n_hops + 1
+            FROM reached r JOIN steps s ON r.origin = s.node WHERE r.n_hops < {max_hops}
         )
-        latest = kept(reached, f"pairs/round={n_rounds}")
-        found = spark.read.schema(latest.schema).parquet(f"{folder}/pairs").drop("round")
-    return found
+        SELECT node, origin, min(n_hops) AS n_hops FROM reached GROUP BY node, origin
+        """,
+        hops=hops,
+        targets=targets,
+    )

@@ -44,6 +44,7 @@ from lakeclerk.operators import (
     resolve,
     resource_sets,
     schema_rows,
+    shallow_origins,
     statistics_rows,
     trace_origins,
     type_definitions,
@@ -1318,6 +1319,20 @@ def lineage_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
     return trace_origins(origin_hops(spark, sf_dir), targets)
 
 
+@query(
+    ORIGIN_HOPS_SQL
+    + "WHERE n_hops <= 2 AND (node LIKE 'customer://%' OR node LIKE 'supplier://%') "
+    "GROUP BY node, origin"
+)
+def lineage_shallow_origins(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Nations and regions of customers and suppliers, by one recursive query."""
+    targets = table(spark, sf_dir, "customer").select(keyed("customer", "c_custkey").alias("node"))
+    targets = targets.union(
+        table(spark, sf_dir, "supplier").select(keyed("supplier", "s_suppkey").alias("node"))
+    )
+    return shallow_origins(origin_hops(spark, sf_dir), targets, 2)
+
+
 @query(
     """
     SELECT 'rejected' AS kind, doc_id::VARCHAR AS name FROM documents

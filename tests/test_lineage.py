@@ -1,7 +1,8 @@
 from hypothesis import HealthCheck, given, settings
 from hypothesis import strategies as st
 
-from lakeclerk.operators import lineage_hops, trace_origins
+from lakeclerk.operators import lineage_hops, shallow_origins, trace_origins
+from lakeclerk.operators.lineage import next_origins
 
 DDL = "node string, origin string"
 
@@ -77,3 +78,30 @@ def test_hops_go_through_the_process(spark):
     )
     hops = {(row.node, row.origin) for row in lineage_hops(edges).collect()}
     assert hops == {("p", "a"), ("p", "b"), ("c", "p")}
+
+
+def test_both_ways_find_the_same_origins(spark):
+    edges = [(f"n{i}", f"n{(i * 7 + 3) % 40}") for i in range(40)] + [("n1", "n2"), ("n2", "n5"), ("n1", "n5")]
+    df = spark.createDataFrame(edges + [(None, "n1"), ("n1", None)], DDL)
+    targets = spark.createDataFrame([("n1",), ("n2",), ("n9",), ("n1",)], "node string")
+    rounds = traced(trace_origins(df, targets))
+    for depth in (1, 3):
+        near = {pair: n for pair, n in rounds.items() if n <= depth}
+        assert near and traced(shallow_origins(df, targets, depth)) == near
+
+
+def test_a_round_shuffles_new_pairs_only(spark, folder, conf):
+    conf("spark.sql.adaptive.enabled", "false")
+    rows = spark.range(100).selectExpr("cast(id AS string) AS node", "cast(id + 1 AS string) AS origin")
+    rows.write.bucketBy(8, "node").option("path", f"{folder}/h").saveAsTable("some_hops")
+    rows.write.bucketBy(8, "node", "origin").option("path", f"{folder}/p").saveAsTable("some_pairs")
+    try:
+        latest = spark.createDataFrame([("5", "6")], DDL)
+        plan = next_origins(latest, spark.table("some_hops"), spark.table("some_pairs"))
+        text = plan._jdf.queryExecution().executedPlan().toString()
+        exchanges = [line for line in text.splitlines() if "Exchange " in line]
+        # One to meet the hops, one to meet the found pairs; neither table moves.
+        assert len(exchanges) == 2 and text.count("Bucketed: true") == 2
+    finally:
+        spark.sql("DROP TABLE some_hops")
+        spark.sql("DROP TABLE some_pairs")
