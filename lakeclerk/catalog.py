@@ -13,8 +13,10 @@ from lakeclerk.functions import identity as ids
 from lakeclerk.functions.sizing import local_rows
 from lakeclerk.operators import catalog as ops
 from lakeclerk.operators import lineage as lineage_ops
+from lakeclerk.operators import profile as profile_ops
 from lakeclerk.operators.inventory import resource_sets
 from lakeclerk.operators.store import Change, current_folders, publish_tables
+from lakeclerk.sinks.files import within
 from lakeclerk.streaming.discovery import INCREMENTAL, read_inventory, scan
 
 TABLE_SCHEMAS = {
@@ -23,6 +25,7 @@ TABLE_SCHEMAS = {
     "relationships": ops.RELATIONSHIPS_DDL,
     "lineage_edges": lineage_ops.EDGES_DDL,
     "type_defs": ops.TYPE_DEFS_DDL,
+    "column_sketches": f"guid string, table_guid string, {profile_ops.SKETCHES_DDL}",
 }
 # The last version, and the folders of its tables.
 Known = tuple[int, dict[str, str]]
@@ -242,6 +245,65 @@ class Catalog:
         schemas = ops.schema_rows(self.spark, frames)
         return self.put(ops.register_resource_sets(schemas, qualified_names, updated_at)).rejected
 
+    # ----------------------------------------------------------- statistics
+
+    def update_statistics(
+        self,
+        name: str,
+        df: DataFrame,
+        partition_by: Sequence[str] = (),
+        partitions: Sequence[str] | None = None,
+    ) -> DataFrame:
+        """Statistics of the columns of table ``name``, of all or some partitions of ``df``.
+
+        The sketches of each partition are kept, and merged they become
+        attributes of the column entities, which are created where they are
+        missing. After a rerun of some ``partitions``, written
+        ``column=value``, only these are read: the others' sketches are there.
+        Returns the merged statistics, one row per column.
+        """
+        known = current_folders(self.spark, self.base)
+        owner = ids.table_name_of(F.lit(name), self.table_scheme)
+        owner_guid = ids.entity_guid(F.lit(ids.TABLE_TYPE), owner)
+        part = df if partitions is None else within(df, partitions)
+        qualified_name = ids.column_name_of(owner, F.col("column_name"))
+        sketches = profile_ops.column_sketches(part, partition_by).select(
+            ids.entity_guid(F.lit(ids.COLUMN_TYPE), qualified_name).alias("guid"),
+            owner_guid.alias("table_guid"),
+            "*",
+        )
+        table_guid = self.spark.range(1).select(owner_guid.alias("guid")).first().guid
+        kept = sketches
+        if "column_sketches" in known[1]:
+            current = self._read(known, "column_sketches")
+            kept = profile_ops.replaced_sketches(current, sketches, table_guid, partitions)
+        self._publish({"column_sketches": kept}, known)
+        merged = profile_ops.merged_statistics(
+            self.read("column_sketches").filter(F.col("table_guid") == table_guid),
+            ["guid", "ordinal", "column_name"],
+        )
+        stored = self.read("entities").select("guid", F.col("attributes").alias("_attributes"))
+        with_old = merged.join(stored, "guid", "left")
+        new = profile_ops.statistics_attributes(with_old)
+        given = F.coalesce(
+            "_attributes",
+            F.create_map(F.lit("type"), F.col("data_type")),
+        )
+        others = F.map_filter(given, lambda key, _: ~F.map_contains_key(new, key))
+        # Old statistics that a column has no more go as well.
+        statistics = [F.lit(n) for n in ("least", "greatest", "n_distinct", "quantiles")]
+        others = F.map_filter(others, lambda key, _: ~key.isin(*statistics))
+        self.put_entities(
+            ops.entity_rows(
+                with_old,
+                ids.COLUMN_TYPE,
+                qualified_name,
+                F.col("column_name"),
+                F.map_concat(others, new),
+            )
+        )
+        return merged
+
     # -------------------------------------------------------------- lineage
 
     def record_lineage(

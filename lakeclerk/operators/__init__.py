@@ -35,7 +35,12 @@ from lakeclerk.operators.lineage import (
     shallow_origins,
     trace_origins,
 )
-from lakeclerk.operators.profile import column_profile, profile_attributes
+from lakeclerk.operators.profile import (
+    column_profile,
+    column_sketches,
+    merged_statistics,
+    profile_attributes,
+)
 from lakeclerk.operators.store import (
     Change,
     publish_table,
@@ -54,6 +59,7 @@ __all__ = [
     "changed_rows",
     "clean",
     "column_profile",
+    "column_sketches",
     "compare_snapshots",
     "delete_entities",
     "enrich",
@@ -62,6 +68,7 @@ __all__ = [
     "latest_by_key",
     "lineage_hops",
     "lineage_references",
+    "merged_statistics",
     "profile_attributes",
     "publish_table",
     "publish_tables",

@@ -52,6 +52,7 @@ from lakeclerk.operators import (
     upsert,
     with_members,
 )
+from lakeclerk.operators.profile import DISTINCT_RSD, QUANTILE_ERROR
 from lakeclerk.plans import Enrichment, copy_table
 from lakeclerk.sinks import merge_files, overwrite, overwrite_partitions, write_csv
 from lakeclerk.sources import check_schema, read_csv, read_parquet, text_schema
@@ -1693,3 +1694,72 @@ def column_distinct_estimates(spark: SparkSession, sf_dir: str) -> DataFrame:
         .join(counts, "column_name")
         .select("ordinal", "column_name", "n_rows", close.alias("is_close"))
     )
+
+
+def kept_statistics_sql() -> str:
+    """Of the rows that are left after the rerun: returned lines of more than 25 pieces."""
+    kept = "l_returnflag <> 'R' OR l_quantity > 25"
+    return (
+        profile_sql("lineitem")
+        .replace("FROM lineitem", f"FROM lineitem WHERE {kept}")
+        .replace(" AS n_nulls,", " AS n_nulls, true AS distinct_is_close, true AS median_is_close,")
+    )
+
+
+@query(kept_statistics_sql())
+def merged_column_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statistics after a rerun of one partition, merged from sketches and read from the catalogue.
+
+    Estimates are held against exact figures of the whole stored table: five
+    standard deviations for distinct counts, the rank error for the median.
+    """
+    path, catalog = new_folder(spark, "lines"), Catalog(spark, new_folder(spark, "catalog"))
+    lines = table(spark, sf_dir, "lineitem")
+    doubles = [name for name, data_type in lines.dtypes if data_type == "double"]
+    lines = lines.withColumns({name: F.col(name).cast("decimal(18,2)") for name in doubles})
+    keys, order = ["l_returnflag"], lines.columns
+    overwrite(lines, path, partition_by=keys)
+    stored = read_parquet(spark, path).select(*order)
+    catalog.update_statistics("lines", stored, keys)
+    returned = lines.filter((F.col("l_returnflag") == "R") & (F.col("l_quantity") > 25))
+    overwrite_partitions(returned, path, keys)
+    stored = read_parquet(spark, path).select(*order)
+    merged = catalog.update_statistics("lines", stored, keys, ["l_returnflag=R"])
+    told = catalog.read("entities").join(merged.select("guid", "ordinal"), "guid").select(
+        "ordinal",
+        F.col("name").alias("column_name"),
+        *[F.col("attributes")[n].alias(n) for n in ("n_rows", "n_nulls", "least", "greatest")],
+        F.col("attributes")["n_distinct"].cast("bigint").alias("n_distinct"),
+        F.from_json(F.col("attributes")["quantiles"], "array<double>")[1].alias("median"),
+    )
+    medians = {row.column_name: row.median for row in told.select("column_name", "median").collect()}
+    measures = []
+    for name in order:
+        column = F.col(name)
+        below = above = F.lit(None).cast("double")
+        if medians[name] is not None:
+            below = F.avg((column.cast("double") < medians[name]).cast("int"))
+            above = F.avg((column.cast("double") <= medians[name]).cast("int"))
+        measures.append(
+            F.struct(
+                F.lit(name).alias("column_name"),
+                F.count_distinct(column).alias("n_exact"),
+                below.alias("below"),
+                above.alias("above"),
+            ).alias(name)
+        )
+    exact = stored.agg(*measures).select(F.inline(F.array(*order)))
+    close = F.abs(F.col("n_distinct") - F.col("n_exact")) <= F.greatest(
+        5 * DISTINCT_RSD * F.col("n_exact"), F.lit(1)
+    )
+    middle = (F.col("below") <= 0.5 + QUANTILE_ERROR) & (F.col("above") >= 0.5 - QUANTILE_ERROR)
+    return told.join(exact, "column_name").select(
+        "ordinal",
+        "column_name",
+        F.col("n_rows").cast("bigint").alias("n_rows"),
+        F.col("n_nulls").cast("bigint").alias("n_nulls"),
+        close.alias("distinct_is_close"),
+        F.coalesce(middle, F.lit(True)).alias("median_is_close"),
+        "least",
+        "greatest",
+    )

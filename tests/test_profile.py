@@ -1,7 +1,9 @@
 import pytest
 from pyspark.sql import functions as F
 
-from lakeclerk.operators import column_profile
+from lakeclerk import Catalog
+from lakeclerk.operators import column_profile, column_sketches, merged_statistics
+from lakeclerk.sinks import overwrite
 
 
 def test_profile(spark):
@@ -48,3 +50,58 @@ def test_profile_of_awkward_names(spark):
     df = spark.createDataFrame([(1, 2)], ["it's a.b\\", "c`d"])
     names = [row.column_name for row in column_profile(df, 0.05).orderBy("ordinal").collect()]
     assert names == df.columns
+
+
+def test_merged_sketches_equal_those_of_the_whole(spark):
+    df = spark.range(4_000).select(
+        (F.col("id") % 5).alias("k"),
+        F.when(F.col("id") % 3 > 0, F.col("id") % 700).alias("n"),
+        (F.col("id") / 4).alias("d"),
+        F.concat(F.lit("t"), F.col("id") % 50).alias("s"),
+        (F.lit(9007199254740993) + F.col("id")).alias("b"),
+        F.timestamp_seconds("id").cast("timestamp_ntz").alias("t"),
+        F.lit(None).cast("int").alias("none"),
+    )
+    parts = column_sketches(df, ["k"])
+    assert parts.count() == 5 * 7
+    rows = {r.column_name: r for r in merged_statistics(parts, ["column_name"]).collect()}
+    exact = {r.column_name: r for r in column_profile(df).collect()}
+    for name, row in rows.items():
+        assert (row.n_rows, row.n_nulls, row.least, row.greatest) == exact[name][2:6]
+        distinct = df.agg(F.count_distinct(name)).first()[0]
+        assert abs(row.n_distinct - distinct) <= 5 * 0.01625 * distinct + 1
+    assert rows["d"].quantiles == pytest.approx([250, 500, 750], abs=1000 * 0.0165)
+    assert rows["none"].quantiles is None and rows["s"].quantiles is None
+    one = {r.column_name: r for r in merged_statistics(column_sketches(df), ["column_name"]).collect()}
+    assert one["s"].n_distinct == rows["s"].n_distinct
+
+
+def test_sketches_of_an_empty_table(spark):
+    df = spark.createDataFrame([], "`x.y` int, p string")
+    assert column_sketches(df, ["p"]).collect() == []
+
+
+def test_a_rerun_reads_its_partition_only(spark, folder):
+    rows = [("a", 1, None), ("a", 2, "x"), ("b", 30, "y"), ("c/%=d", -4, "z"), (None, 7, "z")]
+    df = spark.createDataFrame(rows, "k string, n int, s string")
+    overwrite(df, f"{folder}/t", partition_by=["k"])
+    catalog = Catalog(spark, f"{folder}/catalog")
+
+    def statistics(partitions=None):
+        stored = spark.read.parquet(f"{folder}/t").select("n", "s", "k")
+        found = catalog.update_statistics("t", stored, ["k"], partitions).collect()
+        return {r.column_name: (r.n_rows, r.n_nulls, r.least, r.greatest, r.n_distinct) for r in found}
+
+    assert statistics() == {
+        "n": (5, 0, "-4", "30", 5), "s": (5, 1, None, None, 3), "k": (5, 1, None, None, 3),
+    }
+    # The files of the others are gone: they are not read.
+    new = spark.createDataFrame([("a", 100, "w")], df.schema)
+    overwrite(new, f"{folder}/t", partition_by=["k"])
+    assert statistics(["k=a"])["n"] == (4, 0, "-4", "100", 4)
+    # A partition without rows leaves; a null and an awkward value are names too.
+    assert statistics(["k=b", "k=c%2F%25%3Dd"])["n"] == (2, 0, "7", "100", 2)
+    assert statistics(["k=__HIVE_DEFAULT_PARTITION__"])["s"] == (1, 0, None, None, 1)
+    entity = catalog.read("entities").filter("name = 'n'").first()
+    assert (entity.attributes["n_rows"], entity.attributes["type"]) == ("1", "int")
+    assert entity.attributes["quantiles"] == "[100.0, 100.0, 100.0]"
