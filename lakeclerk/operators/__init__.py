@@ -22,6 +22,12 @@ from lakeclerk.operators.catalog import (
 )
 from lakeclerk.operators.clean import ColumnRule, clean, rename_columns
 from lakeclerk.operators.enrich import enrich, unmatched_keys
+from lakeclerk.operators.infer import (
+    as_inferred,
+    inferred_types,
+    merged_type_counts,
+    type_counts,
+)
 from lakeclerk.operators.inventory import (
     compare_snapshots,
     file_inventory,
@@ -55,6 +61,7 @@ __all__ = [
     "Registration",
     "Upserted",
     "apply_attribute_rules",
+    "as_inferred",
     "cardinality_violations",
     "changed_rows",
     "clean",
@@ -65,10 +72,12 @@ __all__ = [
     "enrich",
     "entity_rows",
     "file_inventory",
+    "inferred_types",
     "latest_by_key",
     "lineage_hops",
     "lineage_references",
     "merged_statistics",
+    "merged_type_counts",
     "profile_attributes",
     "publish_table",
     "publish_tables",
@@ -87,6 +96,7 @@ __all__ = [
     "single_by_key",
     "statistics_rows",
     "trace_origins",
+    "type_counts",
     "type_definitions",
     "unmatched_keys",
     "upsert",

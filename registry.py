@@ -30,8 +30,10 @@ from lakeclerk.operators import (
     enrich,
     entity_rows,
     file_inventory,
+    inferred_types,
     latest_by_key,
     lineage_hops,
+    merged_type_counts,
     publish_table,
     read_table,
     record_lineage,
@@ -47,6 +49,7 @@ from lakeclerk.operators import (
     shallow_origins,
     statistics_rows,
     trace_origins,
+    type_counts,
     type_definitions,
     unmatched_keys,
     upsert,
@@ -195,6 +198,51 @@ def csv_scan_all_string(spark: SparkSession, sf_dir: str) -> DataFrame:
     return read_csv(spark, path, schema=text_schema(lineitem.columns))
 
 
+# Tables whose text twins have no line break.
+TEXT_TWINS = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "labels")
+
+
+def inferred_sql() -> str:
+    """Types by the given ones: whole numbers are as narrow as their values."""
+    parts = []
+    for name in TEXT_TWINS:
+        for ordinal, (column, data_type) in enumerate(TABLES[name].items(), start=1):
+            kind, whole = "'string'", "0"
+            if data_type in ("int", "bigint"):
+                kind = f"CASE WHEN max(abs({column})) < 2147483648 THEN 'int' ELSE 'bigint' END"
+                whole = f"count(*) FILTER (abs({column}) < 2147483648)"
+            elif data_type == "double":
+                kind = "'double'"
+            elif data_type == "timestamp_ntz":
+                kind = "'timestamp'"
+            parts.append(
+                f"SELECT '{name}' AS table_name, {ordinal} AS ordinal, '{column}' AS column_name, "
+                f"CASE WHEN count({column}) = 0 THEN 'string' ELSE {kind} END AS data_type, "
+                f"count({column}) AS n_values, count({column}) - {whole} AS n_not_int FROM {name}"
+            )
+    return " UNION ALL ".join(parts)
+
+
+@query(inferred_sql())
+def csv_inferred_types(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Types of text files from counts of one scan, those of two halves of each table added up."""
+    path = new_folder(spark, "twins")
+    found = []
+    for name in TEXT_TWINS:
+        write_csv(table(spark, sf_dir, name), f"{path}/{name}")
+        text = read_csv(spark, f"{path}/{name}")
+        counts = type_counts(text, F.pmod(F.xxhash64(text.columns[0]), F.lit(2)))
+        found.append(inferred_types(merged_type_counts(counts)).withColumn("table_name", F.lit(name)))
+    return reduce(DataFrame.unionByName, found).select(
+        "table_name",
+        "ordinal",
+        "column_name",
+        "data_type",
+        "n_values",
+        F.col("misfits")["int"].alias("n_not_int"),
+    )
+
+
 @query(
     """
     SELECT o_orderkey, o_custkey, o_orderstatus,
