@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeclerk.functions import identity as ids
-from lakeclerk.functions.sizing import local_rows
+from lakeclerk.functions.sizing import local_rows, written
 from lakeclerk.operators import catalog as ops
 from lakeclerk.operators import lineage as lineage_ops
 from lakeclerk.operators import profile as profile_ops
@@ -25,6 +25,8 @@ TABLE_SCHEMAS = {
     "relationships": ops.RELATIONSHIPS_DDL,
     "lineage_edges": lineage_ops.EDGES_DDL,
     "type_defs": ops.TYPE_DEFS_DDL,
+    # The definitions with what they inherit, as entities are checked against them.
+    "type_rules": ops.TYPE_DEFS_DDL,
     "column_sketches": f"guid string, table_guid string, {profile_ops.SKETCHES_DDL}",
 }
 # The last version, and the folders of its tables.
@@ -108,7 +110,8 @@ class Catalog:
         """Create or force-update type definitions, the initial ones by default.
 
         Definitions that are stored as they are cause no write; one name with
-        two different definitions is an error.
+        two different definitions is an error, and so is a type that would be
+        its own super type. Entities are held to the rules of all super types.
         """
         known = current_folders(self.spark, self.base)
         if type_defs is None:
@@ -118,9 +121,11 @@ class Catalog:
             incoming = ops.changed_rows(self._read(known, "type_defs"), incoming)
             if incoming.isEmpty():
                 return
-        self._publish(
-            {"type_defs": self._replaced(known, "type_defs", incoming, ["name"])}, known
+        defined = written(
+            self._replaced(known, "type_defs", incoming, ["name"]), "types", self.work
         )
+        rules = ops.inherited_type_defs(defined, self.work)
+        self._publish({"type_defs": defined, "type_rules": rules}, known)
 
     def type_defs(self) -> DataFrame:
         return self.read("type_defs")
@@ -132,7 +137,7 @@ class Catalog:
         gone: DataFrame | None = None,
     ) -> tuple[DataFrame, DataFrame, DataFrame]:
         """The entities afterwards, those accepted, and those rejected."""
-        checked = ops.apply_attribute_rules(entities, self._read(known, "type_defs"))
+        checked = ops.apply_attribute_rules(entities, self._read(known, "type_rules"))
         without_key = F.col("type_name").isNull() | F.col("qualified_name").isNull()
         is_accepted = (F.size("missing") == 0) & ~without_key
         accepted = checked.filter(is_accepted).drop("missing")
@@ -202,6 +207,16 @@ class Catalog:
         self._publish(changes, known)
         return Recorded(unresolved, rejected)
 
+    def put_relationships(self, links: DataFrame) -> DataFrame:
+        """Add relationships that keep the cardinality of their type; returns the others."""
+        known = current_folders(self.spark, self.base)
+        stored = self._read(known, "relationships")
+        checked = ops.check_links(links, stored, self._read(known, "type_defs"))
+        added = self._replaced(known, "relationships", checked.accepted, ["guid"])
+        refused = written(checked.refused, "refused-links", self.work)
+        self._publish({"relationships": added}, known)
+        return refused
+
     def _edges(
         self,
         known: Known,

@@ -4,8 +4,10 @@ from lakeclerk.operators.catalog import (
     apply_attribute_rules,
     cardinality_violations,
     changed_rows,
+    check_links,
     delete_entities,
     entity_rows,
+    inherited_type_defs,
     latest_by_key,
     register_resource_sets,
     register_tables,
@@ -64,6 +66,7 @@ __all__ = [
     "as_inferred",
     "cardinality_violations",
     "changed_rows",
+    "check_links",
     "clean",
     "column_profile",
     "column_sketches",
@@ -73,6 +76,7 @@ __all__ = [
     "entity_rows",
     "file_inventory",
     "inferred_types",
+    "inherited_type_defs",
     "latest_by_key",
     "lineage_hops",
     "lineage_references",

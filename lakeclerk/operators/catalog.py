@@ -530,3 +530,82 @@ def cardinality_violations(relationships: DataFrame, type_defs: DataFrame) -> Da
         .agg(F.countDistinct("end1_guid").alias("n_containers"))
         .filter(F.col("n_containers") > 1)
     )
+
+
+class CheckedLinks(NamedTuple):
+    """Links that may be stored, and those that would break their type's cardinality."""
+
+    accepted: DataFrame
+    refused: DataFrame
+
+
+def check_links(incoming: DataFrame, stored: DataFrame, type_defs: DataFrame) -> CheckedLinks:
+    """Hold new relationships against the stored ones, before they are written.
+
+    At an end that is SINGLE an entity has one partner: a column belongs to one
+    table. A new link is refused if its entity would have several among the
+    stored and the new ones; a link that is stored already stays accepted. Of
+    new links that contradict each other all are refused. Only stored links of
+    entities that come again are looked at, and partners are reduced to the
+    least and greatest in each task, so an entity of very many links is no
+    single task's. Types without a definition have no rule.
+    """
+    columns = ["type_name", "end1_guid", "end2_guid"]
+    new = incoming.select("guid", *columns).distinct()
+    bad = None
+    for one, other in (("end2", "end1"), ("end1", "end2")):
+        single = type_defs.filter(F.col(f"{one}.cardinality") == "SINGLE").select(
+            F.col("name").alias("type_name")
+        )
+        ends = ["type_name", f"{one}_guid"]
+        touched = new.join(single, "type_name", "left_semi")
+        known = stored.join(touched.select(*ends).distinct(), ends, "left_semi")
+        partners = (
+            touched.select(*columns)
+            .unionByName(known.select(*columns))
+            .groupBy(*ends)
+            .agg(F.min(f"{other}_guid").alias("least"), F.max(f"{other}_guid").alias("most"))
+            .filter(F.col("least") != F.col("most"))
+        )
+        some = touched.join(partners, ends, "left_semi").select("guid")
+        bad = some if bad is None else bad.unionByName(some)
+    refused = bad.distinct().join(stored.select("guid"), "guid", "left_anti")
+    return CheckedLinks(
+        new.join(refused, "guid", "left_anti").select(*incoming.columns),
+        new.join(refused, "guid", "left_semi").select(*incoming.columns),
+    )
+
+
+def inherited_type_defs(type_defs: DataFrame, work: str | None = None) -> DataFrame:
+    """Type definitions whose attributes include those of all their super types.
+
+    An attribute that several of them define is taken from the nearest, the
+    type itself first, and of two as near from the one whose name comes first.
+    Super types without a definition have no attributes. A type that is its own
+    super type, at any distance, is an error. The hierarchy is traced in rounds
+    that follow new pairs only.
+    """
+    from lakeclerk.operators.lineage import trace_origins  # which builds on this module
+
+    kinds = type_defs.filter(F.col("category") == "ENTITY")
+    hops = kinds.select(F.col("name").alias("node"), F.explode("super_types").alias("origin"))
+    above = trace_origins(hops, hops.select("node"), work)
+    circular = above.filter(F.col("node") == F.col("origin")).select("node").limit(10).collect()
+    if circular:
+        raise ValueError(f"types above themselves: {sorted(row.node for row in circular)}")
+    own = kinds.select(F.col("name").alias("node"), F.col("name").alias("origin"), F.lit(0).alias("n_hops"))
+    rules = kinds.select(F.col("name").alias("origin"), F.explode("attribute_defs").alias("rule"))
+    nearest = (
+        above.unionByName(own)
+        .join(rules, "origin")
+        .groupBy("node", F.col("rule.name").alias("attribute"))
+        .agg(F.min_by("rule", F.struct("n_hops", "origin")).alias("rule"))
+    )
+    whole = nearest.groupBy(F.col("node").alias("name")).agg(
+        F.sort_array(F.collect_list("rule")).alias("_rules")
+    )
+    return (
+        type_defs.join(whole, "name", "left")
+        .withColumn("attribute_defs", F.coalesce("_rules", "attribute_defs"))
+        .select(*type_defs.columns)
+    )

@@ -31,6 +31,7 @@ from lakeclerk.operators import (
     entity_rows,
     file_inventory,
     inferred_types,
+    inherited_type_defs,
     latest_by_key,
     lineage_hops,
     merged_type_counts,
@@ -1245,6 +1246,120 @@ def relationship_cardinality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cardinality_violations(links, type_definitions(spark))
 
 
+@query(
+    """
+    WITH a AS (
+        SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem
+        WHERE l_returnflag = 'A' AND l_quantity <= 3
+    ), r AS (
+        SELECT DISTINCT l_suppkey AS s, l_partkey AS p FROM lineitem
+        WHERE l_returnflag = 'R' AND l_quantity <= 3
+    ), kept AS (
+        SELECT * FROM a WHERE p IN (SELECT p FROM a GROUP BY p HAVING count(*) = 1)
+    ), clash AS (
+        SELECT p FROM (SELECT * FROM r UNION SELECT * FROM kept) GROUP BY p HAVING count(*) > 1
+    ), late AS (
+        SELECT s, p FROM r WHERE p NOT IN (SELECT p FROM clash)
+    ), told AS (
+        SELECT 'stored' AS kind, s, p FROM kept UNION SELECT 'stored', s, p FROM late
+        UNION ALL SELECT 'refused first', s, p FROM a WHERE (s, p) NOT IN (SELECT (s, p) FROM kept)
+        UNION ALL SELECT 'refused later', s, p FROM r
+        WHERE p IN (SELECT p FROM clash) AND (s, p) NOT IN (SELECT (s, p) FROM kept)
+    )
+    SELECT kind, md5('supplier|supplier://' || s) AS end1_guid, md5('part|part://' || p) AS end2_guid
+    FROM told
+    """
+)
+def relationship_writes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two writes of links under a rule of one supplier for a part: what is stored, what refused."""
+    catalog = Catalog(spark, new_folder(spark, "catalog"))
+    catalog.define_types()
+    lines = table(spark, sf_dir, "lineitem").filter(F.col("l_quantity") <= 3)
+
+    def put(flag: str) -> DataFrame:
+        pairs = lines.filter(F.col("l_returnflag") == flag).select("l_suppkey", "l_partkey")
+        return catalog.put_relationships(
+            relationship_rows(
+                pairs,
+                "custom_delta_table_columns",
+                entity_guid(F.lit("supplier"), keyed("supplier", "l_suppkey")),
+                entity_guid(F.lit("part"), keyed("part", "l_partkey")),
+            )
+        )
+
+    found = {"refused first": put("A"), "refused later": put("R")}
+    found["stored"] = catalog.read("relationships")
+    return reduce(
+        DataFrame.union,
+        [df.select(F.lit(kind).alias("kind"), "end1_guid", "end2_guid") for kind, df in found.items()],
+    )
+
+
+@query(
+    """
+    SELECT event_id, event_type AS type_name,
+           CASE WHEN event_type = 'error' THEN NULL ELSE props->>'k' END AS k,
+           CASE WHEN event_type = 'click' THEN 'hourly' ELSE 'adHoc' END AS schedule,
+           CASE WHEN event_type IN ('click', 'view') THEN 'web' END AS channel,
+           concat_ws(',', CASE WHEN event_type = 'error' THEN 'k' END,
+                     CASE WHEN event_type IN ('click', 'view') AND event_id % 3 = 0
+                          THEN 'session' END) AS missing
+    FROM events
+    """
+)
+def inherited_attribute_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Event types under rules of their super types, two levels up.
+
+    All need ``k`` and have a schedule, from the type at the top; clicks and
+    views are on the web, where a session is needed, and clicks have another
+    schedule of their own.
+    """
+
+    def rule(name: str, is_optional: bool, default: str | None = None) -> str:
+        value = "NULL" if default is None else f"'{default}'"
+        return f"named_struct('name', '{name}', 'is_optional', {str(is_optional).lower()}, 'default_value', {value})"
+
+    def rules(*some: str) -> str:
+        return f"CAST(array({', '.join(some)}) AS array<struct<name:string,is_optional:boolean,default_value:string>>)"
+
+    top = rules(rule("k", False), rule("schedule", True, "adHoc"))
+    web = rules(rule("session", False), rule("channel", True, "web"))
+    by_name = (
+        f"CASE name WHEN 'top' THEN {top} WHEN 'web' THEN {web} "
+        f"WHEN 'click' THEN {rules(rule('schedule', True, 'hourly'))} ELSE {rules()} END"
+    )
+    above = "CASE WHEN name = 'top' THEN array() WHEN name IN ('click', 'view') THEN array('web') ELSE array('top') END"
+    events = table(spark, sf_dir, "events")
+    names = events.select(F.col("event_type").alias("name")).distinct()
+    names = names.union(spark.sql("SELECT explode(array('top', 'web'))"))
+    empty = type_definitions(spark).limit(0)
+    definitions = empty.unionByName(
+        names.select(
+            "name",
+            F.lit("ENTITY").alias("category"),
+            F.expr(above).cast("array<string>").alias("super_types"),
+            F.expr(by_name).alias("attribute_defs"),
+        ),
+        allowMissingColumns=True,
+    )
+    given = F.from_json("props", "map<string,string>")
+    session = F.when(F.col("event_id") % 3 != 0, F.lit("s"))
+    given = F.map_concat(
+        F.map_filter(given, lambda key, _: (key == "k") & (F.col("event_type") != "error")),
+        F.create_map(F.lit("session"), session),
+    )
+    entities = entity_rows(
+        events, F.col("event_type"), keyed("event", "event_id"), F.col("event_id").cast("string"), given
+    )
+    checked = apply_attribute_rules(entities, inherited_type_defs(definitions))
+    return checked.select(
+        F.col("name").cast("bigint").alias("event_id"),
+        "type_name",
+        *[F.col("attributes")[name].alias(name) for name in ("k", "schedule", "channel")],
+        F.concat_ws(",", F.sort_array("missing")).alias("missing"),
+    )
+
+
 # ---------------------------------------------------------------- lineage
 
 

@@ -1,7 +1,7 @@
-from pathlib import Path
-
 import hashlib
+import json
 from datetime import datetime
+from pathlib import Path
 
 import pytest
 from hypothesis import HealthCheck, given, settings
@@ -15,6 +15,7 @@ from lakeclerk.operators import (
     apply_attribute_rules,
     cardinality_violations,
     delete_entities,
+    inherited_type_defs,
     latest_by_key,
     lineage_references,
     profile_attributes,
@@ -22,6 +23,7 @@ from lakeclerk.operators import (
     publish_table,
     read_table,
     record_lineage,
+    relationship_rows,
     register_resource_sets,
     register_tables,
     relationships_by_guid,
@@ -32,7 +34,7 @@ from lakeclerk.operators import (
     type_definitions,
     upsert,
 )
-from lakeclerk.operators.catalog import ENTITIES_DDL
+from lakeclerk.operators.catalog import ENTITIES_DDL, TYPE_DEFS_DDL
 
 
 def md5(text):
@@ -541,3 +543,79 @@ def test_run_of_several_jobs_is_one_version(spark, folder, languages):
         ("wash", 3),
         ("raw", 4),
     }
+
+
+def definition(name, above=(), rules=()):
+    row = {
+        "name": name, "category": "ENTITY", "super_types": list(above),
+        "attribute_defs": [
+            {"name": n, "is_optional": optional, "default_value": default} for n, optional, default in rules
+        ],
+    }
+    return json.dumps(row)
+
+
+def definitions(spark, *lines):
+    df = spark.createDataFrame([(line,) for line in lines], "line string")
+    return df.select(F.inline(F.array(F.from_json("line", TYPE_DEFS_DDL))))
+
+
+def test_rules_are_inherited_from_all_super_types(spark, folder):
+    defs = definitions(
+        spark,
+        definition("top", ["DataSet"], [("a", False, None), ("b", True, "top"), ("c", True, "top")]),
+        definition("left", ["top"], [("b", True, "left")]),
+        definition("right", ["top"], [("b", True, "right"), ("d", False, None)]),
+        definition("low", ["right", "left"], [("c", True, "low")]),
+        definition("alone", [], [("e", False, None)]),
+    )
+    rules = {
+        row.name: {(r.name, r.is_optional, r.default_value) for r in row.attribute_defs}
+        for row in inherited_type_defs(defs).collect()
+    }
+    assert rules["low"] == {("a", False, None), ("b", True, "left"), ("c", True, "low"), ("d", False, None)}
+    assert rules["left"] == {("a", False, None), ("b", True, "left"), ("c", True, "top")}
+    assert rules["alone"] == {("e", False, None)}
+    catalog = Catalog(spark, folder)
+    catalog.define_types(defs)
+    rows = [entity("low", "1", {"a": "x"}, 1), entity("low", "2", {"a": "x", "d": "y"}, 1)]
+    rejected = catalog.put_entities(spark.createDataFrame(rows, ENTITIES_DDL))
+    assert [(row.qualified_name, row.missing) for row in rejected.collect()] == [("1", ["d"])]
+    assert catalog.read("entities").first().attributes == {"a": "x", "d": "y", "b": "left", "c": "low"}
+    # A new rule of the type at the top holds for those below it.
+    catalog.define_types(definitions(spark, definition("top", [], [("z", False, None)])))
+    rejected = catalog.put_entities(spark.createDataFrame(rows[1:], ENTITIES_DDL))
+    assert [row.missing for row in rejected.collect()] == [["z"]]
+
+
+def test_circular_super_types_are_refused(spark, folder):
+    circle = definitions(spark, definition("p", ["q"]), definition("q", ["r"]), definition("r", ["p"]))
+    with pytest.raises(ValueError, match="'p', 'q', 'r'"):
+        inherited_type_defs(circle)
+    catalog = Catalog(spark, folder)
+    with pytest.raises(ValueError, match="themselves"):
+        catalog.define_types(definitions(spark, definition("p", ["p"])))
+    assert catalog.type_defs().isEmpty()
+
+
+def test_links_are_held_to_their_cardinality(spark, folder):
+    catalog = Catalog(spark, folder)
+    catalog.define_types()
+    kind = "custom_delta_table_columns"
+
+    def put(*pairs):
+        rows = spark.createDataFrame([(kind if t else "free", a, b) for t, a, b in pairs], "t string, a string, b string")
+        links = relationship_rows(rows, kind, F.col("a"), F.col("b")).limit(0)
+        for name in (kind, "free"):
+            links = links.unionByName(
+                relationship_rows(rows.filter(F.col("t") == name), name, F.col("a"), F.col("b"))
+            )
+        return {(row.end1_guid, row.end2_guid) for row in catalog.put_relationships(links).collect()}
+
+    assert put((1, "t1", "c1"), (1, "t1", "c2"), (1, "t1", "c1"), (1, "t1", "c3"), (1, "t2", "c3")) == {
+        ("t1", "c3"), ("t2", "c3"),
+    }
+    assert put((1, "t2", "c1"), (1, "t1", "c2"), (1, "t2", "c4"), (0, "t1", "c9"), (0, "t2", "c9")) == {("t2", "c1")}
+    stored = {(row.end1_guid, row.end2_guid) for row in catalog.read("relationships").collect()}
+    assert stored == {("t1", "c1"), ("t1", "c2"), ("t2", "c4"), ("t1", "c9"), ("t2", "c9")}
+    assert catalog.cardinality_violations().isEmpty()
