@@ -21,7 +21,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeclerk.llm.scratch import ROW, in_chunks, map_frames, numbered
+from lakeclerk.llm.scratch import in_chunks, map_frames, numbered, row_name
 from lakeclerk.llm.words import Words, scan_words
 
 BUCKETS = 1 << 14  # hashed words
@@ -361,6 +361,8 @@ def drop_leaking_rows(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
     A row without a key is searched too, and rows that share a key do not share
     their fate.
     """
-    rows = numbered(documents, "leak-rows")
-    gone = benchmark_leaks(rows, benchmark, ROW).select(F.col(ROW).alias("_gone")).distinct()
-    return rows.join(gone, rows[ROW] == gone["_gone"], "left_anti").drop(ROW)
+    row = row_name(documents)
+    rows = numbered(documents, "leak-rows", row)
+    gone = benchmark_leaks(rows, benchmark, row).select(F.col(row).alias("_gone")).distinct()
+    left = rows.join(gone, rows[row] == gone["_gone"], "left_anti")
+    return left.select(*documents.columns)

@@ -10,6 +10,7 @@ from pathlib import Path
 
 import pandas as pd
 import pyarrow as pa
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -66,12 +67,44 @@ def written(df: DataFrame, purpose: str, compression: str = "snappy") -> DataFra
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-ROW = "_row"  # the number of a row
+def consumed(df: DataFrame) -> None:
+    """Remove the folder of a frame made by ``written`` that nothing reads any more.
 
+    Files of shuffles that no frame refers to go as well: Spark removes them
+    when the driver's JVM collects garbage, which it does seldom on its own
+    while tasks write a lot.
+    """
+    spark, files = df.sparkSession, df.inputFiles()
+    jvm = spark.sparkContext._jvm
+    if files:
+        folder = jvm.org.apache.hadoop.fs.Path(files[0].rsplit("/", 1)[0])
+        folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(folder, True)
+    jvm.System.gc()
+
+
+def row_name(df: DataFrame) -> str:
+    """A column name that ``df`` does not have."""
+    name = "_row"
+    while name in df.columns:
+        name += "_"
+    return name
 
-def numbered(df: DataFrame, purpose: str) -> DataFrame:
-    """``df`` written once, with a number of its own for every row as ``_row``."""
-    return written(df.withColumn(ROW, F.monotonically_increasing_id()), purpose)
+
+def numbered(df: DataFrame, purpose: str, row: str) -> DataFrame:
+    """``df`` with a number of its own for every row as ``row``, the same at every reading.
+
+    Rows of stored files are numbered by a hash of their file and their place
+    in it, and nothing is written. Where rows have no place, or two numbers are
+    equal, the rows are written once with consecutive numbers.
+    """
+    try:
+        place = F.xxhash64(F.col("_metadata.file_path"), F.col("_metadata.row_index"))
+        rows = df.withColumn(row, place)
+        if rows.groupBy(row).count().where("count > 1").isEmpty():
+            return rows
+    except AnalysisException:
+        pass
+    return written(df.withColumn(row, F.monotonically_increasing_id()), purpose)
 
 
 def map_batches(

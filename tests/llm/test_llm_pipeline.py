@@ -6,6 +6,9 @@ from pyspark.sql import functions as F
 import __spark_entry__
 import corpus_pipeline
 from lakeclerk.llm import queries
+from lakeclerk.llm.decontam import drop_leaking_rows
+from lakeclerk.llm.neardup import drop_near_rows
+from lakeclerk.llm.scratch import numbered
 
 SMALL = "/root/testdata/sf0.001"
 ODD = [
@@ -51,7 +54,7 @@ def test_each_stage_does_its_part_and_no_more(stages):
     assert sorted(k for k in ids["language_id"] if k is not None and k >= 0) == sorted(plain)
     assert {k for k in ids["language_id"] if k is None or k < 0} == {None, -4, -5}
     assert set(ids["near_duplicates"]) < set(ids["language_id"])
-    assert ids["near_duplicates"].count(-5) == 2  # one document of a repeated key
+    assert ids["near_duplicates"].count(-5) == 1  # repeated rows are copies
     gone = set(ids["near_duplicates"]) - set(ids["decontamination"])
     assert gone and {-4, -5} <= set(ids["decontamination"])
     for name in ("secrets", "token_ids"):
@@ -63,6 +66,28 @@ def test_each_stage_does_its_part_and_no_more(stages):
         assert row.decoded_sha256 == hashlib.sha256(texts[row.doc_id].text.encode()).hexdigest()
 
 
+def test_rows_of_files_are_numbered_where_they_are(spark, folder):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet").select("doc_id", "text")
+    docs.repartition(3).write.parquet(f"{folder}/docs")
+    stored = spark.read.parquet(f"{folder}/docs").select("doc_id", "text")
+    twice = [numbered(stored, "rows", "_row") for _ in range(2)]
+    assert "_metadata" in twice[0]._jdf.queryExecution().analyzed().toString()
+    assert twice[0].exceptAll(twice[1]).isEmpty()
+    assert twice[0].select("_row").distinct().count() == stored.count()
+    for other in (stored.unionByName(stored), stored.crossJoin(spark.range(2))):
+        assert numbered(other, "rows", "_row").select("_row").distinct().count() == 2 * stored.count()
+
+
+def test_a_column_of_the_caller_may_have_the_name_of_the_row(spark):
+    rows = [(k, f"text number {k} of its own words {k * k}", 7) for k in range(4)] + [(9, "text number 0 of its own words 0", 8)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, _row int")
+    kept = drop_near_rows(docs)
+    assert kept.columns == docs.columns
+    assert sorted(map(tuple, kept.collect())) == sorted(rows[:4])
+    bench = spark.createDataFrame([(1, "of its own words 9 text number 3 of its own")], "item_id bigint, text string")
+    assert sorted(map(tuple, drop_leaking_rows(docs, bench).collect())) == sorted(rows)
+
+
 def test_registered(spark):
     known = __spark_entry__.queries()
     for number in range(1, 11):
