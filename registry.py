@@ -1624,8 +1624,9 @@ def inventory_of_many_folders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(
     """
-    WITH days AS (SELECT strftime(ts, '%Y-%m-%d') AS day, count(*) AS n FROM events GROUP BY day),
-    numbered AS (SELECT day, row_number() OVER (ORDER BY day) % 4 AS place FROM days)
+    WITH numbered AS (
+        SELECT DISTINCT strftime(ts, '%Y-%m-%d') AS day, dayofyear(ts) % 4 AS place FROM events
+    )
     SELECT 0::BIGINT AS batch, day, 'added' AS change FROM numbered WHERE place <> 0
     UNION ALL SELECT 1, day, 'added' FROM numbered WHERE place = 0
     UNION ALL SELECT 1, day, 'changed' FROM numbered WHERE place = 1
@@ -1639,18 +1640,11 @@ def inventory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     comes late, one grows, and one is removed.
     """
     path, base = new_folder(spark, "days"), new_folder(spark, "inventory")
-    days = table(spark, sf_dir, "events").select(
-        F.date_format("ts", "yyyy-MM-dd").alias("day"), F.col("event_id").cast("string").alias("line")
-    )
-    named = days.select("day").distinct()
-    # A number per day without a window over all: days before it.
-    place = (
-        named.alias("a")
-        .join(named.select(F.col("day").alias("other")), F.col("other") <= F.col("day"))
-        .groupBy("day")
-        .agg((F.count("*") % 4).alias("place"))
+    lines = table(spark, sf_dir, "events").select(
+        F.date_format("ts", "yyyy-MM-dd").alias("day"),
+        (F.dayofyear("ts") % 4).alias("place"),
+        F.col("event_id").cast("string").alias("line"),
     )
-    lines = days.join(place, "day")
 
     def put(rows: DataFrame) -> None:
         text = rows.select("day", "line").repartition(4, "day")
@@ -1663,7 +1657,7 @@ def inventory_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     put(lines.filter("place = 0"))
     put(lines.filter("place = 1").withColumn("line", F.concat("line", F.lit(" and more"))))
     scan(spark, path, base, name="days")
-    for row in place.filter("place = 2").select("day").collect():
+    for row in lines.filter("place = 2").select("day").distinct().collect():
         remove_folder(spark, f"{path}/day={row.day}")
     scan(spark, path, base, name="days")
     changes = spark.read.parquet(f"{base}/days/changes")
