@@ -33,6 +33,8 @@ from lakeclerk.operators.infer import (
 from lakeclerk.operators.inventory import (
     compare_snapshots,
     file_inventory,
+    path_pattern,
+    pattern_sets,
     resource_sets,
 )
 from lakeclerk.operators.lineage import (
@@ -82,6 +84,8 @@ __all__ = [
     "lineage_references",
     "merged_statistics",
     "merged_type_counts",
+    "path_pattern",
+    "pattern_sets",
     "profile_attributes",
     "publish_table",
     "publish_tables",

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from lakeclerk.sources.listing import listing_options, register_listing
@@ -75,3 +75,56 @@ def resource_sets(inventory: DataFrame) -> DataFrame:
             F.max("modified_at").alias("modified_at"),
         )
     )
+
+
+# What varies among the files of one asset, the most specific first: the value of
+# a k=v folder, a UUID, a hash (which may hold a day), a day, a number.
+VARYING = (
+    (r"(^|/)([^/=]+)=[^/]*(?=/)", "$1$2={value}"),
+    (r"[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{4}-[0-9a-fA-F]{12}", "{uuid}"),
+    (r"(?<![0-9a-zA-Z])[0-9a-f]{16,}(?![0-9a-zA-Z])", "{id}"),
+    (
+        r"(?<![0-9])(19|20)[0-9]{2}([-_.]?)(0[1-9]|1[0-2])\2(0[1-9]|[12][0-9]|3[01])(?![0-9])",
+        "{date}",
+    ),
+    (r"[0-9]+", "{n}"),
+)
+
+
+def path_pattern(path: Column) -> Column:
+    """A path with placeholders for days, identifiers and numbers in any folder or file name."""
+    for pattern, placeholder in VARYING:
+        path = F.regexp_replace(path, pattern, placeholder.replace("{", r"\{"))
+    return path
+
+
+def pattern_sets(inventory: DataFrame) -> DataFrame:
+    """Files whose paths differ only in what varies, shown as one asset.
+
+    For layouts without ``k=v`` folders too: daily folders, numbered part files,
+    names with hashes. ``pattern, n_directories, n_files, n_bytes, modified_at``.
+    Files are summed by directory and then by pattern, each time within a task
+    first, so a set that holds most files does not gather them in one task.
+    """
+    directory = F.regexp_replace("path", r"/[^/]*$", "")
+    return (
+        inventory.select(
+            path_pattern(F.col("path")).alias("pattern"),
+            directory.alias("directory"),
+            "modified_at",
+            "n_bytes",
+        )
+        .groupBy("pattern", "directory")
+        .agg(
+            F.count("*").alias("n_files"),
+            F.sum("n_bytes").alias("n_bytes"),
+            F.max("modified_at").alias("modified_at"),
+        )
+        .groupBy("pattern")
+        .agg(
+            F.count("*").alias("n_directories"),
+            F.sum("n_files").alias("n_files"),
+            F.sum("n_bytes").alias("n_bytes"),
+            F.max("modified_at").alias("modified_at"),
+        )
+    )

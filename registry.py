@@ -35,6 +35,7 @@ from lakeclerk.operators import (
     latest_by_key,
     lineage_hops,
     merged_type_counts,
+    pattern_sets,
     publish_table,
     read_table,
     record_lineage,
@@ -1735,6 +1736,54 @@ def resource_set_sizes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return resource_sets(event_files(spark, sf_dir))
 
 
+@query(
+    """
+    WITH files AS (
+        SELECT 'lake/raw/' || event_type || '/{date}/part-{n}-{id}.json' AS pattern,
+               event_type || strftime(ts, '%Y-%m-%d') AS directory, user_id AS n_bytes,
+               ts AS modified_at
+        FROM events
+        UNION ALL
+        SELECT 'lake/orders_v{n}/status={value}/' || lower(o_orderpriority[3:]) || '_{date}.csv',
+               o_orderstatus || o_orderkey % 3, o_custkey, o_orderdate
+        FROM orders
+    )
+    SELECT pattern, count(DISTINCT directory) AS n_directories, count(*) AS n_files,
+           sum(n_bytes)::BIGINT AS n_bytes, max(modified_at) AS modified_at
+    FROM files GROUP BY pattern
+    """
+)
+def resource_sets_by_pattern(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Files of daily folders, hashed names, versions and partitions, found to be few assets."""
+    events = table(spark, sf_dir, "events").select(
+        F.concat(
+            F.lit("lake/raw/"),
+            "event_type",
+            F.date_format("ts", "'/'yyyy-MM-dd'/part-'"),
+            F.lpad(F.col("event_id").cast("string"), 9, "0"),
+            F.lit("-"),
+            F.md5(F.col("event_id").cast("string")),
+            F.lit(".json"),
+        ).alias("path"),
+        F.col("ts").alias("modified_at"),
+        F.col("user_id").alias("n_bytes"),
+    )
+    orders = table(spark, sf_dir, "orders").select(
+        F.concat(
+            F.lit("lake/orders_v"),
+            (F.col("o_orderkey") % 3).cast("string"),
+            F.lit("/status="),
+            "o_orderstatus",
+            F.lit("/"),
+            F.lower(F.substring("o_orderpriority", 3, 99)),
+            F.date_format("o_orderdate", "_yyyyMMdd'.csv'"),
+        ).alias("path"),
+        F.col("o_orderdate").alias("modified_at"),
+        F.col("o_custkey").alias("n_bytes"),
+    )
+    return pattern_sets(events.unionByName(orders))
+
+
 @query(
     """
     SELECT 'order-' || o_orderkey AS path,

@@ -3,8 +3,10 @@ import time
 from pathlib import Path
 
 import pytest
+from pyspark.sql import functions as F
 
-from lakeclerk.operators import compare_snapshots, file_inventory, resource_sets
+from lakeclerk.operators import compare_snapshots, file_inventory, path_pattern, resource_sets
+from lakeclerk.sources.listing import files_below, listing_tasks, name_pattern
 from lakeclerk import Catalog
 from lakeclerk.streaming import scan
 
@@ -113,3 +115,35 @@ def test_resource_sets_strip_partition_folders(spark, folder):
         for row in resource_sets(file_inventory(spark, folder)).collect()
     }
     assert rows == {"t": (3, 4, 8), "plain": (1, 1, 1), "odd/k=1/inner": (1, 1, 1)}
+
+
+def test_paths_are_generalised(spark):
+    cases = {
+        "a/2024-01-31/f.csv": "a/{date}/f.csv",
+        "a/20240131_7.csv": "a/{date}_{n}.csv",
+        "a/2024-13-31/x": "a/{n}-{n}-{n}/x",
+        "t/k=v 1/m=/part-0001.parquet": "t/k={value}/m={value}/part-{n}.parquet",
+        "t/x=1": "t/x={n}",
+        "u/part-3-3f2504e0-4f89-11d3-9a0c-0305e82c3301-c000.parquet": "u/part-{n}-{uuid}-c{n}.parquet",
+        "h/0123456789abcdef0123/deadbeef": "h/{id}/deadbeef",
+        "h/part-7-91e9fb9f20120131afb9e8aec4d2a1b0.json": "h/part-{n}-{id}.json",
+        "plain/name": "plain/name",
+    }
+    df = spark.createDataFrame([(path,) for path in cases], "path string")
+    assert {r.path: r.p for r in df.select("path", path_pattern(F.col("path")).alias("p")).collect()} == cases
+
+
+def test_listing_is_dealt_over_tasks_and_passes_hidden_files(spark, folder):
+    for n in range(40):
+        put(folder, f"t/a={n % 5}/b={n}/f{n}.csv", "x" * n)
+    for name in ("t/_SUCCESS", "t/a=1/.hidden", "t/_temporary/0/f.csv", "t/top.txt"):
+        put(folder, name, "y")
+    work = listing_tasks([f"{folder}/t"], tasks=8)
+    assert len(work) == 8
+    found = [f[0] for some in work for item in some for f in files_below(*item, "*.{csv,txt}")]
+    assert len(found) == len(set(found)) == 41
+    files = file_inventory(spark, f"{folder}/t", "*.csv", tasks=8)
+    assert files.count() == 40 and files.rdd.getNumPartitions() == 8
+    assert sum(r.n_bytes for r in files.collect()) == sum(range(40))
+    assert file_inventory(spark, f"{folder}/absent").isEmpty()
+    assert name_pattern(None) is None and name_pattern("a?[0-9].c*").match("ab7.csv")
