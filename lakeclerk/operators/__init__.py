@@ -23,7 +23,7 @@ from lakeclerk.operators.catalog import (
     with_members,
 )
 from lakeclerk.operators.clean import ColumnRule, clean, rename_columns
-from lakeclerk.operators.enrich import enrich, unmatched_keys
+from lakeclerk.operators.enrich import enrich, likely_partners, unmatched_keys
 from lakeclerk.operators.infer import (
     as_inferred,
     inferred_types,
@@ -80,6 +80,7 @@ __all__ = [
     "inferred_types",
     "inherited_type_defs",
     "latest_by_key",
+    "likely_partners",
     "lineage_hops",
     "lineage_references",
     "merged_statistics",

@@ -33,6 +33,7 @@ from lakeclerk.operators import (
     inferred_types,
     inherited_type_defs,
     latest_by_key,
+    likely_partners,
     lineage_hops,
     merged_type_counts,
     pattern_sets,
@@ -651,6 +652,50 @@ def join_unmatched_users(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+# A part's name and brand as one text, and the same as others spell it.
+PART_LABEL = "p_name || ' ' || p_brand"
+PART_SPELT = f"""
+    CASE p_partkey % 7
+        WHEN 0 THEN replace({PART_LABEL}, 'Brand#', 'Br#')
+        WHEN 1 THEN replace({PART_LABEL}, 'l', 'll')
+        WHEN 2 THEN replace({PART_LABEL}, ' Brand', '. Brand')
+        WHEN 3 THEN substring({PART_LABEL}, 2)
+        WHEN 4 THEN upper({PART_LABEL})
+        ELSE {PART_LABEL}
+    END
+"""
+
+
+@query(
+    f"""
+    WITH spelt AS (SELECT {PART_SPELT} AS label, count(*) AS n_rows FROM part GROUP BY 1),
+    known AS (SELECT DISTINCT {PART_LABEL} AS label FROM part WHERE p_partkey % 7 > 2),
+    wanted AS (SELECT * FROM spelt WHERE label NOT IN (SELECT label FROM known)),
+    pairs AS (
+        SELECT w.label, k.label AS partner, levenshtein(w.label, k.label) AS edits
+        FROM wanted w JOIN known k ON abs(length(w.label) - length(k.label)) <= 3
+        WHERE levenshtein(w.label, k.label)
+            <= least(3, floor(0.25 * greatest(length(w.label), length(k.label))))
+    ),
+    best AS (
+        SELECT label, unnest(min(struct_pack(edits := edits, partner := partner)))
+        FROM pairs GROUP BY label
+    )
+    SELECT w.label AS key, w.n_rows, b.partner, b.edits::INTEGER AS edits
+    FROM wanted w LEFT JOIN best b USING (label)
+    """
+)
+def join_likely_partners(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Labels that others spell differently, and the known label each stands for."""
+    part = table(spark, sf_dir, "part")
+    return likely_partners(
+        part.select(F.expr(PART_SPELT).alias("label")),
+        part.where("p_partkey % 7 > 2").select(F.expr(PART_LABEL).alias("label")),
+        "label",
+        max_edits=3,
+    )
+
+
 ORDER_RULES = [
     ColumnRule("Customer key", "custkey", "bigint"),
     ColumnRule("Order key", "order_key", "bigint"),

@@ -1,10 +1,19 @@
+import random
+
 import pytest
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeclerk.functions.casting import guarded_cast
 from lakeclerk.functions import conversion_losses, convert, named, select_strict, tolerant_cast
-from lakeclerk.operators import ColumnRule, clean, enrich, rename_columns, unmatched_keys
+from lakeclerk.operators import (
+    ColumnRule,
+    clean,
+    enrich,
+    likely_partners,
+    rename_columns,
+    unmatched_keys,
+)
 
 
 def test_clean_keeps_renames_casts_and_fills(spark):
@@ -135,6 +144,47 @@ def test_unmatched_keys_of_several_columns(spark):
     }
 
 
+def _distance(a, b):
+    row = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        before, row[0] = row[0], i
+        for j, y in enumerate(b, 1):
+            before, row[j] = row[j], min(row[j] + 1, row[j - 1] + 1, before + (x != y))
+    return row[-1]
+
+
+def test_likely_partners_match_all_pairs(spark):
+    draw = random.Random(5)
+    words = ["".join(draw.choice("abé") for _ in range(draw.randint(0, 14))) for _ in range(160)]
+    left, right = [*words[:100], None, "", "aaaaaaaaaaaa"], [*words[70:], None, "aabaaaaaabaaa", "x"]
+    found = likely_partners(
+        spark.createDataFrame([(w, 1) for w in left + left[:5]], "`a.k` string, key int"),
+        spark.createDataFrame([(w,) for w in right], "`a.k` string"),
+        "a.k",
+        max_edits=3,
+        max_share=0.4,
+    ).collect()
+    known = {w for w in right if w is not None}
+    expected = set()
+    for word in {w for w in left if w is not None} - known:
+        near = [(_distance(word, w), w) for w in known]
+        near = [(d, w) for d, w in near if d <= min(3, int(0.4 * max(len(word), len(w))))]
+        edits, partner = min(near, default=(None, None))
+        expected.add((word, (left + left[:5]).count(word), partner, edits))
+    assert len(found) == len(expected) and {tuple(row) for row in found} == expected
+    assert {row.edits for row in found} == {None, 1, 2, 3}
+
+
+def test_likely_partners_of_nothing(spark):
+    none = spark.createDataFrame([], "k string")
+    some = spark.createDataFrame([("a",), (None,)], "k string")
+    assert likely_partners(none, some, "k").isEmpty()
+    assert likely_partners(some, none, "k").collect() == [("a", 1, None, None)]
+    assert likely_partners(some, none, "k", max_edits=0).collect() == [("a", 1, None, None)]
+    with pytest.raises(ValueError, match="max_share"):
+        likely_partners(some, none, "k", max_share=0.5)
+
+
 def test_hot_join_key_is_split(spark, conf):
     """A key with a third of the rows does not stay in one task."""
     conf("spark.sql.autoBroadcastJoinThreshold", "-1")
