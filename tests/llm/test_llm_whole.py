@@ -63,7 +63,41 @@ def test_directions_are_fitted_on_every_document(spark, monkeypatch):
 
     monkeypatch.setattr(decontam, "_gram_times", times)
     decontam.latent_directions(docs, np.ones(decontam.BUCKETS))
-    assert fitted == [4_500, 4_500]
+    assert fitted == [4_500]
+
+
+def test_directions_are_those_of_a_full_decomposition(spark):
+    topics = [prose(12, k) for k in range(3)]
+    draw = random.Random(9)
+    rows = [(k, [draw.choice(topics[k % 3]) for _ in range(48)]) for k in range(90)]
+    docs, weights = frame(spark, rows), np.ones(decontam.BUCKETS)
+    gram = np.zeros((decontam.BUCKETS, 90))
+    for k, words in rows:
+        ids = decontam.buckets(decontam.scan_words([" ".join(words)]).hashes)
+        np.add.at(gram[:, k], ids, 1 / np.sqrt(48))
+    found = decontam.latent_directions(docs, weights)
+    left, size, _ = np.linalg.svd(gram, full_matrices=False)
+    rank = int((size > 1e-4 * size[0]).sum())
+    exact = left[:, decontam.COMMON : rank]
+    exact /= np.maximum(np.linalg.norm(exact, axis=1, keepdims=True), 1e-9)
+    held = np.abs(gram).sum(axis=1) > 0
+    assert np.allclose((found @ found.T)[held][:, held], (exact @ exact.T)[held][:, held], atol=0.05)
+
+
+def test_short_and_very_long_items_are_found(spark):
+    five, seven, long = prose(5, 21), prose(7, 22), prose(10_000, 23)
+    rows = [
+        (1, prose(30, 24) + five + prose(30, 25)),
+        (2, prose(30, 26) + seven + prose(9, 27)),
+        (3, prose(30, 28) + five[:4] + prose(9, 29) + seven[:3] + ["zz"] + seven[3:]),
+        (4, long),
+        (5, five[:2]),
+        (6, five[2:]),
+    ]
+    bench = spark.createDataFrame(
+        [(i, " ".join(x)) for i, x in enumerate([five, seven, long, long, prose(4, 24)[:4]])], ITEMS
+    )
+    assert found_leaks(frame(spark, rows), bench) == {(1, 0), (2, 1), (4, 2), (4, 3)}
 
 
 def test_matrices_of_tasks_add_up_in_levels(spark, monkeypatch):
