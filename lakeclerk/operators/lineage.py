@@ -180,7 +180,8 @@ def shallow_origins(hops: DataFrame, targets: DataFrame, max_hops: int) -> DataF
 
     One recursive query that writes nothing. It follows every path, so it is
     for shallow lineage: paths multiply, and a cycle is followed to the bound.
-    Spark stops a recursion of very many rows (``spark.sql.cteRecursionRowLimit``).
+    ``LIMIT ALL`` lifts Spark's limit on the rows of a recursion, for this query
+    alone: the bound on hops ends it, and a level is a distributed join.
     """
     if max_hops < 1:
         raise ValueError("max_hops should be at least 1")
@@ -196,6 +197,7 @@ def shallow_origins(hops: DataFrame, targets: DataFrame, max_hops: int) -> DataF
             FROM reached r JOIN steps s ON r.origin = s.node WHERE r.n_hops < {max_hops}
         )
         SELECT node, origin, min(n_hops) AS n_hops FROM reached GROUP BY node, origin
+        LIMIT ALL
         """,
         hops=hops,
         targets=targets,

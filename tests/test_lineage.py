@@ -105,3 +105,11 @@ def test_a_round_shuffles_new_pairs_only(spark, folder, conf):
     finally:
         spark.sql("DROP TABLE some_hops")
         spark.sql("DROP TABLE some_pairs")
+
+
+def test_shallow_origins_have_no_bound_on_rows(spark, conf):
+    conf("spark.sql.cteRecursionRowLimit", "10")
+    edges = [(f"n{i}", f"m{i % 3}") for i in range(20)] + [(f"m{i}", "r") for i in range(3)]
+    df = spark.createDataFrame(edges, DDL)
+    near = {pair: n for pair, n in brute_force(edges).items() if n <= 2}
+    assert len(near) == 43 and traced(shallow_origins(df, every_node(spark, edges), 2)) == near
