@@ -1957,6 +1957,29 @@ def kept_statistics_sql() -> str:
     )
 
 
+def exact_figures(df: DataFrame, medians: dict[str, float | None]) -> DataFrame:
+    """Distinct values of every column, and the shares of values below and up to its median.
+
+    Each column is counted by value on its own: a task reads that column alone
+    and shuffles a row per value it has seen, where distinct counts together
+    would repeat every row for each column.
+    """
+    found = []
+    for name in df.columns:
+        counts = df.groupBy(F.col(name).alias("value")).agg(F.count("*").alias("n"))
+        value, n = F.col("value"), F.when(F.col("value").isNotNull(), F.col("n"))
+        below = above = F.lit(None).cast("double")
+        if medians[name] is not None:
+            number = value.cast("double")
+            below = F.sum(F.when(number < medians[name], n).otherwise(0)) / F.sum(n)
+            above = F.sum(F.when(number <= medians[name], n).otherwise(0)) / F.sum(n)
+        found.append(
+            counts.agg(F.count("value").alias("n_exact"), below.alias("below"), above.alias("above"))
+            .select(F.lit(name).alias("column_name"), "n_exact", "below", "above")
+        )
+    return reduce(DataFrame.unionByName, found)
+
+
 @query(kept_statistics_sql())
 def merged_column_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Statistics after a rerun of one partition, merged from sketches and read from the catalogue.
@@ -1984,22 +2007,7 @@ def merged_column_statistics(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.from_json(F.col("attributes")["quantiles"], "array<double>")[1].alias("median"),
     )
     medians = {row.column_name: row.median for row in told.select("column_name", "median").collect()}
-    measures = []
-    for name in order:
-        column = F.col(name)
-        below = above = F.lit(None).cast("double")
-        if medians[name] is not None:
-            below = F.avg((column.cast("double") < medians[name]).cast("int"))
-            above = F.avg((column.cast("double") <= medians[name]).cast("int"))
-        measures.append(
-            F.struct(
-                F.lit(name).alias("column_name"),
-                F.count_distinct(column).alias("n_exact"),
-                below.alias("below"),
-                above.alias("above"),
-            ).alias(name)
-        )
-    exact = stored.agg(*measures).select(F.inline(F.array(*order)))
+    exact = exact_figures(stored, medians)
     close = F.abs(F.col("n_distinct") - F.col("n_exact")) <= F.greatest(
         5 * DISTINCT_RSD * F.col("n_exact"), F.lit(1)
     )

@@ -1,6 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
+import registry
 from lakeclerk import Catalog
 from lakeclerk.operators import column_profile, column_sketches, merged_statistics
 from lakeclerk.sinks import overwrite
@@ -105,3 +106,21 @@ def test_a_rerun_reads_its_partition_only(spark, folder):
     entity = catalog.read("entities").filter("name = 'n'").first()
     assert (entity.attributes["n_rows"], entity.attributes["type"]) == ("1", "int")
     assert entity.attributes["quantiles"] == "[100.0, 100.0, 100.0]"
+
+
+def test_exact_figures_count_each_column_alone(spark):
+    df = spark.range(300).select(
+        F.when(F.col("id") % 3 > 0, F.col("id") % 70).alias("n"),
+        (F.col("id") % 7).cast("decimal(18,2)").alias("d"),
+        F.lit(None).cast("int").alias("none"),
+        F.concat(F.lit("t"), F.col("id") % 5).alias("s"),
+    )
+    found = registry.exact_figures(df, {"n": 34.0, "d": 3.0, "none": None, "s": None})
+    exact = df.agg(
+        F.count_distinct("n"), F.avg((F.col("n") < 34).cast("int")), F.avg((F.col("n") <= 34).cast("int")),
+        F.count_distinct("d"), F.avg((F.col("d") < 3).cast("int")), F.avg((F.col("d") <= 3).cast("int")),
+    ).first()
+    rows = {row.column_name: tuple(row)[1:] for row in found.collect()}
+    assert rows == {"n": exact[:3], "d": exact[3:], "none": (0, None, None), "s": (5, None, None)}
+    # Distinct counts side by side would repeat every row for each of the columns.
+    assert "Expand" not in found._jdf.queryExecution().executedPlan().toString()
