@@ -1,16 +1,19 @@
 """Licence notices by a trained paragraph classifier (operator 2).
 
-A paragraph is a line of a text. Its words and pairs of neighbouring words are
-hashed to sparse features of a multinomial logistic regression over licence
-families and an unknown class. The families are learned from notice templates
-in many settings, the unknown class from paragraphs of the corpus. A family is
-predicted where its probability passes a bar calibrated on paragraphs that were
-not trained on; the family's templates then confirm the prediction or not.
-Everything runs in DataFrame operations; no Python sees a row.
+A paragraph is a line of a text. Those of its words and pairs of neighbouring
+words that some template has are hashed to sparse features of a multinomial
+logistic regression over licence families and an unknown class. The families
+are learned from notice templates in many settings, the unknown class from all
+paragraphs of the corpus: those of equal features are one example with their
+number as its weight. A family is predicted where its probability passes a bar
+calibrated on the paragraphs that were not trained on; the family's templates
+then confirm the prediction or not. Everything runs in DataFrame operations; no
+Python sees a row.
 """
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 
 from pyspark.ml.classification import LogisticRegression, LogisticRegressionModel
@@ -22,7 +25,9 @@ from pyspark.sql import functions as F
 from lakeclerk.llm.scratch import written
 
 FEATURES = 1 << 14
-SAMPLE = 4_000  # paragraphs of the corpus that the unknown class is fitted on, about
+SAMPLE = 4_000  # documents that the settings are drawn from, about
+UNKNOWN_WEIGHT = 2_000.0  # of the unknown class's examples together; a template in a setting has 1
+STEPS = 10_000  # the bar is a whole number of such parts
 SETTINGS = 40  # paragraphs that each template is set in
 FALSE_SHARE = 0.001  # of held out unknown paragraphs that may pass the bar
 LEAST_BAR = 0.5
@@ -103,11 +108,27 @@ def paragraphs(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     return lines.withColumn("tokens", words(F.col("line"))).where(F.size("tokens") > 0)
 
 
+def _vocabulary() -> list[str]:
+    """Words of the templates and pairs of neighbouring ones."""
+    found = set()
+    for lines in TEMPLATES.values():
+        for line in lines:
+            tokens = re.findall(r"[^\W_]+", line.lower())
+            found.update(tokens, map(" ".join, zip(tokens, tokens[1:])))
+    return sorted(found)
+
+
+def terms(tokens: Column) -> Column:
+    """Distinct words and pairs that templates have, in order; others tell no family."""
+    wanted = _vocabulary()
+    held = F.filter(F.concat(tokens, pairs(tokens)), lambda term: term.isin(wanted))
+    return F.array_sort(F.array_distinct(held))
+
+
 def featured(rows: DataFrame) -> DataFrame:
-    """``rows`` with hashed features of ``tokens``."""
-    terms = rows.withColumn("terms", F.concat("tokens", pairs(F.col("tokens"))))
+    """``rows`` with hashed features of ``terms``."""
     hashing = HashingTF(numFeatures=FEATURES, binary=True, inputCol="terms", outputCol="features")
-    return hashing.transform(terms).drop("terms")
+    return hashing.transform(rows)
 
 
 def _templates() -> Column:
@@ -130,13 +151,15 @@ class LicenseModel:
 
 
 def fit(documents: DataFrame, key: str = "doc_id", text: str = "text") -> LicenseModel:
-    """Fit and calibrate on about SAMPLE paragraphs of the corpus and all templates.
+    """Fit and calibrate on all paragraphs of the corpus and all templates.
 
-    Documents are taken by a hash of their row's number, of each a paragraph by
-    a hash of its text, half to fit and half to calibrate; those
-    that hold most of a template are no examples of the unknown class. Every
-    template is fitted by itself, in upper case, and between the words of
-    SETTINGS paragraphs, so that a notice in running text is learned too.
+    Paragraphs are parted by a hash of their text, half to fit and half to
+    calibrate, and counted by their features, on which all that follows depends;
+    those that hold most of a template are no examples of the unknown class.
+    Every template is fitted by itself, in upper case, and between the words of
+    SETTINGS paragraphs, so that a notice in running text is learned too. Only
+    these settings are drawn, from about SAMPLE documents taken by a hash of
+    their row's number.
     """
     spark = documents.sparkSession
     total = max(1, documents.count())
@@ -158,13 +181,23 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Licens
         .withColumn("tokens", words(F.col("line")))
         .where(F.size("tokens") > 0)
     )
-    plain = some.withColumn("match", _best_match(F.col("tokens")))
+    every = paragraphs(documents, key, text).select(
+        F.pmod(F.xxhash64("line", F.lit("fold")), F.lit(2)).alias("fold"),
+        terms(F.col("tokens")).alias("terms"),
+    )
+    counted = every.groupBy("fold", "terms").agg(F.count("*").alias("n"))
+    counted = counted.withColumn("match", _best_match(F.col("terms"), F.col("terms")))
     plain = written(
-        plain.where(F.col("match.share") < CONFIRMED).select("draw", "line", "tokens"), "paragraphs"
+        counted.where(F.col("match.share") < CONFIRMED).select("fold", "terms", "n"), "paragraphs"
+    )
+    to_fit, held_out = plain.where("fold = 0"), plain.where("fold = 1")
+    plain_lines = some.where(_best_match(F.col("tokens"))["share"] < CONFIRMED)
+    settings = (
+        plain_lines.where(F.pmod(F.xxhash64("line", F.lit("fold")), F.lit(2)) == 0)
+        .orderBy("draw", "line")
+        .limit(SETTINGS)
+        .select(F.col("line").alias("around"))
     )
-    to_fit = plain.where(F.pmod(F.xxhash64("draw"), F.lit(2)) == 0)
-    held_out = plain.where(F.pmod(F.xxhash64("draw"), F.lit(2)) == 1)
-    settings = to_fit.orderBy("draw", "line").limit(SETTINGS).select(F.col("line").alias("around"))
     within = settings.select("around", F.explode(_templates()).alias("template"))
     alone = spark.range(1).select(
         F.lit(None).cast("string").alias("around"), F.explode(_templates()).alias("template")
@@ -183,18 +216,36 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Licens
             )
         ).alias("tokens"),
     )
-    negative = to_fit.select(F.lit(UNKNOWN).alias("family"), "tokens")
+    fitted = to_fit.agg(F.sum("n")).first()[0] or 1
+    negative = to_fit.select(
+        F.lit(UNKNOWN).alias("family"), "terms", (F.col("n") * (UNKNOWN_WEIGHT / fitted)).alias("weight")
+    )
     names = F.array(*[F.lit(x) for x in FAMILIES])
-    examples = positive.unionByName(negative).select(
-        (F.array_position(names, F.col("family")) - 1).cast("double").alias("label"), "tokens"
+    examples = (
+        positive.select("family", terms(F.col("tokens")).alias("terms"), F.lit(1.0).alias("weight"))
+        .unionByName(negative)
+        .withColumn("label", (F.array_position(names, F.col("family")) - 1).cast("double"))
     )
     examples = written(examples, "examples")
-    classifier = LogisticRegression(maxIter=40, regParam=1e-3, family="multinomial").fit(
-        featured(examples)
-    )
-    scored = _scored(featured(held_out), classifier)
-    known = scored.agg(F.percentile("best.p", 1 - FALSE_SHARE).alias("p")).first().p
-    return LicenseModel(classifier, max(LEAST_BAR, known or 0.0))
+    classifier = LogisticRegression(
+        maxIter=40, regParam=1e-3, family="multinomial", weightCol="weight"
+    ).fit(featured(examples))
+    return LicenseModel(classifier, _bar(_scored(featured(held_out), classifier)))
+
+
+def _bar(scored: DataFrame) -> float:
+    """The least bar, LEAST_BAR or more, that no more than FALSE_SHARE of the paragraphs pass.
+
+    Counted by whole parts of STEPS, so at most STEPS rows reach the driver.
+    """
+    steps = F.floor(F.col("best.p") * STEPS).alias("step")
+    rows = scored.groupBy(steps).agg(F.sum("n").alias("n")).orderBy(F.desc("step")).collect()
+    most, passing = FALSE_SHARE * sum(row.n for row in rows), 0
+    for row in rows:
+        passing += row.n
+        if passing > most:
+            return max(LEAST_BAR, min(1.0, (row.step + 1) / STEPS))
+    return LEAST_BAR
 
 
 def _scored(rows: DataFrame, classifier: LogisticRegressionModel) -> DataFrame:
@@ -210,9 +261,9 @@ def _scored(rows: DataFrame, classifier: LogisticRegressionModel) -> DataFrame:
     return classifier.transform(rows).withColumn("best", F.array_max(options))
 
 
-def _best_match(tokens: Column) -> Column:
-    """The template of which the words hold the greatest share of pairs."""
-    held = pairs(tokens)
+def _best_match(tokens: Column, held: Column | None = None) -> Column:
+    """The template of which the words, or the pairs ``held``, are the greatest share of pairs."""
+    held = pairs(tokens) if held is None else held
     options = []
     for family, lines in TEMPLATES.items():
         for line in lines:
@@ -239,7 +290,8 @@ def license_notices(
     templates alone.
     """
     model = model or fit(documents, key, text)
-    scored = _scored(featured(paragraphs(documents, key, text)), model.classifier)
+    rows = paragraphs(documents, key, text).withColumn("terms", terms(F.col("tokens")))
+    scored = _scored(featured(rows), model.classifier)
     found = scored.where(F.col("best.p") >= model.bar)
     found = found.withColumn("match", _best_match(F.col("tokens")))
     return found.select(

@@ -156,6 +156,37 @@ def test_the_sample_is_bounded_with_copies(spark, monkeypatch):
     assert abs(counts["copies"] - license_scan.SAMPLE / 3) < 0.1 * license_scan.SAMPLE
 
 
+def test_the_unknown_class_is_fitted_on_every_paragraph(spark, monkeypatch):
+    total = 3 * license_scan.SAMPLE
+    docs = spark.range(total).select(
+        F.col("id").alias("doc_id"),
+        F.concat(F.lit("the work of "), "id", F.lit("\nunder the terms of "), "id").alias("text"),
+    )
+    rows = {}
+    write = license_scan.written
+
+    def counted(df, purpose):
+        found = write(df, purpose)
+        if purpose == "paragraphs":
+            rows.update({r.fold: r.n for r in found.groupBy("fold").agg(F.sum("n").alias("n")).collect()})
+        return found
+
+    monkeypatch.setattr(license_scan, "written", counted)
+    model = license_scan.fit(docs)
+    assert sum(rows.values()) == 2 * total and min(rows.values()) > 0.9 * total
+    assert license_scan.license_notices(docs, model=model).isEmpty()
+
+
+def test_the_bar_is_passed_by_few(spark):
+    rows = spark.createDataFrame(
+        [((0.99995, "a"), 1), ((0.91234, "a"), 9), ((0.7, "b"), 20), ((0.1, "b"), 9_970)],
+        "best struct<p: double, family: string>, n bigint",
+    )
+    assert license_scan._bar(rows) == 0.7001
+    assert license_scan._bar(rows.where("best.p < 0.5")) == license_scan.LEAST_BAR
+    assert license_scan._bar(rows.limit(0)) == license_scan.LEAST_BAR
+
+
 # ------------------------------------------------------------- pipeline
 
 
