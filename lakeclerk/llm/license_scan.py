@@ -105,7 +105,8 @@ def paragraphs(documents: DataFrame, key: str = "doc_id", text: str = "text") ->
     lines = documents.select(
         documents[key], F.posexplode(F.split(documents[text], r"\n")).alias("paragraph", "line")
     )
-    return lines.withColumn("tokens", words(F.col("line"))).where(F.size("tokens") > 0)
+    # Not by the number of tokens, which would be cut out of every line twice.
+    return lines.where(F.col("line").rlike(r"[\p{L}\p{N}]")).withColumn("tokens", words(F.col("line")))
 
 
 def _vocabulary() -> list[str]:
@@ -185,7 +186,8 @@ def fit(documents: DataFrame, key: str = "doc_id", text: str = "text") -> Licens
         F.pmod(F.xxhash64("line", F.lit("fold")), F.lit(2)).alias("fold"),
         terms(F.col("tokens")).alias("terms"),
     )
-    counted = every.groupBy("fold", "terms").agg(F.count("*").alias("n"))
+    # Written, as the filter on the match would else be computed on every paragraph.
+    counted = written(every.groupBy("fold", "terms").agg(F.count("*").alias("n")), "counted")
     counted = counted.withColumn("match", _best_match(F.col("terms"), F.col("terms")))
     plain = written(
         counted.where(F.col("match.share") < CONFIRMED).select("fold", "terms", "n"), "paragraphs"
