@@ -5,7 +5,7 @@ import numpy as np
 import public_tokenizers
 import regex
 
-from lakeclerk.llm import bpe
+from lakeclerk.llm import align, bpe
 from lakeclerk.llm.align import distances
 from lakeclerk.llm.pieces import split
 from lakeclerk.llm.words import scan_words, shingles
@@ -77,6 +77,21 @@ def test_banded_alignment_is_the_edit_distance():
         assert found == (wanted if wanted <= limit else None)
 
 
+def test_a_wide_alignment_takes_one_row_of_bits_a_word(monkeypatch):
+    # A band is not begun for sequences of usual length, whatever their distance.
+    monkeypatch.setattr(align, "_banded", None)
+    draw = np.random.default_rng(9)
+    a = draw.integers(0, 900, 3000).astype("<u4")
+    b = a[draw.random(3000) > 0.05]
+    b[::10] = 1000
+    most = int(0.2 * len(a))
+    found = distances([(a, b)], [most])[0]
+    assert found == brute_force(a.tolist(), b.tolist()) <= most
+    monkeypatch.undo()
+    monkeypatch.setattr(align, "BITS", 100)
+    assert distances([(a, b), (b, a)], [most] * 2) == [found] * 2
+
+
 def test_tree_bpe_is_the_library_encoding():
     import tiktoken
 
