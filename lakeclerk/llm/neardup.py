@@ -4,8 +4,11 @@ The shingles of a text are its runs of five words, each labelled with the
 number of times it has occurred before, so that all are distinct. A sketch
 takes, for each of several hash functions, the few shingles with the least
 hashes and keeps them in the order of the text. Texts that share an entry are
-candidates: they share shingles in the same order. A banded alignment of the
-whole word sequences decides: an edit similarity of 0.8 or more makes a link.
+candidates: they share shingles in the same order. Each is compared with the
+first of its group; then the texts of a group that are not in one class yet are
+compared with each other. Counts of words, which bound the edit distance, rule
+most false candidates out, and an alignment of the whole word sequences
+decides: an edit similarity of 0.8 or more makes a link.
 """
 
 from __future__ import annotations
@@ -29,6 +32,9 @@ COUNTS = (48, 24, 24)  # hash functions of each kind of entry
 ENTRIES = sum(COUNTS)
 SAMPLE = 1024  # shingles of least hash that the entries are chosen from
 TOGETHER = 1 << 20  # characters or words that are worked on together
+BAG = 1_024  # counts of hashed words of a text, two in a byte
+ROUGH = 8  # counts of a bag that are added up for a first look
+BLOCK = 4_096  # texts of a group that one task compares with as many others
 
 
 def labelled(values: np.ndarray) -> np.ndarray:
@@ -60,9 +66,15 @@ def sketch(words: np.ndarray) -> np.ndarray:
     """
     if len(words) < SHINGLE:
         return np.zeros(0, np.uint64)
+    return _sketch(words)
+
+
+def _sketch(words: np.ndarray) -> np.ndarray:
+    """Entries of a text of four words or more: one of four can be like one of five."""
     parts, first = [], 1
     for (size, taken), count in zip(kinds(len(words)), COUNTS):
-        parts.append(_entries(labelled(shingles(words, size)), taken, first, count))
+        some = labelled(shingles(words, min(size, len(words))))
+        parts.append(_entries(some, taken, first, count))
         first += count
     return np.concatenate(parts)
 
@@ -95,31 +107,67 @@ def _entries(values: np.ndarray, taken: int, first: int, count: int) -> np.ndarr
     return mixed(entry)
 
 
+def bag_of(words: np.ndarray) -> np.ndarray:
+    """Counts of a text's words by hash, up to 15, two in a byte."""
+    counts = np.bincount((words >> np.uint64(54)).astype(np.int64), minlength=BAG)
+    counts = np.minimum(counts, 15).astype(np.uint8)
+    return counts[::2] | counts[1::2] << 4
+
+
+def _counts(bags: pd.Series) -> np.ndarray:
+    """Bags as rows of counts."""
+    both = np.frombuffer(b"".join(bags), np.uint8).reshape(-1, BAG // 2)
+    return np.stack([both & 15, both >> 4], axis=2).reshape(-1, BAG)
+
+
+def _rough(counts: np.ndarray) -> np.ndarray:
+    return counts.reshape(len(counts), -1, ROUGH).sum(axis=2, dtype=np.int16)
+
+
+def bags_near(
+    bags: np.ndarray, others: np.ndarray, sizes: np.ndarray, lengths: np.ndarray, similarity: float
+) -> np.ndarray:
+    """Whether two texts may have the similarity, by their bags and their words' numbers.
+
+    An edit takes at most one word off what both have, so the counts of texts
+    with ``d`` edits differ by 2 d less the difference of their sizes at most.
+    """
+    most = ((1 - similarity) * np.maximum(sizes, lengths) + 1e-9).astype(np.int64)
+    # Counts of a byte are below 16, and so are their differences in eight bits.
+    kind = np.int8 if bags.dtype == np.uint8 else bags.dtype
+    differ = np.abs(bags.astype(kind) - others.astype(kind)).sum(axis=1, dtype=np.int32)
+    return differ <= 2 * most - np.abs(sizes - lengths)
+
+
 def _texts(documents: DataFrame, key: str, text: str) -> DataFrame:
     rows = documents.select(documents[key].cast("long").alias("doc"), documents[text].alias("text"))
     return rows.where(F.col("doc").isNotNull() & (F.length("text") > 0))
 
 
 def _described(texts: DataFrame) -> DataFrame:
-    """(``doc``, ``same``, ``entries``) of every text.
+    """(``doc``, ``same``, ``entries``, ``size``, ``bag``) of every text.
 
     ``same`` tells texts of equal words apart from all others; a text without a
-    word counts as its characters.
+    word counts as its characters. ``bag`` counts the ``size`` words by hash.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             for part in in_chunks(frame, "text", TOGETHER):
                 found = scan_words(part["text"].tolist())
-                same, entries = [], []
+                same, entries, size, bag = [], [], [], []
                 for text, begin, end in zip(part["text"], found.first[:-1], found.first[1:]):
                     words = found.hashes[begin:end]
                     content = words.tobytes() or text.encode("utf-8", "replace")
                     same.append(hashlib.blake2b(content, digest_size=16).digest())
-                    entries.append(sketch(words).tobytes())
-                yield pd.DataFrame({"doc": part["doc"], "same": same, "entries": entries})
+                    entries.append(_sketch(words).tobytes() if len(words) >= SHINGLE - 1 else b"")
+                    size.append(len(words))
+                    bag.append(bag_of(words).tobytes())
+                yield pd.DataFrame(
+                    {"doc": part["doc"], "same": same, "entries": entries, "size": size, "bag": bag}
+                )
 
-    return map_frames(texts, run, "doc bigint, same binary, entries binary")
+    return map_frames(texts, run, "doc bigint, same binary, entries binary, size bigint, bag binary")
 
 
 def _entry_rows(sketches: DataFrame) -> DataFrame:
@@ -148,9 +196,11 @@ def _entry_rows(sketches: DataFrame) -> DataFrame:
     return map_frames(sketches.select("doc", "entries"), run, "doc bigint, entry bigint, next int")
 
 
-def _candidates(entries: DataFrame) -> DataFrame:
+def _candidates(entries: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Written distinct pairs (``doc``, ``leader``): every text with the least of those it shares an entry with.
 
+    The second frame, written too, has the rows of entries that texts share.
+
     A group of any size gives one pair for each member, never all pairs. Two
     groupings give two leaders: by one entry, and by one entry and the next
     together, which parts a group that only a common passage holds together.
@@ -166,9 +216,125 @@ def _candidates(entries: DataFrame) -> DataFrame:
     single = written(shared(entries, ["entry"]), "shared-entries")
     fine = shared(single.drop("leader"), ["entry", "next"])
     both = single.select("doc", "leader").unionByName(fine.select("doc", "leader"))
-    pairs = written(both.where(F.col("doc") > F.col("leader")).distinct(), "pairs")
-    consumed(single)
-    return pairs
+    return written(both.where(F.col("doc") > F.col("leader")).distinct(), "pairs"), single
+
+
+def _close(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """The pairs (``doc``, ``leader``) that may have the similarity by their bags."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            near = bags_near(
+                _counts(frame["bag"]),
+                _counts(frame["others"]),
+                frame["size"].to_numpy(),
+                frame["length"].to_numpy(),
+                similarity,
+            )
+            yield frame.loc[near, ["doc", "leader"]]
+
+    leaders = bags.select(
+        F.col("doc").alias("leader"), F.col("size").alias("length"), F.col("bag").alias("others")
+    )
+    rows = pairs.join(bags.hint("merge"), "doc").join(leaders.hint("merge"), "leader")
+    # Lengths alone rule many out.
+    longer = F.greatest("size", "length")
+    near = F.abs(F.col("size") - F.col("length")) <= (1 - similarity) * longer + 1e-6
+    rows = rows.where(near).select("doc", "leader", "size", "length", "bag", "others")
+    return map_frames(rows, run, "doc bigint, leader bigint").distinct()
+
+
+def _between(shared: DataFrame, classes: DataFrame) -> DataFrame:
+    """(``part``, ``side``, ``doc``, ``component``): texts to be compared for being in different classes.
+
+    Rows of a part are compared with each other where their components differ,
+    and of two sides only across (``side`` is 2 where a part has one). Only
+    groups with texts of several components are left. A group of more than
+    BLOCK texts is dealt out in blocks, every two of them a part: a component of
+    more texts than that has blocks of its own, which need not meet each other.
+    """
+    name = classes.select(F.col("node").alias("doc"), "component")
+    members = shared.join(name.hint("merge"), "doc", "left").select(
+        "entry", "doc", F.coalesce("component", "doc").alias("component")
+    )
+    least, most = F.min("component"), F.max("component")
+    mixed = members.groupBy("entry").agg(least.alias("low"), most.alias("high")).where("low < high")
+    members = written(members.join(mixed.select("entry").hint("merge"), "entry"), "mixed-groups")
+    sizes = members.groupBy("entry", "component").agg(F.count("*").alias("texts"))
+    large = F.col("texts") > BLOCK
+    rest = F.sum(F.when(large, 0).otherwise(F.col("texts")))
+    sizes = sizes.join(sizes.groupBy("entry").agg(rest.alias("rest")).hint("merge"), "entry")
+    sizes = sizes.select(
+        "entry",
+        "component",
+        F.when(large, F.col("component")).alias("own"),
+        F.ceil(F.when(large, F.col("texts")).otherwise(F.col("rest")) / BLOCK).alias("blocks"),
+    )
+    number = F.pmod(F.xxhash64("doc"), F.col("blocks"))
+    placed = members.join(sizes.hint("merge"), ["entry", "component"]).withColumn(
+        "block", F.concat_ws("/", F.coalesce(F.col("own").cast("string"), F.lit("")), number)
+    )
+    blocks = placed.select("entry", "own", "block").distinct()
+    others = blocks.select("entry", F.col("own").alias("other_own"), F.col("block").alias("other"))
+    one = F.coalesce(F.col("own") == F.col("other_own"), F.lit(False))
+    parts = blocks.join(others.hint("merge"), "entry").where((F.col("block") <= F.col("other")) & ~one)
+    alone = F.col("block") == F.col("other")
+    parts = parts.withColumn("part", F.xxhash64("entry", "block", "other"))
+    sides = parts.select("entry", "block", "part", F.when(alone, 2).otherwise(0).alias("side")).unionByName(
+        parts.where(~alone).select("entry", F.col("other").alias("block"), "part", F.lit(1).alias("side"))
+    )
+    rows = placed.join(sides.hint("merge"), ["entry", "block"])
+    return rows.select("part", "side", "doc", "component")
+
+
+def _across(rows: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
+    """Distinct pairs (``doc``, ``leader``) of the rows of ``_between`` that may have the similarity.
+
+    Texts of a part come by length: each meets those only that are longer by no
+    more than the similarity allows.
+    """
+
+    def near(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        part, size, doc = (frame[name].to_numpy() for name in ("part", "size", "doc"))
+        side, component, bags = frame["side"].to_numpy(), frame["component"].to_numpy(), _counts(frame["bag"])
+        rough = _rough(bags)
+        place = np.cumsum(np.diff(part, prepend=part[:1]) != 0) << 32
+        longest = ((size + 1e-6) / similarity).astype(np.int64)
+        begin = np.arange(1, len(part) + 1)
+        ends = np.searchsorted(place + size, place + longest, "right")
+        total = np.cumsum(ends - begin)
+        at = 0
+        while at < len(part):
+            # Some texts with all their partners; of one text there are two blocks at most.
+            to = int(np.searchsorted(total, (total[at - 1] if at else 0) + TOGETHER // 32, "right"))
+            to = max(at + 1, to)
+            count = (ends - begin)[at:to]
+            first = np.repeat(np.arange(at, to), count)
+            second = first + 1 + np.arange(len(first)) - np.repeat(np.cumsum(count) - count, count)
+            asked = (component[first] != component[second]) & (doc[first] != doc[second])
+            asked &= (side[first] != side[second]) | (side[first] == 2)
+            first, second = first[asked], second[asked]
+            kept = bags_near(rough[first], rough[second], size[first], size[second], similarity)
+            first, second = first[kept], second[kept]
+            kept = bags_near(bags[first], bags[second], size[first], size[second], similarity)
+            both = doc[first[kept]], doc[second[kept]]
+            found = pd.DataFrame({"doc": np.maximum(*both), "leader": np.minimum(*both)})
+            yield found.drop_duplicates()
+            at = to
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        left = None
+        for frame in frames:
+            frame = frame if left is None else pd.concat([left, frame], ignore_index=True)
+            last = int((frame["part"].to_numpy() != frame["part"].iloc[-1]).sum()) if len(frame) else 0
+            if last:
+                yield from near(frame[:last])
+            left = frame[last:]
+        if left is not None and len(left):
+            yield from near(left)
+
+    dealt = rows.join(bags.hint("merge"), "doc").repartition("part").sortWithinPartitions("part", "size")
+    return map_frames(dealt, run, "doc bigint, leader bigint").distinct()
 
 
 def _words(texts: DataFrame, pairs: DataFrame) -> DataFrame:
@@ -215,48 +381,67 @@ def _verified(pairs: DataFrame, words: DataFrame, similarity: float) -> DataFram
     # The leader of a large group joins a great many rows; adaptive execution
     # splits that partition.
     rows = pairs.join(words.hint("merge"), "doc").join(leaders.hint("merge"), "leader")
-    # Lengths alone rule most false candidates out.
-    longer = F.greatest(F.length("words"), F.length("others"))
-    near = F.abs(F.length("words") - F.length("others")) <= (1 - similarity) * longer + 1e-6
     return map_frames(
-        rows.where(near).select("doc", "leader", "words", "others"),
-        run,
-        "doc bigint, leader bigint",
+        rows.select("doc", "leader", "words", "others"), run, "doc bigint, leader bigint"
     )
 
 
+def _links(texts: DataFrame, pairs: DataFrame, similarity: float) -> DataFrame:
+    """Written distinct links (``doc``, ``leader``) among written pairs, which are removed."""
+    words = written(_words(texts, pairs), "words")
+    links = written(_verified(pairs, words, similarity).distinct(), "links")
+    consumed(words)
+    consumed(pairs)
+    return links
+
+
 def near_duplicates(
     documents: DataFrame, key: str = "doc_id", text: str = "text", similarity: float = SIMILARITY
 ) -> DataFrame:
     """One row for each document: the key, ``class_id`` and ``n_links``.
 
     ``class_id`` is the least key of the class; ``n_links`` counts the verified
-    links between the document's text and the first ones of the groups it is in
-    or leads plus, for an exact copy, the one to its representative. Documents of the same words are one text from the
-    start, whatever their number. Links are closed transitively.
+    links between the document's text and others plus, for an exact copy, the one
+    to its representative: links to the first ones of the groups it is in or
+    leads, and those that join classes beyond these. Documents of the same words
+    are one text from the start, whatever their number. Links are closed
+    transitively.
 
     Null and empty texts are a class each; so is a row without a key, with a
     null class. Texts without words are copies only if equal; texts with fewer
-    than five words only if their words are equal. Rows with a repeated key
+    than four words only if their words are equal. Rows with a repeated key
     are one document that has the texts of all. Keys are integers.
 
     Texts share an entry with a probability, near 1 for an edit similarity of
-    0.8 whose edits are at random places; the README has simulated figures. A
-    text is compared with the least key of each group alone, so ``n_links``
-    counts the links to those, and not to every member of the class.
+    0.8 whose edits are at random places; the README has simulated figures. Any
+    two texts that share one are in one class or were compared. Texts that the
+    first ones have brought into one class are not compared again, so ``n_links``
+    does not count every member of the class that is near.
     """
     texts = _texts(documents, key, text)
     described = written(_described(texts), "sketches")
     alike = described.groupBy("same").agg(
         F.min("doc").alias("least"), F.min_by("entries", "doc").alias("entries")
     )
-    pairs = _candidates(_entry_rows(alike.select(F.col("least").alias("doc"), "entries")))
-    sketches, described = described, written(described.select("doc", "same"), "names")
+    pairs, shared = _candidates(_entry_rows(alike.select(F.col("least").alias("doc"), "entries")))
+    sketches, described = described, written(described.drop("entries"), "names")
     consumed(sketches)
-    words = written(_words(texts, pairs), "words")
-    links = written(_verified(pairs, words, similarity), "links").distinct()
-    consumed(words)
+    bags = described.select("doc", "size", "bag")
+    close = written(_close(pairs, bags, similarity), "close-pairs")
     consumed(pairs)
+    links = _links(texts, close, similarity)
+    # Copies hang on one representative: only links between texts need rounds.
+    edges = links.select(F.col("doc").alias("a"), F.col("leader").alias("b"))
+    found = written(components(edges), "classes")
+    rows = _between(shared, found)
+    close = written(_across(rows, bags, similarity), "close-pairs")
+    consumed(shared)
+    if not close.isEmpty():
+        more = _links(texts, close, similarity)
+        edges = more.select(F.col("doc").alias("a"), F.col("leader").alias("b"))
+        known = found.select(F.col("node").alias("a"), F.col("component").alias("b"))
+        found = written(components(known.unionByName(edges)), "classes")
+        links = links.unionByName(more).distinct()
     alike = described.groupBy("same").agg(F.min("doc").alias("least"))
     copies = (
         described.select("doc", "same")
@@ -265,8 +450,6 @@ def near_duplicates(
         .select(F.col("doc").alias("a"), F.col("least").alias("b"))
         .distinct()
     )
-    # Copies hang on one representative: only links between texts need rounds.
-    found = written(components(links.select(F.col("doc").alias("a"), F.col("leader").alias("b"))), "classes")
     ends = links.select(F.explode(F.array("doc", "leader")).alias("node"))
     own = ends.groupBy("node").agg(F.count("*").alias("links"))
     of_copy = copies.join(found, copies["b"] == found["node"], "left").select(

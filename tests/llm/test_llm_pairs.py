@@ -123,6 +123,43 @@ def test_near_copies_match_brute_force(spark):
             assert any(key in pair for pair in linked)
 
 
+def test_links_under_a_first_text_like_neither(spark, monkeypatch):
+    a, b = prose(100, 60), prose(100, 61)
+    # Each holds all of a text and is too long to be like it, or like another one.
+    rows = [(k, " ".join(a + prose(32, 100 + k))) for k in range(60)]
+    rows += [(100, " ".join(a)), (101, " ".join(edited(a, 10, 62)))]
+    rows += [(k, " ".join(b + prose(32, 200 + k))) for k in range(200, 240)]
+    rows += [(300 + k, " ".join(edited(b, 9 + k, 63 + k))) for k in range(6)]
+    wanted = {k: k for k, _ in rows} | {101: 100} | {300 + k: 300 for k in range(6)}
+    for block in (neardup.BLOCK, 3):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        found = neardup.near_duplicates(frame(spark, rows)).collect()
+        assert {r.doc_id: r.class_id for r in found} == wanted
+        assert {r.doc_id for r in found if r.n_links} == {100, 101, *range(300, 306)}
+
+
+def test_a_text_of_four_words_is_like_one_of_five(spark):
+    words = prose(5, 64)
+    rows = [(1, " ".join(words)), (2, " ".join(words[:2] + words[3:])), (3, " ".join(prose(4, 65)))]
+    rows += [(4, " ".join([*words[:2], "other", *words[3:]])), (5, " ".join(words[:3]))]
+    classes = {r.doc_id: r.class_id for r in neardup.near_duplicates(frame(spark, rows)).collect()}
+    assert classes == {1: 1, 2: 1, 3: 3, 4: 1, 5: 5}
+
+
+def test_bags_rule_no_link_out():
+    draw = np.random.default_rng(8)
+    for _ in range(300):
+        a = draw.integers(0, 2**64, 30, np.uint64)[draw.integers(0, 30, draw.integers(5, 600))]
+        b = a[draw.random(len(a)) > 0.1]
+        b[draw.random(len(b)) < 0.08] = np.uint64(7)
+        size = max(len(a), len(b))
+        near = neardup.distances([(a, b)], [int(0.2 * size + 1e-9)])[0] is not None
+        bags = [neardup._counts([neardup.bag_of(x).tobytes()]) for x in (a, b)]
+        for some in (bags, [neardup._rough(x) for x in bags]):
+            passed = neardup.bags_near(*some, np.array([len(a)]), np.array([len(b)]), 0.8)[0]
+            assert passed or not near
+
+
 def test_no_documents(spark):
     assert neardup.near_duplicates(frame(spark, [])).isEmpty()
     assert passages.repeated_passages(frame(spark, [])).isEmpty()
