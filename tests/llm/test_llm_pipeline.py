@@ -8,7 +8,7 @@ import corpus_pipeline
 from lakeclerk.llm import queries
 from lakeclerk.llm.decontam import drop_leaking_rows
 from lakeclerk.llm.neardup import drop_near_rows
-from lakeclerk.llm.scratch import numbered
+from lakeclerk.llm.scratch import BATCH, ROWS, map_batches, map_frames, numbered
 
 SMALL = "/root/testdata/sf0.001"
 ODD = [
@@ -88,6 +88,26 @@ def test_a_column_of_the_caller_may_have_the_name_of_the_row(spark):
     assert sorted(map(tuple, drop_leaking_rows(docs, bench).collect())) == sorted(rows)
 
 
+def test_python_is_handed_a_bounded_number_of_texts(spark, conf):
+    import pandas as pd
+    import pyarrow as pa
+
+    def sizes(frames):
+        for frame in frames:
+            yield pd.DataFrame({"n": [len(frame)]})
+
+    def sizes_of_batches(batches):
+        for batch in batches:
+            yield pa.RecordBatch.from_pydict({"n": [batch.num_rows]})
+
+    rows = spark.range(0, 25_000, 1, 2)
+    for given, most in (("10000", ROWS), ("500", 500)):
+        conf(BATCH, given)
+        for found in (map_frames(rows, sizes, "n bigint"), map_batches(rows, sizes_of_batches, "n bigint")):
+            counts = [r.n for r in found.collect()]
+            assert sum(counts) == 25_000 and max(counts) == most
+
+
 def test_registered(spark):
     known = __spark_entry__.queries()
     for number in range(1, 11):
