@@ -6,9 +6,10 @@ takes, for each of several hash functions, the few shingles with the least
 hashes and keeps them in the order of the text. Texts that share an entry are
 candidates: they share shingles in the same order. Each is compared with the
 first of its group; then the texts of a group that are not in one class yet are
-compared with each other. Counts of words, which bound the edit distance, rule
-most false candidates out, and an alignment of the whole word sequences
-decides: an edit similarity of 0.8 or more makes a link.
+compared with each other, two texts in one of the groups that they share. Counts
+of words, which bound the edit distance, rule most false candidates out, and an
+alignment of the whole word sequences decides: an edit similarity of 0.8 or more
+makes a link.
 """
 
 from __future__ import annotations
@@ -148,7 +149,8 @@ def _described(texts: DataFrame) -> DataFrame:
     """(``doc``, ``same``, ``entries``, ``size``, ``bag``) of every text.
 
     ``same`` tells texts of equal words apart from all others; a text without a
-    word counts as its characters. ``bag`` counts the ``size`` words by hash.
+    word counts as its characters. An entry is kept as 32 bits. ``bag`` counts
+    the ``size`` words by hash.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -160,7 +162,8 @@ def _described(texts: DataFrame) -> DataFrame:
                     words = found.hashes[begin:end]
                     content = words.tobytes() or text.encode("utf-8", "replace")
                     same.append(hashlib.blake2b(content, digest_size=16).digest())
-                    entries.append(_sketch(words).tobytes() if len(words) >= SHINGLE - 1 else b"")
+                    some = _sketch(words) if len(words) >= SHINGLE - 1 else words[:0]
+                    entries.append((some >> np.uint64(32)).astype("<u4").tobytes())
                     size.append(len(words))
                     bag.append(bag_of(words).tobytes())
                 yield pd.DataFrame(
@@ -173,22 +176,23 @@ def _described(texts: DataFrame) -> DataFrame:
 def _entry_rows(sketches: DataFrame) -> DataFrame:
     """(``doc``, ``entry``, ``next``) for every entry of every sketch.
 
-    The entry's place in the sketch is part of it; ``next`` tells the entries
-    that follow it apart, well enough to part a group.
+    The entry's place in the sketch is in front of it, above its 32 bits, so two
+    texts are in one group wherever their sketches are equal and nowhere else;
+    ``next`` is the entry that follows.
     """
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        place = np.arange(1, ENTRIES + 1, dtype=np.uint64) * BASE
+        place = np.arange(ENTRIES, dtype=np.int64) << 32
         for frame in frames:
             some = frame[frame["entries"].str.len() > 0]
             for begin in range(0, len(some), 512):
                 part = some.iloc[begin : begin + 512]
-                entry = np.frombuffer(b"".join(part["entries"]), np.uint64).reshape(-1, ENTRIES)
-                after = (np.roll(entry, -1, axis=1) >> np.uint64(33)).astype(np.int32)
+                entry = np.frombuffer(b"".join(part["entries"]), "<u4").reshape(-1, ENTRIES)
+                after = np.roll(entry, -1, axis=1).view(np.int32)
                 yield pd.DataFrame(
                     {
                         "doc": np.repeat(part["doc"].to_numpy(), ENTRIES),
-                        "entry": mixed(entry ^ place).view(np.int64).ravel(),
+                        "entry": (entry.astype(np.int64) | place).ravel(),
                         "next": after.ravel(),
                     }
                 )
@@ -245,11 +249,12 @@ def _close(pairs: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
 
 
 def _between(shared: DataFrame, classes: DataFrame) -> DataFrame:
-    """(``part``, ``side``, ``doc``, ``component``): texts to be compared for being in different classes.
+    """(``part``, ``place``, ``side``, ``doc``, ``component``): texts to be compared for being in different classes.
 
     Rows of a part are compared with each other where their components differ,
-    and of two sides only across (``side`` is 2 where a part has one). Only
-    groups with texts of several components are left. A group of more than
+    and of two sides only across (``side`` is 2 where a part has one); ``place``
+    is that of the group's entry in the sketches. Only groups with texts of
+    several components are left. A group of more than
     BLOCK texts is dealt out in blocks, every two of them a part: a component of
     more texts than that has blocks of its own, which need not meet each other.
     """
@@ -284,19 +289,40 @@ def _between(shared: DataFrame, classes: DataFrame) -> DataFrame:
         parts.where(~alone).select("entry", F.col("other").alias("block"), "part", F.lit(1).alias("side"))
     )
     rows = placed.join(sides.hint("merge"), ["entry", "block"])
-    return rows.select("part", "side", "doc", "component")
+    return rows.select("part", F.shiftright("entry", 32).alias("place"), "side", "doc", "component")
+
+
+def _turn(docs: np.ndarray, others: np.ndarray, entries: np.ndarray, more: np.ndarray) -> np.ndarray:
+    """The place at which two texts are compared, -1 where their sketches share no entry.
+
+    It is the first shared one, counted from a place that depends on the two
+    documents, so that the pairs of a large group are dealt out over its texts'
+    other groups. ``entries`` are rows of sketches; those of zeros are of texts
+    that have none.
+    """
+    ends = np.minimum(docs, others).view(np.uint64), np.maximum(docs, others).view(np.uint64)
+    start = (mixed(ends[0] * BASE + ends[1]) % np.uint64(ENTRIES)).astype(np.int16)
+    turn = (np.arange(ENTRIES, dtype=np.int16) - start[:, None]) % ENTRIES
+    shared = (entries == more) & entries.any(axis=1, keepdims=True)
+    found = np.where(shared, turn, ENTRIES).argmin(axis=1)
+    return np.where(shared.any(axis=1), found, -1)
 
 
 def _across(rows: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
     """Distinct pairs (``doc``, ``leader``) of the rows of ``_between`` that may have the similarity.
 
     Texts of a part come by length: each meets those only that are longer by no
-    more than the similarity allows.
+    more than the similarity allows. Of the groups that two texts share, one
+    looks at them, so a pair leaves once however many entries it shares; texts
+    of a key that has several may meet where their own sketches share none.
     """
 
     def near(frame: pd.DataFrame) -> Iterator[pd.DataFrame]:
         part, size, doc = (frame[name].to_numpy() for name in ("part", "size", "doc"))
         side, component, bags = frame["side"].to_numpy(), frame["component"].to_numpy(), _counts(frame["bag"])
+        group = frame["place"].to_numpy()
+        entries = b"".join(x or bytes(4 * ENTRIES) for x in frame["entries"])
+        entries = np.frombuffer(entries, "<u4").reshape(-1, ENTRIES)
         rough = _rough(bags)
         place = np.cumsum(np.diff(part, prepend=part[:1]) != 0) << 32
         longest = ((size + 1e-6) / similarity).astype(np.int64)
@@ -306,7 +332,7 @@ def _across(rows: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
         at = 0
         while at < len(part):
             # Some texts with all their partners; of one text there are two blocks at most.
-            to = int(np.searchsorted(total, (total[at - 1] if at else 0) + TOGETHER // 32, "right"))
+            to = int(np.searchsorted(total, (total[at - 1] if at else 0) + TOGETHER // 128, "right"))
             to = max(at + 1, to)
             count = (ends - begin)[at:to]
             first = np.repeat(np.arange(at, to), count)
@@ -316,6 +342,9 @@ def _across(rows: DataFrame, bags: DataFrame, similarity: float) -> DataFrame:
             first, second = first[asked], second[asked]
             kept = bags_near(rough[first], rough[second], size[first], size[second], similarity)
             first, second = first[kept], second[kept]
+            turn = _turn(doc[first], doc[second], entries[first], entries[second])
+            kept = (turn == group[first]) | (turn < 0)
+            first, second = first[kept], second[kept]
             kept = bags_near(bags[first], bags[second], size[first], size[second], similarity)
             both = doc[first[kept]], doc[second[kept]]
             found = pd.DataFrame({"doc": np.maximum(*both), "leader": np.minimum(*both)})
@@ -350,7 +379,7 @@ def _words(texts: DataFrame, pairs: DataFrame) -> DataFrame:
                     {"doc": part["doc"], "words": [words[a:b].tobytes() for a, b in cut]}
                 )
 
-    members = pairs.select(F.explode(F.array("doc", "leader")).alias("doc")).distinct()
+    members = pairs.select("doc").unionByName(pairs.select(F.col("leader").alias("doc"))).distinct()
     return map_frames(texts.join(members.hint("merge"), "doc", "left_semi"), run, "doc bigint, words binary")
 
 
@@ -424,10 +453,8 @@ def near_duplicates(
         F.min("doc").alias("least"), F.min_by("entries", "doc").alias("entries")
     )
     pairs, shared = _candidates(_entry_rows(alike.select(F.col("least").alias("doc"), "entries")))
-    sketches, described = described, written(described.drop("entries"), "names")
-    consumed(sketches)
-    bags = described.select("doc", "size", "bag")
-    close = written(_close(pairs, bags, similarity), "close-pairs")
+    bags = described.select("doc", "size", "bag", "entries")
+    close = written(_close(pairs, bags.select("doc", "size", "bag"), similarity), "close-pairs")
     consumed(pairs)
     links = _links(texts, close, similarity)
     # Copies hang on one representative: only links between texts need rounds.

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from lakeclerk.llm import decontam, neardup, passages, topk, training_order
 from lakeclerk.llm.graph import components
 from lakeclerk.llm.queries import RANKS
+from lakeclerk.llm.scratch import map_frames
 
 SMALL = "/root/testdata/sf0.001"
 DOCS = "doc_id bigint, text string, doc string, same int"
@@ -160,6 +161,32 @@ def test_bags_rule_no_link_out():
             assert passed or not near
 
 
+def test_a_pair_of_a_group_leaves_python_once(spark, monkeypatch):
+    made = []
+
+    def kept(*args):
+        made.append(map_frames(*args))
+        return made[-1]
+
+    monkeypatch.setattr(neardup, "map_frames", kept)
+    # A passage holds all together; the same words follow in orders of their own.
+    passage, words, draw = prose(40, 70), prose(60, 71), np.random.default_rng(72)
+    rows = [(k, " ".join([*passage, *draw.permutation(words)])) for k in range(40)]
+    near = prose(100, 73)
+    rows += [(100 + k, " ".join(edited(near, 20, 74 + k))) for k in range(20)]
+    described = neardup._described(neardup._texts(frame(spark, rows), "doc_id", "text")).cache()
+    _, shared = neardup._candidates(neardup._entry_rows(described))
+    alone = spark.createDataFrame([], "node bigint, component bigint")
+    for block in (neardup.BLOCK, 7):
+        monkeypatch.setattr(neardup, "BLOCK", block)
+        found = neardup._across(neardup._between(shared, alone), described.drop("same"), 0.8).collect()
+        together = {(100 + b, 100 + a) for a in range(20) for b in range(a + 1, 20)}
+        # The words of the first ones do not tell them apart: 780 pairs, which dozens of groups hold.
+        same = {(b, a) for a in range(40) for b in range(a + 1, 40)}
+        assert {(r.doc, r.leader) for r in found} == same | together
+        assert made[-1].count() == len(found)
+
+
 def test_no_documents(spark):
     assert neardup.near_duplicates(frame(spark, [])).isEmpty()
     assert passages.repeated_passages(frame(spark, [])).isEmpty()
