@@ -40,7 +40,8 @@ class LanguageModel:
     languages: list[str]
     words: np.ndarray  # sorted hashes
     word_scores: np.ndarray  # by word and language
-    grams: dict[str, np.ndarray]
+    grams: dict[str, int]  # row of ``gram_scores``: a row of its own for each would take several times the memory
+    gram_scores: np.ndarray  # by n-gram and language
 
     def back_off(self, word: str) -> np.ndarray:
         """Mean score of the known n-grams of the greatest length that has any."""
@@ -52,7 +53,7 @@ class LanguageModel:
                 if (gram := marked[at : at + size]) in self.grams
             ]
             if found:
-                return np.mean(found, axis=0)
+                return self.gram_scores[found].mean(axis=0)
         return np.zeros(len(self.languages))
 
     def scores(self, texts: list[str | None], memory: dict[int, np.ndarray]) -> np.ndarray:
@@ -180,7 +181,7 @@ def fit(
     }
     languages = sorted({lang for lang, _ in totals})
     place = {name: i for i, name in enumerate(languages)}
-    words_kept, word_scores, grams_kept = [], [], {}
+    words_kept, word_scores, grams_kept, gram_scores = [], [], {}, []
     for row in log_frequencies(counts).toLocalIterator():
         total = np.array([totals.get((name, row.kind), 0) for name in languages], float)
         score = np.zeros(len(languages))
@@ -191,13 +192,15 @@ def fit(
             words_kept.append(row.key)
             word_scores.append(score)
         else:
-            grams_kept[row.key] = score
+            grams_kept[row.key] = len(gram_scores)
+            gram_scores.append(score)
     found = scan_words(words_kept, letters_only=True)
     whole = np.diff(found.first) == 1
     hashes = found.hashes[found.first[:-1][whole]] if len(words_kept) else found.hashes
     scores = np.array(word_scores).reshape(len(words_kept), len(languages))[whole]
     order_by = np.argsort(hashes)
-    return LanguageModel(languages, hashes[order_by], scores[order_by], grams_kept)
+    gram_scores = np.array(gram_scores).reshape(len(gram_scores), len(languages))
+    return LanguageModel(languages, hashes[order_by], scores[order_by], grams_kept, gram_scores)
 
 
 def predict(

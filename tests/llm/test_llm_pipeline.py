@@ -1,5 +1,7 @@
 import hashlib
+from pathlib import Path
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -7,8 +9,9 @@ import __spark_entry__
 import corpus_pipeline
 from lakeclerk.llm import queries
 from lakeclerk.llm.decontam import drop_leaking_rows
+from lakeclerk.llm.langid import fit
 from lakeclerk.llm.neardup import drop_near_rows
-from lakeclerk.llm.scratch import BATCH, ROWS, map_batches, map_frames, numbered
+from lakeclerk.llm.scratch import BATCH, ROWS, given_back, map_batches, map_frames, numbered
 
 SMALL = "/root/testdata/sf0.001"
 ODD = [
@@ -108,6 +111,35 @@ def test_python_is_handed_a_bounded_number_of_texts(spark, conf):
             assert sum(counts) == 25_000 and max(counts) == most
 
 
+def test_a_task_gives_its_memory_back():
+    def resident():
+        return int(Path("/proc/self/statm").read_text().split()[1]) * 4096
+
+    stays = []
+
+    def run():
+        rows = [bytes(1_000) for _ in range(200_000)]
+        stays.append(bytes(1_000))  # above the rows: what is below it is kept for later use
+        yield resident()
+        del rows
+
+    (most,) = given_back(run())
+    assert resident() < most - 150_000_000
+
+
+def test_a_model_keeps_its_grams_in_one_table(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    model = fit(docs, order=F.col("doc_id"))
+    assert model.gram_scores.shape == (len(model.grams), len(model.languages))
+    assert sorted(model.grams.values()) == list(range(len(model.grams)))
+    rows = {gram: model.gram_scores[row] for gram, row in model.grams.items()}
+    for word in ("qthe", "xyzza", "a"):
+        marked = f"<{word}>"
+        cut = [[marked[at : at + size] for at in range(len(marked) - size + 1)] for size in range(min(4, len(marked)), 0, -1)]
+        known = next(grams for grams in cut if rows.keys() & grams)
+        assert (model.back_off(word) == np.mean([rows[gram] for gram in known if gram in rows], axis=0)).all()
+
+
 def test_registered(spark):
     known = __spark_entry__.queries()
     for number in range(1, 11):
