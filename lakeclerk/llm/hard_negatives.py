@@ -3,10 +3,11 @@
 Anchors and all rows are dealt to parts that meet as a grid, tile by tile. The
 scores of a tile are an integer matrix product by Strassen's recursion: seven
 products of quarter tiles instead of eight, with zeros where a side does not
-halve. Integer additions lose nothing, so the scores are exact. A first pass
-keeps the best rows of an anchor's label in a heap, a second one a heap for the
-score window below each of them. Heaps of tiles, of tasks and of the whole
-table merge into one another.
+halve. Integer additions lose nothing, so the scores are exact; the products run
+in doubles where no number on the way can reach 2**53. A first pass keeps the
+best rows of an anchor's label in a heap, a second one a heap for the score
+window below each of them; a row below the last of a full heap is passed over.
+Heaps of tiles, of tasks and of the whole table merge into one another.
 """
 
 from __future__ import annotations
@@ -20,23 +21,43 @@ from pyspark.sql import functions as F
 
 from lakeclerk.llm.scratch import map_frames, ship, written
 
-ROWS = 4096  # rows of a part of the table, about
-ANCHORS = 2048  # anchors of a part, about
+ROWS = 4096  # rows of a part of the table, at least about
+ANCHORS = 2048  # anchors of a part, at least about
+LARGER = 8  # times that, where the grid has cells enough
+CELLS = 16  # of the grid for each core
 TILE = 512  # rows and anchors of a tile
 LEAF = 16  # sides up to this are multiplied directly
+DOUBLE_LEAF = 32  # in doubles, which are quicker to multiply than to add up
 HELD = 1 << 20  # entries of heaps a task holds before it hands them on
+LEAST = np.iinfo(np.int64).min
 
 
 def strassen(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """The product of two int64 matrices, exact modulo 2**64."""
     m, k, n = a.shape[0], a.shape[1], b.shape[1]
-    side, depth = min(m, k, n), 0
-    while side > LEAF:
-        side, depth = -(-side // 2), depth + 1
+    depth = _depth(min(m, k, n), DOUBLE_LEAF)
+    # A level doubles the numbers of both sides at most, and adds up four products.
+    most = float(_largest(a)) * float(_largest(b)) * k * 16.0**depth
+    if most < 2.0**53:
+        a, b = a.astype(np.float64), b.astype(np.float64)
+    else:
+        depth = _depth(min(m, k, n), LEAF)
     whole = 1 << depth
     a = np.pad(a, ((0, -m % whole), (0, -k % whole)))
     b = np.pad(b, ((0, -k % whole), (0, -n % whole)))
-    return _halved(a, b, depth)[:m, :n]
+    return _halved(a, b, depth)[:m, :n].astype(np.int64)
+
+
+def _depth(side: int, leaf: int) -> int:
+    depth = 0
+    while side > leaf:
+        side, depth = -(-side // 2), depth + 1
+    return depth
+
+
+def _largest(a: np.ndarray) -> int:
+    """The greatest distance from zero; no number is turned round, as -2**63 has no opposite."""
+    return max(int(a.max(initial=0)), -int(a.min(initial=0)))
 
 
 def _halved(a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
@@ -45,26 +66,30 @@ def _halved(a: np.ndarray, b: np.ndarray, depth: int) -> np.ndarray:
     m, k, n = a.shape[0] // 2, a.shape[1] // 2, b.shape[1] // 2
     a11, a12, a21, a22 = a[:m, :k], a[:m, k:], a[m:, :k], a[m:, k:]
     b11, b12, b21, b22 = b[:k, :n], b[:k, n:], b[k:, :n], b[k:, n:]
-    p1 = _halved(a11 + a22, b11 + b22, depth - 1)
-    p2 = _halved(a21 + a22, b11, depth - 1)
-    p3 = _halved(a11, b12 - b22, depth - 1)
-    p4 = _halved(a22, b21 - b11, depth - 1)
-    p5 = _halved(a11 + a12, b22, depth - 1)
-    p6 = _halved(a21 - a11, b11 + b12, depth - 1)
-    p7 = _halved(a12 - a22, b21 + b22, depth - 1)
-    out = np.empty((2 * m, 2 * n), np.int64)
-    out[:m, :n] = p1 + p4 - p5 + p7
-    out[:m, n:] = p3 + p5
-    out[m:, :n] = p2 + p4
-    out[m:, n:] = p1 - p2 + p3 + p6
+    # Added up in place: one product at a time is held beside the result.
+    product = _halved(a11 + a22, b11 + b22, depth - 1)
+    out = np.empty((2 * m, 2 * n), product.dtype)
+    out11, out12, out21, out22 = out[:m, :n], out[:m, n:], out[m:, :n], out[m:, n:]
+    out11[:] = out22[:] = product
+    out21[:] = product = _halved(a21 + a22, b11, depth - 1)
+    out22 -= product
+    out12[:] = product = _halved(a11, b12 - b22, depth - 1)
+    out22 += product
+    product = _halved(a22, b21 - b11, depth - 1)
+    out11 += product
+    out21 += product
+    product = _halved(a11 + a12, b22, depth - 1)
+    out11 -= product
+    out12 += product
+    out22 += _halved(a21 - a11, b11 + b12, depth - 1)
+    out11 += _halved(a12 - a22, b21 + b22, depth - 1)
     return out
 
 
 def scores_of(anchors: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Inner products of all anchors with all rows; an error if one is no 64-bit number."""
     scores = strassen(anchors, np.ascontiguousarray(rows.T))
-    reach = int(np.abs(anchors.astype(float)).max(initial=0)) * anchors.shape[1]
-    if reach * int(np.abs(rows.astype(float)).max(initial=0)) >= 2**62:
+    if _largest(anchors) * anchors.shape[1] * _largest(rows) >= 2**62:
         # Sums are exact modulo 2**64 only: see that they are in range.
         about = anchors.astype(float) @ rows.astype(float).T
         if np.abs(about).max(initial=0) > 2.0**63 * (1 - 1e-9):
@@ -101,6 +126,36 @@ class Heaps:
         kept = np.arange(len(group)) - np.searchsorted(group, group) < self.k
         self.columns = [group[kept], score[kept], key[kept], row[kept]]
 
+    def bars(self, groups: np.ndarray) -> np.ndarray:
+        """The least score of each group's heap where it is full: what is less is none of the best."""
+        group, score = self.columns[:2]
+        if len(group) < self.k:
+            return np.full(groups.shape, LEAST)
+        end = np.searchsorted(group, groups, "right")
+        full = end - np.searchsorted(group, groups) == self.k
+        return np.where(full, score[np.maximum(end, 1) - 1], LEAST)
+
+
+class _Tiled(dict):
+    """Heaps of a task by tile of anchors, so that what is merged is as short as a tile."""
+
+    def __init__(self, k: int):
+        self.k = k
+
+    def __missing__(self, tile: tuple) -> Heaps:
+        self[tile] = Heaps(self.k)
+        return self[tile]
+
+    def held(self) -> int:
+        return sum(len(heaps.columns[0]) for heaps in self.values())
+
+    def columns(self) -> list[np.ndarray]:
+        empty = np.zeros(0, np.int64)
+        return [
+            np.concatenate([empty, *(heaps.columns[x] for heaps in self.values())])
+            for x in range(4)
+        ]
+
 
 def _tiles(count: int) -> Iterator[slice]:
     for begin in range(0, count, TILE):
@@ -114,24 +169,37 @@ class _Part:
         self.key, self.row, self.label = (
             np.frombuffer(getattr(cell, f"{name}_{c}"), "<i8") for c in ("key", "row", "label")
         )
-        self.value = np.frombuffer(getattr(cell, f"{name}_value"), "<i8").reshape(
-            len(self.key), cell.dimensions
-        )
+        value = getattr(cell, f"{name}_value")
+        size = len(value) // (len(self.key) * cell.dimensions)
+        value = np.frombuffer(value, f"<i{size}").astype(np.int64)
+        self.value = value.reshape(len(self.key), cell.dimensions)
 
 
-def _positives_of(cell: tuple, heaps: Heaps) -> None:
+def _packed(values: np.ndarray) -> bytes:
+    """As few bytes a number as all of them have room in."""
+    least, most = values.min(initial=0), values.max(initial=0)
+    size = next(
+        x for x in (1, 2, 4, 8) if np.iinfo(f"i{x}").min <= least and most <= np.iinfo(f"i{x}").max
+    )
+    return values.astype(f"<i{size}").tobytes()
+
+
+def _positives_of(cell: tuple, tiled: _Tiled) -> None:
     """Rows of the anchors' labels; a group is the anchor's row number."""
     asks, rows = _Part(cell, "ask"), _Part(cell, "part")
     for i in _tiles(len(asks.key)):
+        heaps = tiled[cell.dimensions, cell.ask, i.start]
         for j in _tiles(len(rows.key)):
             scores = scores_of(asks.value[i], rows.value[j])
             same = asks.label[i][:, None] == rows.label[j][None]
+            same &= scores >= heaps.bars(asks.row[i])[:, None]
             same &= asks.row[i][:, None] != rows.row[j][None]
             a, b = best(scores, same, heaps.k)
-            heaps.merge(asks.row[i][a], scores[a, b], rows.key[j][b], rows.row[j][b])
+            if len(a):
+                heaps.merge(asks.row[i][a], scores[a, b], rows.key[j][b], rows.row[j][b])
 
 
-def _negatives_of(cell: tuple, heaps: Heaps, percent: int) -> None:
+def _negatives_of(cell: tuple, tiled: _Tiled, percent: int) -> None:
     """Rows of other labels in the window of each positive score; a group is a positive's number."""
     asks, rows = _Part(cell, "ask"), _Part(cell, "part")
     number = np.frombuffer(cell.ask_number, "<i8").reshape(len(asks.key), -1)
@@ -139,29 +207,45 @@ def _negatives_of(cell: tuple, heaps: Heaps, percent: int) -> None:
     hundreds, units = np.divmod(most, 100)
     least = percent * hundreds - (-percent * units) // 100  # rounded up, nothing overflows
     for i in _tiles(len(asks.key)):
+        heaps = tiled[cell.dimensions, cell.ask, i.start]
+        numbers, high, absent = number[i], most[i], number[i] < 0
         for j in _tiles(len(rows.key)):
             scores = scores_of(asks.value[i], rows.value[j])
+            low = np.maximum(least[i], heaps.bars(numbers))
+            # The windows of an anchor lie in one span, in which few rows are left.
             other = asks.label[i][:, None] != rows.label[j][None]
-            for place in range(number.shape[1]):
-                inside = other & (scores >= least[i, place : place + 1])
-                inside &= scores <= most[i, place : place + 1]
-                inside &= number[i, place : place + 1] >= 0
-                a, b = best(scores, inside, heaps.k)
-                heaps.merge(number[i, place][a], scores[a, b], rows.key[j][b], rows.row[j][b])
+            other &= scores >= np.where(absent, -(LEAST + 1), low).min(axis=1, keepdims=True)
+            other &= scores <= np.where(absent, LEAST, high).max(axis=1, keepdims=True)
+            many = np.count_nonzero(other) > 4 * heaps.k * len(numbers)
+            a, b = (None, None) if many else np.nonzero(other)
+            found = []
+            for place in range(numbers.shape[1]):
+                if many:
+                    inside = other & (scores >= low[:, place : place + 1])
+                    inside &= scores <= high[:, place : place + 1]
+                    inside &= ~absent[:, place : place + 1]
+                    x, y = best(scores, inside, heaps.k)
+                else:
+                    inside = (scores[a, b] >= low[a, place]) & (scores[a, b] <= high[a, place])
+                    inside &= ~absent[a, place]
+                    x, y = a[inside], b[inside]
+                found.append((numbers[x, place], scores[x, y], rows.key[j][y], rows.row[j][y]))
+            if sum(len(x[0]) for x in found):
+                heaps.merge(*(np.concatenate(x) for x in zip(*found)))
 
 
 def _merged(cells: DataFrame, work, k: int) -> DataFrame:
     """``work`` on every cell, and the k best of each group in one heap after the other."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        heaps = Heaps(k)
+        tiled = _Tiled(k)
         for frame in frames:
             for cell in frame.itertuples(index=False):
-                work(cell, heaps)
-                if len(heaps.columns[0]) > HELD:
-                    yield pd.DataFrame(dict(zip(names, heaps.columns)))
-                    heaps = Heaps(k)
-        yield pd.DataFrame(dict(zip(names, heaps.columns)))
+                work(cell, tiled)
+                if tiled.held() > HELD:
+                    yield pd.DataFrame(dict(zip(names, tiled.columns())))
+                    tiled = _Tiled(k)
+        yield pd.DataFrame(dict(zip(names, tiled.columns())))
 
     names = ["group", "score", "key", "row"]
     found = map_frames(cells, run, "group bigint, score bigint, key bigint, row bigint")
@@ -171,10 +255,25 @@ def _merged(cells: DataFrame, work, k: int) -> DataFrame:
     return ranked.where(F.col("rank") <= k)
 
 
-def _parts(rows: DataFrame, name: str, size: int, extra: list[str]) -> tuple[DataFrame, int]:
-    """Rows dealt to parts of about ``size`` and packed, and the number of parts."""
-    count = max(1, -(-rows.count() // size))
-    columns = ["key", "row", "label", *extra, "value"]
+def _dealt(n_rows: int, n_anchors: int, cores: int) -> tuple[int, int]:
+    """Numbers of the parts of the table and of the anchors.
+
+    Every part goes beside all of the other side, so large ones are copied less
+    often; they are as large as leaves each core its cells.
+    """
+    times = LARGER
+    while True:
+        n_parts, n_asks = (
+            max(1, -(-n // (size * times))) for n, size in ((n_rows, ROWS), (n_anchors, ANCHORS))
+        )
+        if times == 1 or n_parts * n_asks >= CELLS * cores:
+            return n_parts, n_asks
+        times //= 2
+
+
+def _parts(rows: DataFrame, name: str, count: int, extra: list[str]) -> DataFrame:
+    """Rows dealt to ``count`` parts and packed."""
+    columns = ["key", "row", "label", *extra]
 
     def pack(frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values(["key", "row"])
@@ -182,22 +281,26 @@ def _parts(rows: DataFrame, name: str, size: int, extra: list[str]) -> tuple[Dat
         for column in columns:
             values = np.array(frame[column].tolist(), "<i8")
             packed[f"{name}_{column}"] = [values.tobytes()]
+        packed[f"{name}_value"] = [_packed(np.stack(frame["value"].tolist()).astype("<i8"))]
         return pd.DataFrame(packed)
 
     ship(rows.sparkSession)
     dealt = rows.withColumn("part", F.pmod(F.xxhash64("row"), F.lit(count)).cast("int"))
-    schema = ", ".join(f"{name}_{column} binary" for column in columns)
-    packed = dealt.groupBy("dimensions", "part").applyInPandas(
+    schema = ", ".join(f"{name}_{column} binary" for column in [*columns, "value"])
+    return dealt.groupBy("dimensions", "part").applyInPandas(
         pack, f"dimensions int, {name} int, {schema}"
     )
-    return packed, count
 
 
 def _grid(parts: DataFrame, n_parts: int, asks: DataFrame, n_asks: int) -> DataFrame:
-    """Every part of the table beside every part of the anchors, once."""
+    """Every part of the table beside every part of the anchors, once.
+
+    Joined by shuffle at every size: Spark's estimate is that of the compressed
+    file and knows nothing of the copies, so it would have the driver hold them.
+    """
     parts = parts.withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(n_asks - 1))))
     asks = asks.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(n_parts - 1))))
-    return parts.join(asks, ["dimensions", "part", "ask"])
+    return parts.join(asks.hint("merge"), ["dimensions", "part", "ask"])
 
 
 def hard_negatives(
@@ -247,9 +350,10 @@ def hard_negatives(
     )
     rows = written(rows, "negative-rows")
     asking = rows.where("asks").drop("asks")
-    packed, n_parts = _parts(rows.drop("asks"), "part", ROWS, [])
-    packed = written(packed, "negative-parts")
-    asks, n_asks = _parts(asking, "ask", ANCHORS, [])
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    n_parts, n_asks = _dealt(rows.count(), asking.count(), cores)
+    packed = written(_parts(rows.drop("asks"), "part", n_parts, []), "negative-parts")
+    asks = _parts(asking, "ask", n_asks, [])
     near = written(_merged(_grid(packed, n_parts, asks, n_asks), _positives_of, positives), "positives")
     # The positives of an anchor by rank, each with a number of its own.
     ranked = near.select(
@@ -270,9 +374,9 @@ def hard_negatives(
         F.concat(F.col("found.number"), padding).alias("number"),
         F.concat(F.col("found.score"), padding).alias("score"),
     )
-    asks, n_asks = _parts(written(with_windows, "negative-asks"), "ask", ANCHORS, ["number", "score"])
+    asks = _parts(written(with_windows, "negative-asks"), "ask", n_asks, ["number", "score"])
     cells = _grid(packed, n_parts, asks, n_asks)
-    far = _merged(cells, lambda cell, heaps: _negatives_of(cell, heaps, percent), negatives)
+    far = _merged(cells, lambda cell, tiled: _negatives_of(cell, tiled, percent), negatives)
     known = near.select(
         (F.col("group") * positives + F.col("rank") - 1).alias("number"),
         F.col("group").alias("anchor"),

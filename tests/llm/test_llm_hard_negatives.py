@@ -148,3 +148,38 @@ def test_query(spark):
     names = ", ".join(out.columns)
     expected = db.execute(f"SELECT {names} FROM ({ORACLE_SQL['op11_hard_negatives']})").fetchall()
     assert expected and sorted(tuple(r) for r in out.collect()) == sorted(expected)
+
+
+def test_the_grid_is_never_broadcast(spark):
+    # The copies of a part are no part of Spark's estimate; a driver would have to hold all of them.
+    parts = spark.createDataFrame([(2, x, b"1") for x in range(5)], "dimensions int, part int, part_value binary")
+    asks = spark.createDataFrame([(2, x, b"2") for x in range(3)], "dimensions int, ask int, ask_value binary")
+    cells = hn._grid(parts, 5, asks, 3)
+    assert sorted((r.part, r.ask) for r in cells.collect()) == [(x, y) for x in range(5) for y in range(3)]
+    assert "Broadcast" not in cells._jdf.queryExecution().executedPlan().toString()
+
+
+def test_parts_grow_with_the_table():
+    assert hn._dealt(0, 0, 6) == (1, 1) and hn._dealt(51_282, 513, 6) == (13, 1)
+    for rows, anchors in ((615_384, 6_156), (15_000_000, 150_000), (100_000, 100_000)):
+        n_parts, n_asks = hn._dealt(rows, anchors, 6)
+        assert n_parts * n_asks >= 96 and n_parts * hn.ROWS * hn.LARGER >= rows
+        assert n_asks * hn.ANCHORS * hn.LARGER >= anchors
+        # Copies of either side: fewer than with the least parts.
+        assert rows * n_asks + anchors * n_parts <= rows * -(-anchors // hn.ANCHORS) + anchors * -(-rows // hn.ROWS)
+
+
+@pytest.mark.parametrize("reach", [100, 2**20, 2**25, 2**30])
+def test_products_in_doubles_and_in_integers_are_the_same(reach):
+    draw = np.random.default_rng(reach)
+    a, b = draw.integers(-reach, reach, (70, 64)), draw.integers(-reach, reach, (90, 64))
+    assert (hn.strassen(a, b.T.copy()) == a @ b.T).all()
+    values = np.concatenate([a, b]).astype("<i8")
+    size = len(hn._packed(values)) // values.size
+    assert (np.frombuffer(hn._packed(values), f"<i{size}") == values.ravel()).all() and size == (1 if reach == 100 else 4)
+
+
+def test_bars_are_the_last_of_full_heaps():
+    heaps = hn.Heaps(2)
+    heaps.merge(*np.array([(3, 9, 1, 1), (3, 7, 2, 2), (3, 8, 3, 3), (5, 4, 4, 4)]).T)
+    assert heaps.bars(np.array([[3, 5], [4, -1]])).tolist() == [[8, hn.LEAST], [hn.LEAST, hn.LEAST]]
