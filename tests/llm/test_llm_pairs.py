@@ -282,6 +282,58 @@ def test_passages_match_brute_force(spark):
     assert wanted and wanted <= found
 
 
+def test_passages_beyond_the_first_holders_of_their_seeds(spark):
+    # Every seed of p stands first in a text that has too little of it.
+    p, text = prose(60, 50), prose
+    rows = [
+        (1, text(30, 51) + p[:40] + text(30, 52)),
+        (2, text(20, 53) + p[20:] + text(40, 54)),
+        *((key, text(25, 55 + key) + p[10:50] + text(25, 75 + key)) for key in range(3, 9)),
+        (9, text(50, 100) + p + text(10, 101)),
+        (10, text(5, 102) + p + text(50, 103)),
+        (11, text(9, 104) + p[:50] + text(50, 105)),
+    ]
+    found = passages.repeated_passages(frame(spark, [(key, " ".join(words)) for key, words in rows])).collect()
+    near = {(r.doc_id, r.source_id) for r in found}
+    assert (10, 9) in near and {key for key, _ in near} == {10, 11}
+    assert [r[1:3] for r in found if r.doc_id == 10] == [(5, 65)]
+
+
+def hashed(words):
+    return np.array([hash(("w", w)) & (2**63 - 1) for w in words], np.uint64)
+
+
+def test_a_run_of_a_passage_has_a_spot():
+    for seed in range(80):
+        p = prose(48, 200 + seed)
+        keys = []
+        for side in (1, 2):
+            words = hashed(prose(40 * side, 300 * side + seed) + p + prose(60, 700 * side + seed))
+            keys.append(set(passages.spots(*passages.minimizers(words), 48)[0].tolist()))
+        assert keys[0] & keys[1]
+
+
+def test_passages_of_words_that_repeat_in_the_source():
+    p, q = prose(60, 900), prose(20, 901)
+    a, b = hashed(p), hashed(p[:30] + q + p + q + p[10:])
+    assert passages.common_passages(a, b)[0][:2] == (0, 60)
+    # One word over and over: all of it is in passages, few of them.
+    a, b = hashed(["x"] * 500 + q), hashed(q + ["x"] * 60 + prose(9, 902))
+    found = passages.common_passages(a, b)
+    assert set().union(*(range(x[0], x[1]) for x in found)) >= set(range(500)) and len(found) < 20
+
+
+def test_edited_passages_of_short_matches():
+    draw, found = np.random.default_rng(7), 0
+    for seed in range(60):
+        p = prose(60, 1000 + seed)
+        other = list(p)
+        for x in draw.choice(60, 6, replace=False):
+            other[x] = f"other{x}"
+        found += bool(passages.common_passages(hashed(prose(9, seed) + p), hashed(other + prose(5, seed + 500))))
+    assert found > 48
+
+
 # ---------------------------------------------------------------- leaks
 
 
